@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, sharding
+from docloom.llm import bpe, exact_dedup, fingerprints, sharding, token_counts
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -41,3 +41,43 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), weights=[1.0] * 40)
+
+
+def _vocabulary():
+    import public_tokenizers
+
+    return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+#: Id that ends a document in token files: the first one that the vocabulary leaves free.
+END_OF_DOCUMENT = 50256
+
+
+@_query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files written from the table."""
+    written = token_counts.write_token_files(table(spark, sf_dir, "documents"), _vocabulary(), END_OF_DOCUMENT)
+    counts = token_counts.separator_counts(written.where("ordinal = 0").select("file", "n_bytes"), END_OF_DOCUMENT)
+    return written.join(counts, ["file", "ordinal"]).select(F.col("key").alias("doc_id"), "n_tokens")
+
+
+@_query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    rows = fingerprints.with_next(docs, "doc_id", "tie", ["text", "fingerprint"], lambda d: fingerprints.fingerprint(d))
+    n = F.char_length("text")
+    quarter = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
+    rows = fingerprints.fingerprint(rows, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+    rows = fingerprints.with_likeness(rows, [("fingerprint", "edited_fingerprint", "near_edited"), ("fingerprint", "next_fingerprint", "near_next")])
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@_query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = _vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+    decoded = bpe.decode(encoded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
