@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, fingerprints, sharding, token_counts
+from docloom.llm import bpe, exact_dedup, fingerprints, html_extraction, mixing, sharding, token_counts, toxicity
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -81,3 +81,37 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
     decoded = bpe.decode(encoded, vocabulary)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def held_out(doc_id=None):
+    """Rows that no label is learned from."""
+    return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+#: Score from which a text counts as toxic.
+TOXIC_FROM = 0.3
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    rows = toxicity.score(docs, model, ["doc_id"])
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+#: Exponents of the corpus shares that sources, languages and topics are raked to.
+MIX = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+
+
+@_query("op7_mixing", mixing.oracle_sql(MIX))
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.with_probabilities(table(spark, sf_dir, "documents"), MIX)
+    named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")]
+    return rows.select("doc_id", *named, "topic", "tokens", F.round("probability", 6).alias("probability"), "selected")
+
+
+@_query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extraction.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -43,6 +43,13 @@ def remove(spark: SparkSession, uri: str) -> None:
     fs.delete(path, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keep Arrow batches of whole texts small in workers, unless the session asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, uri: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
