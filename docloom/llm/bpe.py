@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import text
+from docloom.llm.shared import bound_batches
 
 
 class Vocabulary:
     """Ranks of byte strings; a token's id is its rank. Bounded by the vocabulary file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 300_000):
         self.pattern, self.ranks, self.remember = pattern, ranks, remember
         size = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * size
@@ -50,7 +51,7 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
-        self.known: dict[str, np.ndarray] = {}
+        self.encoder: Encoder | None = None  # of one worker
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -59,7 +60,7 @@ class Vocabulary:
         return cls(ranks, pattern)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"encoder": None}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank that each pair merges to, or -1."""
@@ -80,11 +81,13 @@ def one_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def replay(words: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """Ids of each word (non-empty), by replaying merges over all words together."""
+def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of non-empty words, one after the other, and how many each has; merges are replayed over all together."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(words) else 0
+    total = int(ends[-1])
     ids = vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
     owner = np.repeat(np.arange(len(words)), lengths)
     after = np.arange(1, total + 1)
@@ -142,10 +145,14 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
             seen, times = np.unique(owner[at], return_counts=True)
             by_hand.update(np.intersect1d(owner[early], seen[times > 1]).tolist())
         enter(open_)
-    out = np.split(ids[alive], np.cumsum(np.bincount(owner[alive], minlength=len(words)))[:-1]) if len(words) else []
-    for w in by_hand:
-        out[w] = np.array(one_word(words[w], vocabulary.ranks), np.int64)
-    return out
+    lengths = np.bincount(owner[alive], minlength=len(words)).astype(np.int64)
+    out = ids[alive]
+    if by_hand:
+        parts = np.split(out, np.cumsum(lengths)[:-1])
+        for w in by_hand:
+            parts[w] = np.array(one_word(words[w], vocabulary.ranks), np.int64)
+        out, lengths = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+    return out, lengths
 
 
 class _Words(dict):
@@ -154,40 +161,57 @@ class _Words(dict):
         return number
 
 
+class Encoder:
+    """Ids of the words met so far, in one flat array; forgotten when there are too many."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        import regex
+
+        self.vocabulary, self.find = vocabulary, regex.compile(vocabulary.pattern).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.flat, self.lengths = _Words(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [w.encode("utf-8", "surrogateescape") for w in words]
+        ranks = self.vocabulary.ranks
+        whole = np.fromiter((ranks.get(r, -1) for r in raw), np.int64, len(raw))
+        rest = np.flatnonzero(whole < 0)
+        ids, lengths = replay([raw[i] for i in rest], self.vocabulary)
+        n = np.ones(len(raw), np.int64)
+        n[rest] = lengths
+        flat = np.empty(int(n.sum()), np.uint32)
+        starts = np.cumsum(n) - n
+        known = np.flatnonzero(whole >= 0)
+        flat[starts[known]] = whole[known]
+        flat[np.repeat(starts[rest] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))] = ids
+        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, n])
+
+    def block(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """uint32 ids of each text."""
+        if len(self.numbers) > self.vocabulary.remember:
+            self._forget()
+        look, before = self.numbers.__getitem__, len(self.numbers)
+        found = [self.find((t or b"").decode("utf-8", "surrogateescape")) for t in texts]
+        per_text = [np.fromiter(map(look, f), np.int64, len(f)) for f in found]
+        del found
+        if len(self.numbers) > before:
+            self._learn(list(self.numbers)[before:])
+        starts = np.cumsum(self.lengths) - self.lengths
+        out = []
+        for numbered in per_text:
+            n = self.lengths[numbered]
+            ends = np.cumsum(n)
+            out.append(self.flat[np.repeat(starts[numbered] - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)])
+        return out
+
+
 def encode_block(texts: list[bytes | None], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """uint32 ids of each text."""
-    import regex
-
-    find = regex.compile(vocabulary.pattern).findall
-    numbers = _Words()
-    look = numbers.__getitem__
-    per_text = [np.fromiter(map(look, find((t or b"").decode("utf-8", "surrogateescape"))), np.int64) for t in texts]
-    words = list(numbers)
-    known, fresh, ids = vocabulary.known, [], [None] * len(words)
-    for i, word in enumerate(words):
-        if (found := known.get(word)) is not None:
-            ids[i] = found
-            continue
-        raw = word.encode("utf-8", "surrogateescape")
-        whole = vocabulary.ranks.get(raw)
-        if whole is not None:
-            ids[i] = np.array([whole], np.uint32)
-        else:
-            fresh.append((i, raw))
-    for (i, _), found in zip(fresh, replay([raw for _, raw in fresh], vocabulary), strict=True):
-        ids[i] = found.astype(np.uint32)
-    for word, found in zip(words, ids, strict=True):
-        if len(known) < vocabulary.remember and len(word) <= 64:
-            known[word] = found
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    starts = np.cumsum(lengths) - lengths
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    out = []
-    for numbered in per_text:
-        n = lengths[numbered]
-        before = np.cumsum(n) - n
-        out.append(flat[np.repeat(starts[numbered] - before, n) + np.arange(int(n.sum()))] if len(numbered) else np.zeros(0, np.uint32))
-    return out
+    """uint32 ids of each text; words stay known to the worker for its later blocks."""
+    if vocabulary.encoder is None:
+        vocabulary.encoder = Encoder(vocabulary)
+    return vocabulary.encoder.block(texts)
 
 
 def _encode(vocabulary, columns: list[str], text_name: str, block_bytes: int):
@@ -202,9 +226,10 @@ def _encode(vocabulary, columns: list[str], text_name: str, block_bytes: int):
     return run
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text_name: str = "text", keep: list[str] | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary, text_name: str = "text", keep: list[str] | None = None, block_bytes: int = 4 << 20) -> DataFrame:
     """Columns ``keep`` (all but the text by default), n_tokens and ids (little-endian uint32)."""
     keep = [c for c in df.columns if c != text_name and c not in ("ids", "n_tokens")] if keep is None else keep
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     lean = df.select(*keep, F.col(text_name).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema if f.name != "__text"), "n_tokens long", "ids binary"])
