@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, fingerprints, html_extraction, mixing, sharding, token_counts, toxicity
+from docloom.llm import bpe, exact_dedup, fingerprints, html_extraction, mixing, sharding, suffix_dedup, token_counts, toxicity
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -115,3 +115,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_extraction.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
