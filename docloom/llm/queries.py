@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, fingerprints, html_extraction, mixing, sharding, suffix_dedup, token_counts, toxicity
+from docloom.llm import bpe, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, sharding, suffix_dedup, token_counts, toxicity
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -121,3 +121,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, top=85, bottom=100)
+    return rows.select("doc_id", "n_shingles", "component_id")
