@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import text
+from docloom.llm.shared import bound_batches
 
 K = 8
 
@@ -114,8 +115,9 @@ def _fingerprint(text_name: str, out: str, slots: int, ell: int, block_bytes: in
     return run
 
 
-def fingerprint(df: DataFrame, text_name: str = "text", out: str = "fingerprint", slots: int = 32, ell: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
+def fingerprint(df: DataFrame, text_name: str = "text", out: str = "fingerprint", slots: int = 32, ell: int = 2, block_bytes: int = 1 << 18) -> DataFrame:
     """Adds a binary column of slots x 4 bytes."""
+    bound_batches(df.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` binary"])
     return df.mapInArrow(_fingerprint(text_name, out, slots, ell, block_bytes), schema)
 
