@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 #: Accepted forms, day before month, in order of trial (fixed values).
 STRICT_FORMS = (
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
-    ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$"), ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"), ("d-MMMM-yyyy", r"^\d{1,2}-[A-Z][a-z]{3,}-\d{4}$"), ("d-MMM-yyyy", r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$"), ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),  # also with hyphens
     ("MMMM d, yyyy", r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$"), ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"), ("MMMM d yyyy", r"^[A-Z][a-z]{3,} \d{1,2} \d{4}$"), ("MMM d yyyy", r"^[A-Z][a-z]{2} \d{1,2} \d{4}$"),
 )
 
 
 def _parsed(s: Column) -> Column:
     """Date of the first form that fits, else null."""
-    title = F.initcap(F.lower(s))
-    return F.coalesce(*[F.when(F.rlike(title, F.lit(shape)), F.try_to_timestamp(title, F.lit(form)).cast("date")) for form, shape in STRICT_FORMS])
+    title = F.initcap(F.lower(F.regexp_replace(s, r"^(\d{1,2})-([A-Za-z]+)-(\d{4})$", "$1 $2 $3")))
+    read = lambda t: F.coalesce(*[F.when(F.rlike(t, F.lit(shape)), F.try_to_timestamp(t, F.lit(form)).cast("date")) for form, shape in STRICT_FORMS])
+    return F.transform(F.array(title), read)[0]  # binds the text once, instead of once for each form
 
 
 def normalize_date(c: Column, as_of: Column) -> Column:

@@ -64,7 +64,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine")
         part = lean.mapInArrow(_partial_top([(r[0], list(r[1])) for r in some], k, metric), "query_id long, id long, distance double")
         found = part if found is None else found.unionByName(part)
     rank = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
 def cells(vectors: DataFrame, n_cells: int, seed: int = 7) -> tuple[DataFrame, list]:
@@ -88,7 +88,7 @@ def knn_probe(index: DataFrame, centres: list, queries: DataFrame, k: int, probe
     distance = 1 - dot(F.col("vector"), F.col("q")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("q"), F.col("q")))
     scored = wanted.select("query_id", "id", distance.alias("distance"))
     rank = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
 def postings(docs: DataFrame, text: str = "text", id_name: str = "doc_id", stop: Sequence[str] = STOP_WORDS, field: str | None = None, weight: float = 1.0) -> DataFrame:
