@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
@@ -35,7 +34,7 @@ def read_binary(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ())
 
 def json_field(c: Column, path: str, kind: str = "string") -> Column:
     """Typed value at a JSON path; null if the text is no JSON or the type does not fit."""
-    return F.expr(f"try_variant_get(try_parse_json({c._jc.toString() if hasattr(c, '_jc') else c}), '{path}', '{kind}')")
+    return F.try_variant_get(F.try_parse_json(c), path, kind)
 
 
 def unfence(c: Column) -> Column:
@@ -48,5 +47,3 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list
     writer = df.write.mode("overwrite").format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
-
-NUMBERED = T.StructType([T.StructField("group", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("name", T.StringType())])

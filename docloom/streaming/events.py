@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark (on an instant, as watermarks need); a table as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by tumbling window and kind; works on a stream (append or update mode) and on a table."""
-    source = events.withWatermark(ts, late) if events.isStreaming else events
+    source = _timed(events, ts, late)
     counted = source.groupBy(F.window(ts, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("window_start"), kind, "n")
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Runs of a key's events with no pause of ``gap`` or more."""
-    source = events.withWatermark(ts, late) if events.isStreaming else events
+    source = _timed(events, ts, late)
     counted = source.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_ts"))
     return counted.select(key, F.col("w.start").alias("session_start"), "last_ts", "n")
 
 
 def first_in_ttl(requests: DataFrame, key: str, ts: str = "ts", ttl: str = "5 minutes") -> DataFrame:
     """The first request of a key within the time to live, for streams: a cache in front of a costly step."""
-    return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+    return _timed(requests, ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
