@@ -58,7 +58,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files written from the table."""
     written = token_counts.write_token_files(table(spark, sf_dir, "documents"), _vocabulary(), END_OF_DOCUMENT)
     counts = token_counts.separator_counts(written.where("ordinal = 0").select("file", "n_bytes"), END_OF_DOCUMENT)
-    return written.join(counts, ["file", "ordinal"]).select(F.col("key").alias("doc_id"), "n_tokens")
+    return written.join(counts.hint("merge"), ["file", "ordinal"]).select(F.col("key").alias("doc_id"), "n_tokens")
 
 
 @_query("op3_fingerprints")
