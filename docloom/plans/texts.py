@@ -358,8 +358,6 @@ def template_fill(spark, sf_dir):
     return rows.select("s_suppkey", F.when(F.col("s_acctbal") > 0, clause).alias("clause"))
 
 
-_LETTERS = r"length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))"
-_OTHER = r"length(regexp_replace(text, '[^À-ÿ]', '', 'g'))"
 
 
 @query(
