@@ -41,12 +41,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    digest, one = _fresh(docs, "digest"), _fresh(docs, "one")
-    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    digest, name, one = _fresh(docs, "digest"), _fresh(docs, "name"), _fresh(docs, "one")
+    as_text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("text_sha256").alias(digest), as_text(F.col("doc_id")).alias(name))
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = docs.withColumn(digest, F.sha2(lowered.cast("binary"), 256))
-    stay = marked.join(kept.hint("merge"), (F.col(digest) == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    first = Window.partitionBy(digest).orderBy("doc_id")  # rows that repeat an id and a text leave one
+    marked = docs.withColumn(digest, F.sha2(lowered.cast("binary"), 256)).withColumn(name, as_text(F.col("doc_id")))
+    stay = marked.join(kept.hint("merge"), [digest, name])
+    first = Window.partitionBy(digest, name).orderBy(F.lit(1))  # rows that repeat an id and a text leave one; dealt as for the join
     return stay.withColumn(one, F.row_number().over(first)).where(F.col(one) == 1).select(*docs.columns)
 
 

@@ -2,8 +2,8 @@
 
 1. Texts are normalised (A-Z lower-cased) and hashed in blocks of bounded size.
    A block groups its own equal texts, comparing bytes, so a group of copies of
-   any size leaves at most one record per block. The records are written to the
-   shared folder once, under Spark's commit protocol.
+   any size leaves at most one record per block. The records, texts compressed,
+   are written to the shared folder once, under Spark's commit protocol.
 2. Owner tasks take ranges of the 64-bit keys. Each builds an extendible-hash
    index of its range: a directory over leading key bits, which doubles when a
    full bucket cannot be told apart by the bits in use; a full bucket splits in
@@ -107,7 +107,7 @@ def _records(block_bytes: int, id_name: str, text_name: str):
             for rec, (body, members) in enumerate(groups.items()):
                 digest = hashlib.sha256(body)
                 key = int.from_bytes(digest.digest()[:8], "little", signed=True)
-                rows.append((f"{part}-{at}", rec, key, digest.hexdigest(), len(body), body, members, max((m for m in members if m is not None), default=None), len(members)))
+                rows.append((f"{part}-{at}", rec, key, digest.hexdigest(), len(body), pa.compress(body, codec="zstd", asbytes=True), members, max((m for m in members if m is not None), default=None), len(members)))
                 if len(rows) == 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
                     rows = []
@@ -125,18 +125,21 @@ def _own(folder: str, capacity: int, owner_bits: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        def equal(a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
+            return a[0] == b[0] and (a[1] == b[1] or pa.decompress(a[1], a[0], codec="zstd", asbytes=True) == pa.decompress(b[1], b[0], codec="zstd", asbytes=True))
+
         index = ExtendibleHash(capacity, 64 - owner_bits)
-        bodies: list[bytes] = []
+        bodies: list[tuple[int, bytes]] = []  # (length, compressed text) of each entry
         kept: list[tuple] = []  # (max id, block, record) of the row that stays
         sizes: list[int] = []
         where: list[tuple[str, int, int]] = []
         for batch in batches:
-            for block, rec, key, body, max_id, n in zip(*(batch.column(c).to_pylist() for c in ("block", "rec", "key", "body", "max_id", "n")), strict=True):
+            for block, rec, key, size, body, max_id, n in zip(*(batch.column(c).to_pylist() for c in ("block", "rec", "key", "n_bytes", "body", "max_id", "n")), strict=True):
                 key &= (1 << (64 - owner_bits)) - 1  # the range's common leading bits tell nothing
-                entry = next((e for e in index.chain(key) if bodies[e] == body), None)
+                entry = next((e for e in index.chain(key) if equal(bodies[e], (size, body))), None)
                 if entry is None:
                     entry = len(bodies)
-                    bodies.append(body)
+                    bodies.append((size, body))
                     kept.append((max_id, block, rec))
                     sizes.append(0)
                     index.add(key, entry)
@@ -163,19 +166,20 @@ def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text"
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     spark = df.sparkSession
     folder = shared.scratch(spark, "exact")
-    lean = df.select(F.col(id_name).cast("long").alias(id_name), F.col(text_name))
-    records = shared.written(lean.mapInArrow(_records(block_bytes, id_name, text_name), RECORDS), f"{folder}/records")
+    shared.bound_batches(spark)
+    docs = df.select(F.col(id_name).cast("long").alias(id_name), F.col(text_name))
+    records = shared.written(docs.mapInArrow(_records(block_bytes, id_name, text_name), RECORDS), f"{folder}/records")
     total = records.agg(F.sum("n_bytes")).first()[0] or 0
     wanted = shared.parts_for(total, owner_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(1, (wanted - 1).bit_length())
     owners = 1 << bits
     owner = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int")  # a range of keys each
-    shared_index = f"{folder}/index"
-    _, path = shared._hadoop(spark, shared_index)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    dealt = records.select("block", "rec", "key", "body", "max_id", "n").repartitionById(owners, owner)
+    shared_index = shared.make(spark, f"{folder}/index")
+    lean = shared.written(records.select("block", "rec", "sha", "ids"), f"{folder}/members")
+    dealt = records.select("block", "rec", "key", "n_bytes", "body", "max_id", "n").repartitionById(owners, owner)
     owned = shared.written(dealt.mapInArrow(_own(shared_index, capacity, bits), OWNED), f"{folder}/owned")
-    joined = records.select("block", "rec", "sha", "ids").join(owned, ["block", "rec"])
+    shared.remove(spark, f"{folder}/records")  # the texts are not needed any more
+    joined = lean.join(owned.hint("merge"), ["block", "rec"])
     first = F.array_position("ids", F.col("keep_id"))
     rows = joined.select(
         "sha", "keep_id", "group_size", F.posexplode("ids").alias("__at", id_name),

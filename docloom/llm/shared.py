@@ -38,6 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def make(spark: SparkSession, uri: str) -> str:
+    fs, path = _hadoop(spark, uri)
+    fs.mkdirs(path)
+    return uri
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     fs, path = _hadoop(spark, uri)
     fs.delete(path, True)
