@@ -48,6 +48,7 @@ BAD_WORDS = set(
     "discussion share sharing social follow related recommended recommendation more popular trending newsletter subscribe subscription signup signin login register popup modal overlay paywall "
     "pagination pager paging widget widgets tags tagcloud copyright disclaimer legal skip search form feedback rating poll survey dropdown contentinfo complementary alertdialog dialog".split()
 )
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion"}
 MILD_WORDS = set("byline meta author date timestamp caption credit credits info toc tools print".split())
 GOOD_WORDS = set("article content post entry story main body text maincontent articlebody prose page".split())
 SPACES = re.compile(r"[^a-z0-9]+")
@@ -55,7 +56,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Element:
-    __slots__ = ("bad", "block", "depth", "good", "hidden", "holds_main", "mild", "parent", "tag")
+    __slots__ = ("bad", "block", "comment", "depth", "good", "hidden", "holds_main", "mild", "parent", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -63,6 +64,7 @@ class _Element:
         self.block = tag in BLOCK
         self.holds_main = False
         self.bad = self.good = self.mild = self.hidden = False
+        self.comment = parent is not None and parent.comment
         if attributes and tag not in ("html", "body") and "=" in attributes or "hidden" in attributes:
             words: set[str] = set()
             for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -72,6 +74,7 @@ class _Element:
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     self.hidden = True
             self.bad, self.good, self.mild = bool(words & BAD_WORDS), bool(words & GOOD_WORDS), bool(words & MILD_WORDS)
+            self.comment |= bool(words & COMMENT_WORDS)
 
 
 class Block:
@@ -183,7 +186,7 @@ def scan(page: str) -> list[Block]:
         top = _Element(tag, top, match[3])
         if tag == "a":
             open_links += 1
-        elif tag in ("article", "main"):
+        elif tag in ("article", "main") and not top.bad and not top.comment:
             node = top.parent
             while node is not None and not node.holds_main:
                 node.holds_main = True
