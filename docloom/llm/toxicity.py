@@ -68,8 +68,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, bits: int = 20, ord
 
     def present():
         """(first text, text, bucket) of some texts at a time, so memory stays bounded."""
-        for at in range(0, len(texts), 500):
-            some = texts[at : at + 500]
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
             offsets = np.cumsum([0, *map(len, some)]).astype(np.int64)
             for own, bucket in ngrams(np.frombuffer(b"".join(some), np.uint8), offsets, orders, bits):
                 own, bucket = _present(own, bucket, bits)
@@ -77,8 +77,10 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, bits: int = 20, ord
 
     p, q = np.zeros(size), np.zeros(size)
     for own, bucket in present():
-        p += np.bincount(bucket, y[own], size)
-        q += np.bincount(bucket, 1 - y[own], size)
+        found, at = np.unique(bucket, return_inverse=True)
+        ones, all_ = np.bincount(at, y[own]), np.bincount(at)
+        p[found] += ones
+        q[found] += all_ - ones
     ratio = np.log((p + smooth) / (positive + 2 * smooth)) - np.log((q + smooth) / (negative + 2 * smooth))
     telling = np.abs(ratio) * np.sqrt(p + q) * (p + q >= 3)
     chosen = np.argsort(-telling, kind="stable")[:features]
@@ -136,6 +138,8 @@ def score(df: DataFrame, model: Model, keep: list[str], text_name: str = "text",
 
 def learn(docs: DataFrame, labels: DataFrame, usable, per_class: int = 5000, longest: int = 20_000) -> Model:
     """Fit from the labelled rows for which the column ``usable`` (of doc_id) holds."""
+    import pyarrow as pa
+
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).select("doc_id", (F.col("toxic") == 1).cast("int").alias("y")).dropDuplicates(["doc_id"])
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -143,4 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable, per_class: int = 5000, lon
     texts = docs.where(F.octet_length("text") <= longest).select("doc_id", F.col("text").cast("binary").alias("body"))
     got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "body").select("y", "body").toPandas()  # at most 2 x per_class ids are broadcast
     total = sum(counts.values())
-    return fit([bytes(x) for x in got["body"]], got["y"].to_numpy(), (counts.get(1, 0) + 0.5) / (total + 1))
+    bodies, toxic = [bytes(x) for x in got["body"]], got["y"].to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()
+    return fit(bodies, toxic, (counts.get(1, 0) + 0.5) / (total + 1))
