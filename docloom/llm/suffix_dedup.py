@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from docloom.llm import blocks, shared, text
 
 GRAM = 24
+#: Bits of a gram's hash that are sent; the lowest says that a block has the gram in two documents.
+BITS = 48
 _POSITION = 28  # bits of a position inside a piece
 
 
@@ -86,12 +88,30 @@ def _piece(data, offsets, length, low, first):
     picked, doc = anchor[at], owner[at]
     fresh = np.flatnonzero((picked[1:] != picked[:-1]) | (doc[1:] != doc[:-1])) + 1
     begins, ends = np.r_[0, fresh], np.r_[fresh - 1, len(at) - 1]
-    return at[begins] + low, at[ends] + low, picked[begins] + low, grams[picked[begins]], doc[begins].astype(np.int64) + first
+    # picked hashes are the small ones: mixed anew, they fill the buckets' ranges evenly
+    values = text.mix64(grams[picked[begins]] + np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - BITS) & ~np.uint64(1)
+    return at[begins] + low, at[ends] + low, picked[begins] + low, values, doc[begins].astype(np.int64) + first
 
 
 def _bucket_cuts(n_buckets: int) -> np.ndarray:
     """Least hash of each bucket but the first."""
-    return np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
+    return np.array([(i << BITS) // n_buckets for i in range(1, n_buckets)], np.uint64)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending values as byte planes of their steps, compressed."""
+    import pyarrow as pa
+
+    planes = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(body: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(body[:8], "little")
+    planes = np.frombuffer(pa.decompress(body[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _send_grams(length: int, n_buckets: int):
@@ -105,14 +125,14 @@ def _send_grams(length: int, n_buckets: int):
             for uri in batch["block"].to_pylist():
                 ids, data, offsets = blocks.read(uri)
                 _, _, _, grams, doc = anchors(data, offsets, length)
-                grams, own = grams & ~np.uint64(1), ids[doc]
+                own = ids[doc]
                 order = np.argsort(grams, kind="stable")
                 grams, own = grams[order], own[order]
                 begins = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
                 several = np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins) if len(begins) else np.zeros(0, bool)
                 values = grams[begins] | several.astype(np.uint64)
                 parts = np.split(values, np.searchsorted(values, cuts))
-                rows = [(b, uri, p.tobytes()) for b, p in enumerate(parts) if len(p)]
+                rows = [(b, uri, _pack(p)) for b, p in enumerate(parts) if len(p)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.binary()))], ["bucket", "block", "body"])
 
     return run
@@ -125,7 +145,7 @@ def _shared_grams(batches):
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
         return
-    parts = [np.frombuffer(r["body"], np.uint64) for r in rows]
+    parts = [_unpack(r["body"]) for r in rows]
     grams = np.concatenate(parts)
     several = (grams & np.uint64(1)).astype(bool)
     grams = grams & ~np.uint64(1)
@@ -142,56 +162,68 @@ def _shared_grams(batches):
     cuts = np.searchsorted(source, np.arange(len(rows) + 1))
     for i, r in enumerate(rows):
         if cuts[i] < cuts[i + 1]:
-            body = grams[cuts[i] : cuts[i + 1]].tobytes()
+            body = _pack(grams[cuts[i] : cuts[i + 1]])
             yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["block"]]), pa.array([body], pa.binary())], ["bucket", "block", "body"])
 
 
 class _Contexts:
     """Distinct contexts of a block around grams that are shared, in the order of their grams."""
 
+    #: Contexts whose bytes are gathered at a time.
+    SLICE = 50_000
+
     def __init__(self, uri: str, rows: list[dict], length: int):
         self.ids, self.data, self.offsets = blocks.read(uri)
-        wanted = np.concatenate([np.frombuffer(r["body"], np.uint64) for r in rows])
+        wanted = np.concatenate([_unpack(r["body"]) for r in rows])
         begin, last, anchor, grams, doc = anchors(self.data, self.offsets, length)
-        grams = grams & ~np.uint64(1)
         at = np.searchsorted(wanted, grams)
         at[at == len(wanted)] = 0
         held = wanted[at] == grams if len(wanted) else np.zeros(len(grams), bool)
         begin, last, anchor, grams, doc = (x[held] for x in (begin, last, anchor, grams, doc))
         self.begin, self.windows, self.doc = begin, last - begin + 1, doc
-        left = anchor - begin
-        size = self.windows + length - 1
-        flat = self.data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        starts = np.cumsum(size) - size
-        digest = text.mix64(np.add.reduceat(self._marks(flat, starts, size), starts)) if len(begin) else np.zeros(0, np.uint64)
-        order = np.lexsort((left, size, digest, grams))
+        left, size = anchor - begin, last - begin + length
+        digest = self._digests(begin, size)
+        digest = text.mix64(digest + left.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+        order = np.lexsort((digest, grams))
         same = np.zeros(len(order), bool)
         if len(order):
             a, b = order[1:], order[:-1]
             same[1:] = (grams[a] == grams[b]) & (digest[a] == digest[b]) & (left[a] == left[b]) & (size[a] == size[b])
-            for i in self._differ(flat, starts, size, a, b, np.flatnonzero(same[1:])):
-                same[i + 1] = False  # equal digests of different bytes: two contexts, which the construction joins where they match
-        number = np.cumsum(~same) - 1
+            pairs = np.flatnonzero(same[1:])
+            for at in range(0, len(pairs), self.SLICE):
+                some = pairs[at : at + self.SLICE]
+                unequal = self._gather(begin[a[some]], size[a[some]]) != self._gather(begin[b[some]], size[b[some]])
+                which = np.repeat(np.arange(len(some)), size[a[some]])[unequal]
+                same[some[np.unique(which)] + 1] = False  # equal digests of different bytes: two contexts, joined where they match later
         self.context = np.empty(len(order), np.int64)
-        self.context[order] = number
+        self.context[order] = np.cumsum(~same) - 1
         firsts = order[~same]
-        self.left, self.size, self.grams = left[firsts], size[firsts], grams[firsts]
-        own = self.ids[doc[order]]
-        self.least = np.minimum.reduceat(own, np.flatnonzero(~same)) if len(order) else own
-        self.bytes = flat[np.repeat(starts[firsts] - (np.cumsum(self.size) - self.size), self.size) + np.arange(int(self.size.sum()))]
-
-    @staticmethod
-    def _marks(flat, starts, size):
-        place = (np.arange(len(flat)) - np.repeat(starts, size) + 1).astype(np.uint64)
-        return text.mix64((flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xD1B54A32D192ED03))
-
-    @staticmethod
-    def _differ(flat, starts, size, a, b, which):
-        """Of pairs with equal digest and size, those with different bytes."""
-        n = size[a[which]]
-        step = np.repeat(-(np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        unequal = flat[np.repeat(starts[a[which]], n) + step] != flat[np.repeat(starts[b[which]], n) + step]
-        return which[np.unique(np.repeat(np.arange(len(which)), n)[unequal])]
+        self.left, self.size, self.grams, self.at = left[firsts], size[firsts], grams[firsts], begin[firsts]
+        self.least = np.minimum.reduceat(self.ids[doc[order]], np.flatnonzero(~same)) if len(order) else self.ids[:0]
+
+    def _digests(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Polynomial hash of each context's bytes, from running sums over stretches of the block."""
+        base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+        symbols = text.mix64(np.arange(1, 257, dtype=np.uint64))
+        out = np.empty(len(begin), np.uint64)
+        for k in range(0, len(begin), self.SLICE):
+            some = slice(k, k + self.SLICE)  # contexts stand in the order of the text
+            low, high = int(begin[k]), int((begin[some] + size[some]).max())
+            powers, undo = np.full(high - low + 1, base, np.uint64), np.full(high - low + 1, back, np.uint64)
+            powers[0] = undo[0] = 1
+            np.multiply.accumulate(powers, out=powers)
+            np.multiply.accumulate(undo, out=undo)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(powers[:-1] * symbols[self.data[low:high]], dtype=np.uint64)])
+            at = begin[some] - low
+            out[some] = (sums[at + size[some]] - sums[at]) * undo[at]
+        return out
+
+    def _gather(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def bytes_of(self, i: int, j: int) -> bytes:
+        """Bytes of the distinct contexts i to j - 1, one after the other."""
+        return b"".join(self._gather(self.at[k : min(k + self.SLICE, j)], self.size[k : min(k + self.SLICE, j)]).tobytes() for k in range(i, j, self.SLICE))
 
 
 def _send_contexts(length: int, n_buckets: int):
@@ -202,12 +234,11 @@ def _send_contexts(length: int, n_buckets: int):
         for uri, rows in blocks.by_block(batches):
             held = _Contexts(uri, rows, length)
             edges = np.r_[0, np.searchsorted(held.grams, cuts), len(held.grams)]
-            spans = np.r_[0, np.cumsum(held.size)]
             for b in range(n_buckets):
                 i, j = edges[b], edges[b + 1]
                 if i == j:
                     continue
-                raw = held.least[i:j].tobytes() + held.left[i:j].astype(np.uint8).tobytes() + (held.size[i:j] - length).astype(np.uint8).tobytes() + held.bytes[spans[i] : spans[j]].tobytes()
+                raw = held.least[i:j].tobytes() + held.left[i:j].astype(np.uint8).tobytes() + (held.size[i:j] - length).astype(np.uint8).tobytes() + held.bytes_of(i, j)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([uri]), pa.array([int(j - i)]), pa.array([len(raw)]), pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())], ["bucket", "block", "n", "raw", "body"])
 
     return run
@@ -333,12 +364,16 @@ def _remove(length: int):
                 first = np.concatenate([np.frombuffer(pa.decompress(r["firsts"], r["raw"], codec="zstd", asbytes=True), np.int64) for r in found])
                 ids, data, offsets = held.ids, held.data, held.offsets
                 base = np.cumsum(held.size - length + 1) - (held.size - length + 1)
-                n = held.windows
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                repeated = first[np.repeat(base[held.context], n) + step] < np.repeat(ids[held.doc], n)
-                at = (np.repeat(held.begin, n) + step)[repeated]
-                change = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + length, minlength=len(data) + 1)[: len(data) + 1]
-                gone = np.cumsum(change)[: len(data)] > 0
+                change = np.zeros(len(data) + 1, np.int8)
+                for k in range(0, len(held.begin), held.SLICE):
+                    some = slice(k, k + held.SLICE)
+                    n = held.windows[some]
+                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    repeated = first[np.repeat(base[held.context[some]], n) + step] < np.repeat(ids[held.doc[some]], n)
+                    at = (np.repeat(held.begin[some], n) + step)[repeated]
+                    change[at] += 1  # each window begins at a place of its own
+                    change[at + length] -= 1
+                gone = np.cumsum(change[:-1], dtype=np.int32) > 0
             else:
                 ids, data, offsets = blocks.read(uri)
                 gone = np.zeros(len(data), bool)
@@ -360,7 +395,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 50, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (bytes)."""
     if not GRAM < length <= GRAM + 128:
         raise ValueError("length must be 25 to 152 bytes")
