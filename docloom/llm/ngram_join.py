@@ -11,16 +11,25 @@ sets agree on one:
 - one-deletion allocation: m > H / 2 segments, signatures of each subset and of
   all subsets with one element less, which also find segments one apart.
 
-A cost model takes the allocation and m with the fewest signatures whose
-segments are, with a probability over 0.9999, not too often empty (an empty
-subset has no signature, as it would be everyone's). Sets below that margin
-also carry one signature of the scheme for all of them, so none is missed.
-
-Signatures meet in range buckets. To keep groups linear, round one verifies
-each member only against its group's first set; the links give components.
-Round two verifies what is left: pairs of one group in different components.
-A pair inside one component needs no check, so the components are exact.
-Verification computes both sets again from the whole texts.
+A cost model takes the allocation and m with the fewest signatures that still
+leave spare segments and, with a probability over 0.9999, are not too often
+empty (an empty subset has no signature, as it would be everyone's). Sets below
+that margin also carry one signature of the scheme for all of them.
+
+Signatures meet in range buckets, which see how common each one is. The spare
+segments pay for skipping common ones: similar sets agree on more segments than
+H touches, so a set whose common and empty segments fit into the spare needs
+none of them. Only sets that exceed it meet under common signatures, too; two
+such sets are the only pairs that could be missed otherwise.
+
+To keep groups linear, a few star rounds verify each member only against one
+set of its group, the one that is in most groups, then the next one; the links
+give components, and only groups that are still split go on. What is left then
+are pairs of one group in different components, taken in chunks of bounded
+size; sizes and the parity of hashed shingles rule out nearly all of them (both
+are lower bounds of the difference), the rest is verified. A pair inside one component needs no check,
+so the components are exact. Verification computes both sets again from the
+whole texts.
 
 Cases: null and empty texts have no shingles and no links; with fewer words
 than n the whole sequence is the one shingle; repeated rows link to each other;
@@ -29,7 +38,6 @@ ids may be null or repeat; texts may be of any length; empty tables give none.
 
 from __future__ import annotations
 
-from functools import cache
 from math import comb
 
 import numpy as np
@@ -96,11 +104,12 @@ def set_key(values: np.ndarray) -> bytes:
 class Schemes:
     """Bands of sizes and the allocation of each; ``top / bottom`` is the least similarity."""
 
-    def __init__(self, top: int, bottom: int):
+    def __init__(self, top: int, bottom: int, spare: float = 0.4):
         if not 0 < 2 * top or not bottom / 2 < top <= bottom:
             raise ValueError("similarity must be over 0.5 and at most 1")
-        self.top, self.bottom = top, bottom
+        self.top, self.bottom, self.spare = top, bottom, spare
         self.ends: list[int] = []
+        self.known: dict[int, tuple[int, int, bool]] = {}
 
     def most(self, size: int) -> int:
         """Largest partner of a set of this size."""
@@ -112,9 +121,13 @@ class Schemes:
             self.ends.append(max(least, self.most(least)))
         return int(np.searchsorted(self.ends, size))
 
-    @cache  # noqa: B019  one object to a worker
     def scheme(self, band: int) -> tuple[int, int, bool]:
         """(segments, segments that may be bad, one-deletion) of a band."""
+        if band not in self.known:
+            self.known[band] = self._allocate(band)
+        return self.known[band]
+
+    def _allocate(self, band: int) -> tuple[int, int, bool]:
         self.band(1)
         while len(self.ends) <= band:
             self.band(self.ends[-1] + 1)
@@ -123,7 +136,7 @@ class Schemes:
         best = None
         for deletion in (False, True):
             bad = apart // 2 if deletion else apart
-            for m in range(bad + 1, 2 * bad + 40):
+            for m in range(bad + 1 + int(self.spare * bad), 3 * bad + 40):
                 empty = (1 - 1 / m) ** least
                 if deletion and m > 1:
                     empty += least / m * (1 - 1 / m) ** (least - 1)
@@ -155,15 +168,24 @@ class Schemes:
         return max(0.0, 1 - sum(comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(k)))
 
     def signatures(self, values: np.ndarray) -> np.ndarray:
-        """Signatures of a set under its band's scheme and, if it can be the larger one of a pair, the band before's."""
-        size = len(values)
-        band = self.band(size)
-        out = [self._under(values, band)]
-        if band and self.most(self.ends[band - 1]) >= size:
-            out.append(self._under(values, band - 1))
+        """48-bit signatures of a set under its band's scheme and, if it can be the larger one of a pair, the band
+        before's; the lowest bit tells the two apart."""
+        band = self.band(len(values))
+        out = [self._under(values, band)[0]]
+        if self._reaches(len(values), band):
+            out.append(self._under(values, band - 1)[0])
         return np.unique(np.concatenate(out))
 
-    def _under(self, values: np.ndarray, band: int) -> np.ndarray:
+    def allowances(self, values: np.ndarray) -> tuple[int, int, int]:
+        """(lowest bit of the own scheme, common segments that may be skipped in it, in the one before)."""
+        band = self.band(len(values))
+        before = self._under(values, band - 1)[1] if self._reaches(len(values), band) else 0
+        return band & 1, self._under(values, band)[1], before
+
+    def _reaches(self, size: int, band: int) -> bool:
+        return band > 0 and self.most(self.ends[band - 1]) >= size
+
+    def _under(self, values: np.ndarray, band: int) -> tuple[np.ndarray, int]:
         m, bad, deletion = self.scheme(band)
         segment = ((values >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascending, as the values are
         marks = text.mix64(values * _ODD[6] + np.uint64(band))
@@ -177,9 +199,18 @@ class Schemes:
             less = np.repeat(sums, counts) - marks
             keep = np.repeat(good & (counts > 1), counts)
             found.append(text.mix64(less[keep] + np.repeat(places, counts)[keep] * _ODD[7]))
-        if m - int(good.sum()) >= m - bad:
+        spare = int(good.sum()) - bad - 1  # good segments that may be skipped
+        if spare < 0:
             found.append(text.mix64(np.array([(band << 32) + 1], np.uint64) * _ODD[7]))
-        return np.concatenate(found)
+        return np.concatenate(found) >> np.uint64(16) & ~np.uint64(1) | np.uint64(band & 1), spare
+
+
+SKETCH_BITS = 1024
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 1024 cells: two sketches differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((values >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def _pieces(uri: str, n: int, piece: int = 1 << 19):
@@ -194,10 +225,10 @@ def _pieces(uri: str, n: int, piece: int = 1 << 19):
         start = stop
 
 
-DOCS = "id long, text_hash long, n_shingles long, key binary, node long, first boolean"
+DOCS = "id long, text_hash long, n_shingles long, key binary, node long, first boolean, side int, spare long, spare_before long, sketch binary"
 
 
-def _describe(n: int):
+def _describe(n: int, top: int, bottom: int):
     """Worker: one row per document; ``node`` numbers the first of its block with the same set."""
     schema = text.arrow_schema(DOCS)
 
@@ -205,6 +236,7 @@ def _describe(n: int):
         import pyarrow as pa
         import xxhash
 
+        schemes = Schemes(top, bottom)
         for batch in batches:
             for uri, number in zip(batch["block"].to_pylist(), batch["number"].to_pylist(), strict=True):
                 seen: dict[bytes, int] = {}
@@ -213,7 +245,8 @@ def _describe(n: int):
                     key = set_key(values) if len(values) else None
                     first = seen.setdefault(key, i) if key else i
                     digest = xxhash.xxh64_intdigest(body, 42)
-                    rows.append((None if doc_id == blocks.NO_ID else doc_id, digest - (digest >> 63 << 64), len(values), key, number << 32 | first, first == i))
+                    more = (*schemes.allowances(values), sketch(values)) if key and first == i else (None, None, None, None)
+                    rows.append((None if doc_id == blocks.NO_ID else doc_id, digest - (digest >> 63 << 64), len(values), key, number << 32 | first, first == i, *more))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
@@ -227,7 +260,7 @@ def _sign(n: int, top: int, bottom: int, n_buckets: int):
         import pyarrow as pa
 
         schemes = Schemes(top, bottom)
-        cuts = np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
+        cuts = np.array([(i << 48) // n_buckets for i in range(1, n_buckets)], np.uint64)
         for batch in batches:
             for uri, number in zip(batch["block"].to_pylist(), batch["number"].to_pylist(), strict=True):
                 seen: set[bytes] = set()
@@ -247,43 +280,77 @@ def _sign(n: int, top: int, bottom: int, n_buckets: int):
                 for b in range(n_buckets):
                     i, j = edges[b], edges[b + 1]
                     if i < j:
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number]), pa.array([flat[i:j].tobytes()], pa.binary()), pa.array([own[i:j].tobytes()], pa.binary())], ["bucket", "number", "signs", "owners"])
+                        signs_packed = flat[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                        own_packed = own[i:j].astype(np.uint16 if own[i:j].max() < 1 << 16 else np.uint32).tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number]), pa.array([signs_packed], pa.binary()), pa.array([own_packed], pa.binary())], ["bucket", "number", "signs", "owners"])
+
+    return run
+
+
+GROUPS = "nodes array<long>, sign long, node long"
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    n = len(row["signs"]) // 6
+    signs = np.zeros((n, 8), np.uint8)
+    signs[:, :6] = np.frombuffer(row["signs"], np.uint8).reshape(n, 6)
+    owners = np.frombuffer(row["owners"], np.uint16 if len(row["owners"]) == 2 * n else np.uint32)
+    return signs.view("<u8").ravel(), owners.astype(np.int64) | row["number"] << 32
+
+
+def _groups(common: int):
+    """Worker, for one bucket: distinct lists of at most ``common`` nodes that share a signature; (sign, node) rows of commoner ones."""
+    schema = text.arrow_schema(GROUPS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
+        parts = [_unpack(r) for r in rows]
+        del rows
+        signs, nodes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        del parts
+        order = np.argsort(signs, kind="stable")
+        signs, nodes = signs[order], nodes[order]
+        equal = signs[1:] == signs[:-1]
+        keep = np.zeros(len(signs), bool)
+        keep[1:] |= equal
+        keep[:-1] |= equal
+        signs, nodes = signs[keep], nodes[keep]
+        if len(signs) == 0:
+            return
+        order = np.lexsort((nodes, signs))
+        signs, nodes = signs[order], nodes[order]
+        begins = np.flatnonzero(np.r_[True, signs[1:] != signs[:-1]])
+        size = np.diff(np.r_[begins, len(signs)])
+        many = np.repeat(size > common, size)
+        heavy_signs, heavy_nodes = signs[many].astype(np.int64), nodes[many]
+        for at in range(0, len(heavy_signs), 50_000):
+            some = slice(at, at + 50_000)
+            n = len(heavy_signs[some])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, schema.types[0]), pa.array(heavy_signs[some]), pa.array(heavy_nodes[some])], schema=schema)
+        seen: set[bytes] = set()
+        out: list[np.ndarray] = []
+        for i, n in zip(begins[size <= common].tolist(), size[size <= common].tolist(), strict=True):
+            mark = nodes[i : i + n].tobytes()
+            if mark not in seen:
+                seen.add(mark)
+                out.append(nodes[i : i + n])
+            if len(out) == 5000:
+                yield _listed(out, schema)
+                out = []
+        if out:
+            yield _listed(out, schema)
 
     return run
 
 
-def _groups(batches):
-    """Worker, for one bucket: distinct lists of nodes that share a signature."""
+def _listed(lists: list[np.ndarray], schema):
     import pyarrow as pa
 
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    if not rows:
-        return
-    signs = np.concatenate([np.frombuffer(r["signs"], np.uint64) for r in rows])
-    nodes = np.concatenate([np.frombuffer(r["owners"], np.uint32).astype(np.int64) | r["number"] << 32 for r in rows])
-    del rows
-    order = np.argsort(signs, kind="stable")
-    signs, nodes = signs[order], nodes[order]
-    equal = signs[1:] == signs[:-1]
-    keep = np.zeros(len(signs), bool)
-    keep[1:] |= equal
-    keep[:-1] |= equal
-    signs, nodes = signs[keep], nodes[keep]
-    order = np.lexsort((nodes, signs))
-    signs, nodes = signs[order], nodes[order]
-    begins = np.flatnonzero(np.r_[True, signs[1:] != signs[:-1]]) if len(signs) else np.zeros(0, np.int64)
-    seen: set[bytes] = set()
-    out: list[list[int]] = []
-    for i, j in zip(begins.tolist(), np.r_[begins[1:], len(signs)].tolist() if len(begins) else [], strict=True):
-        mark = nodes[i:j].tobytes()
-        if mark not in seen:
-            seen.add(mark)
-            out.append(nodes[i:j].tolist())
-        if len(out) == 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["nodes"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["nodes"])
+    return pa.RecordBatch.from_arrays([pa.array(lists, schema.types[0]), pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64())], schema=schema)
 
 
 def _fetch(n: int):
@@ -332,18 +399,34 @@ def _verify(n: int, top: int, bottom: int):
     return run
 
 
-def _across(batches):
-    """Worker: pairs of a group's nodes that are in different components, from (nodes, their components)."""
-    import pyarrow as pa
+def _across(top: int, bottom: int):
+    """Worker: pairs of different components from two chunks of a group that sizes and sketches do not rule out."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        for members in batch["members"].to_pylist():
-            node = np.array([m["node"] for m in members])
-            part = np.array([m["component"] for m in members])
-            for i in range(len(node) - 1):
-                other = node[i + 1 :][part[i + 1 :] != part[i]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, node[i])), pa.array(np.minimum(other, node[i]))], ["u", "v"])
+        for batch in batches:
+            for low, high, members in zip(batch["low"].to_pylist(), batch["high"].to_pylist(), batch["members"].to_pylist(), strict=True):
+                node, part, chunk, size = (np.array([m[c] for m in members]) for c in ("node", "component", "chunk", "n"))
+                bits = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(len(members), -1)
+                us, vs = [], []
+                for i in range(len(node)):
+                    if low == high:
+                        other = np.arange(i + 1, len(node))
+                    elif chunk[i] == low:
+                        other = np.flatnonzero(chunk == high)
+                    else:
+                        continue
+                    other = other[part[other] != part[i]]
+                    most = (size[other] + size[i]) * (bottom - top) // (bottom + top)  # elements in which similar sets differ at most
+                    apart = np.maximum(np.abs(size[other] - size[i]), np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1))
+                    other = other[apart <= most]
+                    us.append(np.maximum(node[other], node[i]))
+                    vs.append(np.minimum(node[other], node[i]))
+                if us:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, manifest: DataFrame, folder: str, n: int, top: int, bottom: int) -> DataFrame:
@@ -353,40 +436,75 @@ def _verified(pairs: DataFrame, manifest: DataFrame, folder: str, n: int, top: i
     texts = shared.written(blocks.gathered(wanted, "node").mapInArrow(_fetch(n), "node long, raw long, body binary"), f"{folder}/texts")
     first = pairs.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("raw_v"), F.col("body").alias("body_v")), "v")
     both = first.join(texts.select(F.col("node").alias("u"), F.col("raw").alias("raw_u"), F.col("body").alias("body_u")), "u")
-    return shared.written(both.select("u", "v", "raw_u", "body_u", "raw_v", "body_v").mapInArrow(_verify(n, top, bottom), "u long, v long"), f"{folder}/links")
+    links = shared.written(both.select("u", "v", "raw_u", "body_u", "raw_v", "body_v").mapInArrow(_verify(n, top, bottom), "u long, v long"), f"{folder}/links")
+    shared.remove(pairs.sparkSession, f"{folder}/texts")
+    return links
 
 
-def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 100, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 100, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, common: int = 64, chunk: int = 1024, stars: int = 2) -> DataFrame:
     """One row per document: id, text_hash, n_shingles, component_id (least id of its component), first (one row of each component)."""
     spark = df.sparkSession
     folder = shared.scratch(spark, "ngram")
     manifest = blocks.write(df, folder, id_name, text_name, block_bytes)
     numbered = manifest.withColumn("number", F.expr("cast(split(element_at(split(block, '/'), -1), '-')[1] as long) * 65536 + cast(split(element_at(split(block, '/'), -1), '-')[2] as long)"))
     total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
-    docs = shared.written(blocks.spread(numbered).mapInArrow(_describe(n), DOCS), f"{folder}/docs")
+    docs = shared.written(blocks.spread(numbered).mapInArrow(_describe(n, top, bottom), DOCS), f"{folder}/docs")
     n_buckets = shared.parts_for(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed = blocks.spread(numbered).mapInArrow(_sign(n, top, bottom, n_buckets), "bucket int, number long, signs binary, owners binary")
-    groups = shared.written(signed.repartitionById(n_buckets, "bucket").mapInArrow(_groups, "nodes array<long>"), f"{folder}/groups")
+    groups = shared.written(signed.repartitionById(n_buckets, "bucket").mapInArrow(_groups(common), GROUPS), f"{folder}/groups")
+    sets = docs.where("first and key is not null")
+    # nodes that meet under common signatures as well: those with more of them than their scheme can spare
+    heavy = groups.where("sign is not null").select("sign", "node", (F.col("sign") % 2).cast("int").alias("side"))
+    held = heavy.groupBy("node", "side").agg(F.count(F.lit(1)).alias("n_heavy"))
+    spare = sets.select("node", F.col("side").alias("own"), "spare", "spare_before")
+    over = held.join(spare.hint("merge"), "node").where(F.col("n_heavy") > F.when(F.col("side") == F.col("own"), F.col("spare")).otherwise(F.col("spare_before"))).select("node", "side")
+    kept = heavy.join(over.hint("merge"), ["node", "side"]).select(F.xxhash64("sign", F.lit("common")).alias("group"), "node")
+    listed = groups.where("nodes is not null").withColumn("group", F.xxhash64("nodes")).select("group", F.explode("nodes").alias("node")).unionByName(kept)
     # equal sets of different blocks become one node
-    heads = docs.where("first and key is not null").groupBy("key").agg(F.min("node").alias("head"))
-    head_of = shared.written(docs.where("first and key is not null").join(heads, "key").select("node", "head"), f"{folder}/heads")
-    named = groups.withColumn("group", F.xxhash64("nodes")).select("group", F.explode("nodes").alias("node")).join(head_of, "node").select("group", F.col("head").alias("node")).distinct()
-    members = shared.written(named, f"{folder}/members")
-    leads = members.groupBy("group").agg(F.min("node").alias("v"))
-    stars = members.join(leads, "group").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    tried = shared.written(stars, f"{folder}/stars")
-    links = _verified(tried, numbered, f"{folder}/one", n, top, bottom)
-    parts = components.connected_components(links, f"{folder}/one")
-    labelled = members.join(parts, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-    split = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
-    listed = labelled.join(split, "group").groupBy("group").agg(F.collect_list(F.struct("node", "component")).alias("members")).where(F.size("members") > 2)
-    rest = listed.select("members").mapInArrow(_across, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+    heads = sets.groupBy("key").agg(F.min("node").alias("head"))
+    head_of = shared.written(sets.join(heads.hint("merge"), "key").select("node", "head"), f"{folder}/heads")
+    members = shared.written(listed.join(head_of.hint("merge"), "node").select("group", F.col("head").alias("node")).distinct(), f"{folder}/members")
+    # stars: each member against the set of its group that is in most groups, then against the next, where the group is still split
+    central = members.groupBy("node").agg(F.count(F.lit(1)).alias("n_groups"))
+    ranked = members.join(central.hint("merge"), "node").select("group", "node", F.struct("n_groups", -F.col("node")).alias("rank"))
+    links, parts, tried, led = None, None, None, None
+    for turn in range(stars):
+        where = f"{folder}/star-{turn}"
+        rows = ranked
+        if turn:
+            labelled = ranked.join(parts.hint("merge"), "node", "left").select("group", "node", "rank", F.coalesce("component", "node").alias("component"))
+            open_ = labelled.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
+            rows = labelled.join(open_.hint("merge"), "group")
+        free = rows.join(led.hint("merge"), ["group", "node"], "left_anti") if turn else rows
+        lead = free.groupBy("group").agg(F.max("rank").alias("rank")).select("group", (-F.col("rank.col2")).alias("lead"))
+        pairs = rows.join(lead.hint("merge"), "group").where("node <> lead")
+        if turn:
+            of_lead = parts.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
+            pairs = pairs.join(of_lead.hint("merge"), "lead", "left").where(F.col("component") != F.coalesce("lead_component", "lead"))
+        pairs = pairs.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct()
+        pairs = shared.written(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti") if turn else pairs, f"{where}/pairs")
+        found = _verified(pairs, numbered, where, n, top, bottom)
+        links = links.unionByName(found) if turn else found
+        tried = tried.unionByName(pairs) if turn else pairs
+        now = shared.written(lead.select("group", F.col("lead").alias("node")), f"{where}/led")
+        led = led.unionByName(now) if turn else now
+        parts = components.connected_components(links, where)
+    labelled = members.join(parts.hint("merge"), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    split = labelled.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b and size > 2")
+    split = split.select("group", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    facts = sets.select("node", F.col("n_shingles").alias("n"), "sketch")
+    rows = labelled.join(split.hint("merge"), "group").join(facts.hint("merge"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    chunked = rows.groupBy("group", "low", "high").agg(F.collect_list(F.struct("node", "component", "chunk", "n", "sketch")).alias("members"))
+    rest = chunked.select("low", "high", "members").mapInArrow(_across(top, bottom), "u long, v long").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
     more = _verified(shared.written(rest, f"{folder}/rest"), numbered, f"{folder}/two", n, top, bottom)
     parts = components.connected_components(links.unionByName(more), f"{folder}/two")
-    named = docs.join(head_of, "node", "left").join(parts.withColumnRenamed("node", "head"), "head", "left")
+    for name in ("blocks", "groups", "members", "rest"):  # what follows reads none of them
+        shared.remove(spark, f"{folder}/{name}")
+    named = docs.select("id", "text_hash", "n_shingles", "node").join(head_of.hint("merge"), "node", "left").join(parts.withColumnRenamed("node", "head").hint("merge"), "head", "left")
     named = named.withColumn("part", F.coalesce("component", "head"))
     least = named.where("part is not null").groupBy("part").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))).alias("pick"))
-    out = named.join(least, "part", "left")
+    out = named.join(least.hint("merge"), "part", "left")
     mine = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))
     return out.select(
         F.col("id").alias(id_name), "text_hash", "n_shingles",
