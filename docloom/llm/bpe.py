@@ -34,7 +34,7 @@ from docloom.llm.shared import bound_batches
 class Vocabulary:
     """Ranks of byte strings; a token's id is its rank. Bounded by the vocabulary file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 150_000):
         self.pattern, self.ranks, self.remember = pattern, ranks, remember
         size = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * size
