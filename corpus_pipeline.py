@@ -10,7 +10,8 @@ stage sees every row that the one before kept, and works on those alone:
 - near_dedup: of texts linked by word 5-gram Jaccard of 0.8 or more, the row of
   the least id of each component stays.
 - mixing: rows stay with the calibrated probability of their source, language
-  and form; the choice hangs on the id alone.
+  and form; the choice hangs on the id alone. Rare values (together 1% of the
+  tokens of a margin) do not thin the others: see docloom.llm.mixing.
 - tokens: ids of every text that is left, as little-endian 32-bit integers.
 
 Null texts count as empty, null ids stay, rows that repeat are copies of one
@@ -61,7 +62,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = [c for c in docs.columns if c not in mixing.ADDED]
     renamed = {c: f"__own_{c}" for c in docs.columns if c in mixing.ADDED and c != "topic"}
-    rows = mixing.with_probabilities(docs.withColumnsRenamed(renamed), queries.MIX)
+    rows = mixing.with_probabilities(docs.withColumnsRenamed(renamed), queries.MIX, rare=mixing.RARE)
     back = {new: old for old, new in renamed.items()}
     keep = rows.where("selected").select(*own, *(["topic"] if "topic" in docs.columns else []), *[F.col(new).alias(old) for new, old in back.items()])
     return keep.select(*docs.columns)

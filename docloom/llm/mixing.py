@@ -9,6 +9,14 @@ which its documents should count; divided by the largest rate it is the
 probability with which a document is kept, decided by a hash of its id, so
 the expected tokens have the target marginals.
 
+A rate is a product of one factor for each value, and a rare value (one row
+without a source) has so large a factor that the plain form thins all other
+cells for it. With ``rare`` above 0, the smallest values of a margin, together
+holding at most that share of its tokens, do not set the scale: the budget is
+the largest one that the cells of the other values allow, cells of rare values
+that would need more than all of their documents are kept whole, and the rest is
+raked again to what is left of each share, until no cell is above 1.
+
 A target is a map from value to share (missing values get no weight) or an
 exponent a: share in proportion to (corpus share) ** a, so 1 keeps and 0
 levels the corpus. Cells up to ``most_cells`` are raked on the driver; a larger
@@ -30,6 +38,8 @@ from docloom.llm import shared
 
 MARGINS = ("source", "lang", "topic")
 ADDED = ("topic", "tokens", "rate", "probability", "selected")
+#: Share of the tokens of a margin that its rare values may hold together.
+RARE = 0.01
 
 
 def words(text: Column) -> Column:
@@ -68,6 +78,38 @@ def rake(cells: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], s
     return weight
 
 
+def rare_below(held: dict[int, float], rare: float) -> int:
+    """Bits from which a value counts as large: those with fewer hold at most this share; held is the tokens of all values by the bits of their number."""
+    seen, whole = 0.0, sum(held.values())
+    for bits in sorted(held):
+        seen += held[bits]
+        if seen > rare * whole:
+            return bits
+    return 0
+
+
+def bound(cells: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], sweeps: int, rare: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rate of each cell, whether it is kept whole, and the rate that stands for probability 1."""
+    rate, whole, small = rake(cells, codes, shares, sweeps) / cells, np.zeros(len(cells), bool), np.zeros(len(cells), bool)
+    for code, share in zip(codes, shares, strict=True):
+        sums = np.bincount(code, cells, len(share))
+        bits = np.frexp(sums)[1]
+        small |= (bits < rare_below({int(b): float(sums[bits == b].sum()) for b in np.unique(bits)}, rare))[code]
+    while True:
+        most = float(rate[~small].max(initial=0.0)) or float(rate.max(initial=0.0)) or 1.0
+        over = small & ~whole & (rate > most)
+        if not over.any():
+            return rate, whole, most
+        budget = (rate * cells)[~whole].sum() / most + cells[whole].sum()
+        whole |= over
+        left = []
+        for code, share in zip(codes, shares, strict=True):
+            free = np.bincount(code[~whole], minlength=len(share)) > 0
+            rest = np.where(free, np.maximum(share * budget - np.bincount(code, cells * whole, len(share)), 0.0), 0.0)
+            left.append(rest / rest.sum())
+        rate[~whole] = rake(cells[~whole], [c[~whole] for c in codes], left, sweeps) / cells[~whole]
+
+
 def _rake_frames(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int, folder: str) -> DataFrame:
     """The same over a cell table of any size; each sweep is written to the shared folder."""
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -80,7 +122,35 @@ def _rake_frames(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int, fo
     return now
 
 
-def with_probabilities(df: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int = 10, key: str = "doc_id", text: str = "text", most_cells: int = 100_000) -> DataFrame:
+def _bound_frames(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int, rare: float, folder: str) -> tuple[DataFrame, float]:
+    """bound() over a cell table of any size."""
+    now = _rake_frames(cells, shares, sweeps, folder).withColumns({"whole": F.lit(False), "small": F.lit(False), "rate": F.col("weight") / F.col("tokens")})
+    for m in MARGINS if rare else ():
+        sums = cells.groupBy(m).agg(F.sum("tokens").alias("t")).withColumn("bits", F.length(F.bin("t")))
+        floor = rare_below({r["bits"]: float(r["t"]) for r in sums.groupBy("bits").agg(F.sum("t").alias("t")).collect()}, rare)
+        now = now.join(sums.select(m, "bits"), m).withColumn("small", F.col("small") | (F.col("bits") < floor)).drop("bits")
+    at = 0
+    while True:
+        now = shared.written(now, f"{folder}/bound-{at}")
+        large, most = now.agg(F.max(F.when(~F.col("small"), F.col("rate"))), F.max("rate")).first()
+        most = large or most or 1.0
+        over = F.col("small") & ~F.col("whole") & (F.col("rate") > most)
+        if not rare or now.where(over).isEmpty():
+            return now, float(most)
+        free, held = now.agg(F.sum(F.when(~F.col("whole"), F.col("rate") * F.col("tokens"))), F.sum(F.when(F.col("whole"), F.col("tokens")))).first()
+        budget = (free or 0.0) / most + (held or 0)
+        now = now.withColumn("whole", F.col("whole") | over)
+        left = {}
+        for m in MARGINS:
+            sums = now.groupBy(m).agg(F.sum(F.when(F.col("whole"), F.col("tokens")).otherwise(0)).alias("held"), F.max(~F.col("whole")).alias("free")).where("free").join(shares[m], m)
+            rest = sums.select(m, F.greatest(F.col("share") * F.lit(budget) - F.col("held"), F.lit(0.0)).alias("rest"))
+            total = rest.agg(F.sum("rest")).first()[0]
+            left[m] = rest.select(m, (F.col("rest") / F.lit(total)).alias("share"))
+        again = _rake_frames(now.where(~F.col("whole")).drop("weight"), left, sweeps, f"{folder}/again-{at}").withColumn("rate", F.col("weight") / F.col("tokens"))
+        now, at = now.where("whole").unionByName(again), at + 1
+
+
+def with_probabilities(df: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int = 10, key: str = "doc_id", text: str = "text", most_cells: int = 100_000, rare: float = 0.0) -> DataFrame:
     """All rows with topic, tokens, rate, probability and selected."""
     spark = df.sparkSession
     topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in df.columns else form_of(F.col(text))
@@ -97,9 +167,8 @@ def with_probabilities(df: DataFrame, targets: dict[str, dict[str, float] | floa
             wanted = goal(dict(zip(values.tolist(), tokens.tolist(), strict=True)), targets[m]) if len(values) else {}
             codes.append(code)
             shares.append(np.array([wanted[v] for v in values.tolist()]))
-        held["rate"] = rake(held["tokens"].to_numpy(), codes, shares, sweeps) / held["tokens"] if len(held) else []
-        most = float(held["rate"].max()) if len(held) else 1.0
-        rates = spark.createDataFrame(held[[*MARGINS, "rate"]], "source string, lang string, topic string, rate double")
+        held["rate"], held["whole"], most = bound(held["tokens"].to_numpy(), codes, shares, sweeps, rare) if len(held) else ([], [], 1.0)
+        rates = spark.createDataFrame(held[[*MARGINS, "rate", "whole"]], "source string, lang string, topic string, rate double, whole boolean")
         rates = F.broadcast(rates)  # at most most_cells rows
     else:
         shares_of = {}
@@ -114,11 +183,10 @@ def with_probabilities(df: DataFrame, targets: dict[str, dict[str, float] | floa
                 raw = sums.select(m).join(given, m, "left").select(m, F.coalesce("raw", F.lit(0.0)).alias("raw"))
             whole = raw.agg(F.sum("raw")).first()[0]
             shares_of[m] = raw.select(m, (F.col("raw") / F.lit(whole)).alias("share"))
-        rates = _rake_frames(cells, shares_of, sweeps, folder).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("rate"))
-        most = float(rates.agg(F.max("rate")).first()[0])
+        found, most = _bound_frames(cells, shares_of, sweeps, rare, folder)
+        rates = found.select(*MARGINS, "rate", "whole")
     match = [F.coalesce(F.col(f"d.{m}").cast("string"), F.lit("")) == F.col(f"r.{m}") for m in MARGINS]
-    joined = base.alias("d").join(rates.alias("r"), match).select("d.*", "r.rate")
-    joined = joined.withColumn("probability", F.least(F.col("rate") / F.lit(most), F.lit(1.0)))
+    joined = base.alias("d").join(rates.alias("r"), match).select("d.*", "r.rate", F.when(F.col("r.whole"), 1.0).otherwise(F.least(F.col("r.rate") / F.lit(most), F.lit(1.0))).alias("probability"))
     return joined.withColumn("selected", unit(F.col(key)) < F.round("probability", 9))
 
 

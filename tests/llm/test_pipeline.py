@@ -86,3 +86,13 @@ def test_empty_input(spark, sf_dir):
 @pytest.mark.parametrize("alphas", [queries.MIX, {"source": 0.0, "lang": 1.0, "topic": 1.0}])
 def test_mixing_sql_names_all_margins(alphas):
     assert all(f"share_{m}" in mixing.oracle_sql(alphas) for m in mixing.MARGINS)
+
+
+def test_mixing_keeps_the_corpus_beside_a_rare_source(spark, sf_dir):
+    rows = [(i, "word " * 150, "en" if i % 3 else "de", f"s{i % 20}") for i in range(1200)]
+    schema = "doc_id long, text string, lang string, source string"
+    stay = lambda rs: {r.doc_id for r in corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rs, schema), sf_dir).collect()}
+    without, beside = stay(rows), stay([*rows, (-1, "", "en", None)])
+    assert -1 in beside and len(beside - {-1}) >= 0.98 * len(without) > 1000
+    by_size = [{r.doc_id: r.probability for r in mixing.with_probabilities(spark.createDataFrame([*rows, (-1, "", "en", None)], schema), queries.MIX, rare=mixing.RARE, most_cells=most).collect()} for most in (1000, 1)]
+    assert by_size[0] == pytest.approx(by_size[1])
