@@ -67,8 +67,10 @@ def knn_l2(spark, sf_dir):
 
 @query("knn_ivf")
 def knn_ivf(spark, sf_dir):
-    index, centres = r.cells(corpus_vectors(spark, sf_dir).select("id", "vector"), 16)
-    return r.knn_probe(index, centres, query_vectors(spark, sf_dir), 10, probes=6)
+    """Every row whose id is divisible by 50, against the index of all rows; the probes hold the recall of this query set above 0.9."""
+    vectors = corpus_vectors(spark, sf_dir).select("id", "vector")
+    index, centres = r.cells(vectors, 16)
+    return r.knn_probe(index, centres, vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=11)
 
 
 @query("fts_postings", f"WITH {TERMS_SQL} SELECT id, term, count(*) AS tf FROM terms WHERE term NOT IN ({_STOP}) GROUP BY id, term")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as ft
 from docloom.operators import ingest, paragraphs, rerank, retrieval, triage
+from docloom.plans import search
 from docloom.sources import formats
 from docloom.streaming import events
 
@@ -99,6 +100,14 @@ def test_inverted_file_recall(spark, sf_dir):
     assert len(near & true) / len(true) >= 0.9
 
 
+def test_registered_inverted_file_recall(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    true = {(r.query_id, r.id) for r in retrieval.knn(vectors, vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10).collect()}
+    near = {(r.query_id, r.id) for r in search.knn_ivf(spark, sf_dir).collect()}
+    assert {q for q, _ in near} == {q for q, _ in true}
+    assert len(near & true) / len(true) >= 0.9
+
+
 def test_knn_skips_null_and_odd_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [0.6, 0.8])], "id long, vector array<double>")
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
