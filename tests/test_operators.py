@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as ft
 from docloom.operators import ingest, paragraphs, rerank, retrieval, triage
-from docloom.plans import search
+from docloom.plans import search, texts
 from docloom.sources import formats
 from docloom.streaming import events
 
@@ -23,6 +23,21 @@ def test_page_furniture_goes_and_words_stay(spark):
     assert value(spark, ft.clean_page_text, raw) == "The jurisdiction The bench held. 2. Next"
 
 
+def slow_clean(text):
+    """Noise of the query and margin letters removed from a text that is otherwise words and single spaces."""
+    words = f"jurisdiction {text} end".split(" ")
+    capital = lambda w: "A" <= w[:1] <= "Z" and "a" <= w[1:2] <= "z"
+    return " ".join(w for w, after in zip(words, [*words[1:], ""], strict=True) if not (len(w) == 1 and "A" <= w <= "H" and capital(after)))
+
+
+def test_clean_ocr_keeps_rows_with_margin_letters(spark, tmp_path):
+    rng = random.Random(11)
+    said = ["A Court", "the bench held B The appeal", "plain words"] + [" ".join(rng.choice(["A", "B", "H", "I", "The", "Court", "held", "x", "NO"]) for _ in range(12)) for _ in range(60)]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(said)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.clean for r in texts.clean_ocr(spark, str(tmp_path)).collect()}
+    assert got == {i: slow_clean(t) for i, t in enumerate(said)}
+
+
 SEGMENTS = [
     ("Cause title. 1. The first. 2. The second. 3. The third one.", [1, 2, 3]),
     ("Front. 1. The a. 2. The b, under the Act, 1961. 3. The c. 4. The d.", [1, 2, 3, 4]),
