@@ -69,7 +69,7 @@ def write(df: DataFrame, folder: str, id_name: str = "doc_id", text_name: str =
     shared.bound_batches(df.sparkSession)
     shared.make(df.sparkSession, f"{folder}/blocks")
     lean = df.select(F.col(id_name).cast("long").alias("id"), F.col(text_name).alias("text"))
-    return shared.written(lean.mapInArrow(_write(f"{folder}/blocks", block_bytes), MANIFEST), f"{folder}/manifest")
+    return shared.written(lean.mapInArrow(shared.tidy(_write(f"{folder}/blocks", block_bytes)), MANIFEST), f"{folder}/manifest")
 
 
 def spread(manifest: DataFrame) -> DataFrame:
@@ -86,8 +86,6 @@ def gathered(rows: DataFrame, order: str) -> DataFrame:
 
 def by_block(batches):
     """Worker: (block, its rows as a list of dicts) from gathered rows."""
-    import pyarrow as pa
-
     held, block = [], None
     for batch in batches:
         for row in batch.to_pylist():
@@ -98,4 +96,3 @@ def by_block(batches):
             held.append(row)
     if held:
         yield block, held
-    pa.default_memory_pool().release_unused()

@@ -13,22 +13,23 @@ A merge may make a pair of smaller rank than its own; it is then replayed next,
 as a word-by-word encoder would. Only where a word had two merges of one rank
 in the same step could the order differ; such words are encoded one by one.
 
-Cases: null texts are empty and give no ids; texts of any length are encoded
-whole; bytes that are no UTF-8 pass through unchanged; repeated rows give
-repeated results; ids and other columns are carried, never interpreted.
+Cases: null and empty texts give no ids; texts of any length are encoded whole,
+run by run of words; bytes that are no UTF-8 pass through unchanged; repeated
+rows give repeated results; null ids and any other columns are carried, never
+interpreted, whatever their names (columns called ids or n_tokens are replaced);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docloom.llm import text
-from docloom.llm.shared import bound_batches
+from docloom.llm import shared, text
 
 
 class Vocabulary:
@@ -40,7 +41,7 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -50,7 +51,7 @@ class Vocabulary:
         keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys = keys[order]
-        self.pair_ranks = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.pair_ranks = np.fromiter(pairs.values(), np.int32, len(pairs))[order]
         self.encoder: Encoder | None = None  # of one worker
 
     @classmethod
@@ -64,7 +65,7 @@ class Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank that each pair merges to, or -1."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pair_keys, keys)
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
@@ -72,13 +73,26 @@ class Vocabulary:
 
 def one_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for a single word, always the leftmost of the smallest rank."""
-    parts = [bytes([b]) for b in word]
-    while len(parts) > 1:
-        best = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if best[0] == 1 << 60:
-            break
-        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-    return [ranks[p] for p in parts]
+    ends = list(range(1, len(word) + 1))  # of the part that begins at a place; 0: none does
+    before = list(range(-1, len(word) - 1))
+
+    def waiting(i: int):
+        if i >= 0 and ends[i] < len(word) and (rank := ranks.get(word[i : ends[ends[i]]])) is not None:
+            yield rank, i, ends[ends[i]]
+
+    heap = [x for i in range(len(word)) for x in waiting(i)]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        right = ends[i]
+        if not right or right == len(word) or ends[right] != end:
+            continue  # one of its parts has been merged since
+        ends[i], ends[right] = end, 0
+        if end < len(word):
+            before[end] = i
+        for x in (*waiting(before[i]), *waiting(i)):
+            heapq.heappush(heap, x)
+    return [ranks[word[i:end]] for i, end in enumerate(ends) if end]
 
 
 def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -89,13 +103,14 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     ends = np.cumsum(lengths)
     total = int(ends[-1])
     ids = vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), lengths)
-    after = np.arange(1, total + 1)
-    before = np.arange(-1, total - 1)
+    place = np.int32 if total < 1 << 31 else np.int64
+    owner = np.repeat(np.arange(len(words), dtype=place), lengths)
+    after = np.arange(1, total + 1, dtype=place)
+    before = np.arange(-1, total - 1, dtype=place)
     after[ends - 1] = -1
     before[ends - lengths] = -1
     alive = np.ones(total, bool)
-    rank = np.full(total, -1, np.int64)
+    rank = np.full(total, -1, np.int32)
     inside = np.flatnonzero(after >= 0)
     rank[inside] = vocabulary.rank_of(ids[inside], ids[inside + 1])
     index: dict[int, list[np.ndarray]] = {}
@@ -162,16 +177,24 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of the words met so far, in one flat array; forgotten when there are too many."""
+    """Ids of the words met so far, in one flat array; forgotten when there are too many.
 
-    def __init__(self, vocabulary: Vocabulary):
+    Texts are cut into words in runs of ``run``; of a run only the words' numbers
+    stay. New words wait until the block ends or ``fresh`` of them are there, and
+    are then merged together. Memory holds at most ``remember + fresh + run``
+    words, however long a text or a block is.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, run: int = 50_000, fresh: int = 50_000):
         import regex
 
-        self.vocabulary, self.find = vocabulary, regex.compile(vocabulary.pattern).findall
+        self.vocabulary, self.run, self.fresh = vocabulary, run, fresh
+        pattern = regex.compile(vocabulary.pattern)
+        self.find, self.each = pattern.findall, pattern.finditer
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.flat, self.lengths = _Words(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.numbers, self.flat, self.starts = _Words(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogateescape") for w in words]
@@ -186,25 +209,43 @@ class Encoder:
         known = np.flatnonzero(whole >= 0)
         flat[starts[known]] = whole[known]
         flat[np.repeat(starts[rest] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))] = ids
-        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, n])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + starts + n])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _runs(self, decoded: str):
+        """Words of a text, some at a time."""
+        if len(decoded) <= 4 * self.run:
+            yield self.find(decoded)
+            return
+        words = (m.group() for m in self.each(decoded))
+        while some := list(islice(words, self.run)):
+            yield some
 
     def block(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if len(self.numbers) > self.vocabulary.remember:
-            self._forget()
-        look, before = self.numbers.__getitem__, len(self.numbers)
-        found = [self.find((t or b"").decode("utf-8", "surrogateescape")) for t in texts]
-        per_text = [np.fromiter(map(look, f), np.int64, len(f)) for f in found]
-        del found
-        if len(self.numbers) > before:
-            self._learn(list(self.numbers)[before:])
-        starts = np.cumsum(self.lengths) - self.lengths
-        out = []
-        for numbered in per_text:
-            n = self.lengths[numbered]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(starts[numbered] - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)])
-        return out
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, np.ndarray]] = []  # (text, numbers of words)
+
+        def flush() -> None:
+            new = len(self.numbers) - (len(self.starts) - 1)
+            if new:
+                self._learn(list(islice(reversed(self.numbers), new))[::-1])
+            for i, numbered in waiting:
+                begins = self.starts[numbered]
+                n = self.starts[numbered + 1] - begins
+                ends = np.cumsum(n)
+                parts[i].append(self.flat[np.repeat(begins - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)])
+            waiting.clear()
+            if len(self.numbers) > self.vocabulary.remember:
+                self._forget()
+
+        for i, body in enumerate(texts):
+            for words in self._runs((body or b"").decode("utf-8", "surrogateescape")):
+                waiting.append((i, np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))))
+                if len(self.numbers) - (len(self.starts) - 1) >= self.fresh:
+                    flush()
+        flush()
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
 
 
 def encode_block(texts: list[bytes | None], vocabulary: Vocabulary) -> list[np.ndarray]:
@@ -220,36 +261,34 @@ def _encode(vocabulary, columns: list[str], text_name: str, block_bytes: int):
 
         for table in text.blocks(batches, block_bytes, text_name):
             found = encode_block(table[text_name].cast(pa.large_binary()).to_pylist(), vocabulary.value)
-            done = table.select(columns).append_column("n_tokens", pa.array([len(x) for x in found], pa.int64()))
-            yield from done.append_column("ids", pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())).to_batches()
+            done = table.select(columns).append_column("out0", pa.array([len(x) for x in found], pa.int64()))
+            yield from done.append_column("out1", pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())).to_batches()
 
     return run
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_name: str = "text", keep: list[str] | None = None, block_bytes: int = 4 << 20) -> DataFrame:
-    """Columns ``keep`` (all but the text by default), n_tokens and ids (little-endian uint32)."""
-    keep = [c for c in df.columns if c != text_name and c not in ("ids", "n_tokens")] if keep is None else keep
-    bound_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    lean = df.select(*keep, F.col(text_name).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema if f.name != "__text"), "n_tokens long", "ids binary"])
-    return lean.mapInArrow(_encode(shared, keep, "__text", block_bytes), schema)
+    """Columns ``keep`` (all but the text by default), n_tokens and ids (little-endian uint32); columns of these two names are replaced."""
+    keep = [c for c in (df.columns if keep is None else keep) if c != text_name and c not in ("ids", "n_tokens")]
+    shared.bound_batches(df.sparkSession)
+    known = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return shared.map_texts(df, keep, text_name, lambda columns, body: _encode(known, columns, body, block_bytes), n_tokens="long", ids="binary")
 
 
-def _decode(vocabulary, ids_name: str, out_name: str):
+def _decode(vocabulary, columns: list[str], ids_name: str):
     def run(batches):
         import pyarrow as pa
 
         look = vocabulary.value.tokens.__getitem__
         for batch in batches:
             texts = [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) if x is not None else None for x in batch[ids_name].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out_name])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(texts, pa.binary())], [*columns, "out0"])
 
     return run
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids_name: str = "ids", out_name: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for; null ids stay null."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{out_name} binary"])
-    return df.mapInArrow(_decode(shared, ids_name, out_name), schema)
+def decode(df: DataFrame, vocabulary: Vocabulary, ids_name: str = "ids", out_name: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (all by default) and the bytes that the ids stand for; null ids stay null; a column of the added name is replaced."""
+    keep = [c for c in (df.columns if keep is None else keep) if c != out_name]
+    known = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return shared.map_texts(df, keep, ids_name, lambda columns, ids: _decode(known, columns, ids), **{out_name: "binary"})

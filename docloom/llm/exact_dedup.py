@@ -168,7 +168,7 @@ def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text"
     folder = shared.scratch(spark, "exact")
     shared.bound_batches(spark)
     docs = df.select(F.col(id_name).cast("long").alias(id_name), F.col(text_name))
-    records = shared.written(docs.mapInArrow(_records(block_bytes, id_name, text_name), RECORDS), f"{folder}/records")
+    records = shared.written(docs.mapInArrow(shared.tidy(_records(block_bytes, id_name, text_name)), RECORDS), f"{folder}/records")
     total = records.agg(F.sum("n_bytes")).first()[0] or 0
     wanted = shared.parts_for(total, owner_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(1, (wanted - 1).bit_length())
@@ -177,7 +177,7 @@ def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text"
     shared_index = shared.make(spark, f"{folder}/index")
     lean = shared.written(records.select("block", "rec", "sha", "ids"), f"{folder}/members")
     dealt = records.select("block", "rec", "key", "n_bytes", "body", "max_id", "n").repartitionById(owners, owner)
-    owned = shared.written(dealt.mapInArrow(_own(shared_index, capacity, bits), OWNED), f"{folder}/owned")
+    owned = shared.written(dealt.mapInArrow(shared.tidy(_own(shared_index, capacity, bits)), OWNED), f"{folder}/owned")
     shared.remove(spark, f"{folder}/records")  # the texts are not needed any more
     joined = lean.join(owned.hint("merge"), ["block", "rec"])
     first = F.array_position("ids", F.col("keep_id"))

@@ -22,8 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import text
-from docloom.llm.shared import bound_batches
+from docloom.llm import shared, text
 
 K = 8
 
@@ -117,9 +116,9 @@ def _fingerprint(text_name: str, out: str, slots: int, ell: int, block_bytes: in
 
 def fingerprint(df: DataFrame, text_name: str = "text", out: str = "fingerprint", slots: int = 32, ell: int = 2, block_bytes: int = 1 << 18) -> DataFrame:
     """Adds a binary column of slots x 4 bytes."""
-    bound_batches(df.sparkSession)
+    shared.bound_batches(df.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` binary"])
-    return df.mapInArrow(_fingerprint(text_name, out, slots, ell, block_bytes), schema)
+    return df.mapInArrow(shared.tidy(_fingerprint(text_name, out, slots, ell, block_bytes)), schema)
 
 
 def _likeness(pairs: list[tuple[str, str, str]], drop: list[str]):
@@ -139,7 +138,7 @@ def _likeness(pairs: list[tuple[str, str, str]], drop: list[str]):
 def with_likeness(df: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """Adds the likeness of pairs of fingerprint columns: (first, second, name)."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{p[2]}` double" for p in pairs)])
-    return df.mapInArrow(_likeness(pairs, []), schema)
+    return df.mapInArrow(shared.tidy(_likeness(pairs, [])), schema)
 
 
 LEAST = -(1 << 63)
@@ -195,11 +194,11 @@ def with_next(df: DataFrame, id_name: str, tie: str, columns: list[str], prepare
     shares = [i / ranges for i in range(1, ranges)]
     found = keyed.agg(F.percentile_approx("k", shares, 10 * ranges)).first()[0] if shares and n else []
     splits = np.unique(np.array(found or [], np.int64))
-    firsts = sorted((r["b"], r["k"]) for r in keyed.select("k").mapInArrow(_first_ids(splits), "b long, k long").groupBy("b").agg(F.min("k").alias("k")).collect())
+    firsts = sorted((r["b"], r["k"]) for r in keyed.select("k").mapInArrow(shared.tidy(_first_ids(splits)), "b long, k long").groupBy("b").agg(F.min("k").alias("k")).collect())
     ghosts = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
     keyed = prepare(keyed) if prepare else keyed
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema), "b long", "ghost boolean"])
-    dealt = keyed.mapInArrow(_deal(splits, ghosts), schema)
+    dealt = keyed.mapInArrow(shared.tidy(_deal(splits, ghosts)), schema)
     order = Window.partitionBy("b").orderBy("ghost", "k", tie)
     for c in columns:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))

@@ -26,6 +26,8 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import shared
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "button", "canvas", "audio", "video", "head", "noframes", "xmp"}
@@ -361,20 +363,18 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(b.text for b, kept in zip(blocks, keep, strict=True) if kept)
 
 
-def _extract(html_name: str, out: str):
+def _extract(columns: list[str], html_name: str):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            texts = [main_text(x.decode("utf-8", "replace") if x is not None else None) for x in table[html_name].cast(pa.binary()).to_pylist()]
-            yield from table.drop_columns([html_name]).append_column(out, pa.array(texts, pa.string())).to_batches()
+            texts = [main_text(x.decode("utf-8", "replace") if x is not None else None) for x in batch[html_name].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(texts, pa.string())], [*columns, "out0"])
 
     return run
 
 
 def extract(df: DataFrame, keep: list[str], html_name: str = "html", out: str = "text") -> DataFrame:
-    """Columns ``keep`` and the main text of every page."""
-    lean = df.select(*keep, F.col(html_name).alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema if f.name != "__html"), f"`{out}` string"])
-    return lean.mapInArrow(_extract("__html", out), schema)
+    """Columns ``keep`` and the main text of every page; a column of the text's name is replaced."""
+    shared.bound_batches(df.sparkSession)
+    return shared.map_texts(df, [c for c in keep if c != out], html_name, _extract, **{out: "string"})

@@ -433,10 +433,10 @@ def _verified(pairs: DataFrame, manifest: DataFrame, folder: str, n: int, top: i
     """Links among candidate pairs (u, v) of nodes."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = wanted.withColumn("number", F.shiftright("node", 32)).join(manifest.select("block", "number"), "number").select("block", "node")
-    texts = shared.written(blocks.gathered(wanted, "node").mapInArrow(_fetch(n), "node long, raw long, body binary"), f"{folder}/texts")
+    texts = shared.written(blocks.gathered(wanted, "node").mapInArrow(shared.tidy(_fetch(n)), "node long, raw long, body binary"), f"{folder}/texts")
     first = pairs.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("raw_v"), F.col("body").alias("body_v")), "v")
     both = first.join(texts.select(F.col("node").alias("u"), F.col("raw").alias("raw_u"), F.col("body").alias("body_u")), "u")
-    links = shared.written(both.select("u", "v", "raw_u", "body_u", "raw_v", "body_v").mapInArrow(_verify(n, top, bottom), "u long, v long"), f"{folder}/links")
+    links = shared.written(both.select("u", "v", "raw_u", "body_u", "raw_v", "body_v").mapInArrow(shared.tidy(_verify(n, top, bottom)), "u long, v long"), f"{folder}/links")
     shared.remove(pairs.sparkSession, f"{folder}/texts")
     return links
 
@@ -448,10 +448,10 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
     manifest = blocks.write(df, folder, id_name, text_name, block_bytes)
     numbered = manifest.withColumn("number", F.expr("cast(split(element_at(split(block, '/'), -1), '-')[1] as long) * 65536 + cast(split(element_at(split(block, '/'), -1), '-')[2] as long)"))
     total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
-    docs = shared.written(blocks.spread(numbered).mapInArrow(_describe(n, top, bottom), DOCS), f"{folder}/docs")
+    docs = shared.written(blocks.spread(numbered).mapInArrow(shared.tidy(_describe(n, top, bottom)), DOCS), f"{folder}/docs")
     n_buckets = shared.parts_for(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signed = blocks.spread(numbered).mapInArrow(_sign(n, top, bottom, n_buckets), "bucket int, number long, signs binary, owners binary")
-    groups = shared.written(signed.repartitionById(n_buckets, "bucket").mapInArrow(_groups(common), GROUPS), f"{folder}/groups")
+    signed = blocks.spread(numbered).mapInArrow(shared.tidy(_sign(n, top, bottom, n_buckets)), "bucket int, number long, signs binary, owners binary")
+    groups = shared.written(signed.repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_groups(common)), GROUPS), f"{folder}/groups")
     sets = docs.where("first and key is not null")
     # nodes that meet under common signatures as well: those with more of them than their scheme can spare
     heavy = groups.where("sign is not null").select("sign", "node", (F.col("sign") % 2).cast("int").alias("side"))
@@ -496,7 +496,7 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
     rows = labelled.join(split.hint("merge"), "group").join(facts.hint("merge"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     chunked = rows.groupBy("group", "low", "high").agg(F.collect_list(F.struct("node", "component", "chunk", "n", "sketch")).alias("members"))
-    rest = chunked.select("low", "high", "members").mapInArrow(_across(top, bottom), "u long, v long").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
+    rest = chunked.select("low", "high", "members").mapInArrow(shared.tidy(_across(top, bottom)), "u long, v long").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
     more = _verified(shared.written(rest, f"{folder}/rest"), numbered, f"{folder}/two", n, top, bottom)
     parts = components.connected_components(links.unionByName(more), f"{folder}/two")
     for name in ("blocks", "groups", "members", "rest"):  # what follows reads none of them

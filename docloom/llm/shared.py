@@ -7,21 +7,34 @@ pyarrow's file systems, so the folder may be a local mount, HDFS or S3.
 
 from __future__ import annotations
 
+import re
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Folder where spark.checkpoint.dir is unset; only for a session on one machine.
 FALLBACK = "file:///tmp/checkpoints"
+#: Bytes of one Arrow batch of whole texts; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+_scopes: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder, without a slash at its end."""
+    """URI of the shared folder, without a slash at its end; a bare path belongs to the cluster's default file system."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else FALLBACK
-    root = root.rstrip("/")
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = FALLBACK
+    fs, path = _hadoop(spark, root)
+    return fs.makeQualified(path).toString().rstrip("/")
 
 
 def _hadoop(spark: SparkSession, uri: str):
@@ -30,14 +43,27 @@ def _hadoop(spark: SparkSession, uri: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; it goes when the session's JVM ends."""
+    """A new folder in the shared one; it goes when the innermost scope() or else the session's JVM ends."""
     uri = f"{shared_root(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     fs, path = _hadoop(spark, uri)
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+    if _scopes:
+        _scopes[-1].append(uri)
     return uri
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Scratch folders made inside go at the end: results must be written inside, as they may read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for uri in _scopes.pop():
+            remove(spark, uri)
+
+
 def make(spark: SparkSession, uri: str) -> str:
     fs, path = _hadoop(spark, uri)
     fs.mkdirs(path)
@@ -49,11 +75,60 @@ def remove(spark: SparkSession, uri: str) -> None:
     fs.delete(path, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small in workers, unless the session asks for smaller ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+def column(name: str) -> Column:
+    """A column by its name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def map_texts(df: DataFrame, keep: list[str], text_name: str, worker, **added: str) -> DataFrame:
+    """Columns ``keep`` and the added ones (name=type) that a worker makes from a text.
+
+    ``worker(columns, text)`` gives the function over Arrow batches. Inside, the
+    kept columns have plain names of their own, so no name can clash.
+    """
+    inner = [f"c{i}" for i in range(len(keep))]
+    lean = df.select(*(column(c).alias(n) for c, n in zip(keep, inner, strict=True)), column(text_name).alias("text"))
+    schema = T.StructType([*lean.schema.fields[:-1], *(T.StructField(f"out{i}", T._parse_datatype_string(t)) for i, t in enumerate(added.values()))])
+    return lean.mapInArrow(tidy(worker(inner, "text")), schema).toDF(*keep, *added)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches that workers get, unless the session has a smaller bound.
+
+    The setting stays: plans read it when they run, which is after this call. It changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, None) or 1 << 31) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy(run):
+    """A worker function that gives what it held back to the system at its end, as workers live on."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return tidied
 
 
 def written(df: DataFrame, uri: str) -> DataFrame:

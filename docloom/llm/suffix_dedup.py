@@ -404,11 +404,11 @@ def remove_repeats(df: DataFrame, length: int = 50, id_name: str = "doc_id", tex
     manifest = blocks.write(df, folder, id_name, text_name, block_bytes)
     total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = shared.parts_for(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grams = blocks.spread(manifest).mapInArrow(_send_grams(length, n_buckets), "bucket int, block string, body binary")
-    common = shared.written(grams.repartitionById(n_buckets, "bucket").mapInArrow(_shared_grams, "bucket int, block string, body binary"), f"{folder}/grams")
-    contexts = blocks.gathered(common, "bucket").mapInArrow(_send_contexts(length, n_buckets), "bucket int, block string, n long, raw long, body binary")
-    firsts = contexts.repartitionById(n_buckets, "bucket").mapInArrow(_construct(folder, length), "bucket int, block string, raw long, firsts binary")
+    grams = blocks.spread(manifest).mapInArrow(shared.tidy(_send_grams(length, n_buckets)), "bucket int, block string, body binary")
+    common = shared.written(grams.repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_shared_grams), "bucket int, block string, body binary"), f"{folder}/grams")
+    contexts = blocks.gathered(common, "bucket").mapInArrow(shared.tidy(_send_contexts(length, n_buckets)), "bucket int, block string, n long, raw long, body binary")
+    firsts = contexts.repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_construct(folder, length)), "bucket int, block string, raw long, firsts binary")
     firsts = shared.written(firsts, f"{folder}/firsts")
     told = manifest.select("block").join(common.join(firsts, ["block", "bucket"]), "block", "left")
-    done = blocks.gathered(told, "bucket").mapInArrow(_remove(length), REMOVED)
+    done = blocks.gathered(told, "bucket").mapInArrow(shared.tidy(_remove(length)), REMOVED)
     return done.withColumnRenamed("id", id_name)

@@ -54,7 +54,6 @@ def blocks(batches, most_bytes: int, text: str = "text"):
                 held, size = [], 0
     if held:
         yield pa.concat_tables(held)
-    pa.default_memory_pool().release_unused()  # workers live on; what they held should not
 
 
 def mix64(x):

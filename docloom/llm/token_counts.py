@@ -57,7 +57,7 @@ def separator_counts(files: DataFrame, separator: int, width: int = 2, block_byt
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = F.when(F.col("n_bytes") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / block_bytes)))
     blocks = files.select("file", "n_bytes", F.explode(cut).alias("block")).repartition(n, "file", "block")
-    scanned = blocks.mapInArrow(_scan(block_bytes, separator, width), SCANNED)
+    scanned = blocks.mapInArrow(shared.tidy(_scan(block_bytes, separator, width)), SCANNED)
     order = Window.partitionBy("file").orderBy("block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     run = scanned.withColumn("ended", F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)))
@@ -113,4 +113,4 @@ def write_token_files(df: DataFrame, vocabulary: bpe.Vocabulary, separator: int,
         raise ValueError("ids do not fit the width")
     folder = folder or shared.scratch(df.sparkSession, "tokens")
     ids = bpe.encode(df.select(F.col(key).cast("long").alias(key), "text"), vocabulary, keep=[key])
-    return shared.written(ids.mapInArrow(_write(folder, separator, width, key), WRITTEN), f"{folder}/manifest")
+    return shared.written(ids.mapInArrow(shared.tidy(_write(folder, separator, width, key)), WRITTEN), f"{folder}/manifest")

@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes scaled features.
 
-Features are the hashed byte n-grams (4, 6 and 8 bytes, A-Z lower-cased) present in
+Features are the hashed n-grams (4, 6 and 8 characters, lower-cased) present in
 a text. From labelled texts come the log-count ratios r of each feature
 (smoothed share among toxic texts over share among the others); a logistic
 regression is then fitted on features scaled by r, and a text's score is
@@ -12,8 +12,11 @@ first by a hash of their id. Class weights undo the sampling. All texts of the
 table are scored, whole, in blocks of bounded size; nothing is shuffled.
 
 Cases: null and empty texts score the intercept; rows without a label or with a
-null label are not learned from; if a class has no labelled text, every score
-is the smoothed share of the other; repeated rows score alike.
+null label are not learned from; an id with labels of both kinds counts as
+toxic, and of several texts of one id the least is learned from; if a class has
+no labelled text, every score is the smoothed share of the other; repeated rows
+score alike; texts of any length are scored whole; empty tables give no rows;
+other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import text
-from docloom.llm.shared import bound_batches
+from docloom.llm import shared, text
 
 
 @dataclass
@@ -36,18 +38,25 @@ class Model:
     intercept: float
 
 
+def codes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of lower-cased texts, one after the other, offsets of n + 1)."""
+    low = [(t or b"").decode("utf-8", "replace").lower() for t in texts]
+    offsets = np.cumsum([0, *map(len, low)]).astype(np.int64)
+    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4"), offsets
+
+
 def ngrams(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int):
-    """Per order: (text number, bucket) of every n-gram inside a text."""
-    data = np.concatenate([data, np.zeros(8, np.uint8)])
-    capital = (data >= 65) & (data <= 90)
-    data = data + capital.astype(np.uint8) * np.uint8(32)
-    grams = text.grams8(data)
+    """Per order: (text number, bucket) of every character n-gram inside a text."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for n in orders:
-        inside = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)
-        value = grams[inside] & np.uint64((1 << 8 * n) - 1)
-        value += np.uint64(n << 56)
-        yield owner[inside], (text.mix64(value) >> np.uint64(64 - bits)).astype(np.int32)
+        if len(data) < n:
+            continue
+        value = np.full(len(data) - n + 1, n, np.uint64)
+        for j in range(n):
+            value *= np.uint64(0x100000001B3)
+            value += data[j : len(data) - n + 1 + j]
+        inside = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+        yield owner[inside], (text.mix64(value[inside]) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _present(own: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +79,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, bits: int = 20, ord
         """(first text, text, bucket) of some texts at a time, so memory stays bounded."""
         for at in range(0, len(texts), 100):
             some = texts[at : at + 100]
-            offsets = np.cumsum([0, *map(len, some)]).astype(np.int64)
-            for own, bucket in ngrams(np.frombuffer(b"".join(some), np.uint8), offsets, orders, bits):
+            for own, bucket in ngrams(*codes(some), orders, bits):
                 own, bucket = _present(own, bucket, bits)
                 yield (own + at).astype(np.int32), bucket.astype(np.int32)
 
@@ -117,35 +125,36 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def _score(model, text_name: str, out: str, block_bytes: int):
+def _score(model, columns: list[str], text_name: str, block_bytes: int):
     def run(batches):
         import pyarrow as pa
 
         for table in text.blocks(batches, block_bytes, text_name):
-            found = score_block(model.value, *text.utf8_bytes(table[text_name]))
-            yield from table.drop_columns([text_name]).append_column(out, pa.array(found, pa.float64())).to_batches()
+            found = score_block(model.value, *codes(table[text_name].cast(pa.large_binary()).to_pylist()))
+            yield from table.select(columns).append_column("out0", pa.array(found, pa.float64())).to_batches()
 
     return run
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_name: str = "text", out: str = "score", block_bytes: int = 1 << 19) -> DataFrame:
-    """Columns ``keep`` and the score of every row."""
-    bound_batches(df.sparkSession)
-    lean = df.select(*keep, F.col(text_name).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema if f.name != "__text"), f"`{out}` double"])
-    return lean.mapInArrow(_score(df.sparkSession.sparkContext.broadcast(model), "__text", out, block_bytes), schema)
+    """Columns ``keep`` and the score of every row; a column of the score's name is replaced."""
+    shared.bound_batches(df.sparkSession)
+    keep = [c for c in keep if c != out]
+    known = df.sparkSession.sparkContext.broadcast(model)
+    return shared.map_texts(df, keep, text_name, lambda columns, body: _score(known, columns, body, block_bytes), **{out: "double"})
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable, per_class: int = 5000, longest: int = 20_000) -> Model:
     """Fit from the labelled rows for which the column ``usable`` (of doc_id) holds."""
     import pyarrow as pa
 
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).select("doc_id", (F.col("toxic") == 1).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.where("y = 1").orderBy(*order).limit(per_class).unionByName(marked.where("y = 0").orderBy(*order).limit(per_class))
     texts = docs.where(F.octet_length("text") <= longest).select("doc_id", F.col("text").cast("binary").alias("body"))
-    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "body").select("y", "body").toPandas()  # at most 2 x per_class ids are broadcast
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("body").alias("body"))  # at most 2 x per_class ids are broadcast
+    got = once.orderBy("doc_id").select("y", "body").toPandas()
     total = sum(counts.values())
     bodies, toxic = [bytes(x) for x in got["body"]], got["y"].to_numpy()
     del got

@@ -43,8 +43,7 @@ def test_run_equals_brute_force(spark, sf_dir):
 
     docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     model = toxicity.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~queries.held_out())
-    bodies = [t.encode() for _, t, _, _ in docs]
-    scores = toxicity.score_block(model, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]))
+    scores = toxicity.score_block(model, *toxicity.codes([t.encode() for _, t, _, _ in docs]))
     docs = [d for d, s in zip(docs, scores, strict=True) if s < queries.TOXIC_FROM]
     best: dict[bytes, int] = {}
     for i, t, _, _ in docs:
@@ -63,7 +62,7 @@ def test_run_equals_brute_force(spark, sf_dir):
 def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
     rows = [(1, "Same text here", "en", "s"), (2, "same TEXT here", "en", "s"), (2, "same TEXT here", "en", "s"), (3, None, None, None), (None, None, "de", "t"), (None, "alone and null", "de", "t"), (4, "", "en", None), (5, "x " * 30_000, "en", "s")]
     rows += [(10, " ".join(f"w{i}" for i in range(60)), "en", "s"), (11, " ".join(f"w{i}" for i in range(59)) + " end", "en", "s")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("score", "tokens", "first", "digest", "n_chars", "rate", "selected", "probability")})
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("score", "tokens", "first", "digest", "n_chars", "rate", "selected", "probability", "key", "__id", "__hash", "__text", "body", "one", "a.dot")})
     seen = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, sf_dir)
