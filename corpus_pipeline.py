@@ -28,47 +28,51 @@ from docloom.llm import bpe, exact_dedup, mixing, ngram_join, queries, shared, t
 from docloom.sources.tables import table
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    """A column name that the table does not have."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
+def _all(docs: DataFrame):
+    return [shared.column(c) for c in docs.columns]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below the threshold. A null text scores as an empty one; without labels all rows stay."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~queries.held_out())
-    score = _fresh(docs, "score")
-    return toxicity.score(docs, model, docs.columns, out=score).where(F.col(score) < queries.TOXIC_FROM).select(*docs.columns)
+    score = shared.fresh(docs, "score")
+    scored = toxicity.score(docs, model, docs.columns, out=score)
+    return scored.where(F.col(score) < queries.TOXIC_FROM).select(*_all(docs))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    digest, name, one = _fresh(docs, "digest"), _fresh(docs, "name"), _fresh(docs, "one")
+    """Of equal texts (null and empty are equal) the row of the largest id; of rows that repeat id and text, the one that is first by all its columns' hash."""
+    digest, name, one, order = (shared.fresh(docs, c) for c in ("digest", "name", "one", "order"))
     as_text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("text_sha256").alias(digest), as_text(F.col("doc_id")).alias(name))
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = docs.withColumn(digest, F.sha2(lowered.cast("binary"), 256)).withColumn(name, as_text(F.col("doc_id")))
+    marked = docs.withColumns({digest: F.sha2(lowered.cast("binary"), 256), name: as_text(F.col("doc_id")), order: F.xxhash64(F.to_json(F.struct(*_all(docs))))})
     stay = marked.join(kept.hint("merge"), [digest, name])
-    first = Window.partitionBy(digest, name).orderBy(F.lit(1))  # rows that repeat an id and a text leave one; dealt as for the join
-    return stay.withColumn(one, F.row_number().over(first)).where(F.col(one) == 1).select(*docs.columns)
+    first = Window.partitionBy(digest, name).orderBy(order)  # dealt as for the join
+    return stay.withColumn(one, F.row_number().over(first)).where(F.col(one) == 1).select(*_all(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of word 5-gram Jaccard 0.8: the least id (a null id after all others). Texts without words stay."""
     rows = ngram_join.jaccard_components(docs, n=5, top=80, bottom=100)
-    stay = rows.where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    match = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return docs.join(stay.hint("merge"), match, "left_semi").select(*docs.columns)
+    key, digest = shared.fresh(docs, "key"), shared.fresh(docs, "digest")
+    stay = rows.where("first").select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct()
+    match = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(key))
+    return docs.join(stay.hint("merge"), match, "left_semi").select(*_all(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = [c for c in docs.columns if c not in mixing.ADDED]
-    renamed = {c: f"__own_{c}" for c in docs.columns if c in mixing.ADDED and c != "topic"}
-    rows = mixing.with_probabilities(docs.withColumnsRenamed(renamed), queries.MIX, rare=mixing.RARE)
-    back = {new: old for old, new in renamed.items()}
-    keep = rows.where("selected").select(*own, *(["topic"] if "topic" in docs.columns else []), *[F.col(new).alias(old) for new, old in back.items()])
-    return keep.select(*docs.columns)
+    """Rows kept with their cell's probability; a topic column counts as the topic, and is carried as it is."""
+    own = {c: f"own {i}" for i, c in enumerate(docs.columns) if c in mixing.ADDED}
+    renamed = docs.withColumnsRenamed(own)
+    if "topic" in own:
+        renamed = renamed.withColumn("topic", F.col(own["topic"]))
+    rows = mixing.with_probabilities(renamed, queries.MIX, rare=mixing.RARE)
+    return rows.where("selected").select(*(shared.column(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row; null and empty texts have no tokens."""
     return bpe.encode(docs, queries._vocabulary(), keep=["doc_id"])
 
 
@@ -88,5 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for at, (name, stage) in enumerate(STAGES):
-        docs = shared.written(stage(spark, docs, sf_dir), f"{folder}/{at}-{name}")
+        with shared.scope(spark):  # what a stage keeps for itself goes when its rows are written
+            docs = shared.written(stage(spark, docs, sf_dir), f"{folder}/{at}-{name}")
     return docs
