@@ -4,28 +4,35 @@
    A block groups its own equal texts, comparing bytes, so a group of copies of
    any size leaves at most one record per block. The records, texts compressed,
    are written to the shared folder once, under Spark's commit protocol.
-2. Owner tasks take ranges of the 64-bit keys. Each builds an extendible-hash
-   index of its range: a directory over leading key bits, which doubles when a
-   full bucket cannot be told apart by the bits in use; a full bucket splits in
-   two. Entries of one key are chained and told apart by comparing bytes. A
-   finished index (directory and buckets) is stored in the shared folder. The
-   owner keeps only distinct texts of its range in memory, never the copies.
+2. Owner tasks take ranges of the 64-bit keys. Each keeps an extendible-hash
+   index of its range in the shared folder: a directory over the leading key
+   bits, which doubles when a full bucket cannot be told apart by the bits in
+   use, and one page file per bucket with its texts; a full bucket splits in
+   two. Entries of one key are chained and told apart by comparing bytes. Records
+   come in the order of their keys, so a task holds a few pages at a time, reads
+   and writes each about once, and answers its records from the stored pages.
 3. Each record learns its group's kept row and size through an equi-join on
    (block, record): no key there has more than one row, so a group holding a
    third of the table does not meet in one task.
 
+The index outlives its batch: ``exact_groups(more, index=folder)`` opens the
+stored directories, splits and rewrites the pages that its records touch, and
+answers them with regard to all batches so far. Pages and directories carry the
+attempt of the task that wrote them, and a directory is put in place last, in
+one step, so a lost executor leaves the index as it was.
+
 Cases: null and empty texts are equal to each other; among repeated rows of
 the largest id one row stays (which one is not told apart by id); null ids
-count as smaller than any other; empty tables give no rows; clashing column
-names do not matter, since only the id and text columns are read.
+count as smaller than any other; texts of any length are compared whole; empty
+tables give no rows; clashing column names do not matter, since only the id and
+text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-import struct
-from collections.abc import Iterator
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,60 +43,138 @@ RECORDS = "block string, rec int, key long, sha string, n_bytes long, body binar
 OWNED = "block string, rec int, keep_id long, group_size long, keep_block string, keep_rec int"
 
 
+class Entry:
+    """A distinct text of the index: its bytes, the row that stays and the number of rows."""
+
+    __slots__ = ("block", "body", "max_id", "n", "number", "rec", "size")
+
+    def __init__(self, number: int, size: int, body: bytes, max_id: int | None, block: str, rec: int, n: int):
+        self.number, self.size, self.body, self.max_id, self.block, self.rec, self.n = number, size, body, max_id, block, rec, n
+
+    def equals(self, size: int, body: bytes) -> bool:
+        import pyarrow as pa
+
+        if self.size != size:
+            return False
+        return self.body == body or pa.decompress(self.body, size, codec="zstd", asbytes=True) == pa.decompress(body, size, codec="zstd", asbytes=True)
+
+    def joins(self, max_id: int | None, block: str, rec: int, n: int) -> None:
+        if max_id is not None and (self.max_id is None or (max_id, block, rec) > (self.max_id, self.block, self.rec)):
+            self.max_id, self.block, self.rec = max_id, block, rec
+        self.n += n
+
+
+class Pages:
+    """Page files of one owner in a shared folder; each version of a page is a file of its own."""
+
+    def __init__(self, folder: str, owner: int, attempt: int):
+        self.fs, self.path = shared.open_fs(folder)
+        self.owner, self.attempt = owner, attempt
+
+    def write(self, page: int, held: dict[int, list[Entry]]) -> str:
+        name = f"owner-{self.owner}-page-{page}.{self.attempt}"
+        rows = [(key, [[getattr(e, s) for s in Entry.__slots__] for e in chain]) for key, chain in held.items()]
+        with self.fs.open_output_stream(f"{self.path}/{name}") as out:
+            out.write(pickle.dumps(rows))
+        return name
+
+    def read(self, name: str) -> dict[int, list[Entry]]:
+        with self.fs.open_input_file(f"{self.path}/{name}") as file:
+            rows = pickle.loads(file.read())
+        return {key: [Entry(**dict(zip(Entry.__slots__, e, strict=True))) for e in chain] for key, chain in rows}
+
+    def save(self, state: tuple) -> None:
+        """Put the directory in place, last and in one step."""
+        name = f"{self.path}/owner-{self.owner}-directory"
+        with self.fs.open_output_stream(f"{name}.{self.attempt}") as out:
+            out.write(pickle.dumps(state))
+        self.fs.move(f"{name}.{self.attempt}", name)
+
+    def load(self) -> tuple | None:
+        name = f"{self.path}/owner-{self.owner}-directory"
+        if not self.fs.get_file_info(name).is_file:
+            return None
+        with self.fs.open_input_file(name) as file:
+            return pickle.loads(file.read())
+
+
 class ExtendibleHash:
-    """Directory of bucket references over the leading bits of 64-bit keys.
+    """Directory over the leading bits of ``width``-bit keys, and buckets of at most ``capacity`` keys.
 
-    ``prefix_bits`` leading bits are the same for all keys of the owner's range
-    and are skipped, so the directory stays in proportion to its entries.
+    At most ``most_held`` buckets are in memory; the others are in their page files.
     """
 
-    def __init__(self, capacity: int = 64, deepest: int = 64):
-        self.capacity, self.deepest, self.depth = capacity, deepest, 0
-        self.directory = [0]
-        self.buckets: list[tuple[int, dict[int, list[int]]]] = [(0, {})]  # (local depth, key -> chain of entries)
+    def __init__(self, width: int, pages: Pages, capacity: int = 64, most_held: int = 32):
+        self.width, self.pages, self.capacity, self.most_held = width, pages, capacity, most_held
+        stored = pages.load()
+        self.depth, self.directory, self.depths, self.files, self.n = stored or (0, [0], [0], [None], 0)
+        self.held: OrderedDict[int, dict[int, list[Entry]]] = OrderedDict()
+        self.changed: set[int] = set()
+
+    def _bucket(self, key: int) -> int:
+        return self.directory[key >> self.width - self.depth]
 
-    def _slot(self, key: int) -> int:
-        return key & ((1 << self.depth) - 1)
+    def _open(self, bucket: int) -> dict[int, list[Entry]]:
+        if bucket not in self.held:
+            self.held[bucket] = self.pages.read(self.files[bucket]) if self.files[bucket] else {}
+            while len(self.held) > self.most_held:
+                self._put_away(next(iter(self.held)))
+        self.held.move_to_end(bucket)
+        return self.held[bucket]
 
-    def chain(self, key: int) -> list[int]:
+    def _put_away(self, bucket: int) -> None:
+        held = self.held.pop(bucket)
+        if bucket in self.changed:
+            self.files[bucket] = self.pages.write(bucket, held)
+            self.changed.discard(bucket)
+
+    def chain(self, key: int) -> list[Entry]:
         """Entries under a key, in order of insertion."""
-        return self.buckets[self.directory[self._slot(key)]][1].get(key, [])
+        return self._open(self._bucket(key)).get(key, [])
 
-    def add(self, key: int, entry: int) -> None:
+    def add(self, key: int, size: int, body: bytes, max_id: int | None, block: str, rec: int, n: int) -> Entry:
+        """The entry of a text; it is made, or the rows join it."""
         while True:
-            at = self.directory[self._slot(key)]
-            depth, held = self.buckets[at]
-            if key in held:
-                held[key].append(entry)  # same key: the chain grows, splitting cannot help
-                return
-            if len(held) < self.capacity or depth == self.deepest:
-                held[key] = [entry]
-                return
-            self._split(at)
-
-    def _split(self, at: int) -> None:
-        depth, held = self.buckets[at]
+            bucket = self._bucket(key)
+            held = self._open(bucket)
+            if key in held or len(held) < self.capacity or self.depths[bucket] == self.width:
+                break
+            self._split(bucket)
+        self.changed.add(bucket)
+        entry = next((e for e in held.get(key, ()) if e.equals(size, body)), None)
+        if entry is not None:
+            entry.joins(max_id, block, rec, n)
+            return entry
+        entry = Entry(self.n, size, body, max_id, block, rec, n)
+        self.n += 1
+        held.setdefault(key, []).append(entry)  # same key, other bytes: the chain grows, splitting cannot help
+        return entry
+
+    def _split(self, bucket: int) -> None:
+        depth, held = self.depths[bucket], self._open(bucket)
         if depth == self.depth:
-            self.directory += self.directory
+            self.directory = [b for b in self.directory for _ in (0, 1)]
             self.depth += 1
-        bit = 1 << depth
-        other = len(self.buckets)
-        self.buckets[at] = (depth + 1, {k: v for k, v in held.items() if not k & bit})
-        self.buckets.append((depth + 1, {k: v for k, v in held.items() if k & bit}))
-        for slot, target in enumerate(self.directory):
-            if target == at and slot & bit:
-                self.directory[slot] = other
-
-    def pages(self) -> Iterator[bytes]:
-        """The index as length-framed pages: header with the directory, then one page per bucket."""
-        body = pickle.dumps((self.depth, self.directory))
-        yield struct.pack("<q", len(body)) + body
-        for bucket in self.buckets:
-            body = pickle.dumps(bucket)
-            yield struct.pack("<q", len(body)) + body
-
-
-def _records(block_bytes: int, id_name: str, text_name: str):
+        bit = 1 << self.width - depth - 1
+        other = len(self.files)
+        self.held[bucket] = {k: v for k, v in held.items() if not k & bit}
+        self.held[other] = {k: v for k, v in held.items() if k & bit}
+        self.depths[bucket] = depth + 1
+        self.depths.append(depth + 1)
+        self.files.append(None)
+        self.changed |= {bucket, other}
+        any_key = next(iter(held))
+        first = (any_key >> self.width - depth) << self.depth - depth  # the bucket's slots stand together
+        half = 1 << self.depth - depth - 1
+        self.directory[first + half : first + 2 * half] = [other] * half
+
+    def save(self) -> None:
+        for bucket in list(self.held):
+            self._put_away(bucket)
+        self.pages.save((self.depth, self.directory, self.depths, self.files, self.n))
+
+
+def _records(block_bytes: int, id_name: str, text_name: str, batch: str):
     """Worker: one record per distinct normalised text of a block."""
     schema = text.arrow_schema(RECORDS)
 
@@ -107,7 +192,7 @@ def _records(block_bytes: int, id_name: str, text_name: str):
             for rec, (body, members) in enumerate(groups.items()):
                 digest = hashlib.sha256(body)
                 key = int.from_bytes(digest.digest()[:8], "little", signed=True)
-                rows.append((f"{part}-{at}", rec, key, digest.hexdigest(), len(body), pa.compress(body, codec="zstd", asbytes=True), members, max((m for m in members if m is not None), default=None), len(members)))
+                rows.append((f"{batch}-{part}-{at}", rec, key, digest.hexdigest(), len(body), pa.compress(body, codec="zstd", asbytes=True), members, max((m for m in members if m is not None), default=None), len(members)))
                 if len(rows) == 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
                     rows = []
@@ -118,67 +203,59 @@ def _records(block_bytes: int, id_name: str, text_name: str):
 
 
 def _own(folder: str, capacity: int, owner_bits: int):
-    """Worker: index the records of a key range, then tell each record its group."""
+    """Worker: put the records of a key range into its index, then answer each from the stored pages."""
     schema = text.arrow_schema(OWNED)
+    width = 64 - owner_bits
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        def equal(a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
-            return a[0] == b[0] and (a[1] == b[1] or pa.decompress(a[1], a[0], codec="zstd", asbytes=True) == pa.decompress(b[1], b[0], codec="zstd", asbytes=True))
-
-        index = ExtendibleHash(capacity, 64 - owner_bits)
-        bodies: list[tuple[int, bytes]] = []  # (length, compressed text) of each entry
-        kept: list[tuple] = []  # (max id, block, record) of the row that stays
-        sizes: list[int] = []
-        where: list[tuple[str, int, int]] = []
+        context = TaskContext.get()
+        index, where = None, []
         for batch in batches:
             for block, rec, key, size, body, max_id, n in zip(*(batch.column(c).to_pylist() for c in ("block", "rec", "key", "n_bytes", "body", "max_id", "n")), strict=True):
-                key &= (1 << (64 - owner_bits)) - 1  # the range's common leading bits tell nothing
-                entry = next((e for e in index.chain(key) if equal(bodies[e], (size, body))), None)
-                if entry is None:
-                    entry = len(bodies)
-                    bodies.append((size, body))
-                    kept.append((max_id, block, rec))
-                    sizes.append(0)
-                    index.add(key, entry)
-                elif max_id is not None and (kept[entry][0] is None or (max_id, block, rec) > kept[entry]):
-                    kept[entry] = (max_id, block, rec)
-                sizes[entry] += n
-                where.append((block, rec, entry))
-        context = TaskContext.get()
-        fs, path = shared.open_fs(folder)
-        name = f"{path}/index-{context.partitionId()}"
-        with fs.open_output_stream(f"{name}.{context.taskAttemptId()}") as out:
-            for page in index.pages():
-                out.write(page)
-        fs.move(f"{name}.{context.taskAttemptId()}", name)  # a repeated task replaces whole files only
+                if index is None:
+                    index = ExtendibleHash(width, Pages(folder, (key & (1 << 64) - 1) >> width, context.taskAttemptId()), capacity)
+                key &= (1 << width) - 1  # the range's common leading bits tell nothing
+                where.append((block, rec, key, index.add(key, size, body, max_id, block, rec, n).number))
+        if index is None:
+            return
+        index.save()
         for start in range(0, len(where), 5000):
-            some = where[start : start + 5000]
-            rows = [(b, r, *(kept[e][0], sizes[e]), *kept[e][1:]) for b, r, e in some]
+            rows = []
+            for block, rec, key, number in where[start : start + 5000]:
+                e = next(e for e in index.chain(key) if e.number == number)
+                rows.append((block, rec, e.max_id, e.n, e.block, e.rec))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 16 << 20, owner_bytes: int = 48 << 20, capacity: int = 64) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 16 << 20, owner_bytes: int = 48 << 20, capacity: int = 64, index: str | None = None, batch: str = "0") -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    ``index`` is the folder of an index to open or make; without it, one is made
+    for this table alone. Ids and sizes then count all batches of the index, and a
+    row that an earlier ``batch`` (each has a name of its own) holds is not among
+    those kept.
+    """
     spark = df.sparkSession
     folder = shared.scratch(spark, "exact")
     shared.bound_batches(spark)
     docs = df.select(F.col(id_name).cast("long").alias(id_name), F.col(text_name))
-    records = shared.written(docs.mapInArrow(shared.tidy(_records(block_bytes, id_name, text_name)), RECORDS), f"{folder}/records")
+    records = shared.written(docs.mapInArrow(shared.tidy(_records(block_bytes, id_name, text_name, batch)), RECORDS), f"{folder}/records")
     total = records.agg(F.sum("n_bytes")).first()[0] or 0
     wanted = shared.parts_for(total, owner_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = max(1, (wanted - 1).bit_length())
-    owners = 1 << bits
+    where = shared.make(spark, index or f"{folder}/index")
+    bits = _owner_bits(where, max(1, (wanted - 1).bit_length()))
     owner = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int")  # a range of keys each
-    shared_index = shared.make(spark, f"{folder}/index")
     lean = shared.written(records.select("block", "rec", "sha", "ids"), f"{folder}/members")
-    dealt = records.select("block", "rec", "key", "n_bytes", "body", "max_id", "n").repartitionById(owners, owner)
-    owned = shared.written(dealt.mapInArrow(shared.tidy(_own(shared_index, capacity, bits)), OWNED), f"{folder}/owned")
+    dealt = records.select("block", "rec", "key", "n_bytes", "body", "max_id", "n").repartitionById(1 << bits, owner).sortWithinPartitions("key")
+    owned = shared.written(dealt.mapInArrow(shared.tidy(_own(where, capacity, bits)), OWNED), f"{folder}/owned")
     shared.remove(spark, f"{folder}/records")  # the texts are not needed any more
+    if index is None:
+        shared.remove(spark, where)
     joined = lean.join(owned.hint("merge"), ["block", "rec"])
     first = F.array_position("ids", F.col("keep_id"))
     rows = joined.select(
@@ -186,3 +263,14 @@ def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text"
         F.when((F.col("keep_block") == F.col("block")) & (F.col("keep_rec") == F.col("rec")), F.coalesce(first, F.lit(1)) - 1).otherwise(F.lit(-1)).alias("__keep"),
     )
     return rows.select(id_name, "keep_id", F.col("group_size"), (F.col("__at") == F.col("__keep")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _owner_bits(index: str, wanted: int) -> int:
+    """Bits of a key that tell its owner: an index keeps those it was made with."""
+    fs, path = shared.open_fs(index)
+    if fs.get_file_info(f"{path}/owners").is_file:
+        with fs.open_input_file(f"{path}/owners") as file:
+            return int(file.read())
+    with fs.open_output_stream(f"{path}/owners") as out:
+        out.write(str(wanted).encode())
+    return wanted
