@@ -12,12 +12,12 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import shared, text
 
-MANIFEST = "block string, n_docs long, n_bytes long"
+MANIFEST = "block string, n_docs long, n_bytes long, part long, at long"
 #: Stands for a null id, smaller than any other.
 NO_ID = -(1 << 63)
 
@@ -59,7 +59,7 @@ def _write(folder: str, block_bytes: int):
             fs, path = shared.open_fs(uri)
             with fs.open_output_stream(path) as out:
                 out.write(pack(ids, data, offsets))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((uri, len(ids), len(data)), schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((uri, len(ids), len(data), context.partitionId(), at), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -72,6 +72,13 @@ def write(df: DataFrame, folder: str, id_name: str = "doc_id", text_name: str =
     return shared.written(lean.mapInArrow(shared.tidy(_write(f"{folder}/blocks", block_bytes)), MANIFEST), f"{folder}/manifest")
 
 
+def numbered(manifest: DataFrame) -> DataFrame:
+    """Blocks numbered from 0 without gaps: the tasks that wrote them are counted up (one row a task), never the blocks."""
+    sizes = manifest.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return manifest.join(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")), "part").select("block", "n_docs", "n_bytes", (F.col("before") + F.col("at")).alias("number"))
+
+
 def spread(manifest: DataFrame) -> DataFrame:
     """The manifest dealt evenly, at most a few blocks to a task."""
     n = manifest.count()

@@ -46,6 +46,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm import blocks, components, shared, text
 
+#: Bits of a document's place in its block; the rest of a node is the block's number, so 2**32 blocks have nodes of their own.
+PLACE = 31
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD1B54A32D192ED03, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -246,19 +249,23 @@ def _describe(n: int, top: int, bottom: int):
                     first = seen.setdefault(key, i) if key else i
                     digest = xxhash.xxh64_intdigest(body, 42)
                     more = (*schemes.allowances(values), sketch(values)) if key and first == i else (None, None, None, None)
-                    rows.append((None if doc_id == blocks.NO_ID else doc_id, digest - (digest >> 63 << 64), len(values), key, number << 32 | first, first == i, *more))
+                    rows.append((None if doc_id == blocks.NO_ID else doc_id, digest - (digest >> 63 << 64), len(values), key, number << PLACE | first, first == i, *more))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def _sign(n: int, top: int, bottom: int, n_buckets: int):
-    """Worker: a block's signatures with their nodes, one row per bucket."""
+def _sign(n: int, top: int, bottom: int, n_buckets: int, common: int):
+    """Worker: a block's signatures with their nodes, one row per bucket.
 
-    def run(batches):
-        import pyarrow as pa
+    A signature that more than ``common`` sets of the block have is common
+    without being met: its nodes go on by themselves (bucket -1), and its bucket
+    gets ``common + 1`` of them, so that it counts as common there, too. A bucket
+    thus gets a bounded number of rows of a signature from each block.
+    """
 
+    def run(batches):
         schemes = Schemes(top, bottom)
         cuts = np.array([(i << 48) // n_buckets for i in range(1, n_buckets)], np.uint64)
         for batch in batches:
@@ -274,19 +281,46 @@ def _sign(n: int, top: int, bottom: int, n_buckets: int):
                 if not signs:
                     continue
                 flat, own = np.concatenate(signs), np.concatenate(owners)
-                order = np.argsort(flat)
+                order = np.argsort(flat, kind="stable")
                 flat, own = flat[order], own[order]
+                begins = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+                size = np.diff(np.r_[begins, len(flat)])
+                rest = np.arange(len(flat)) - np.repeat(begins, size) > common
+                if rest.any():
+                    yield _packed(-1, number, flat[rest], own[rest])
+                    flat, own = flat[~rest], own[~rest]
                 edges = np.r_[0, np.searchsorted(flat, cuts), len(flat)]
                 for b in range(n_buckets):
                     i, j = edges[b], edges[b + 1]
                     if i < j:
-                        signs_packed = flat[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        own_packed = own[i:j].astype(np.uint16 if own[i:j].max() < 1 << 16 else np.uint32).tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number]), pa.array([signs_packed], pa.binary()), pa.array([own_packed], pa.binary())], ["bucket", "number", "signs", "owners"])
+                        yield _packed(b, number, flat[i:j], own[i:j])
 
     return run
 
 
+SIGNED = "bucket int, number long, signs binary, owners binary"
+
+
+def _packed(bucket: int, number: int, signs: np.ndarray, owners: np.ndarray):
+    """A row of signatures in 6 bytes each, with their owners in 2 or 4."""
+    import pyarrow as pa
+
+    six = signs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    own = owners.astype(np.uint16 if owners.max() < 1 << 16 else np.uint32).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([six], pa.binary()), pa.array([own], pa.binary())], ["bucket", "number", "signs", "owners"])
+
+
+def _plain(batches):
+    """Worker: (sign, node) rows of packed ones, some at a time."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            signs, nodes = _unpack(row)
+            for at in range(0, len(signs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(signs[at : at + 50_000].astype(np.int64)), pa.array(nodes[at : at + 50_000])], ["sign", "node"])
+
+
 GROUPS = "nodes array<long>, sign long, node long"
 
 
@@ -295,7 +329,7 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     signs = np.zeros((n, 8), np.uint8)
     signs[:, :6] = np.frombuffer(row["signs"], np.uint8).reshape(n, 6)
     owners = np.frombuffer(row["owners"], np.uint16 if len(row["owners"]) == 2 * n else np.uint32)
-    return signs.view("<u8").ravel(), owners.astype(np.int64) | row["number"] << 32
+    return signs.view("<u8").ravel(), owners.astype(np.int64) | row["number"] << PLACE
 
 
 def _groups(common: int):
@@ -363,7 +397,7 @@ def _fetch(n: int):
             _, data, offsets = blocks.read(uri)
             for at in range(0, len(rows), 500):
                 some = rows[at : at + 500]
-                where = [r["node"] & 0xFFFFFFFF for r in some]
+                where = [r["node"] & (1 << PLACE) - 1 for r in some]
                 bodies = [data[int(offsets[i]) : int(offsets[i + 1])].tobytes() for i in where]
                 packed = [pa.compress(b, codec="zstd", asbytes=True) for b in bodies]
                 yield pa.RecordBatch.from_arrays([pa.array([r["node"] for r in some]), pa.array([len(b) for b in bodies], pa.int64()), pa.array(packed, pa.binary())], ["node", "raw", "body"])
@@ -372,7 +406,7 @@ def _fetch(n: int):
 
 
 def _verify(n: int, top: int, bottom: int):
-    """Worker: of candidate pairs with both texts, those that are similar; nothing but set sizes is compared first."""
+    """Worker: rows of a slice stand together, its centre first; links between the centre and the similar ones of the others."""
 
     def run(batches):
         import pyarrow as pa
@@ -381,19 +415,21 @@ def _verify(n: int, top: int, bottom: int):
             data = np.frombuffer(pa.decompress(body, raw, codec="zstd", asbytes=True), np.uint8)
             return shingles(data, np.array([0, len(data)]), n)[0]
 
-        last, held = None, None
+        centre, held = None, None
         for batch in batches:
             links = []
-            for u, v, raw_u, body_u, raw_v, body_v in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "raw_u", "body_u", "raw_v", "body_v")), strict=True):
-                if u != last:
-                    last, held = u, unpack(raw_u, body_u)
-                other = unpack(raw_v, body_v)
+            for lead, node, raw, body in zip(*(batch.column(c).to_pylist() for c in ("lead", "node", "raw", "body")), strict=True):
+                if node == lead:
+                    if lead != centre:
+                        centre, held = lead, unpack(raw, body)
+                    continue
+                other = unpack(raw, body)
                 small, large = (held, other) if len(held) <= len(other) else (other, held)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
                 both = int((large[at] == small).sum())
                 if bottom * both >= top * (len(held) + len(other) - both):
-                    links.append((u, v))
+                    links.append((max(lead, node), min(lead, node)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     return run
@@ -429,14 +465,26 @@ def _across(top: int, bottom: int):
     return run
 
 
+#: A component of more than one in LARGE of all distinct sets is large; there are fewer than LARGE such.
+LARGE = 1000
+#: Sets that are compared with one centre in one slice.
+SLICE = 256
+
+
 def _verified(pairs: DataFrame, manifest: DataFrame, folder: str, n: int, top: int, bottom: int) -> DataFrame:
-    """Links among candidate pairs (u, v) of nodes."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = wanted.withColumn("number", F.shiftright("node", 32)).join(manifest.select("block", "number"), "number").select("block", "node")
+    """Links among candidate pairs (lead, node).
+
+    The pairs of a centre are dealt over slices; its text goes once to each
+    slice, not to each pair, and no task has all pairs of a centre.
+    """
+    sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
+    sliced = pairs.join(sizes.hint("merge"), "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node")
+    centres = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.col("lead").alias("node"))
+    rows = shared.written(sliced.unionByName(centres), f"{folder}/rows")
+    wanted = rows.select("node").distinct().withColumn("number", F.shiftright("node", PLACE)).join(manifest.select("block", "number"), "number").select("block", "node")
     texts = shared.written(blocks.gathered(wanted, "node").mapInArrow(shared.tidy(_fetch(n)), "node long, raw long, body binary"), f"{folder}/texts")
-    first = pairs.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("raw_v"), F.col("body").alias("body_v")), "v")
-    both = first.join(texts.select(F.col("node").alias("u"), F.col("raw").alias("raw_u"), F.col("body").alias("body_u")), "u")
-    links = shared.written(both.select("u", "v", "raw_u", "body_u", "raw_v", "body_v").mapInArrow(shared.tidy(_verify(n, top, bottom)), "u long, v long"), f"{folder}/links")
+    both = rows.join(texts.hint("merge"), "node").repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("node") != F.col("lead"))
+    links = shared.written(both.select("lead", "node", "raw", "body").mapInArrow(shared.tidy(_verify(n, top, bottom)), "u long, v long"), f"{folder}/links")
     shared.remove(pairs.sparkSession, f"{folder}/texts")
     return links
 
@@ -446,15 +494,17 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
     spark = df.sparkSession
     folder = shared.scratch(spark, "ngram")
     manifest = blocks.write(df, folder, id_name, text_name, block_bytes)
-    numbered = manifest.withColumn("number", F.expr("cast(split(element_at(split(block, '/'), -1), '-')[1] as long) * 65536 + cast(split(element_at(split(block, '/'), -1), '-')[2] as long)"))
+    numbered = shared.written(blocks.numbered(manifest), f"{folder}/numbered")
     total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
     docs = shared.written(blocks.spread(numbered).mapInArrow(shared.tidy(_describe(n, top, bottom)), DOCS), f"{folder}/docs")
     n_buckets = shared.parts_for(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signed = blocks.spread(numbered).mapInArrow(shared.tidy(_sign(n, top, bottom, n_buckets)), "bucket int, number long, signs binary, owners binary")
-    groups = shared.written(signed.repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_groups(common)), GROUPS), f"{folder}/groups")
+    signed = shared.written(blocks.spread(numbered).mapInArrow(shared.tidy(_sign(n, top, bottom, n_buckets, common)), SIGNED), f"{folder}/signed")
+    groups = shared.written(signed.where("bucket >= 0").repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_groups(common)), GROUPS), f"{folder}/groups")
+    beyond = shared.written(signed.where("bucket < 0").repartition("number").mapInArrow(shared.tidy(_plain), "sign long, node long"), f"{folder}/beyond")
+    shared.remove(spark, f"{folder}/signed")
     sets = docs.where("first and key is not null")
     # nodes that meet under common signatures as well: those with more of them than their scheme can spare
-    heavy = groups.where("sign is not null").select("sign", "node", (F.col("sign") % 2).cast("int").alias("side"))
+    heavy = groups.where("sign is not null").select("sign", "node").unionByName(beyond).withColumn("side", (F.col("sign") % 2).cast("int"))
     held = heavy.groupBy("node", "side").agg(F.count(F.lit(1)).alias("n_heavy"))
     spare = sets.select("node", F.col("side").alias("own"), "spare", "spare_before")
     over = held.join(spare.hint("merge"), "node").where(F.col("n_heavy") > F.when(F.col("side") == F.col("own"), F.col("spare")).otherwise(F.col("spare_before"))).select("node", "side")
@@ -481,11 +531,11 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
         if turn:
             of_lead = parts.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
             pairs = pairs.join(of_lead.hint("merge"), "lead", "left").where(F.col("component") != F.coalesce("lead_component", "lead"))
-        pairs = pairs.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct()
+        pairs = pairs.select("lead", "node", F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).dropDuplicates(["u", "v"])
         pairs = shared.written(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti") if turn else pairs, f"{where}/pairs")
         found = _verified(pairs, numbered, where, n, top, bottom)
         links = links.unionByName(found) if turn else found
-        tried = tried.unionByName(pairs) if turn else pairs
+        tried = tried.unionByName(pairs.select("u", "v")) if turn else pairs.select("u", "v")
         now = shared.written(lead.select("group", F.col("lead").alias("node")), f"{where}/led")
         led = led.unionByName(now) if turn else now
         parts = components.connected_components(links, where)
@@ -497,17 +547,28 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     chunked = rows.groupBy("group", "low", "high").agg(F.collect_list(F.struct("node", "component", "chunk", "n", "sketch")).alias("members"))
     rest = chunked.select("low", "high", "members").mapInArrow(shared.tidy(_across(top, bottom)), "u long, v long").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
-    more = _verified(shared.written(rest, f"{folder}/rest"), numbered, f"{folder}/two", n, top, bottom)
+    more = _verified(shared.written(rest.select(F.col("v").alias("lead"), F.col("u").alias("node")), f"{folder}/rest"), numbered, f"{folder}/two", n, top, bottom)
     parts = components.connected_components(links.unionByName(more), f"{folder}/two")
-    for name in ("blocks", "groups", "members", "rest"):  # what follows reads none of them
+    for name in ("blocks", "groups", "beyond", "members", "rest"):  # what follows reads none of them
         shared.remove(spark, f"{folder}/{name}")
-    named = docs.select("id", "text_hash", "n_shingles", "node").join(head_of.hint("merge"), "node", "left").join(parts.withColumnRenamed("node", "head").hint("merge"), "head", "left")
-    named = named.withColumn("part", F.coalesce("component", "head"))
-    least = named.where("part is not null").groupBy("part").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))).alias("pick"))
-    out = named.join(least.hint("merge"), "part", "left")
-    mine = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))
+    # the least row of each node (rows of one block), of each head, of each component: sums all the way, no join by component
+    mine = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("hash"))
+    by_node = docs.where("key is not null").groupBy("node").agg(F.min(mine).alias("pick"), F.min("id").alias("least"))
+    of_head = by_node.join(head_of.hint("merge"), "node").groupBy("head").agg(F.min("pick").alias("pick"), F.min("least").alias("least"))
+    placed = shared.written(of_head.join(parts.withColumnRenamed("node", "head").hint("merge"), "head", "left"), f"{folder}/placed")
+    best = shared.written(placed.where("component is not null").groupBy("component").agg(F.min("pick").alias("pick"), F.min("least").alias("least"), F.count(F.lit(1)).alias("n")), f"{folder}/best")
+    heads = placed.count()
+    large = best.where(F.col("n") * LARGE > heads).select("component", F.col("pick").alias("large_pick"), F.col("least").alias("large_least"))
+    linked = placed.where("component is not null").join(F.broadcast(large), "component", "left")  # fewer than LARGE rows
+    known = placed.where("component is null").select("head", "pick", "least")
+    known = known.unionByName(linked.where("large_pick is not null").select("head", F.col("large_pick").alias("pick"), F.col("large_least").alias("least")))
+    small = linked.where("large_pick is null").select("head", "component").join(best.hint("merge"), "component")  # none has more than one in LARGE of the heads
+    known = known.unionByName(small.select("head", "pick", "least"))
+    by_place = shared.written(head_of.join(known.hint("merge"), "head").select("node", "pick", "least"), f"{folder}/by-place")
+    out = docs.select("id", "text_hash", "n_shingles", "node", "key").join(by_place.hint("merge"), "node", "left")
+    alone = F.col("key").isNull()
     return out.select(
         F.col("id").alias(id_name), "text_hash", "n_shingles",
-        F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
-        (F.col("part").isNull() | mine.eqNullSafe(F.col("pick"))).alias("first"),
+        F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"),
+        (alone | mine.eqNullSafe(F.col("pick"))).alias("first"),
     )
