@@ -113,7 +113,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_html_extraction")
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html_extraction.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    pages = table(spark, sf_dir, "pages")
+    rows = html_extraction.extract(pages, ["page_id", "url"], model=html_extraction.learn(pages, ["page_id", "url"]))
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
