@@ -30,7 +30,10 @@ ranges of gram hashes whose number follows the input, so each stays small.
 
 Cases: null and empty texts give no bytes; a null id is smaller than any other;
 rows of equal id are one document for the comparison; texts shorter than
-``length`` are kept; bytes need not be UTF-8; an empty table gives no rows.
+``length`` are kept; a very long text is taken window by window (its task holds
+about 15 bytes for each of its bytes); bytes need not be UTF-8; an empty table
+gives no rows; clashing column names do not matter, since only the id and text
+columns are read.
 """
 
 from __future__ import annotations
@@ -56,8 +59,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, piece: int = 1 <
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + piece, side="right")) - 1)
         stop = min(stop, n)
         low, high = int(offsets[start]), int(offsets[stop])
-        if high - low >= length:
+        if high - low >= length and high - low <= 2 * piece:
             out.append(_piece(data[low:high], offsets[start : stop + 1] - low, length, low, start))
+        elif high - low >= length:  # one long text: its windows, some at a time
+            for at in range(low, high - length + 1, piece):
+                end = min(high, at + piece + length - 1)
+                out.append(_piece(data[at:end], np.array([0, end - at]), length, at, start))
         start = stop
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
@@ -70,8 +77,6 @@ def _piece(data, offsets, length, low, first):
     grams += eight[8:-8] * np.uint64(0xC2B2AE3D27D4EB4F)
     grams += eight[16:] * np.uint64(0x165667B19E3779F9)
     grams = text.mix64(grams)
-    if len(grams) >= 1 << _POSITION:
-        raise ValueError("a text is longer than 2**28 bytes")
     where = np.uint64((1 << _POSITION) - 1)
     least = (grams & ~where) | np.arange(len(grams), dtype=np.uint64)
     width, have = length - GRAM + 1, 1
