@@ -6,9 +6,10 @@ a text. From labelled texts come the log-count ratios r of each feature
 regression is then fitted on features scaled by r, and a text's score is
 sigmoid(b + sum of w_j r_j over present features).
 
-The classifier is fitted on the driver from a bounded sample: at most
-``per_class`` labelled texts of each class of at most ``longest`` bytes, the
-first by a hash of their id. Class weights undo the sampling. All texts of the
+The classifier is fitted from a bounded sample: at most ``per_class`` labelled
+texts of each class of at most ``longest`` bytes, the first by a hash of their
+id. Workers count the features; the driver solves for at most ``features``
+weights. Class weights undo the sampling. All texts of the
 table are scored, whole, in blocks of bounded size; nothing is shuffled.
 
 Cases: null and empty texts score the intercept; rows without a label or with a
@@ -65,41 +66,19 @@ def _present(own: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, prior: float, bits: int = 20, orders: tuple[int, ...] = (4, 6, 8), features: int = 1 << 12, rounds: int = 200, smooth: float = 1.0, ridge: float = 10.0) -> Model:
-    """``prior``: share of toxic texts among all labelled ones, before sampling."""
+def fit(present: list[np.ndarray], ratio: np.ndarray, toxic: np.ndarray, prior: float, rounds: int = 200, ridge: float = 10.0) -> tuple[np.ndarray, float]:
+    """(weight of each feature, intercept) from the features present in each text, as numbers into ``ratio``.
+
+    ``prior``: share of toxic texts among all labelled ones, before sampling.
+    """
     y = np.asarray(toxic, np.float64)
-    positive, negative = int(y.sum()), int(len(y) - y.sum())
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
     base = float(np.log(prior / (1 - prior)))
-    if not positive or not negative:
-        return Model(bits, orders, np.zeros(1 << bits, np.float32), base)
-    size = 1 << bits
-
-    def present():
-        """(first text, text, bucket) of some texts at a time, so memory stays bounded."""
-        for at in range(0, len(texts), 100):
-            some = texts[at : at + 100]
-            for own, bucket in ngrams(*codes(some), orders, bits):
-                own, bucket = _present(own, bucket, bits)
-                yield (own + at).astype(np.int32), bucket.astype(np.int32)
-
-    p, q = np.zeros(size), np.zeros(size)
-    for own, bucket in present():
-        found, at = np.unique(bucket, return_inverse=True)
-        ones, all_ = np.bincount(at, y[own]), np.bincount(at)
-        p[found] += ones
-        q[found] += all_ - ones
-    ratio = np.log((p + smooth) / (positive + 2 * smooth)) - np.log((q + smooth) / (negative + 2 * smooth))
-    telling = np.abs(ratio) * np.sqrt(p + q) * (p + q >= 3)
-    chosen = np.argsort(-telling, kind="stable")[:features]
-    chosen = np.sort(chosen[telling[chosen] > 0])
-    number = np.full(size, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    kept = [(own[held], number[bucket[held]]) for own, bucket in present() for held in [number[bucket] >= 0]]
-    row, col = (np.concatenate(x) for x in zip(*kept, strict=True))
-    scaled = ratio[chosen][col]
-    share = np.where(y > 0, prior / positive, (1 - prior) / negative)  # weights that sum to 1
-    w, b = np.zeros(len(chosen)), base
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in present])
+    col = np.concatenate(present).astype(np.int32)
+    scaled = ratio.astype(np.float32)[col]
+    positive = y.sum()
+    share = np.where(y > 0, prior / positive, (1 - prior) / (len(y) - positive))  # weights that sum to 1
+    w, b = np.zeros(len(ratio)), base
     first, second, first_b, second_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         margin = b + np.bincount(row, scaled * w[col], len(y))
@@ -111,9 +90,57 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, bits: int = 20, ord
         rate = 0.02 / (1 + t / 100)
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         b -= rate * (first_b / (1 - 0.9**t)) / (np.sqrt(second_b / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(size, np.float32)
-    weights[chosen] = w * ratio[chosen]
-    return Model(bits, orders, weights, float(b))
+    return w * ratio, float(b)
+
+
+def _buckets(bodies: list[bytes], orders: tuple[int, ...], bits: int, some: int = 25):
+    """(first text, text, bucket) of some texts at a time: every n-gram of a text once, so memory stays bounded."""
+    for at in range(0, len(bodies), some):
+        for own, bucket in ngrams(*codes(bodies[at : at + some]), orders, bits):
+            own, bucket = _present(own, bucket, bits)
+            yield own + at, bucket
+
+
+def _count(orders: tuple[int, ...], bits: int):
+    """Worker: in how many texts of each class a feature is present."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ones, all_ = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            y = batch["y"].to_numpy()
+            for own, bucket in _buckets(batch["body"].to_pylist(), orders, bits):
+                np.add.at(all_, bucket, 1)
+                np.add.at(ones, bucket, y[own].astype(np.int32))
+        held = np.flatnonzero(all_)
+        for at in range(0, len(held), 50_000):
+            part = held[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(ones[part].astype(np.int64)), pa.array(all_[part].astype(np.int64))], ["bucket", "ones", "all"])
+
+    return run
+
+
+def _mark(chosen: np.ndarray, orders: tuple[int, ...], bits: int):
+    """Worker: the chosen features that each text has."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        number = np.full(1 << bits, -1, np.int32)
+        number[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            bodies = batch["body"].to_pylist()
+            held: list[list[np.ndarray]] = [[] for _ in bodies]
+            for own, bucket in _buckets(bodies, orders, bits):
+                found = number[bucket]
+                own, found = own[found >= 0], found[found >= 0]
+                for t, part in zip(np.unique(own).tolist(), np.split(found, np.flatnonzero(np.diff(own)) + 1), strict=False):
+                    held[t].append(part)
+            marks = [np.concatenate(h).astype("<i4").tobytes() if h else b"" for h in held]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(marks, pa.binary())], ["doc_id", "y", "marks"])
+
+    return run
 
 
 def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -144,19 +171,40 @@ def score(df: DataFrame, model: Model, keep: list[str], text_name: str = "text",
     return shared.map_texts(df, keep, text_name, lambda columns, body: _score(known, columns, body, block_bytes), **{out: "double"})
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable, per_class: int = 5000, longest: int = 20_000) -> Model:
-    """Fit from the labelled rows for which the column ``usable`` (of doc_id) holds."""
-    import pyarrow as pa
+def learn(
+    docs: DataFrame, labels: DataFrame, usable, per_class: int = 5000, longest: int = 20_000, bits: int = 20, orders: tuple[int, ...] = (4, 6, 8), features: int = 1 << 12, smooth: float = 1.0
+) -> Model:
+    """Fit from the labelled rows for which the column ``usable`` (of doc_id) holds.
 
+    Texts stay on the workers: they count the features there, and the driver gets
+    the chosen features and, for each sampled text, which of them it has.
+    """
+    spark = docs.sparkSession
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    total = sum(counts.values())
+    prior = min(max((counts.get(1, 0) + 0.5) / (total + 1), 1e-4), 1 - 1e-4)
+    nothing = Model(bits, orders, np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior))))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.where("y = 1").orderBy(*order).limit(per_class).unionByName(marked.where("y = 0").orderBy(*order).limit(per_class))
-    texts = docs.where(F.octet_length("text") <= longest).select("doc_id", F.col("text").cast("binary").alias("body"))
+    texts = docs.where(F.octet_length("text") <= longest).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
     once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("body").alias("body"))  # at most 2 x per_class ids are broadcast
-    got = once.orderBy("doc_id").select("y", "body").toPandas()
-    total = sum(counts.values())
-    bodies, toxic = [bytes(x) for x in got["body"]], got["y"].to_numpy()
-    del got
-    pa.default_memory_pool().release_unused()
-    return fit(bodies, toxic, (counts.get(1, 0) + 0.5) / (total + 1))
+    shared.bound_batches(spark)
+    sample = shared.written(once, f"{shared.scratch(spark, 'toxic')}/sample")
+    seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    positive, negative = seen.get(1, 0), seen.get(0, 0)
+    if not positive or not negative:
+        return nothing
+    counted = sample.select("y", "body").mapInArrow(shared.tidy(_count(orders, bits)), "bucket int, ones long, all long").groupBy("bucket").agg(F.sum("ones").alias("p"), F.sum("all").alias("n")).where("n >= 3")
+    ratio = F.log((F.col("p") + smooth) / (positive + 2 * smooth)) - F.log((F.col("n") - F.col("p") + smooth) / (negative + 2 * smooth))
+    telling = counted.select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("n")).alias("telling")).where("telling > 0")
+    best = sorted((r["bucket"], r["ratio"]) for r in telling.orderBy(F.desc("telling"), "bucket").limit(features).collect())
+    if not best:
+        return nothing
+    buckets, ratios = np.array([b for b, _ in best]), np.array([r for _, r in best])
+    got = sample.mapInArrow(shared.tidy(_mark(buckets, orders, bits)), "doc_id long, y int, marks binary").orderBy("doc_id").select("y", "marks").collect()
+    present = [np.frombuffer(r["marks"], "<i4") for r in got]
+    weight, intercept = fit(present, ratios, np.array([r["y"] for r in got]), prior)
+    weights = np.zeros(1 << bits, np.float32)
+    weights[buckets] = weight
+    return Model(bits, orders, weights, intercept)
