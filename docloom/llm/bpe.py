@@ -35,7 +35,7 @@ from docloom.llm import shared, text
 class Vocabulary:
     """Ranks of byte strings; a token's id is its rank. Bounded by the vocabulary file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 80_000):
         self.pattern, self.ranks, self.remember = pattern, ranks, remember
         size = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * size
@@ -185,7 +185,7 @@ class Encoder:
     words, however long a text or a block is.
     """
 
-    def __init__(self, vocabulary: Vocabulary, run: int = 50_000, fresh: int = 50_000):
+    def __init__(self, vocabulary: Vocabulary, run: int = 50_000, fresh: int = 40_000):
         import regex
 
         self.vocabulary, self.run, self.fresh = vocabulary, run, fresh
@@ -267,7 +267,7 @@ def _encode(vocabulary, columns: list[str], text_name: str, block_bytes: int):
     return run
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text_name: str = "text", keep: list[str] | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary, text_name: str = "text", keep: list[str] | None = None, block_bytes: int = 2 << 20) -> DataFrame:
     """Columns ``keep`` (all but the text by default), n_tokens and ids (little-endian uint32); columns of these two names are replaced."""
     keep = [c for c in (df.columns if keep is None else keep) if c != text_name and c not in ("ids", "n_tokens")]
     shared.bound_batches(df.sparkSession)

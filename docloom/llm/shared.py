@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 #: Folder where spark.checkpoint.dir is unset; only for a session on one machine.
 FALLBACK = "file:///tmp/checkpoints"
 #: Bytes of one Arrow batch of whole texts; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _scopes: list[list[str]] = []
 

@@ -70,21 +70,27 @@ def test_exact_groups(odd, odd_rows, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
-def test_index_doubles_splits_and_chains():
+def test_index_doubles_splits_and_chains(tmp_path):
     rng = random.Random(2)
-    keys = [rng.getrandbits(63) for _ in range(5000)]
-    index = exact_dedup.ExtendibleHash(capacity=4)
-    for entry, key in enumerate(keys):
-        index.add(key, entry)
-    index.add(keys[7], 9999)
-    assert index.depth >= 10 and len(index.directory) == 1 << index.depth
-    assert all(len(held) <= 4 for _, held in index.buckets)
-    assert all(entry in index.chain(key) for entry, key in enumerate(keys))
-    assert index.chain(keys[7]) == [7, 9999]
-    assert sum(1 for _ in index.pages()) == len(index.buckets) + 1
-
-
-def test_equal_keys_of_different_texts_stay_apart(spark, tmp_path, monkeypatch):
+    keys = [rng.getrandbits(63) for _ in range(3000)]
+    body = lambda i: exact_dedup_zstd(str(i).encode())
+    pages = exact_dedup.Pages(f"file://{tmp_path}", 0, 1)
+    index = exact_dedup.ExtendibleHash(63, pages, capacity=4, most_held=3)
+    for i, key in enumerate(keys):
+        index.add(key, len(str(i)), body(i), i, "b", i, 1)
+    index.add(keys[7], 1, body(5), 9999, "c", 0, 1)  # the same key for another text
+    index.add(keys[7], 1, body(7), 8888, "d", 0, 5)  # the same text again
+    index.save()
+    again = exact_dedup.ExtendibleHash(63, exact_dedup.Pages(f"file://{tmp_path}", 0, 2), capacity=4, most_held=3)
+    assert again.depth >= 9 and len(again.directory) == 1 << again.depth and again.n == 3001
+    assert all(len(again._open(b)) <= 4 for b in range(len(again.files)))
+    assert len(again.held) == 3
+    assert all(again.chain(key)[0].rec == i for i, key in enumerate(keys) if i != 7)
+    assert [(e.max_id, e.n, e.block) for e in again.chain(keys[7])] == [(8888, 6, "d"), (9999, 1, "c")]
+    assert again.chain(keys[8])[0].max_id == 8 and again.add(123, 1, body(1), None, "e", 0, 1).number == 3001
+
+
+def test_equal_keys_of_different_texts_stay_apart(spark, tmp_path):
     rows = [("b", 0, 5, 1, exact_dedup_zstd(b"x"), 1, 1), ("b", 1, 5, 1, exact_dedup_zstd(b"y"), 2, 1), ("c", 0, 5, 1, exact_dedup_zstd(b"x"), 3, 1)]
     df = spark.createDataFrame(rows, "block string, rec int, key long, n_bytes long, body binary, max_id long, n long").coalesce(1)
     got = df.mapInArrow(exact_dedup._own(f"file://{tmp_path}", 64, 1), exact_dedup.OWNED).collect()
@@ -92,6 +98,24 @@ def test_equal_keys_of_different_texts_stay_apart(spark, tmp_path, monkeypatch):
     assert [p.name for p in tmp_path.iterdir()]
 
 
+def test_a_second_batch_is_answered_from_the_stored_index(spark, tmp_path):
+    """All batches so far count, whatever their sizes; the first index is small and its pages split later."""
+    rng = random.Random(31)
+    texts = [sentence(rng, 3) for _ in range(700)]
+    rows = [(i, rng.choice(texts)) for i in range(2400)]
+    seen: dict[str, list[int]] = {}
+    for name, some in (("0", rows[:100]), ("1", rows[100:900]), ("2", rows[900:])):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        got = exact_dedup.exact_groups(df, block_bytes=5000, capacity=4, index=f"file://{tmp_path}/index", batch=name).collect()
+        for i, t in some:
+            seen.setdefault(t, []).append(i)
+        of = dict(some)
+        assert len(got) == len(some)
+        for r in got:
+            ids = seen[of[r.doc_id]]
+            assert (r.keep_id, r.group_size, r.kept) == (max(ids), len(ids), r.doc_id == max(ids))
+
+
 def exact_dedup_zstd(raw):
     import pyarrow as pa
 
@@ -176,7 +200,7 @@ def slow_minhash(raw: bytes, slots: int, ell: int) -> list[int]:
     seen: dict[int, int] = {}
     elements = []
     for g in map(mix, grams):
-        t = seen[g >> 28] = seen.get(g >> 28, -1) + 1
+        t = seen[g] = seen.get(g, -1) + 1
         elements.append((mix(g + t * 0x9E3779B97F4A7C15) if t else g, g))
     out = []
     for s in range(1, slots + 1):
@@ -198,6 +222,8 @@ def test_order_minhash_is_its_definition():
     offsets = np.cumsum([0, *map(len, texts)])
     got = fingerprints.order_minhash(np.frombuffer(b"".join(texts), np.uint8), offsets, 8, 3)
     assert got.tolist() == [slow_minhash(t, 8, 3) for t in texts]
+    by_class = fingerprints.order_minhash(np.frombuffer(b"".join(texts), np.uint8), offsets, 8, 3, long=100)
+    assert by_class.tolist() == got.tolist()
 
 
 def test_likeness_falls_with_edits_and_with_moves():
@@ -215,13 +241,24 @@ def test_likeness_falls_with_edits_and_with_moves():
 def test_next_rows(spark, none):
     rng = random.Random(3)
     ids = rng.sample(range(10_000), 500)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "null")], "doc_id long, text string").repartition(7)
-    got = {r.text: r.next_text for r in fingerprints.with_next(df, "doc_id", "text", ["text"], rows_per_range=16).collect()}
-    order = ["null", *(f"t{i}" for i in sorted(ids))]
+    rows = [(i, f"t{i}", 1) for i in ids] + [(None, f"null{j}", 2) for j in range(120)] + [(77_000, f"hot{j}", 3) for j in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").withColumn("tie", F.xxhash64("text")).repartition(7)
+    got = {r.text: r.next_text for r in fingerprints.with_next(df, "doc_id", "tie", ["text"], rows_per_range=16).collect()}
+    order = [t for _, _, t in sorted((fingerprints.LEAST if i is None else i, xxhash.xxh64_intdigest(t, seed=42) - (xxhash.xxh64_intdigest(t, seed=42) >> 63 << 64), t) for i, t, _ in rows)]
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
-    one = spark.createDataFrame([(5, "x")], "doc_id long, text string")
-    assert fingerprints.with_next(one, "doc_id", "text", ["text"]).first().next_text == "x"
-    assert fingerprints.with_next(none, "doc_id", "text", ["text"]).count() == 0
+    named = df.withColumns({"b": F.lit(1), "ghost": F.lit(2)})
+    dealt = fingerprints.with_next(named, "doc_id", "tie", ["text"], rows_per_range=16)
+    assert dealt.columns == [*named.columns, "next_text"] and {r.b for r in dealt.collect()} == {1}
+    one = spark.createDataFrame([(5, "x", 1)], "doc_id long, text string, tie long")
+    assert fingerprints.with_next(one, "doc_id", "tie", ["text"]).first().next_text == "x"
+    assert fingerprints.with_next(one.where("1 = 0"), "doc_id", "tie", ["text"]).count() == 0
+
+
+def test_a_hot_id_fills_many_ranges():
+    splits = fingerprints._split_points([3, 7, 7, 7, 7, 9])
+    ties = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 4000)
+    sizes = np.bincount(fingerprints._range_of(splits, np.full(4000, 7), ties))
+    assert sizes[sizes > 0].max() < 1400 and (sizes > 0).sum() >= 4
 
 
 def test_fingerprint_query(spark, sf_dir):
