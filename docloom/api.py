@@ -8,7 +8,7 @@ split; every method returns a DataFrame and runs nothing until it is read
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,12 @@ class Corpus:
     id: str = "doc_id"
     text: str = "text"
     title: str | None = None
+    index: str | None = None
+
+    def store_index(self, path: str, parts: int = 256) -> Corpus:
+        """Write the lexical index once; searches of the object returned read the folders of their terms instead of the texts."""
+        r.store_postings(self.documents, path, self.text, self.id, parts)
+        return replace(self, index=path)
 
     def filtered(self, filters: dict[str, Sequence] | None = None, unknown_stays: Sequence[str] = ()) -> DataFrame:
         """One filter struct for every branch: a list per column; columns in ``unknown_stays`` also keep null and ''."""
@@ -45,10 +51,10 @@ class Corpus:
             raise ValueError("page starts at 1, limit is 1 to 50")
         docs = self.filtered(filters)
         wanted = r.query_terms(queries)
-        matched = r.match_counts(r.term_hits(docs, wanted, self.text, self.id), wanted).withColumn("whole", F.col("n_hit") == F.col("n_wanted"))
-        n_all = F.sum(F.col("whole").cast("int")).over(Window.partitionBy("query_id"))
-        lexical = matched.withColumn("n_all", n_all).where(F.col("whole") | (F.col("n_all") < few)).withColumn("score", F.round("score", 6))
-        legs = [r.ranked(lexical, [F.desc("whole"), F.desc("score"), F.asc("id")], depth).select("query_id", "id", "rank", F.lit(1).alias("leg"))]
+        hits = r.stored_hits(self.index, wanted)[0] if self.index else r.term_hits(docs, wanted, self.text, self.id)
+        if self.index and filters:
+            hits = hits.join(docs.select(F.col(self.id).alias("id")), "id", "left_semi")
+        legs = [r.with_fallback(r.match_counts(hits, wanted), few, depth).select("query_id", "id", "rank", F.lit(1).alias("leg"))]
         if self.vectors is not None and "vector" in queries.columns:
             near = self.vectors.join(docs.select(F.col(self.id).alias("id")), "id", "left_semi") if filters else self.vectors
             legs.append(r.knn(near, queries, depth).select("query_id", "id", "rank", F.lit(0).alias("leg")))
@@ -99,5 +105,5 @@ class Corpus:
         named = exact.select("id").distinct().withColumn("exact", F.lit(True)) if exact is not None else best.select("id", F.lit(False).alias("exact")).where("1 = 0")
         rows = best.join(named, "id", "full").select(F.lit(0).alias(group), "id", (F.coalesce("score", F.lit(0.0)) + F.when(F.col("exact"), 0.5).otherwise(0.0)).alias("score"), F.coalesce("exact", F.lit(False)).alias("exact"))
         rows = rows.withColumn("title", F.lit(""))
-        kept = rerank.dropoff_min_results(rows, [group], "score", "exact", "title", "id")
+        kept = rerank.dropoff_min_results(rows, [group], "score", "exact", ["title"], "id")
         return rerank.exact_first(kept, [group], "score", "exact", "id").where(F.col("rank") <= keep).select("id", "score", "exact", "rank")

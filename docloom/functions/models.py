@@ -51,8 +51,11 @@ def register_scorer(spark: SparkSession, name: str, score, batch: int = 100) ->
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """SQL table functions: segment_paragraphs(text), parse_sections(html), plan_chunks(text, most)."""
-    from docloom.operators import paragraphs
+    """SQL table functions: segment_paragraphs(text), parse_sections(html), plan_chunks(text, most).
+
+    They take one text a call; for whole tables use the operators, which work on batches.
+    """
+    from docloom.operators import paragraphs, triage
 
     @F.udtf(returnType=paragraphs.SPANS, useArrow=False)
     class Segments:
@@ -66,21 +69,14 @@ def register_table_functions(spark: SparkSession) -> None:
 
             for i, part in enumerate(re.split(r"<(?:p|h1|li)>", page or "")[1:], 1):
                 body = " ".join(re.sub(r"<[^>]*>", " ", part).split())
-                if len(body) >= 20 and i <= 999:
-                    yield i, body[:20_000]
+                if len(body) >= 20:
+                    yield i, body
 
-    @F.udtf(returnType="chunk int, body string", useArrow=False)
+    @F.udtf(returnType="chunk int, first_token int, last_token int, chars int", useArrow=False)
     class Chunks:
         def eval(self, text, most: int):
-            held, size, chunk = [], 0, 0
-            for part in (text or "").split("\n\n"):
-                if held and size + len(part) > most:
-                    yield chunk, "\n\n".join(held)
-                    held, size, chunk = [], 0, chunk + 1
-                held.append(part)
-                size += len(part)
-            if any(held):
-                yield chunk, "\n\n".join(held)
+            for chunk, part in enumerate(triage.plan_text(text or "", most)):
+                yield chunk, *part
 
     spark.udtf.register("segment_paragraphs", Segments)
     spark.udtf.register("parse_sections", Sections)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import STOP_WORDS, terms
+from docloom.functions.text import STOP_WORDS, TERM_GAP, terms
 
 #: Query vectors that one pass compares; more are handled in further passes.
 QUERIES_A_PASS = 4096
@@ -78,6 +78,18 @@ def cells(vectors: DataFrame, n_cells: int, seed: int = 7) -> tuple[DataFrame, l
     return model.transform(ready).select("id", "vector", "cell"), [list(map(float, c)) for c in model.clusterCenters()]
 
 
+def store_cells(index: DataFrame, centres: list, path: str) -> None:
+    """Keep an inverted-file index: the vectors in one folder per cell, and the centres; built once, then searched by its cells."""
+    index.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    index.sparkSession.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def stored_cells(spark, path: str) -> tuple[DataFrame, list]:
+    """(index, centres) of a stored index; a search prunes the folders of other cells."""
+    centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()]
+    return spark.read.parquet(f"{path}/vectors"), centres
+
+
 def knn_probe(index: DataFrame, centres: list, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """Approximate kNN over the nearest cells of each query only; a partitioned index is pruned to them."""
     spark = index.sparkSession
@@ -93,8 +105,8 @@ def knn_probe(index: DataFrame, centres: list, queries: DataFrame, k: int, probe
 
 def postings(docs: DataFrame, text: str = "text", id_name: str = "doc_id", stop: Sequence[str] = STOP_WORDS, field: str | None = None, weight: float = 1.0) -> DataFrame:
     """(id, term, tf, field, weight); the counts combine before the shuffle."""
-    words = F.filter(terms(F.col(text)), lambda x: ~x.isin(list(stop)))
-    rows = docs.select(F.col(id_name).alias("id"), F.explode(words).alias("term"))
+    split = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text"))).select("id", F.split(F.lower("text"), TERM_GAP).alias("words"))
+    rows = split.select("id", F.explode_outer("words").alias("term")).where(~F.col("term").isin("", *stop))
     counted = rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counted.withColumn("field", F.lit(field or text)).withColumn("weight", F.lit(float(weight)))
 
@@ -104,17 +116,56 @@ def query_terms(queries: DataFrame, stop: Sequence[str] = STOP_WORDS) -> DataFra
     return queries.select("query_id", F.explode(F.array_distinct(F.filter(terms(F.col("q")), lambda x: ~x.isin(list(stop))))).alias("term"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan gives fewer tasks than there are cores (one small file); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def tokenised(docs: DataFrame, text: str = "text", id_name: str = "doc_id") -> DataFrame:
+    """(id, words, n_terms): each text is split once; the empty pieces at its ends do not count."""
+    lean = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text")))
+    split = lean.select("id", F.split(F.lower("text"), TERM_GAP).alias("words"))
+    return split.select("id", "words", (F.size("words") - F.size(F.filter("words", lambda x: x == ""))).alias("n_terms"))
+
+
 def term_hits(docs: DataFrame, wanted: DataFrame, text: str = "text", id_name: str = "doc_id") -> DataFrame:
     """(id, term, tf, n_terms) for wanted terms only.
 
     The distinct wanted terms (those of the queries at hand) filter each
-    document's term array before it is exploded, so the index of the whole
-    corpus is never shuffled.
+    document's words before they are exploded, so the index of the whole
+    corpus is never shuffled, and nothing above the explode needs the text.
     """
     listed = sorted(r[0] for r in wanted.select("term").distinct().collect())
-    all_terms = terms(F.col(text))
-    lean = docs.select(F.col(id_name).alias("id"), F.size(all_terms).alias("n_terms"), F.explode(F.filter(all_terms, lambda x: x.isin(listed))).alias("term"))
-    return lean.groupBy("id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = tokenised(docs, text, id_name).select("id", "n_terms", F.filter("words", lambda x: x.isin(listed)).alias("held"))
+    # the outer form, as Spark guards the other with filters that split the text again
+    found = held.select("id", "n_terms", F.explode_outer("held").alias("term")).where("term is not null")
+    return found.groupBy("id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def store_postings(docs: DataFrame, path: str, text: str = "text", id_name: str = "doc_id", parts: int = 256) -> None:
+    """Write the lexical index of a corpus: postings in ``parts`` folders by the hash of their term, and the corpus statistics.
+
+    For corpora that are searched more than once: a search then reads the folders
+    of its own terms, and never a text.
+    """
+    words = tokenised(docs, text, id_name).select("id", "n_terms", F.explode_outer("words").alias("term")).where("term <> ''")
+    counted = words.groupBy("id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+    salt = F.pmod(F.xxhash64("id"), F.lit(8))  # a very common term's folder is written by several tasks
+    counted.select("*", part).repartition("part", salt).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    corpus_stats(docs, text).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def stored_hits(path: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term_hits, one row of statistics) from a stored index; reads only the folders of the wanted terms."""
+    spark = wanted.sparkSession
+    stats = spark.read.parquet(f"{path}/stats")
+    parts = stats.first()["parts"]
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    listed = [(r["term"], r["part"]) for r in wanted.select("term", part.alias("part")).distinct().collect()]
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(sorted({p for _, p in listed})) & F.col("term").isin(sorted(t for t, _ in listed)))
+    return rows.select("id", "n_terms", "term", "tf"), stats.select("n", "avgdl")
 
 
 def match_counts(hits: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -125,16 +176,45 @@ def match_counts(hits: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(F.broadcast(sizes), "query_id")
 
 
-def bm25(docs: DataFrame, hits: DataFrame, wanted: DataFrame, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) by Okapi BM25, with document frequencies and lengths of the whole corpus."""
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: number of texts and their mean number of terms, null texts counting 0."""
+    rows = tokenised(docs.select(F.lit(0).alias("id"), text), text, "id")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("words").isNull(), 0).otherwise(F.col("n_terms"))).alias("avgdl"))
+
+
+def bm25(stats: DataFrame, hits: DataFrame, wanted: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) by Okapi BM25, with document frequencies and lengths of the whole corpus (corpus_stats)."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats))  # the terms of the queries at hand, one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avgdl")))
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+def with_fallback(matched: DataFrame, few: int, k: int) -> DataFrame:
+    """First k matches of each query, those with all terms first; the others only where fewer than ``few`` (at most k) have all.
+
+    Those with all terms lead the ranking, so they can be counted among the k
+    rows that are kept: no task sees all matches of a query.
+    """
+    if few > k:
+        raise ValueError("few must be at most k")
+    rows = matched.select("query_id", "id", (F.col("n_hit") == F.col("n_wanted")).alias("whole"), F.round("score", 6).alias("score"))
+    top = ranked(rows, [F.desc("whole"), F.desc("score"), F.asc("id")], k)
+    n_all = F.sum(F.col("whole").cast("int")).over(Window.partitionBy("query_id"))
+    return top.withColumn("n_all", n_all).where(F.col("whole") | (F.col("n_all") < few)).drop("n_all")
+
+
+def phrase_bonus(docs: DataFrame, queries: DataFrame, bonus: float, text: str = "text", id_name: str = "doc_id") -> DataFrame:
+    """(query_id, id, bonus) of the texts that hold all terms of a query in a row; the phrases of the queries at hand are literals."""
+    plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), TERM_GAP, " ")), F.lit(" "))
+    held = [(r["query_id"], r["p"]) for r in queries.select("query_id", plain(F.col("q")).alias("p")).collect() if r["p"].strip()]
+    rows = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text"))).select("id", plain(F.col("text")).alias("body"))
+    hits = F.array_compact(F.array(*[F.when(F.contains("body", F.lit(p)), F.lit(q)) for q, p in held])) if held else F.array().cast("array<bigint>")
+    found = rows.select("id", hits.alias("hits")).where(F.size("hits") > 0)
+    return found.select(F.explode("hits").alias("query_id"), "id", F.lit(float(bonus)).alias("bonus"))
+
+
 def ranked(df: DataFrame, by: Sequence[Column], k: int, group: Sequence[str] = ("query_id",), name: str = "rank") -> DataFrame:
     """First k rows of each group, numbered from 1."""
     w = Window.partitionBy(*group).orderBy(*by)
@@ -194,14 +274,15 @@ def cover_density(docs: DataFrame, wanted: DataFrame, text: str = "text", id_nam
     by: dict[int, list[str]] = {}
     for r in wanted.collect():
         by.setdefault(r["query_id"], []).append(r["term"])
-    lean = docs.select(F.col(id_name).alias("id"), F.col(text).alias("text"))
+    lean = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text")))
     return lean.mapInArrow(_covers(by, frozenset()), "query_id long, id long, score double")
 
 
-def headline(text: Column, wanted: Sequence[str], fragments: int = 2, most_words: int = 30) -> Column:
-    """Up to two fragments of at most thirty words around the first hits, hits in <b> tags."""
+def headline(text: Column, wanted: Column | Sequence[str], fragments: int = 2, most_words: int = 30) -> Column:
+    """Up to two fragments of at most thirty words around the first hits, hits in <b> tags; ``wanted`` may be an array column."""
     words = F.split(F.trim(text), r"\s+")
-    hit = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "").isin(list(wanted))
+    among = (lambda w: F.array_contains(wanted, w)) if isinstance(wanted, Column) else (lambda w: w.isin(list(wanted)))
+    hit = lambda w: among(F.regexp_replace(F.lower(w), TERM_GAP, ""))
     places = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
     first = F.greatest(F.try_element_at(places, F.lit(1)) - 5, F.lit(0))
     later = F.filter(places, lambda i: i >= first + most_words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import STOP_WORDS, boundary_any, classify_query, terms
+from docloom.functions.text import STOP_WORDS, classify_query, terms
 from docloom.operators import retrieval as r
 from docloom.plans.registry import query
 from docloom.sources.tables import table
@@ -135,7 +135,7 @@ scored AS (SELECT w.query_id, h.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 @query("bm25_rank", LEXICAL_SQL + _BM25 + _RANKED.format("scored"))
 def bm25_rank(spark, sf_dir):
     docs, wanted, hits, _ = _lexical(spark, sf_dir)
-    return _top(r.bm25(docs, hits, wanted))
+    return _top(r.bm25(r.corpus_stats(docs), hits, wanted))
 
 
 @query("cover_density_rank")
@@ -143,23 +143,26 @@ def cover_density_rank(spark, sf_dir):
     return _top(r.cover_density(table(spark, sf_dir, "documents"), r.query_terms(asked(spark))))
 
 
-@query(
-    "phrase_match",
-    r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-    p AS (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM t)
-    SELECT doc_id, count(*) AS n_phrases FROM p WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY doc_id""",
-)
+#: Added to the lexical score of a text that holds the whole query as a phrase.
+PHRASE_BONUS = 2.0
+_PHRASE_SQL = rf"""WITH p AS (SELECT query_id, ' ' || trim(regexp_replace(lower(q), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS phrase FROM (SELECT query_id, q FROM asked UNION ALL VALUES (6::BIGINT, 'of the'), (7::BIGINT, 'that the'))),
+t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS body FROM documents)"""
+
+
+@query("phrase_match", f"{_PHRASE_SQL.replace('WITH p', f'WITH {ASKED_SQL}, p')} SELECT query_id, doc_id, {PHRASE_BONUS}::DOUBLE AS bonus FROM t JOIN p ON contains(body, phrase)")
 def phrase_match(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, 2147483646), lambda a, b: (a == "of") & (b == "the"))
-    return words.select("doc_id", F.size(F.filter(pairs, lambda x: x)).cast("long").alias("n_phrases")).where("n_phrases > 0")
+    """Texts that hold a query's terms next to each other, in order: they gain a fixed bonus."""
+    phrases = asked(spark).select("query_id", "q").unionByName(spark.createDataFrame([(6, "of the"), (7, "that the")], "query_id long, q string"))
+    return r.phrase_bonus(table(spark, sf_dir, "documents"), phrases, PHRASE_BONUS).withColumnRenamed("id", "doc_id")
 
 
 @query("headline")
 def headline(spark, sf_dir):
+    """Fragments of the first five texts of each query around that query's own terms."""
     docs, wanted, _, matched = _lexical(spark, sf_dir)
-    top = _top(matched, 5).where("query_id = 1")
-    return docs.join(F.broadcast(top), docs.doc_id == top.id).select("doc_id", "rank", r.headline(F.col("text"), ["idiot", "clown", "trash"]).alias("headline"))  # five rows
+    asked_for = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("wanted"))
+    top = _top(matched, 5).join(F.broadcast(asked_for), "query_id")
+    return docs.join(F.broadcast(top), docs.doc_id == top.id).select("query_id", "doc_id", "rank", r.headline(F.col("text"), F.col("wanted")).alias("headline"))  # five rows a query
 
 
 ABBREVIATIONS = (("lic", "license"), ("cop", "copyright"), ("sec", "section"))
@@ -192,10 +195,7 @@ def expand_query(spark, sf_dir):
 )
 def fts_fallback(spark, sf_dir):
     """Rows with all terms; where a query has fewer than ten, rows with any term follow."""
-    matched = _lexical(spark, sf_dir)[3].withColumn("whole", F.col("n_hit") == F.col("n_wanted"))
-    n = F.sum(F.col("whole").cast("int")).over(Window.partitionBy("query_id"))
-    rows = matched.withColumn("n_all", n).where("whole or n_all < 10").select("query_id", "id", "whole", F.round("score", 6).alias("score"))
-    return r.ranked(rows, [F.desc("whole"), F.desc("score"), F.asc("id")], 50)
+    return r.with_fallback(_lexical(spark, sf_dir)[3], few=10, k=50)
 
 
 @query(
@@ -246,13 +246,16 @@ def rrf_fusion(spark, sf_dir):
 
 #: (vector, lexical) weights by kind of query (fixed values).
 LEG_WEIGHTS = {"citation": (0.5, 4.0), "party_name": (0.5, 3.0), "concept": (0.5, 3.0), "section_ref": (1.0, 2.0)}
-_KIND_SQL = """CASE WHEN regexp_matches(q, '(?i)(\\d{4}\\s+\\d*\\s*(scc|air|scr)|air\\s+\\d{4})') THEN 'citation' WHEN regexp_matches(q, '(?i)(section|article|s\\.)\\s*\\d+') THEN 'section_ref'
- WHEN regexp_matches(q, '(?i)(^|[^A-Za-z0-9_])(v\\.|vs\\.?|versus)($|[^A-Za-z0-9_])') THEN 'party_name' ELSE 'concept' END"""
+_KIND_SQL = r"""CASE WHEN regexp_matches(q, '(?i)\d{4}\s+SCC\s+\d+|\d{4}\s+AIR\s+SC') THEN 'citation' WHEN regexp_matches(q, '(?i)section\s+\d+[A-Z]?\s+(of\s+)?[\p{L}\p{N}_]+') THEN 'section_ref'
+ WHEN contains(q, ' v. ') OR contains(lower(q), ' vs ') OR contains(lower(q), ' versus ') THEN 'party_name' ELSE 'concept' END"""
+
 
+_MORE_QUERIES = ((6, "2019 SCC 1"), (7, "plain words"), (8, "1950 air sc 27"), (9, "Section 9"), (10, "section 302A ipc"), (11, "A v B"), (12, "x versus y"), (13, "Article 21"))
 
-@query("classify_query", f"WITH {ASKED_SQL} SELECT query_id, q, {_KIND_SQL} AS kind FROM (SELECT query_id, q FROM asked UNION ALL VALUES (6::BIGINT, '2019 5 SCC 1'), (7::BIGINT, 'plain words'))")
+
+@query("classify_query", f"WITH {ASKED_SQL} SELECT query_id, q, {_KIND_SQL} AS kind FROM (SELECT query_id, q FROM asked UNION ALL VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in _MORE_QUERIES) + ")")
 def classify(spark, sf_dir):
-    more = spark.createDataFrame([(6, "2019 5 SCC 1"), (7, "plain words")], "query_id long, q string")
+    more = spark.createDataFrame(list(_MORE_QUERIES), "query_id long, q string")
     return asked(spark).select("query_id", "q").unionByName(more).select("query_id", "q", classify_query(F.col("q")).alias("kind"))
 
 
@@ -350,26 +353,35 @@ def hybrid_search(spark, sf_dir):
     return docs.join(F.broadcast(top.withColumnRenamed("id", "doc_id")), "doc_id").select("query_id", "rank", "doc_id", "score", "lang", "source", "snippet")  # ten rows a query
 
 
+#: A provision and what names its act, and an article (fixed values).
+SECTION_REF = r"[Ss]ections?\s+(\d+[A-Za-z]{0,2})(?:\s*\([0-9A-Za-z]+\))?[\s,]*(?:of\s+(?:the\s+)?)?([A-Za-z][A-Za-z ,\.\-()]{0,70})?"
+ARTICLE_REF = r"[Aa]rticles?\s+(\d+[A-Za-z]?(?:-[A-Za-z])?)"
+#: Code of the act whose articles are cited.
+ARTICLES_OF = "COI"
 #: (alias, code), longest alias first when resolved.
-ALIASES = (("license act", "LA"), ("license", "L"), ("copyright act", "CA"), ("data act", "DA"))
-_REFS = "('Section 12 of the License Act and Section 7 data act'), ('see section 302A copyright act; Article 21'), ('no reference'), ('Section 9')"
+ALIASES = (("license act", "LA"), ("license", "L"), ("copyright act", "CA"), ("data act", "DA"), ("ipc", "IPC"))
+_BODIES = (
+    "Section 12 of the License Act, then Section 7, data act", "see section 302A copyright act; Article 21", "no reference", "Section 9", "sections 13(2) of the data act and articles 14 or 19",
+    "Section 41A IPC. Article 51A-B", "Section 5 of recipcoat", "Section 3 of the license and copyright act",
+)
 
 
 @query(
     "extract_refs",
-    f"""WITH t(body) AS (VALUES {_REFS}), m AS (SELECT body, unnest(regexp_extract_all(lower(body), 'section\\s+\\d+[a-z]?[^;,]{{0,25}}')) AS ref FROM t),
-    p AS (SELECT body, regexp_extract(ref, 'section\\s+(\\d+[a-z]?)', 1) AS section, regexp_extract(ref, 'section\\s+\\d+[a-z]?(.*)', 1) AS tail FROM m),
-    a(alias, code) AS (VALUES ('license act', 'LA'), ('license', 'L'), ('copyright act', 'CA'), ('data act', 'DA'))
-    SELECT DISTINCT body, section, first(code ORDER BY length(alias) DESC, alias) AS code FROM p JOIN a ON regexp_matches(tail, '(^|[^a-z0-9_])' || alias || '($|[^a-z0-9_])') GROUP BY body, section, tail""",
+    rf"""WITH t(body) AS (VALUES {", ".join(f"('{b}')" for b in _BODIES)}), m AS (SELECT body, unnest(regexp_extract_all(body, '{SECTION_REF}')) AS ref FROM t),
+    p AS (SELECT body, ref, regexp_extract(ref, '{SECTION_REF}', 1) AS section, lower(regexp_extract(ref, '{SECTION_REF}', 2)) AS tail FROM m),
+    a(alias, code) AS (VALUES {", ".join(f"('{x}', '{c}')" for x, c in ALIASES)})
+    SELECT DISTINCT body, section, first(code ORDER BY length(alias) DESC, alias) AS code FROM p JOIN a ON regexp_matches(tail, '(^|[^a-z])' || alias || '($|[^a-z])') GROUP BY body, section, ref, tail
+    UNION SELECT DISTINCT body, unnest(regexp_extract_all(body, '{ARTICLE_REF}', 1)), '{ARTICLES_OF}' FROM t""",
 )
 def extract_refs(spark, sf_dir):
-    """(section, code) references: the tail names a code by its longest whole-word alias."""
-    bodies = [("Section 12 of the License Act and Section 7 data act",), ("see section 302A copyright act; Article 21",), ("no reference",), ("Section 9",)]
-    rows = spark.createDataFrame(bodies, "body string")
-    rows = rows.select("body", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"(section\s+\d+[a-z]?[^;,]{0,25})"), 1)).alias("ref"))
-    rows = rows.select("body", F.regexp_extract("ref", r"section\s+(\d+[a-z]?)", 1).alias("section"), F.regexp_extract("ref", r"section\s+\d+[a-z]?(.*)", 1).alias("tail"))
-    code = F.coalesce(*[F.when(boundary_any(F.col("tail"), [a]), c) for a, c in sorted(ALIASES, key=lambda x: (-len(x[0]), x[0]))])
-    return rows.select("body", "section", code.alias("code")).where("code is not null").distinct()
+    """(number, code) of the provisions that a text names: a section with the longest whole-word alias in what follows it, and articles."""
+    rows = spark.createDataFrame([(b,) for b in _BODIES], "body string")
+    named = rows.select("body", F.explode(F.regexp_extract_all("body", F.lit(SECTION_REF), 0)).alias("ref"))
+    named = named.select("body", F.regexp_extract("ref", SECTION_REF, 1).alias("section"), F.lower(F.regexp_extract("ref", SECTION_REF, 2)).alias("tail"))
+    code = F.coalesce(*[F.when(F.rlike("tail", F.lit(f"(^|[^a-z]){a}($|[^a-z])")), c) for a, c in sorted(ALIASES, key=lambda x: (-len(x[0]), x[0]))])
+    articles = rows.select("body", F.explode(F.regexp_extract_all("body", F.lit(ARTICLE_REF), 1)).alias("section"), F.lit(ARTICLES_OF).alias("code"))
+    return named.select("body", "section", code.alias("code")).where("code is not null").unionByName(articles).distinct()
 
 
 @query(
@@ -422,15 +434,50 @@ def paragraph_label(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"))
 
 
+#: A reported case, and a section of an act by its code (fixed values).
+CASE_CITATION = r"\(\d{4}\)\s*\d+\s*SCC\s*\d+"
+CODES = ("IPC", "CrPC", "CPC")
+SECTION_CITATION = rf"Section\s*\d+[A-Z]?\s*(?:of\s*(?:the\s*)?)?(?:{'|'.join(sorted(CODES, key=len, reverse=True))})\b"
+_DRAFT_SQL = "SELECT doc_id, text || ' As held in (2001) 4 SCC ' || doc_id || ' and (19' || (10 + doc_id % 90) || ') 2 SCC 7, under Section ' || (doc_id % 70) || CASE WHEN doc_id % 3 = 0 THEN 'A of the CrPC.' ELSE ' IPC.' END || ' (2001) 4 SCC ' || doc_id AS body FROM documents"
+
+
 @query(
     "verify_citations",
-    """WITH c AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS cite FROM documents),
-    k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS cite FROM benchmark)
-    SELECT doc_id, count(*) AS n_citations, count(k.cite) AS n_verified FROM c LEFT JOIN k USING (cite) GROUP BY doc_id""",
+    rf"""WITH d AS ({_DRAFT_SQL}),
+    c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '{CASE_CITATION}')) AS citation FROM d),
+    s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '{SECTION_CITATION}')) AS citation FROM d),
+    cases AS (SELECT 'SLP in (2001) 4 SCC ' || o_orderkey || ', civil' AS name FROM orders),
+    known AS (SELECT DISTINCT citation FROM c JOIN cases ON contains(lower(name), lower(citation))),
+    sections AS (SELECT DISTINCT p_size || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END AS number, CASE WHEN p_partkey % 5 = 0 THEN 'CrPC' ELSE 'IPC' END AS code FROM part)
+    SELECT doc_id, citation, 'case' AS kind, CASE WHEN citation IN (SELECT citation FROM known) THEN 'verified' ELSE 'not_found' END AS status FROM c
+    UNION ALL SELECT doc_id, citation, 'section', CASE WHEN EXISTS (SELECT 1 FROM sections WHERE contains(lower(number), lower(regexp_extract(citation, '(\d+[A-Z]?)', 1))) AND code = regexp_extract(citation, '(IPC|CrPC|CPC)\b', 1)) THEN 'verified' ELSE 'not_found' END FROM s""",
 )
 def verify_citations(spark, sf_dir):
-    """Distinct names cited in each text, and how many exist in the reference table."""
-    found = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{6,})"), 1), lambda x: F.lower(x)))).alias("cite"))
-    known = found(table(spark, sf_dir, "benchmark")).distinct().withColumn("known", F.lit(1))
-    cited = found(table(spark, sf_dir, "documents"), "doc_id").join(known, "cite", "left")
-    return cited.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_citations"), F.count("known").alias("n_verified"))
+    """Distinct case and section citations of each draft, and whether the tables of cases and sections have them.
+
+    A citation is known if it stands inside a case's name, or its number inside
+    a section's number of that act. Both sides become keys (citations with every
+    beginning of their last number, and every part of a short section number),
+    so the joins are equi-joins.
+    """
+    n = F.col("doc_id")
+    draft = F.concat(
+        F.col("text"), F.lit(" As held in (2001) 4 SCC "), n.cast("string"), F.lit(" and (19"), (n % 90 + 10).cast("string"), F.lit(") 2 SCC 7, under Section "), (n % 70).cast("string"),
+        F.when(n % 3 == 0, "A of the CrPC.").otherwise(" IPC."), F.lit(" (2001) 4 SCC "), n.cast("string"),
+    )
+    drafts = table(spark, sf_dir, "documents").select("doc_id", draft.alias("body"))
+    cited = lambda pattern: drafts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), 0))).alias("citation"))
+    names = table(spark, sf_dir, "orders").select(F.lower(F.concat(F.lit("SLP in (2001) 4 SCC "), F.col("o_orderkey").cast("string"), F.lit(", civil"))).alias("name"))
+    last = F.regexp_extract("known", r"(\d+)$", 1)
+    keys = names.select(F.explode(F.regexp_extract_all("name", F.lit(CASE_CITATION.replace("SCC", "scc")), 0)).alias("known"))
+    keys = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length(last)), lambda i: F.concat(F.expr("substring(known, 1, char_length(known) - char_length(regexp_extract(known, '([0-9]+)$', 1)))"), F.substring(last, F.lit(1), i)))).alias("key")).distinct()
+    cases = cited(CASE_CITATION).join(keys.withColumn("hit", F.lit(True)), F.lower("citation") == F.col("key"), "left").select("doc_id", "citation", F.lit("case").alias("kind"), "hit")
+    part = table(spark, sf_dir, "part")
+    number = F.lower(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("")))
+    code = F.when(F.col("p_partkey") % 5 == 0, "CrPC").otherwise("IPC")
+    whole = part.select(number.alias("number"), code.alias("act")).distinct()
+    starts = whole.select("number", "act", F.explode(F.sequence(F.lit(1), F.char_length("number"))).alias("i"))
+    pieces = starts.select("act", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("number") - F.col("i") + 1), lambda k: F.substring("number", F.col("i"), k))).alias("key")).distinct()
+    sections = cited(SECTION_CITATION).select("doc_id", "citation", F.lower(F.regexp_extract("citation", r"(\d+[A-Z]?)", 1)).alias("key"), F.regexp_extract("citation", r"(IPC|CrPC|CPC)\b", 1).alias("act"))
+    sections = sections.join(pieces.withColumn("hit", F.lit(True)), ["key", "act"], "left").select("doc_id", "citation", F.lit("section").alias("kind"), "hit")
+    return cases.unionByName(sections).select("doc_id", "citation", "kind", F.when(F.col("hit"), "verified").otherwise("not_found").alias("status"))

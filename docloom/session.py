@@ -18,9 +18,10 @@ SETTINGS = {
 
 
 def build(app: str = "docloom", cpus: int | str = "*", partitions: int = 8, **more: str) -> SparkSession:
-    """A local session; on a cluster the submitter's own settings win over these."""
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    builder = builder.config("spark.driver.memory", os.environ.get("DOCLOOM_DRIVER_MEMORY", "8g"))
+    """A local session; under spark-submit the submitter's master and memory hold, and only the engine's settings are added."""
+    builder = SparkSession.builder.appName(app)
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # not started by spark-submit
+        builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", os.environ.get("DOCLOOM_DRIVER_MEMORY", "8g"))
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in {**SETTINGS, **more}.items():
         builder = builder.config(key, value)
