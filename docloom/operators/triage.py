@@ -24,6 +24,18 @@ def tier(text: Column, label: Column, primary: Sequence[str], supporting: Sequen
     return F.when(is_template(text), "excluded").when(any_of(supporting), "supporting").when(any_of(primary), "primary").when(mark_count(text, CASE_MARKS) >= 2, "primary").otherwise("excluded")
 
 
+def promote(df: DataFrame, group: Sequence[str], tier_name: str, marks: str, order: str) -> DataFrame:
+    """Where a group has no primary document, its supporting one with the most marks (one at least; the first of equals) becomes primary.
+
+    Groups are told by sums, so no task holds the documents of a large one.
+    """
+    best = F.max(F.when(F.col(tier_name) == "supporting", F.struct(F.col(marks), -F.col(order))))
+    facts = df.groupBy(*group).agg(F.max((F.col(tier_name) == "primary").cast("int")).alias("__primary"), best.alias("__best"))
+    rows = df.join(facts, list(group), "left")
+    chosen = (F.col("__primary") == 0) & (F.col(tier_name) == "supporting") & (F.col(marks) >= 1) & (-F.col(order) == F.col("__best.col2"))
+    return rows.withColumn(tier_name, F.when(chosen, "primary").otherwise(F.col(tier_name))).drop("__primary", "__best")
+
+
 def hint_priority(label: Column, hints: Sequence[str]) -> Column:
     """Place of the first hint in the label, or the number of hints."""
     out = F.lit(len(hints))
@@ -51,38 +63,48 @@ def allocate(df: DataFrame, group: Sequence[str], order: Sequence[str], wanted:
     return df.withColumn(out, given).drop("__upto")
 
 
+def allocate_attempts(df: DataFrame, group: Sequence[str], order: Sequence[str], wanted: str, total: int, out: str = "attempted") -> DataFrame:
+    """Whether a part is attempted: parts in order while their sum stays within the total, and the first one always; none after the first that does not fit."""
+    upto = F.sum(wanted).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
+    return df.withColumn(out, (upto <= total) | first)
+
+
+def plan_text(text: str, most: int, least_letters: int = 10, least_share: float = 0.05) -> list[tuple[int, int, int]]:
+    """(first token, last token, characters) of the chunks of one text; its tokens are paragraphs and the gaps between them."""
+    import re
+
+    out = []
+    tokens = [p for p in re.split(r"(\n\s*\n)", text) if p]
+    flags = []
+    for p in tokens:
+        n = len(re.findall(r"[^\W\d_]", p))
+        other = n - len(re.findall(r"[A-Za-z]", p))
+        flags.append(other >= least_letters and n > 0 and other / n >= least_share)
+    i = 0
+    while i < len(tokens):
+        if not flags[i]:
+            i += 1
+            continue
+        j = last = i
+        size = 0
+        while j < len(tokens) and (flags[j] or not tokens[j].strip()):
+            if flags[j]:
+                if size and size + len(tokens[j]) > most:
+                    break
+                size, last = size + len(tokens[j]), j
+            j += 1
+        out.append((i, last, size))
+        i = last + 1
+    return out
+
+
 def _plan(key: str, text: str, most: int, least_letters: int, least_share: float):
     def run(batches):
-        import re
-
         import pandas as pd
 
-        latin = re.compile(r"[A-Za-z]")
-        letter = re.compile(r"[^\W\d_]")
         for rows in batches:
-            out = []
-            for k, t in zip(rows[key], rows[text], strict=True):
-                tokens = [p for p in re.split(r"(\n\s*\n)", t or "") if p]
-                flags = []
-                for p in tokens:
-                    n = len(letter.findall(p))
-                    other = n - len(latin.findall(p))
-                    flags.append(other >= least_letters and n > 0 and other / n >= least_share)
-                i = chunk = 0
-                while i < len(tokens):
-                    if not flags[i]:
-                        i += 1
-                        continue
-                    j = last = i
-                    size = 0
-                    while j < len(tokens) and (flags[j] or not tokens[j].strip()):
-                        if flags[j]:
-                            if size and size + len(tokens[j]) > most:
-                                break
-                            size, last = size + len(tokens[j]), j
-                        j += 1
-                    out.append((k, chunk, i, last, size))
-                    chunk, i = chunk + 1, last + 1
+            out = [(k, chunk, *part) for k, t in zip(rows[key], rows[text], strict=True) for chunk, part in enumerate(plan_text(t or "", most, least_letters, least_share))]
             yield pd.DataFrame(out, columns=[key, "chunk", "first_token", "last_token", "chars"])
 
     return run

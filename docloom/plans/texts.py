@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import dates
 from docloom.functions import text as ft
-from docloom.operators import paragraphs, triage
+from docloom.operators import matching, paragraphs, triage
 from docloom.operators.retrieval import chunks
 from docloom.plans.registry import query
 from docloom.plans.search import _CHUNK_SQL
@@ -73,25 +73,25 @@ def line_spacing(spark, sf_dir):
 
 # ---- cleaning and paragraphs -------------------------------------------------------------------------------------------------
 
-_NOISY_SQL = "SELECT conv_id, turn, 'Digital Supreme Court Reports' || chr(10) || '12' || chr(10) || 'B' || chr(10) || 'juris-' || chr(10) || 'diction ' || text || chr(8) || chr(10) || '[2019] 5 S.C.R. 77' || chr(10) || ' end' AS raw FROM conversations"
+_NOISY_SQL = "SELECT conv_id, turn, 'Digital Supreme Court Reports' || chr(10) || '12' || chr(10) || 'B' || chr(10) || 'the won-' || chr(10) || 'drous D Tale and E the rest, F' || chr(10) || 'Gone. ' || text || chr(8) || chr(10) || '[2019] 5 S.C.R. 77' || chr(10) || ' end' AS raw FROM conversations"
 
 
 def _noisy(spark, sf_dir):
-    raw = F.concat(F.lit("Digital Supreme Court Reports\n12\nB\njuris-\ndiction "), "text", F.lit("\b\n[2019] 5 S.C.R. 77\n end"))
+    raw = F.concat(F.lit("Digital Supreme Court Reports\n12\nB\nthe won-\ndrous D Tale and E the rest, F\nGone. "), "text", F.lit("\b\n[2019] 5 S.C.R. 77\n end"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"))
 
 
-_WS = r"[ \t\n\x0B\f\r]"
+# a letter is taken with the sign before it and the two letters after it, which no other hit can need: so no look-around
 _CLEAN_SQL = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, chr(8) || '+', ' ', 'g'),"
-    rf" '(?i)\[\d{{4}}\]\s*\d*\s*s\.?c\.?r\.?\s*\d*', ' ', 'g'), '(?i)digital\s+supreme\s+court\s+reports', ' ', 'g'), '(?i)supreme\s+court\s+reports', ' ', 'g'), '(?m)^\s*\d{{1,4}}\s*$', ' ', 'g'),"
-    r" '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '(?m)^\s*[A-H]\s*$', ' ', 'g'), '\s*\n\s*', ' ', 'g'), '\s{2,}', ' ', 'g'))"
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, chr(8) || '+', ' ', 'g'),"
+    r" '(?i)\[\d{4}\]\s*\d*\s*S\.?C\.?R\.?\s*\d*', ' ', 'g'), '(?i)Digital\s+Supreme\s+Court\s+Reports', ' ', 'g'), '(?i)SUPREME\s+COURT\s+REPORTS', ' ', 'g'), '(?m)^\s*\d{1,4}\s*$', ' ', 'g'),"
+    r" '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '(?m)^\s*[A-H]\s*$', ' ', 'g'), '(^|[^A-Za-z])[A-H]\s+([A-Z][a-z])', '\1 \2', 'g'), '\s*\n\s*', ' ', 'g'), '\s{2,}', ' ', 'g'))"
 )
 
 
-@query("clean_ocr", f"SELECT conv_id, turn, {_CLEAN_SQL} AS clean FROM ({_NOISY_SQL}) WHERE NOT regexp_matches(raw, '(^|[^A-Za-z])[A-H]\\s+[A-Z][a-z]')")
+@query("clean_ocr", f"SELECT conv_id, turn, {_CLEAN_SQL} AS clean FROM ({_NOISY_SQL})")
 def clean_ocr(spark, sf_dir):
-    """Page furniture removed from every text; the SQL has no look-around and leaves out texts with a margin letter inside a line, which a test holds against a slow form."""
+    """Page furniture removed from every text."""
     return _noisy(spark, sf_dir).select("conv_id", "turn", ft.clean_page_text(F.col("raw")).alias("clean"))
 
 
@@ -106,16 +106,25 @@ def segment_paragraphs(spark, sf_dir):
     return paragraphs.segment(_numbered(spark, sf_dir), "flat", "conv_id")
 
 
-@query("marker_scan")
+_FLAT_SQL = rf"""flat AS (SELECT conv_id, {_CLEAN_SQL} AS flat FROM (SELECT conv_id, string_agg((turn + 1) || '. The ' || regexp_replace(text, '\d+\.', '', 'g') || '.', chr(10) ORDER BY turn) AS raw FROM conversations GROUP BY conv_id))"""
+
+
+@query(
+    "marker_scan",
+    # candidates are cut at every number; what stands before and after one decides, as RE2 has no look-around
+    rf"""WITH {_FLAT_SQL}, p AS (SELECT conv_id, flat, regexp_extract_all(flat, '\d+|[^\d]+') AS parts FROM flat),
+    u AS (SELECT conv_id, flat, parts, unnest(range(1, len(parts) + 1)) AS i FROM p),
+    o AS (SELECT conv_id, i, parts[i] AS part, parts[i - 1] AS before, parts[i + 1] AS following, sum(length(parts[i])) OVER (PARTITION BY conv_id ORDER BY i) - length(parts[i]) AS pos FROM u)
+    SELECT conv_id, pos::BIGINT AS "at", part::INTEGER AS number FROM o WHERE regexp_matches(part, '^\d{{1,3}}$') AND regexp_matches(following, '^\.\s+[A-Z“"(]') AND (i = 1 OR regexp_matches(before, '[.:?!”")]\s+$') OR (i = 2 AND regexp_matches(before, '^\s*$')))""",
+)
 def marker_scan(spark, sf_dir):
-    """Candidate markers (number, place) of each text, by the pattern alone."""
-    found = _numbered(spark, sf_dir).select("conv_id", F.posexplode(F.regexp_extract_all("flat", F.lit(paragraphs.MARKER), 1)).alias("at", "number"))
-    return found.select("conv_id", "at", F.col("number").cast("int").alias("number"))
+    """Candidate markers of each text: number and offset, by the pattern alone."""
+    return paragraphs.markers(_numbered(spark, sf_dir), "flat", "conv_id")
 
 
 @query(
     "para_spans",
-    """WITH l AS (SELECT conv_id, turn, length(text) + 1 AS n FROM conversations), s AS (SELECT conv_id, turn + 1 AS para_number, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n)::BIGINT AS start, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS "end" FROM l WHERE turn % 4 <> 2)
+    """WITH l AS (SELECT conv_id, turn, length(text) + 1 AS n FROM conversations), s AS (SELECT conv_id, turn + 1 + turn // 3 AS para_number, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n)::BIGINT AS start, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS "end" FROM l)
     SELECT conv_id, para_number, start, "end", CASE WHEN lead(para_number) OVER w > para_number + 1 THEN lead(para_number) OVER w - 1 END AS para_number_end FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY para_number)""",
 )
 def para_spans(spark, sf_dir):
@@ -126,13 +135,13 @@ def para_spans(spark, sf_dir):
 def _spans(spark, sf_dir):
     order = Window.partitionBy("conv_id").orderBy("turn")
     n = F.char_length("text") + 1
-    rows = table(spark, sf_dir, "conversations").where("turn % 4 <> 2").withColumn("end", F.sum(n).over(order)).withColumn("start", F.col("end") - n)
-    rows = rows.withColumn("para_number", F.col("turn") + 1)
+    rows = table(spark, sf_dir, "conversations").withColumn("end", F.sum(n).over(order)).withColumn("start", F.col("end") - n)
+    rows = rows.withColumn("para_number", F.col("turn") + 1 + F.floor(F.col("turn") / 3))  # numbers skip one after every third
     after = F.lead("para_number").over(Window.partitionBy("conv_id").orderBy("para_number"))
     return rows.withColumn("para_number_end", F.when(after > F.col("para_number") + 1, after - 1))
 
 
-_SPANS_SQL = """l AS (SELECT conv_id, turn, length(text) + 1 AS n FROM conversations), spans AS (SELECT conv_id, turn + 1 AS para_number, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n)::BIGINT AS s, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS e FROM l WHERE turn % 4 <> 2),
+_SPANS_SQL = """l AS (SELECT conv_id, turn, length(text) + 1 AS n FROM conversations), spans AS (SELECT conv_id, turn + 1 + turn // 3 AS para_number, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n)::BIGINT AS s, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS e FROM l),
 chunk AS (SELECT conv_id, unnest(range(0, max(e), 700))::BIGINT AS cs FROM spans GROUP BY conv_id)"""
 
 
@@ -183,6 +192,16 @@ def locate_arithmetic(spark, sf_dir):
     return rows.select("conv_id", "turn", F.floor(F.col("before") * scale).alias("start"), F.floor((F.col("before") + F.col("n")) * scale).alias("stop"))
 
 
+@query("locate_tiered")
+def locate_tiered(spark, sf_dir):
+    """Place of every chunk in its text, exact, by an anchor of letters and digits, or estimated; a third of the chunks lost their commas, a third their end."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    parts = chunks(docs).withColumn("kind", (F.col("doc_id") + F.col("chunk_index")) % 3)
+    noisy = F.when(F.col("kind") == 0, F.col("chunk_text")).when(F.col("kind") == 1, F.regexp_replace("chunk_text", "[,.] ", "  ")).otherwise(F.concat(F.lit("scan: "), F.reverse("chunk_text")))
+    rows = parts.join(docs, "doc_id").select("doc_id", "chunk_index", "text", noisy.alias("chunk"), (F.col("chunk_index") * 1750).alias("low"), ((F.col("chunk_index") + 1) * 1750).alias("high"))
+    return paragraphs.locate(rows, "text", "chunk", "low", "high", ["doc_id", "chunk_index"])
+
+
 @query(
     "overlap_rank",
     r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM conversations),
@@ -209,20 +228,24 @@ def dedupe_content(spark, sf_dir):
     return triage.dedupe_content(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"]).select("doc_id")
 
 
-@query("usable_text", "SELECT doc_id, length(trim(text)) >= 80 AND NOT contains(lower(trim(text)), '[ocr failed') AND NOT contains(lower(trim(text)), '[no text') AND NOT contains(lower(trim(text)), 'could not be read') AS usable FROM (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN '[OCR failed: page 1] ' || text ELSE text END AS text FROM documents)")
+_SCAN_SQL = "CASE doc_id % 20 WHEN 0 THEN '[OCR failed: page 1] ' WHEN 1 THEN '[PDF extraction failed] ' WHEN 2 THEN 'Unsupported file type for OCR: ' ELSE '' END || text"
+
+
+@query("usable_text", f"SELECT doc_id, coalesce(length(trim(t)) >= 80 AND NOT contains(lower(trim(t)), 'ocr failed') AND NOT contains(lower(trim(t)), 'extraction failed') AND NOT contains(lower(trim(t)), 'unsupported file type for ocr'), FALSE) AS usable FROM (SELECT doc_id, {_SCAN_SQL} AS t FROM documents)")
 def usable_text(spark, sf_dir):
-    given = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("[OCR failed: page 1] "), "text")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", ft.usable(given, 80).alias("usable"))
+    kind = F.col("doc_id") % 20
+    mark = F.when(kind == 0, "[OCR failed: page 1] ").when(kind == 1, "[PDF extraction failed] ").when(kind == 2, "Unsupported file type for OCR: ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", ft.usable(F.concat(mark, "text"), 80).alias("usable"))
 
 
-_FORM_SQL = "CASE WHEN doc_id % 10 = 0 THEN '[Name] [Address] ____ ' || text[:600] WHEN doc_id % 10 = 1 THEN 'In the High Court. FIR No. 12 of 2020. A versus B. ' || text ELSE text END"
+_FORM_SQL = "CASE WHEN doc_id % 10 = 0 THEN '[Name] [Address] ____ <Place of birth> [Date] ' || text WHEN doc_id % 10 = 1 THEN 'In the High Court. FIR No. 12 of 2020. A versus B. ' || text ELSE text END"
 _HITS_SQL = r"len(regexp_extract_all(t, '\[[^\]\n]{1,40}\]|_{4,}|<[A-Za-z /]{2,30}>'))"
 _TEMPLATE_SQL = f"({_HITS_SQL} >= 3 AND {_HITS_SQL} / greatest(1.0, length(t) / 1000.0) >= 2.0)"
 _MARKS_SQL = "(" + " + ".join(f"regexp_matches(t, '{m}')::INTEGER" for m in ft.CASE_MARKS) + ")"
 
 
 def _forms():
-    return F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("[Name] [Address] ____ "), F.substring("text", 1, 600))).when(F.col("doc_id") % 10 == 1, F.concat(F.lit("In the High Court. FIR No. 12 of 2020. A versus B. "), "text")).otherwise(F.col("text"))
+    return F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("[Name] [Address] ____ <Place of birth> [Date] "), "text")).when(F.col("doc_id") % 10 == 1, F.concat(F.lit("In the High Court. FIR No. 12 of 2020. A versus B. "), "text")).otherwise(F.col("text"))
 
 
 @query("template_detect", f"SELECT doc_id, {_TEMPLATE_SQL} AS template FROM (SELECT doc_id, {_FORM_SQL} AS t FROM documents)")
@@ -232,12 +255,19 @@ def template_detect(spark, sf_dir):
 
 @query(
     "doc_tier",
-    f"""SELECT doc_id, {_MARKS_SQL} AS marks, CASE WHEN {_TEMPLATE_SQL} THEN 'excluded' WHEN contains(lower(label), 'src3') OR contains(lower(label), 'fr ') THEN 'supporting' WHEN contains(lower(label), 'src1') THEN 'primary' WHEN {_MARKS_SQL} >= 2 THEN 'primary' ELSE 'excluded' END AS tier
-    FROM (SELECT doc_id, lang || ' ' || source AS label, {_FORM_SQL} AS t FROM documents)""",
+    f"""WITH t AS (SELECT doc_id, source, {_MARKS_SQL} AS marks, CASE WHEN {_TEMPLATE_SQL} THEN 'excluded' WHEN contains(lower(label), 'src3') OR contains(lower(label), 'fr ') THEN 'supporting' WHEN contains(lower(label), 'src1') THEN 'primary' WHEN {_MARKS_SQL} >= 2 AND NOT contains(lower(label), 'src2') THEN 'primary' WHEN {_MARKS_SQL} >= 1 THEN 'supporting' ELSE 'excluded' END AS tier
+    FROM (SELECT doc_id, source, lang || ' ' || source AS label, {_FORM_SQL} AS t FROM documents)),
+    g AS (SELECT *, max(tier = 'primary') OVER (PARTITION BY source) AS has, row_number() OVER (PARTITION BY source, tier ORDER BY marks DESC, doc_id) AS place FROM t)
+    SELECT doc_id, marks, CASE WHEN NOT has AND tier = 'supporting' AND marks >= 1 AND place = 1 THEN 'primary' ELSE tier END AS tier FROM g""",
 )
 def doc_tier(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("label"), _forms().alias("t"))
-    return rows.select("doc_id", ft.mark_count(F.col("t")).alias("marks"), triage.tier(F.col("t"), F.col("label"), ["src1"], ["src3", "fr "]).alias("tier"))
+    """Tier of each document of a matter (here: of a source); without a primary one, the best supporting one is promoted."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat_ws(" ", "lang", "source").alias("label"), _forms().alias("t"))
+    marks, low = ft.mark_count(F.col("t")), F.lower("label")
+    given = triage.tier(F.col("t"), F.col("label"), ["src1"], ["src3", "fr "])
+    some = (given == "primary") & F.contains(low, F.lit("src2")) | (given == "excluded") & ~ft.is_template(F.col("t")) & (marks >= 1)  # here such texts support
+    tiers = rows.select("doc_id", "source", marks.alias("marks"), F.when(some, "supporting").otherwise(given).alias("tier"))
+    return triage.promote(tiers, ["source"], "tier", "marks", "doc_id").select("doc_id", "marks", "tier")
 
 
 @query("hint_priority", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') THEN 0 WHEN contains(lower(p_type), 'economy') THEN 1 WHEN contains(lower(p_type), 'small') THEN 2 ELSE 3 END AS priority FROM part")
@@ -272,6 +302,17 @@ def fair_share_budget(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.least(F.char_length("text").cast("long"), share).cast("long").alias("chars_used"))
 
 
+@query(
+    "attempt_budget",
+    """WITH d AS (SELECT conv_id, turn, length(text) AS w, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT conv_id, turn, upto <= 900 OR n = 1 AS attempted FROM d""",
+)
+def attempt_budget(spark, sf_dir):
+    """Parts attempted in order within a total, the first one always."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("w"))
+    return triage.allocate_attempts(rows, ["conv_id"], ["turn"], "w", 900).select("conv_id", "turn", "attempted")
+
+
 @query("clip_head_tail", "SELECT doc_id, CASE WHEN length(trim(text)) <= 600 THEN trim(text) ELSE trim(text)[:450] || chr(10) || chr(10) || '[... middle of document omitted ...]' || chr(10) || chr(10) || right(trim(text), 150) END AS clipped FROM documents")
 def clip_head_tail(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ft.clip_head_tail(F.col("text"), 450, 150).alias("clipped"))
@@ -282,10 +323,27 @@ def plan_chunks(spark, sf_dir):
     return triage.plan_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 2000)
 
 
-@query("lossless_tokens", r"SELECT doc_id, len(string_split(text, chr(10))) AS n_tokens, array_to_string(string_split(text, chr(10)), chr(10)) = text AS lossless FROM documents")
+_PAGED_SQL = "CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '--- Page 2 ---' || chr(10) || 'धारा तीन सौ दो के अंतर्गत यह आदेश' || chr(10) || '  ' || chr(10) || chr(10) || '[note]' ELSE replace(text, '. ', '.' || chr(10) || chr(10)) END"
+_HINDI = "धारा तीन सौ दो के अंतर्गत यह आदेश"
+
+
+def _paged():
+    return F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(f"\n--- Page 2 ---\n{_HINDI}\n  \n\n[note]"))).otherwise(F.replace("text", F.lit(". "), F.lit(".\n\n")))
+
+
+@query(
+    "lossless_tokens",
+    rf"""WITH p AS (SELECT doc_id, {_PAGED_SQL} AS t FROM documents), k AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(regexp_replace(t, '(\n--- Page \d+ ---\n)', '' || chr(57344) || '\1' || chr(57344), 'g'), '(\n[ \t]*\n\s*)', chr(57344) || '\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS k FROM p)
+    SELECT doc_id, len(k) AS n_tokens, len(list_filter(k, lambda x: regexp_matches(x, '^\n--- Page \d+ ---\n$'))) AS n_marks,
+      len(list_filter(k, lambda x: NOT regexp_matches(x, '(?s)^\s*\[.*\]\s*$') AND length(regexp_replace(regexp_replace(x, '[^\p{{L}}]', '', 'g'), '[^\x{{0900}}-\x{{097F}}]', '', 'g')) >= greatest(10, 0.3 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g'))))) AS n_to_translate, array_to_string(k, '') = t AS lossless FROM k""",
+)
 def lossless_tokens(spark, sf_dir):
-    parts = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n_tokens"), (F.array_join(parts, "\n") == F.col("text")).alias("lossless"))
+    """Page marks, paragraphs and gaps of a text: how many, how many are to be translated, and whether they give the text again."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", _paged().alias("t")).withColumn("k", ft.tokens(F.col("t")))
+    hindi, letters = (lambda x: ft.script_letters(x, "hi")), (lambda x: ft.letters(x))
+    wanted = F.filter("k", lambda x: ~F.rlike(x, F.lit(r"(?s)^\s*\[.*\]\s*$")) & (hindi(x) >= F.greatest(F.lit(10.0), letters(x) * 0.3)))
+    marks = F.filter("k", lambda x: F.rlike(x, F.lit(r"^\n--- Page \d+ ---\n$")))
+    return rows.select("doc_id", F.size("k").cast("long").alias("n_tokens"), F.size(marks).cast("long").alias("n_marks"), F.size(wanted).cast("long").alias("n_to_translate"), (F.array_join("k", "") == F.col("t")).alias("lossless"))
 
 
 # ---- fields ---------------------------------------------------------------------------------------------------------------------
@@ -300,28 +358,31 @@ def norm_match(spark, sf_dir):
 
 @query(
     "grounded",
-    f"""WITH v AS (SELECT item_id, text[:60] AS v FROM benchmark), c AS (SELECT item_id, {_FOLD_SQL.format("string_split_regex(v, '[,(]')[1]")} AS core, {_FOLD_SQL.format('v')} AS whole FROM v),
+    f"""WITH c AS (SELECT item_id, {_FOLD_SQL.format("string_split_regex(text, '[,(]')[1]")} AS core, {_FOLD_SQL.format('text')} AS whole FROM benchmark),
     k AS (SELECT item_id, CASE WHEN length(core) >= 6 THEN core WHEN length(whole) >= 6 THEN whole END AS needle FROM c), d AS (SELECT doc_id, {_FOLD_SQL.format('text')} AS hay FROM documents)
     SELECT item_id, count(*) AS n_docs FROM k JOIN d ON contains(hay, needle) GROUP BY item_id""",
 )
 def grounded(spark, sf_dir):
-    """Names (here openings of benchmark passages) found in texts, both folded: the core before a comma or bracket if long enough."""
-    v = F.substring("text", 1, 60)
-    core, whole = ft.fold(F.split(v, "[,(]")[0]), ft.fold(v)
+    """Names (here benchmark passages) found in texts, both folded: the core before a comma or bracket if long enough."""
+    core, whole = ft.fold(F.split("text", "[,(]")[0]), ft.fold(F.col("text"))
     needles = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.char_length(core) >= 6, core).when(F.char_length(whole) >= 6, whole).alias("needle"))
-    docs = table(spark, sf_dir, "documents").select(ft.fold(F.col("text")).alias("hay"))
-    return docs.join(F.broadcast(needles), F.contains("hay", F.col("needle"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))  # the stated query set
+    docs = table(spark, sf_dir, "documents").select("doc_id", ft.fold(F.col("text")).alias("hay"))
+    return matching.containing(docs, "hay", needles.where("needle is not null"), "needle", "item_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query(
     "party_list_clean",
-    r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(turn || '. ' || text[:25], '^\s*\(?\d+[.)]\s*', ''), '\s+', ' ', 'g')) AS name FROM conversations), k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM p)
-    SELECT conv_id, name FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) = 1""",
+    rf"""WITH p AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace('(' || turn || ') ' || CASE WHEN turn % 5 = 4 THEN 'Nobody of Nowhere' ELSE split_part(text, '.', 1) END, '^\s*[(\[]?\s*\d+\s*[.)\]]\s*', ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS name FROM conversations),
+    k AS (SELECT *, {_FOLD_SQL.format('name')} AS key FROM p)
+    SELECT conv_id, name, contains({_FOLD_SQL.format('text')}, key) AS grounded FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) = 1""",
 )
 def party_list_clean(spark, sf_dir):
-    name = ft.squeeze(F.regexp_replace(F.concat(F.col("turn").cast("string"), F.lit(". "), F.substring("text", 1, 25)), r"^\s*\(?\d+[.)]\s*", ""))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name")).withColumn("key", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "")).where("key <> ''")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "key").orderBy("turn"))).where("n = 1").select("conv_id", "name")
+    """Party names without their numbers, once each, split into those that their text holds and those it does not."""
+    raw = F.when(F.col("turn") % 5 == 4, "Nobody of Nowhere").otherwise(F.split_part("text", F.lit("."), F.lit(1)))
+    name = ft.squeeze(F.regexp_replace(F.concat(F.lit("("), F.col("turn").cast("string"), F.lit(") "), raw), r"^\s*[(\[]?\s*\d+\s*[.)\]]\s*", ""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", name.alias("name")).withColumn("key", ft.fold(F.col("name"))).where("key <> ''")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "key").orderBy("turn"))).where("n = 1")
+    return rows.select("conv_id", "name", F.contains(ft.fold(F.col("text")), F.col("key")).alias("grounded"))
 
 
 @query(
@@ -357,19 +418,17 @@ def template_fill(spark, sf_dir):
     return rows.select("s_suppkey", F.when(F.col("s_acctbal") > 0, clause).alias("clause"))
 
 
-
-
 @query(
     "script_profile",
-    rf"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS total, length(regexp_replace(text, '[^À-ÖØ-öø-ÿ]', '', 'g')) AS n FROM documents)
-    SELECT doc_id, round(n / nullif(total, 0)::DOUBLE, 6) AS ratio, CASE WHEN total < 20 THEN 'unknown' WHEN n = 0 THEN 'en' WHEN n / total::DOUBLE >= 0.6 THEN 'accented' WHEN n >= 10 THEN 'mixed' ELSE 'en' END AS label FROM c""",
+    rf"""WITH c AS (SELECT doc_id, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS total, length(regexp_replace(regexp_replace(t, '[^\p{{L}}]', '', 'g'), '[^\x{{0900}}-\x{{097F}}]', '', 'g')) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('{_HINDI}', (doc_id % 9)::BIGINT) || text ELSE text END AS t FROM documents))
+    SELECT doc_id, n AS n_hi, total AS n_letters, round(n / nullif(total, 0)::DOUBLE, 6) AS ratio, CASE WHEN total < 20 THEN 'unknown' WHEN n = 0 THEN 'en' WHEN n / total::DOUBLE >= 0.6 THEN 'hi' WHEN n >= 10 THEN 'mixed' ELSE 'en' END AS label FROM c""",
 )
 def script_profile(spark, sf_dir):
-    """Share of a second script among the letters (accented Latin stands for it), and the label by fixed thresholds."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", ft.letters(F.col("text")).alias("total"), ft.letters(F.col("text"), "À-ÖØ-öø-ÿ").alias("n"))
-    ratio = F.col("n") / F.nullif(F.col("total"), F.lit(0))
-    label = F.when(F.col("total") < 20, "unknown").when(F.col("n") == 0, "en").when(ratio >= 0.6, "accented").when(F.col("n") >= 10, "mixed").otherwise("en")
-    return rows.select("doc_id", F.round(ratio, 6).alias("ratio"), label.alias("label"))
+    """Letters of Devanagari among all letters of a text, and the label by fixed thresholds."""
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit(_HINDI), (F.col("doc_id") % 9).cast("int")), "text")).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", ft.letters(F.col("t")).cast("long").alias("n_letters"), ft.script_letters(F.col("t"), "hi").cast("long").alias("n_hi"))
+    ratio = F.round(F.col("n_hi") / F.nullif(F.col("n_letters"), F.lit(0)), 6)
+    return rows.select("doc_id", "n_hi", "n_letters", ratio.alias("ratio"), ft.script_label(F.col("n_letters"), F.col("n_hi"), "hi").alias("label"))
 
 
 @query("digits_translit", "SELECT raw, ascii FROM (VALUES ('धारा ३०२', 'धारा 302'), ('०१२३४५६७८९', '0123456789'), ('plain 7', 'plain 7')) t(raw, ascii)")
@@ -378,16 +437,27 @@ def digits_translit(spark, sf_dir):
     return rows.select("raw", ft.devanagari_digits(F.col("raw")).alias("ascii"))
 
 
-@query("ratio_guard", "SELECT doc_id, CASE WHEN length(text[:(doc_id % 5) * 300]) < 0.25 * length(text) THEN text[:50] ELSE text[:(doc_id % 5) * 300] END AS kept FROM documents")
+_ANSWER_SQL = "CASE doc_id % 5 WHEN 0 THEN 'Here is the English translation of it:' || chr(10) || chr(10) || text WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```' WHEN 2 THEN left(text, 5) WHEN 3 THEN chr(10) || ' ' ELSE text || chr(10) END"
+_BARE_SQL = r"regexp_replace(regexp_replace(regexp_replace(a, '(?i)^\s*(here is|here''s|the following is)?\s*(the\s+)?(english\s+)?translation\s*(of[^\n:]*)?\s*:\s*\n+', ''), '^\n+', ''), '\n+$', '')"
+
+
+@query(
+    "ratio_guard",
+    f"""WITH x AS (SELECT doc_id, text, {_ANSWER_SQL} AS a FROM documents), b AS (SELECT doc_id, text, {_BARE_SQL} AS b FROM x),
+    c AS (SELECT doc_id, text, CASE WHEN starts_with(b, '```') AND starts_with(trim(string_split(b, chr(10))[-1]), '```') THEN array_to_string(string_split(b, chr(10))[2:-2], chr(10)) ELSE b END AS c FROM b)
+    SELECT doc_id, CASE WHEN trim(c) = '' OR length(c) < length(trim(text)) * 0.25 THEN text ELSE c END AS kept FROM c""",
+)
 def ratio_guard(spark, sf_dir):
-    """A result shorter than a quarter of its source is not believed."""
-    result = F.substring("text", F.lit(1), ((F.col("doc_id") % 5) * 300).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length(result) < F.char_length("text") * 0.25, F.substring("text", 1, 50)).otherwise(result).alias("kept"))
+    """A model's answer without preamble and fence; one shorter than a quarter of its source is not believed, and the source stays."""
+    k, t = F.col("doc_id") % 5, F.col("text")
+    answer = F.when(k == 0, F.concat(F.lit("Here is the English translation of it:\n\n"), t)).when(k == 1, F.concat(F.lit("```\n"), t, F.lit("\n```"))).when(k == 2, F.left(t, F.lit(5))).when(k == 3, "\n ").otherwise(F.concat(t, F.lit("\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", ft.believed(answer, t).alias("kept"))
 
 
-@query("retention", "SELECT doc_id, round(len(string_split(text[:1000], ' ')) / len(string_split(text, ' '))::DOUBLE, 6) AS retention FROM documents")
+@query("retention", "SELECT conv_id, turn, round(len(string_split(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')) / greatest(len(string_split(text, ' ')), 1)::DOUBLE, 6) AS retention FROM conversations")
 def retention(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(F.size(F.split(F.substring("text", 1, 1000), " ")) / F.size(F.split("text", " ")), 6).alias("retention"))
+    """Words of a squeezed text over those of the text as it was."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(F.size(F.split(ft.squeeze(F.col("text")), " ")) / F.greatest(F.size(F.split("text", " ")), F.lit(1)), 6).alias("retention"))
 
 
 @query("fidelity")
@@ -410,19 +480,20 @@ def split_sections(spark, sf_dir):
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "name").orderBy("at"))).where("n = 1").select("conv_id", "name", "body")
 
 
+_LINED_SQL = "CASE WHEN doc_id % 2 = 0 THEN 'List of Acts' || chr(10) || replace(text, ', ', '-' || chr(10)) || chr(10) || '12. an item' || chr(10) || 'A' || chr(10) || 'ISSUE FOR ALL' || chr(10) || 'the end' ELSE replace(text, '. ', '.' || chr(10)) END"
+
+
 @query(
     "reflow_lines",
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
-    g AS (SELECT *, sum((regexp_matches(line, '^[A-Z][a-z]+ ') OR trim(line) = '')::INT) OVER (PARTITION BY doc_id ORDER BY place) AS para FROM l)
-    SELECT doc_id, para::BIGINT AS para, string_agg(trim(line), ' ' ORDER BY place) AS body FROM g WHERE trim(line) <> '' GROUP BY doc_id, para""",
+    rf"""WITH d AS (SELECT doc_id, string_split(regexp_replace({_LINED_SQL}, '\n\s*[A-H]\s*\n', chr(10), 'g'), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, trim(unnest(ls), chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line, generate_subscripts(ls, 1) AS place FROM d),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM l WHERE line <> ''),
+    g AS (SELECT *, sum((n = 1 OR line IN ('List of Acts', 'List of Keywords', 'Case Arising From', 'Issue for Consideration', 'Headnotes+') OR regexp_matches(line, '^[A-Z][A-Z\s]+$') OR regexp_matches(line, '^[0-9]+\.'))::INT) OVER (PARTITION BY doc_id ORDER BY place) AS para FROM k)
+    SELECT doc_id, para::BIGINT AS para, replace(replace(string_agg(line, chr(57344) ORDER BY place), '-' || chr(57344), ''), chr(57344), ' ') AS body FROM g GROUP BY doc_id, para""",
 )
 def reflow_lines(spark, sf_dir):
-    """Lines to paragraphs: a new one begins at a capitalised word or an empty line."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    begins = (F.rlike("line", F.lit("^[A-Z][a-z]+ ")) | (F.trim("line") == "")).cast("int")
-    rows = lines.withColumn("para", F.sum(begins).over(Window.partitionBy("doc_id").orderBy("at"))).where(F.trim("line") != "")
-    grouped = rows.groupBy("doc_id", "para").agg(F.array_sort(F.collect_list(F.struct("at", F.trim("line").alias("t")))).alias("p"))
-    return grouped.select("doc_id", F.col("para").cast("long").alias("para"), F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("body"))
+    """Lines to paragraphs: a heading or a numbered item begins one; a hyphen at a line's end joins its word."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("List of Acts\n"), F.replace("text", F.lit(", "), F.lit("-\n")), F.lit("\n12. an item\nA\nISSUE FOR ALL\nthe end"))).otherwise(F.replace("text", F.lit(". "), F.lit(".\n")))
+    return paragraphs.reflow(table(spark, sf_dir, "documents").select("doc_id", t.alias("t")), "doc_id", "t")
 
 
 @query("key_inference", "SELECT p_partkey, CASE WHEN p_name = 'red ring' THEN 'exact_ring' WHEN contains(lower(p_name), 'ring') THEN 'ring' WHEN contains(lower(p_name), 'widget') THEN 'widget' ELSE 'other' END AS key FROM part")
@@ -467,13 +538,13 @@ def translation_note(spark, sf_dir):
 
 @query(
     "numbered_list",
-    """WITH f AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), u AS (SELECT conv_id, turn, length(text) AS c FROM conversations WHERE turn % 2 = 0)
+    """WITH f AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), u AS (SELECT conv_id, turn, length(text) AS c FROM conversations WHERE role = 'user')
     SELECT f.conv_id, f.turn, 'Annexure ' || n AS label, c IS NOT NULL AS narrated, coalesce(c, 0)::BIGINT AS chars_used FROM f LEFT JOIN u USING (conv_id, turn)""",
 )
 def numbered_list(spark, sf_dir):
     """Filed rows numbered in order, with what was used of each."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    used = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select("conv_id", "turn", F.char_length("text").cast("long").alias("c"))
+    used = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.char_length("text").cast("long").alias("c"))
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     joined = rows.withColumn("n", n).join(used, ["conv_id", "turn"], "left")
     return joined.select("conv_id", "turn", F.concat(F.lit("Annexure "), F.col("n").cast("string")).alias("label"), F.col("c").isNotNull().alias("narrated"), F.coalesce("c", F.lit(0).cast("long")).alias("chars_used"))
