@@ -194,9 +194,9 @@ def case_name_detect(spark, sf_dir):
     return rows.select("q", F.rlike("q", F.lit(r"(?i)(^|[^A-Za-z0-9_])v\.?s?\.?($|[^A-Za-z0-9_])")).alias("is_case"))
 
 
-@query("fts_config", "SELECT item_id, CASE WHEN list_has_any(string_split_regex(upper(trim(text[:30])), '\\s+'), ['OF', 'IPC', 'GST']) OR len(string_split_regex(upper(trim(text[:30])), '\\s+')) <= 3 THEN 'simple' ELSE 'english' END AS config FROM benchmark")
+@query("fts_config", "SELECT item_id, CASE WHEN list_has_any(string_split_regex(upper(trim(text)), '\\s+'), ['OF', 'IPC', 'GST']) OR len(string_split_regex(upper(trim(text)), '\\s+')) <= 3 THEN 'simple' ELSE 'english' END AS config FROM benchmark")
 def fts_config(spark, sf_dir):
-    words = F.split(F.upper(F.trim(F.substring("text", 1, 30))), r"\s+")
+    words = F.split(F.upper(F.trim("text")), r"\s+")
     known = F.array(F.lit("OF"), F.lit("IPC"), F.lit("GST"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.when(F.arrays_overlap(words, known) | (F.size(words) <= 3), "simple").otherwise("english").alias("config"))
 
@@ -305,7 +305,7 @@ def ranked_fetch(spark, sf_dir):
 @query(
     "neighbour_expand",
     """WITH t AS (SELECT conv_id, turn, text, lag(text) OVER w AS p, lead(text) OVER w AS n, lag(turn) OVER w AS pt, lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, coalesce(CASE WHEN pt = turn - 1 THEN right(p, 300) || ' ' END, '') || text[:1200] || coalesce(CASE WHEN nt = turn + 1 THEN ' ' || n[:300] END, '') AS expanded FROM t WHERE turn % 3 = 1""",
+    SELECT conv_id, turn, coalesce(CASE WHEN pt = turn - 1 THEN right(p, 300) || ' ' END, '') || text[:1200] || coalesce(CASE WHEN nt = turn + 1 THEN ' ' || n[:300] END, '') AS expanded FROM t""",
 )
 def neighbour_expand(spark, sf_dir):
     """Each winner with the end of its left and the start of its right neighbour."""
@@ -315,7 +315,7 @@ def neighbour_expand(spark, sf_dir):
     )
     left = F.coalesce(F.when(F.col("pt") == F.col("turn") - 1, F.concat("p", F.lit(" "))), F.lit(""))
     right = F.coalesce(F.when(F.col("nt") == F.col("turn") + 1, F.concat(F.lit(" "), "n")), F.lit(""))
-    return rows.where("turn % 3 = 1").select("conv_id", "turn", F.concat(left, "t", right).alias("expanded"))
+    return rows.select("conv_id", "turn", F.concat(left, "t", right).alias("expanded"))
 
 
 @query(
@@ -389,18 +389,18 @@ def score_dropoff_dedupe(spark, sf_dir):
     return kept.select("query_id", "id", F.round(F.col("score") * 100, 2).alias("rerank_score"), "rank")
 
 
-def _min_results_sql(cand: str, drop: float, floor: str = "FALSE") -> str:
-    return f"""WITH {cand}, c AS (SELECT *, CASE WHEN title = '' THEN chr(1) || id ELSE title END AS k FROM cand),
+def _min_results_sql(cand: str, drop: float, floor: float = -1e9) -> str:
+    return f"""WITH {cand}, c AS (SELECT *, CASE WHEN title = '' THEN chr(1) || id ELSE title || chr(2) || coalesce(year::VARCHAR, '') END AS k FROM cand),
     a AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY score DESC, id) AS of_key, max(score) OVER (PARTITION BY query_id) AS best FROM c),
     b AS (SELECT *, count(*) FILTER (WHERE of_key = 1) OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM a),
-    s AS (SELECT *, of_key = 1 AND (rk <= 5 OR score >= best - {drop} OR exact) AS stays FROM b),
+    s AS (SELECT *, of_key = 1 AND (rk <= 5 OR (score >= best - {drop} AND score >= {floor}) OR exact) AS stays FROM b),
     h AS (SELECT *, max(stays) OVER (PARTITION BY query_id, k) AS held, row_number() OVER (PARTITION BY query_id, k, exact ORDER BY score DESC, id) AS en FROM s)
     SELECT query_id, id, score, exact FROM h WHERE stays OR (NOT held AND exact AND en = 1)"""
 
 
 @query("dropoff_min_results", _min_results_sql(_CAND, 2.0))
 def dropoff_min_results(spark, sf_dir):
-    kept = rerank.dropoff_min_results(_candidates(spark, sf_dir), ["query_id"], "score", "exact", "title", "id", drop=2.0)
+    kept = rerank.dropoff_min_results(_candidates(spark, sf_dir), ["query_id"], "score", "exact", ["title", "year"], "id", drop=2.0)
     return kept.select("query_id", "id", "score", "exact")
 
 
@@ -409,21 +409,29 @@ def exact_first(spark, sf_dir):
     return rerank.exact_first(_candidates(spark, sf_dir), ["query_id"], "score", "exact", "id").select("query_id", "id", "rank")
 
 
-_GIVEN = f"{_CAND.replace('cand AS', 'base AS')}, given AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE (p_partkey % 11)::VARCHAR END AS raw FROM part WHERE p_partkey % 4 <> 0), cand AS (SELECT b.query_id, b.id, coalesce(try_cast(raw AS DOUBLE), 0.0) AS score, exact, title FROM base b LEFT JOIN given USING (id))"
+_GIVEN = f"{_CAND.replace('cand AS', 'base AS')}, given AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE (p_partkey % 11)::VARCHAR END AS raw FROM part WHERE p_partkey % 4 <> 0), cand AS (SELECT b.query_id, b.id, coalesce(try_cast(raw AS DOUBLE), 0.0) AS score, exact, title, year FROM base b LEFT JOIN given USING (id))"
 
 
-@query("external_score_rerank", _min_results_sql(_GIVEN, 4.0))
+@query("external_score_rerank", _min_results_sql(_GIVEN, 4.0, 3.0))
 def external_score_rerank(spark, sf_dir):
-    """Scores from outside: an absent or unreadable one is 0; then the same pruning."""
+    """Scores from outside (0 to 10): an absent or unreadable one is 0; then the same pruning, and below 3 as well."""
     given = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 13 == 0, "n/a").otherwise((F.col("p_partkey") % 11).cast("string")).alias("raw"))
     rows = _candidates(spark, sf_dir).drop("score").join(given, "id", "left").withColumn("score", F.coalesce(F.col("raw").try_cast("double"), F.lit(0.0)))
-    return rerank.dropoff_min_results(rows, ["query_id"], "score", "exact", "title", "id", drop=4.0).select("query_id", "id", "score", "exact")
+    return rerank.dropoff_min_results(rows, ["query_id"], "score", "exact", ["title", "year"], "id", drop=4.0, floor=3.0).select("query_id", "id", "score", "exact")
 
 
-@query("grouped_topk", f"WITH {_CAND} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM cand QUALIFY rank <= 8")
+@query(
+    "grouped_topk",
+    f"""WITH {_CAND}, o AS (SELECT *, CASE WHEN query_id IN ('Brand#16', 'Brand#3') OR id % 6 = 0 THEN NULL ELSE (id % 17)::DOUBLE END AS first_scorer FROM cand),
+    s AS (SELECT query_id, id, CASE WHEN count(first_scorer) OVER (PARTITION BY query_id) > 0 THEN coalesce(first_scorer, 0.0) ELSE score END AS score FROM o)
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 8""",
+)
 def grouped_topk(spark, sf_dir):
+    """First eight of every group by the first scorer that answered for the group, else by the second."""
+    given = F.when(~(F.col("query_id").isin("Brand#16", "Brand#3") | (F.col("id") % 6 == 0)), (F.col("id") % 17).cast("double"))
+    rows = rerank.score_chain(_candidates(spark, sf_dir).withColumnRenamed("score", "second").withColumn("first", given), ["query_id"], ["first", "second"])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return _candidates(spark, sf_dir).select("query_id", "id", "score").withColumn("rank", F.row_number().over(w)).where("rank <= 8")
+    return rows.select("query_id", "id", "score").withColumn("rank", F.row_number().over(w)).where("rank <= 8")
 
 
 @query(
@@ -627,10 +635,17 @@ def debounce_sessions(spark, sf_dir):
     return rows.where(F.col("nxt").isNull() | (F.col("nxt") - F.col("ts") >= F.expr("interval 30 minutes"))).select("user_id", "ts", "event_id")
 
 
-@query("ttl_first", "SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type, floor(epoch(ts) / 21600)")
+@query(
+    "ttl_first",
+    """WITH RECURSIVE k AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL
+    UNION ALL SELECT k.user_id, k.event_type, min(e.ts) AS ts FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 6 HOUR GROUP BY k.user_id, k.event_type, k.ts)
+    SELECT user_id, event_type, ts FROM k""",
+)
 def ttl_first(spark, sf_dir):
-    """First request of a key in each six-hour slot: what a cache would have had to compute."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type", F.window("ts", "6 hours").alias("w")).agg(F.min("ts").alias("ts")).select("user_id", "event_type", "ts")
+    """Requests that a cache of six hours has to compute: the first of a key, then the first after each computed one has run out."""
+    from docloom.streaming.events import computed_requests
+
+    return computed_requests(table(spark, sf_dir, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", 6 * 3600)
 
 
 @query("window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -642,11 +657,21 @@ def window_counts(spark, sf_dir):
 
 @query(
     "gapfill_replay",
-    """SELECT conv_id, turn, role, (count_if(role = 'user') OVER w)::BIGINT AS n_asked, (count_if(role <> 'user') OVER w)::BIGINT AS n_answered, count_if(role = 'user') OVER w - count_if(role <> 'user') OVER w <= 0 AS complete
-    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    """WITH s AS (SELECT conv_id, turn, role, role = 'user' AS asks, sum(CASE WHEN role = 'user' THEN 1 ELSE -1 END) OVER w AS level, count_if(role = 'user') OVER w AS n_asked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    q AS (SELECT *, level - least(0, min(level) OVER (PARTITION BY conv_id ORDER BY turn)) AS waiting FROM s),
+    h AS (SELECT q.*, n_asked - waiting AS n_handled FROM q)
+    SELECT h.conv_id, h.turn, h.role, h.waiting::BIGINT AS waiting, h.n_handled::BIGINT AS n_handled, h.waiting = 0 AS complete, n.turn AS next_question
+    FROM h LEFT JOIN h n ON n.conv_id = h.conv_id AND n.asks AND n.n_asked = h.n_handled + 1 AND h.waiting > 0""",
 )
 def gapfill_replay(spark, sf_dir):
-    """State of the question queue after every turn."""
+    """The queue of open questions after every turn: a user's turn adds one, any other answers or skips its head; an answer to an empty queue is void.
+
+    The queue's length is the running sum less its least value so far, so no state has to be carried row by row; its head is the question after those handled.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    asked, answered = F.count_if(F.col("role") == "user").over(w), F.count_if(F.col("role") != "user").over(w)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", asked.alias("n_asked"), answered.alias("n_answered"), (asked - answered <= 0).alias("complete"))
+    asks = F.col("role") == "user"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.sum(F.when(asks, 1).otherwise(-1)).over(w).alias("level"), F.count_if(asks).over(w).alias("n_asked"))
+    rows = rows.withColumn("waiting", (F.col("level") - F.least(F.lit(0), F.min("level").over(w))).cast("long")).withColumn("n_handled", F.col("n_asked") - F.col("waiting"))
+    rows = rows.withColumn("head", F.when(F.col("waiting") > 0, F.col("n_handled") + 1))
+    questions = rows.where(asks).select("conv_id", F.col("n_asked").alias("head"), F.col("turn").alias("next_question"))
+    return rows.join(questions, ["conv_id", "head"], "left").select("conv_id", "turn", "role", "waiting", "n_handled", (F.col("waiting") == 0).alias("complete"), "next_question")

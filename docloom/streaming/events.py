@@ -33,3 +33,28 @@ def first_in_ttl(requests: DataFrame, key: str, ts: str = "ts", ttl: str = "5 mi
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """Append-only log sink; exactly once through the checkpoint."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def computed_requests(requests: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
+    """Requests that a cache of this time to live would have to compute: each restarts the clock of its key.
+
+    Which ones they are depends on the one before, so rows go through in order of
+    time, with one remembered instant; no task holds the rows of a key.
+    """
+    lean = requests.select(*keys, ts).repartition(*keys).sortWithinPartitions(*keys, ts)
+
+    def run(batches):
+        import pandas as pd
+
+        held, until = None, None
+        span = pd.Timedelta(seconds=seconds)
+        for rows in batches:
+            stay = []
+            for key, at in zip(rows[keys].itertuples(index=False, name=None), rows[ts], strict=True):
+                fresh = key != held or at >= until
+                if fresh:
+                    held, until = key, at + span
+                stay.append(fresh)
+            yield rows[stay]
+
+    return lean.mapInPandas(run, lean.schema)
