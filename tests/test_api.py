@@ -27,6 +27,14 @@ def test_search_pages(spark, corpus, sf_dir):
         corpus.search(asked, limit=51)
 
 
+def test_a_stored_index_finds_the_same(spark, corpus, sf_dir, tmp_path):
+    asked = search.asked(spark).join(search.query_vectors(spark, sf_dir), "query_id").drop("vec_id")
+    stored = corpus.store_index(str(tmp_path / "index"), parts=8)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect())
+    for filters in (None, {"lang": ["de", "fr"]}):
+        assert key(stored.search(asked, filters)) == key(corpus.search(asked, filters))
+
+
 def test_filters_hold_in_every_branch(spark, corpus, sf_dir):
     asked = search.asked(spark).join(search.query_vectors(spark, sf_dir), "query_id").drop("vec_id")
     assert {r["lang"] for r in corpus.search(asked, {"lang": ["de"]}).collect()} == {"de"}
@@ -53,7 +61,7 @@ def test_models_and_table_functions(spark):
     models.register_table_functions(spark)
     rows = spark.sql("SELECT p.para_number FROM segment_paragraphs('A. 1. The a. 2. The b. 3. The c.') p").collect()
     assert [r.para_number for r in rows] == [1, 2, 3]
-    assert spark.sql("SELECT * FROM plan_chunks('aaaa\n\nbbbb\n\ncc', 8)").count() == 2
+    assert spark.sql("SELECT * FROM plan_chunks('धारा तीन सौ दो के अंतर्गत\n\nplain\n\nयह आदेश धारा तीन सौ', 8)").count() == 2
     assert spark.sql("SELECT * FROM parse_sections('<p>a section that is long enough</p>')").count() == 1
 
 

@@ -19,13 +19,13 @@ def value(spark, column, text):
 
 
 def test_page_furniture_goes_and_words_stay(spark):
-    raw = "SUPREME COURT REPORTS\n123\nA\nThe juris-\ndiction B The bench\bheld.\n\n[2019] 5 S.C.R. 77\n2. Next"
-    assert value(spark, ft.clean_page_text, raw) == "The jurisdiction The bench held. 2. Next"
+    raw = "SUPREME COURT REPORTS\n123\nA\nThe won-\ndrous B The bench\bheld.\n\n[2019] 5 S.C.R. 77\n2. Next"
+    assert value(spark, ft.clean_page_text, raw) == "The wondrous The bench held. 2. Next"
 
 
 def slow_clean(text):
     """Noise of the query and margin letters removed from a text that is otherwise words and single spaces."""
-    words = f"jurisdiction {text} end".split(" ")
+    words = f"the wondrous D Tale and E the rest, F Gone. {text} end".split(" ")
     capital = lambda w: "A" <= w[:1] <= "Z" and "a" <= w[1:2] <= "z"
     return " ".join(w for w, after in zip(words, [*words[1:], ""], strict=True) if not (len(w) == 1 and "A" <= w <= "H" and capital(after)))
 
@@ -99,7 +99,7 @@ def test_dropoff_equals_sequential_rule(spark):
     rows = [{"q": q, "id": i, "score": float(rng.randrange(12)), "exact": rng.random() < 0.15, "title": rng.choice(["", "a", "b", "c", "d", "e", "f", "g"])} for q in range(150) for i in range(rng.randrange(1, 16))]
     df = spark.createDataFrame(rows, "q int, id int, score double, exact boolean, title string")
     got = {}
-    for r in rerank.dropoff_min_results(df, ["q"], "score", "exact", "title", "id").collect():
+    for r in rerank.dropoff_min_results(df, ["q"], "score", "exact", ["title"], "id").collect():
         got.setdefault(r["q"], set()).add(r["id"])
     for q in range(150):
         some = [r for r in rows if r["q"] == q]
@@ -174,3 +174,116 @@ def test_formats(spark, tmp_path):
 def test_headline_marks_hits(spark):
     got = value(spark, lambda c: retrieval.headline(c, ["court"]), "a b c d e f g h the Court held that " + "x " * 60 + "court again")
     assert "<b>Court</b>" in got and " ... " in got
+
+
+def test_oversized_texts_are_segmented_window_by_window():
+    flat = " ".join(f"{1 + i % 90}. The text of part {i} goes on." for i in range(600))
+    whole = paragraphs.segment_text(flat)
+    coverage, _, rows = paragraphs.segment_text(flat, most_chars=1500, most_marks=40)
+    assert whole[0] == "full" and coverage == "partial"
+    assert len(rows) > 500 and all(flat[r[4] :].startswith(f"{r[0]}. ") for r in rows)
+    assert [r[4] for r in rows] == sorted(r[4] for r in rows)
+    assert paragraphs.segment_text("1. The a. 2. The b. " + "x" * 400_000 + ". 3. The c. 4. The d. 5. The e.")[0] == "partial"
+
+
+def test_chunks_are_located_by_three_tiers(spark):
+    rng = random.Random(9)
+    flat = " ".join(f"word{rng.randrange(1000)}, and" for _ in range(400))
+    exact, middle = flat[300:800], flat[1000:1500]
+    noisy = middle.replace(", ", " ,,  ").upper()
+    assert paragraphs.locate_text(flat, exact, None) == (300, 800, "exact")
+    start, end, tier = paragraphs.locate_text(flat, noisy, (0, 5))
+    assert tier == "canonical" and abs(start - 1000) <= 2 and abs(end - 1500) <= 4
+    assert paragraphs.locate_text(flat, "not in the text at all, however long it may become in the end, as it has other words", (40, 10**9)) == (40, len(flat), "arithmetic")
+    assert paragraphs.locate_text("", "x", None)[2] == "empty" and paragraphs.locate_text("abc", "x", None) == (0, 1, "degenerate")
+    rows = spark.createDataFrame([(1, flat, exact, 0, 9), (2, flat, None, 0, 9)], "id int, t string, c string, a int, b int")
+    assert [(r.id, r.start, r.tier) for r in paragraphs.locate(rows, "t", "c", "a", "b", ["id"]).orderBy("id").collect()] == [(1, 300, "exact"), (2, 0, "empty")]
+
+
+def test_located_chunks_of_the_query(spark, sf_dir):
+    rows = texts.locate_tiered(spark, sf_dir).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in rows:
+        if (r.doc_id + r.chunk_index) % 3 == 0 and docs[r.doc_id]:
+            part = docs[r.doc_id][r.chunk_index * 1750 : (r.chunk_index + 1) * 1750]
+            assert r.tier == "exact" and docs[r.doc_id][r.start : r.end] == part
+    assert {r.tier for r in rows} >= {"exact", "canonical", "arithmetic"}
+
+
+def test_stored_postings_answer_as_the_scan(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wanted = retrieval.query_terms(search.asked(spark))
+    retrieval.store_postings(docs, str(tmp_path / "index"), parts=16)
+    hits, stats = retrieval.stored_hits(str(tmp_path / "index"), wanted)
+    key = lambda df: sorted((r.id, r.term, r.tf, r.n_terms) for r in df.collect())
+    assert key(hits) == key(retrieval.term_hits(docs, wanted))
+    assert stats.first().avgdl == pytest.approx(retrieval.corpus_stats(docs).first().avgdl)
+    assert "PartitionFilters: [part" in hits._jdf.queryExecution().toString()
+
+
+def test_texts_are_tokenised_once_below_the_explode(spark, sf_dir):
+    plan = retrieval.term_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), retrieval.query_terms(search.asked(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "split(" not in plan[: plan.index("Generate")]
+
+
+def test_cover_density_is_its_definition(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("a b c d e".split()) for _ in range(rng.randrange(1, 14)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "c"), (3, "e")], "query_id long, term string")
+    got = {(r.query_id, r.id): r.score for r in retrieval.cover_density(df, wanted).collect()}
+    want = {}
+    for q, terms in ((1, "ab"), (2, "c"), (3, "ace")):
+        for i, t in rows:
+            w = t.split()
+            spans = [(x, y) for x in range(len(w)) for y in range(x, len(w)) if set(terms) <= set(w[x : y + 1])]
+            least = [s for s in spans if not any(o != s and o[0] >= s[0] and o[1] <= s[1] for o in spans)]
+            if least:
+                want[q, i] = sum(1 / (y - x + 1) for x, y in least)
+    assert got == pytest.approx(want)
+
+
+def test_chunk_plans_cover_what_is_to_be_translated(spark):
+    hindi = "धारा तीन सौ दो के अंतर्गत यह आदेश"
+    body = "\n\n".join(["plain english words here", hindi, hindi, "more english", hindi * 9, hindi])
+    rows = triage.plan_chunks(spark.createDataFrame([(1, body), (2, "no such part"), (3, None)], "id int, t string"), "id", "t", most=80).collect()
+    assert {r.id for r in rows} == {1} and [r.chunk for r in rows] == list(range(len(rows)))
+    parts = [p for p in __import__("re").split(r"(\n\s*\n)", body)]
+    held = "".join("".join(parts[r.first_token : r.last_token + 1]) for r in rows)
+    assert held.count(hindi) == 12 and "english" not in held
+    assert all(r.chars <= 80 or r.first_token == r.last_token for r in rows)
+
+
+def test_fidelity_counts_matching_words(spark):
+    df = spark.createDataFrame([("a b c d", "a b x d"), ("a b", "a b"), ("", "x"), ("x", "")], "s string, r string")
+    assert [r.fidelity for r in paragraphs.fidelity(df, "s", "r").collect()] == [0.75, 1.0, 0.0, 0.0]
+
+
+def test_strings_found_in_texts_over_several_passes(spark, monkeypatch):
+    from docloom.operators import matching
+
+    rng = random.Random(14)
+    hays = [(i, "".join(rng.choice("ab") for _ in range(120))) for i in range(60)] + [(99, None), (98, "ab")]
+    needles = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(6, 12)))) for i in range(40)]
+    docs, given = spark.createDataFrame(hays, "doc_id long, hay string"), spark.createDataFrame(needles, "item_id long, needle string")
+    want = sorted((n, d) for n, x in needles for d, h in hays if h and x in h)
+    for some in (20_000, 7):
+        monkeypatch.setattr(matching, "NEEDLES_A_PASS", some)
+        assert sorted((r.item_id, r.doc_id) for r in matching.containing(docs, "hay", given, "needle", "item_id").collect()) == want
+
+
+def test_answers_and_tokens(spark):
+    assert value(spark, ft.model_answer, "The following is the English translation of p. 2:\n\n```\nline one\nline two\n```\n") == "line one\nline two"
+    assert value(spark, ft.model_answer, "plain\n") == "plain"
+    got = value(spark, ft.tokens, "a\n\n  b\n--- Page 3 ---\n\n \nc")
+    assert got == ["a", "\n\n  ", "b", "\n--- Page 3 ---\n", "\n \n", "c"] and "".join(got) == "a\n\n  b\n--- Page 3 ---\n\n \nc"
+
+
+def test_stored_cells_are_searched_as_fresh_ones(spark, sf_dir, tmp_path):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    index, centres = retrieval.cells(vectors, 8)
+    retrieval.store_cells(index, centres, str(tmp_path / "cells"))
+    again = retrieval.knn_probe(*retrieval.stored_cells(spark, str(tmp_path / "cells")), asked, 10, 5)
+    key = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
+    assert key(again) == key(retrieval.knn_probe(index, centres, asked, 10, 5))
