@@ -5,6 +5,11 @@ manifest rows go through Spark's commit protocol, so they only name files of
 attempts that succeeded. Later stages read the manifest and open the files, so
 whole texts are never shuffled, and a lost executor costs no more than its own
 tasks.
+
+Cases: a null text is empty; a null id is written as the least 64-bit number; a
+text longer than the block size is a block of its own; repeated rows are written
+as often as they stand; an empty table has no blocks; only the id and text
+columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -79,16 +84,24 @@ def numbered(manifest: DataFrame) -> DataFrame:
     return manifest.join(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")), "part").select("block", "n_docs", "n_bytes", (F.col("before") + F.col("at")).alias("number"))
 
 
-def spread(manifest: DataFrame) -> DataFrame:
-    """The manifest dealt evenly, at most a few blocks to a task."""
+def tasks_for(manifest: DataFrame) -> int:
+    """Number of tasks that the blocks are dealt over: a few blocks to a task, and all cores busy."""
     n = manifest.count()
     least = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(max(1, min(n, max(least, n // 4))), "block")
+    return max(1, min(n, max(least, n // 4)))
+
+
+def spread(manifest: DataFrame) -> DataFrame:
+    """The manifest dealt evenly, at most a few blocks to a task."""
+    return manifest.repartition(tasks_for(manifest), "block")
+
 
+def gathered(rows: DataFrame, order: str, tasks: int) -> DataFrame:
+    """All rows of a block in one task, one block after the other, in the given order.
 
-def gathered(rows: DataFrame, order: str) -> DataFrame:
-    """All rows of a block in one task, one block after the other, in the given order."""
-    return rows.repartition("block").sortWithinPartitions("block", order)
+    The number of tasks is given, as the rows are small and the blocks they stand for are not.
+    """
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", order)
 
 
 def by_block(batches):

@@ -33,7 +33,10 @@ whole texts.
 
 Cases: null and empty texts have no shingles and no links; with fewer words
 than n the whole sequence is the one shingle; repeated rows link to each other;
-ids may be null or repeat; texts may be of any length; empty tables give none.
+ids may be null or repeat; texts may be of any length (a task holds one, and
+about 30 bytes for each of its bytes, half a megabyte at a time if they are
+short); empty tables give no rows; only the id and text columns are read, so
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -471,7 +474,7 @@ LARGE = 1000
 SLICE = 256
 
 
-def _verified(pairs: DataFrame, manifest: DataFrame, folder: str, n: int, top: int, bottom: int) -> DataFrame:
+def _verified(pairs: DataFrame, manifest: DataFrame, tasks: int, folder: str, n: int, top: int, bottom: int) -> DataFrame:
     """Links among candidate pairs (lead, node).
 
     The pairs of a centre are dealt over slices; its text goes once to each
@@ -482,7 +485,7 @@ def _verified(pairs: DataFrame, manifest: DataFrame, folder: str, n: int, top: i
     centres = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.col("lead").alias("node"))
     rows = shared.written(sliced.unionByName(centres), f"{folder}/rows")
     wanted = rows.select("node").distinct().withColumn("number", F.shiftright("node", PLACE)).join(manifest.select("block", "number"), "number").select("block", "node")
-    texts = shared.written(blocks.gathered(wanted, "node").mapInArrow(shared.tidy(_fetch(n)), "node long, raw long, body binary"), f"{folder}/texts")
+    texts = shared.written(blocks.gathered(wanted, "node", tasks).mapInArrow(shared.tidy(_fetch(n)), "node long, raw long, body binary"), f"{folder}/texts")
     both = rows.join(texts.hint("merge"), "node").repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("node") != F.col("lead"))
     links = shared.written(both.select("lead", "node", "raw", "body").mapInArrow(shared.tidy(_verify(n, top, bottom)), "u long, v long"), f"{folder}/links")
     shared.remove(pairs.sparkSession, f"{folder}/texts")
@@ -495,7 +498,7 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
     folder = shared.scratch(spark, "ngram")
     manifest = blocks.write(df, folder, id_name, text_name, block_bytes)
     numbered = shared.written(blocks.numbered(manifest), f"{folder}/numbered")
-    total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    total, tasks = manifest.agg(F.sum("n_bytes")).first()[0] or 0, blocks.tasks_for(numbered)
     docs = shared.written(blocks.spread(numbered).mapInArrow(shared.tidy(_describe(n, top, bottom)), DOCS), f"{folder}/docs")
     n_buckets = shared.parts_for(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed = shared.written(blocks.spread(numbered).mapInArrow(shared.tidy(_sign(n, top, bottom, n_buckets, common)), SIGNED), f"{folder}/signed")
@@ -533,7 +536,7 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
             pairs = pairs.join(of_lead.hint("merge"), "lead", "left").where(F.col("component") != F.coalesce("lead_component", "lead"))
         pairs = pairs.select("lead", "node", F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).dropDuplicates(["u", "v"])
         pairs = shared.written(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti") if turn else pairs, f"{where}/pairs")
-        found = _verified(pairs, numbered, where, n, top, bottom)
+        found = _verified(pairs, numbered, tasks, where, n, top, bottom)
         links = links.unionByName(found) if turn else found
         tried = tried.unionByName(pairs.select("u", "v")) if turn else pairs.select("u", "v")
         now = shared.written(lead.select("group", F.col("lead").alias("node")), f"{where}/led")
@@ -547,7 +550,7 @@ def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     chunked = rows.groupBy("group", "low", "high").agg(F.collect_list(F.struct("node", "component", "chunk", "n", "sketch")).alias("members"))
     rest = chunked.select("low", "high", "members").mapInArrow(shared.tidy(_across(top, bottom)), "u long, v long").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti")
-    more = _verified(shared.written(rest.select(F.col("v").alias("lead"), F.col("u").alias("node")), f"{folder}/rest"), numbered, f"{folder}/two", n, top, bottom)
+    more = _verified(shared.written(rest.select(F.col("v").alias("lead"), F.col("u").alias("node")), f"{folder}/rest"), numbered, tasks, f"{folder}/two", n, top, bottom)
     parts = components.connected_components(links.unionByName(more), f"{folder}/two")
     for name in ("blocks", "groups", "beyond", "members", "rest"):  # what follows reads none of them
         shared.remove(spark, f"{folder}/{name}")

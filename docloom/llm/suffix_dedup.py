@@ -38,6 +38,8 @@ columns are read.
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,7 +259,7 @@ def column_rounds(columns, n: int, length: int):
     neighbour before, capped at 255). The order sorts the strings by what was
     inserted so far, last symbol first; matches end at this round's column.
     """
-    order = np.arange(n)
+    order = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     match = np.zeros(n, np.uint8)
     for symbols in columns:
         now = symbols[order]
@@ -286,6 +288,10 @@ def column_rounds(columns, n: int, length: int):
         yield order, match
 
 
+#: Strings whose columns are laid out at a time.
+STRINGS = 50_000
+
+
 def _construct(folder: str, length: int):
     """Worker, for one bucket: first document of every window of its contexts."""
 
@@ -301,31 +307,45 @@ def _construct(folder: str, length: int):
         least, left, size = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
         n_columns = wide + length
         context = TaskContext.get()
-        uri = f"{folder}/columns-{context.partitionId()}-{context.taskAttemptId()}"
-        table = np.full((n_columns, n), 256, np.uint16)
-        at = 0
+        fs, folder_path = shared.open_fs(folder)
+        files: list[tuple[str, int]] = []  # (columns of some strings, how many)
+        waiting: list[np.ndarray] = []  # bytes of the strings not yet laid out
+        at = done = 0
+
+        def lay_out():
+            """Columns of the strings done to at - 1, as one file."""
+            nonlocal done
+            n_flat, flat = size[done:at], np.concatenate(waiting)
+            string = np.repeat(np.arange(at - done), n_flat)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n_flat) - n_flat, n_flat)
+            table = np.full((n_columns, at - done), 256, np.uint16)
+            table[wide - left[done + string] + place, string] = flat
+            path = f"{folder_path}/columns-{context.partitionId()}-{context.taskAttemptId()}-{len(files)}"
+            with fs.open_output_stream(path) as out:
+                out.write(table.tobytes())
+            files.append((path, at - done))
+            waiting.clear()
+            done = at
+
         for r in rows:
             raw = pa.decompress(r["body"], r["raw"], codec="zstd", asbytes=True)
             m = r["n"]
             least[at : at + m] = np.frombuffer(raw, np.int64, m)
             left[at : at + m] = np.frombuffer(raw, np.uint8, m, 8 * m)
             size[at : at + m] = np.frombuffer(raw, np.uint8, m, 9 * m).astype(np.int64) + length
-            flat = np.frombuffer(raw, np.uint8, offset=10 * m)
-            n_flat = size[at : at + m]
-            string = np.repeat(np.arange(at, at + m), n_flat)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n_flat) - n_flat, n_flat)
-            table[wide - left[string] + place, string] = flat
+            waiting.append(np.frombuffer(raw, np.uint8, offset=10 * m))
             at += m
-        fs, path = shared.open_fs(uri)
-        with fs.open_output_stream(path) as out:
-            for column in table:
-                out.write(column.tobytes())
-        del table
+            if at - done >= STRINGS:
+                lay_out()
+        if at > done:
+            lay_out()
 
         def columns():
-            with fs.open_input_stream(path) as file:
+            """One symbol of every string, read from all files at their next column."""
+            with ExitStack() as stack:
+                opened = [(stack.enter_context(fs.open_input_stream(path)), m) for path, m in files]
                 for _ in range(n_columns):
-                    yield np.frombuffer(file.read(2 * n), np.uint16)
+                    yield np.concatenate([np.frombuffer(file.read(2 * m), np.uint16) for file, m in opened])
 
         windows = size - length + 1
         ends = np.cumsum(windows)
@@ -342,7 +362,8 @@ def _construct(folder: str, length: int):
             run_of = np.cumsum(match < length) - 1
             some = np.flatnonzero(valid)
             first[base[order[some]] + number[some]] = smallest[run_of[some]]
-        fs.delete_file(path)
+        for path, _ in files:
+            fs.delete_file(path)
         at = 0
         for r in rows:
             i, j = (base[at] if r["n"] else 0), ends[at + r["n"] - 1]
@@ -411,9 +432,10 @@ def remove_repeats(df: DataFrame, length: int = 50, id_name: str = "doc_id", tex
     n_buckets = shared.parts_for(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grams = blocks.spread(manifest).mapInArrow(shared.tidy(_send_grams(length, n_buckets)), "bucket int, block string, body binary")
     common = shared.written(grams.repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_shared_grams), "bucket int, block string, body binary"), f"{folder}/grams")
-    contexts = blocks.gathered(common, "bucket").mapInArrow(shared.tidy(_send_contexts(length, n_buckets)), "bucket int, block string, n long, raw long, body binary")
+    tasks = blocks.tasks_for(manifest)
+    contexts = blocks.gathered(common, "bucket", tasks).mapInArrow(shared.tidy(_send_contexts(length, n_buckets)), "bucket int, block string, n long, raw long, body binary")
     firsts = contexts.repartitionById(n_buckets, "bucket").mapInArrow(shared.tidy(_construct(folder, length)), "bucket int, block string, raw long, firsts binary")
     firsts = shared.written(firsts, f"{folder}/firsts")
     told = manifest.select("block").join(common.join(firsts, ["block", "bucket"]), "block", "left")
-    done = blocks.gathered(told, "bucket").mapInArrow(shared.tidy(_remove(length)), REMOVED)
+    done = blocks.gathered(told, "bucket", tasks).mapInArrow(shared.tidy(_remove(length)), REMOVED)
     return done.withColumnRenamed("id", id_name)
