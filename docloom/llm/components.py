@@ -2,6 +2,9 @@
 
 Every round is two equi-joins with partial aggregation; its edges go to the
 shared folder, so lineage stays short and no node's links meet on the driver.
+
+Cases: links of a node to itself and repeated links count for nothing; a null
+end drops its link; without links there are no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,8 +24,9 @@ table is raked by DataFrame aggregations of the same arithmetic.
 
 Cases: null source, language or topic is a value of its own, written '';
 texts without tokens count as one token, so they have a rate too; rows of the
-same id are kept or dropped together; an empty table gives no rows; existing
-columns of the names added here are replaced.
+same id are kept or dropped together; a text of any length counts whole; an empty
+table gives no rows; existing columns of the names added here are replaced, and
+a column named topic is read as the topic.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the only shuffle carries keys and sizes, never texts.
 
 Cases: a null key hashes like any other value; null and empty texts have the
 size of the fixed overhead and CRC 0; repeated rows go to the same shard with
-slots of their own; an empty table gives no rows; other columns are ignored.
+slots of their own; a text of any length counts whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ it, so a document may span any number of blocks.
 
 Cases: an empty document is two separators in a row and has 0 tokens; tokens
 after a file's last separator count as one more document; an empty file has
-none; a file whose size is no multiple of the width raises an error.
+none; a file whose size is no multiple of the width raises an error. In written
+files a null text is an empty document; ids may be null or repeat; a text of any
+length is one document over as many blocks as it takes; an empty table gives no
+files and no rows; other columns of the table are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -109,7 +109,8 @@ def plain_fingerprint(raw: bytes, slots: int = 32, ell: int = 2) -> bytes:
     for s in range(1, slots + 1):
         factor = int(mix(np.array([s * 0xD1B54A32D192ED03 % 2**64], np.uint64))[0]) | 1
         value = elements * np.uint64(factor)
-        places = np.sort(np.lexsort((np.arange(len(value)), value))[:ell])
+        few = np.flatnonzero(value <= np.partition(value, min(ell, len(value)) - 1)[min(ell, len(value)) - 1])
+        places = np.sort(few[np.lexsort((few, value[few]))][:ell])
         mark = np.zeros(1, np.uint64)
         for j in range(ell):
             if j < len(places):
