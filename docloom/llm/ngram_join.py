@@ -470,19 +470,23 @@ def _across(top: int, bottom: int):
 
 #: A component of more than one in LARGE of all distinct sets is large; there are fewer than LARGE such.
 LARGE = 1000
-#: Sets that are compared with one centre in one slice.
+#: Sets that are compared with one centre in one slice, at least; all pairs over LARGE if that is more.
 SLICE = 256
 
 
 def _verified(pairs: DataFrame, manifest: DataFrame, tasks: int, folder: str, n: int, top: int, bottom: int) -> DataFrame:
     """Links among candidate pairs (lead, node).
 
-    The pairs of a centre are dealt over slices; its text goes once to each
-    slice, not to each pair, and no task has all pairs of a centre.
+    The pairs of a large centre are dealt over slices; its text goes once to each
+    slice, not to each pair, and no task has all pairs of it.
     """
-    sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
-    sliced = pairs.join(sizes.hint("merge"), "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node")
-    centres = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.col("lead").alias("node"))
+    sizes = shared.written(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), f"{folder}/sizes")
+    most = max(SLICE, (sizes.agg(F.sum("n")).first()[0] or 0) // LARGE)
+    large = F.broadcast(sizes.where(F.col("n") > most).select("lead", F.ceil(F.col("n") / most).alias("slices")))  # fewer than LARGE rows
+    place = lambda at: F.when(F.col("slices").isNull(), F.lit(0).cast("long")).otherwise(at)
+    sliced = pairs.join(large, "lead", "left").select("lead", place(F.pmod(F.xxhash64("node"), F.col("slices"))).alias("slice"), "node")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)
+    centres = sizes.join(large, "lead", "left").select("lead", F.explode(every).alias("slice"), F.col("lead").alias("node"))
     rows = shared.written(sliced.unionByName(centres), f"{folder}/rows")
     wanted = rows.select("node").distinct().withColumn("number", F.shiftright("node", PLACE)).join(manifest.select("block", "number"), "number").select("block", "node")
     texts = shared.written(blocks.gathered(wanted, "node", tasks).mapInArrow(shared.tidy(_fetch(n)), "node long, raw long, body binary"), f"{folder}/texts")
