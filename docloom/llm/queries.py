@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, sharding, suffix_dedup, token_counts, toxicity
+from docloom.llm import bpe, exact_dedup, filter_audit, fingerprints, html_extraction, mixing, ngram_join, sharding, suffix_dedup, token_counts, toxicity
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -128,3 +128,38 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, top=85, bottom=100)
     return rows.select("doc_id", "n_shingles", "component_id")
+
+
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+
+
+@_query(
+    "op11_filter_audit",
+    rf"""
+    WITH t AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    m AS (
+      SELECT part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+             + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask,
+             coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+      FROM t LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+    n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM m GROUP BY 1, 2),
+    o AS (
+      SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+      FROM {_LETTERS} a(l, b), {_LETTERS} b(l, b), {_LETTERS} c(l, b), {_LETTERS} d(l, b), {_LETTERS} e(l, b)
+      WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+    s AS (
+      SELECT filter_order, i::INT AS step, bits[i] AS bit, (list_sum(bits[1:i]) - bits[i])::INT AS before FROM o, range(1, 6) r(i)),
+    x AS (SELECT s.*, n.*, n.mask & s.bit <> 0 AS fails, n.mask & s.before = 0 AS spared FROM s, n)
+    SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND spared), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (fails AND spared), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND NOT spared), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND spared), 0)::BIGINT AS good_lost,
+           coalesce(sum(bad) FILTER (fails AND spared), 0)::BIGINT AS toxic_lost, coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (fails), 0)::BIGINT AS shapley
+    FROM x GROUP BY part, filter_order, step
+    """,
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = filter_audit.measure(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
+    return filter_audit.audit(measured, filter_audit.text_filters(), table(spark, sf_dir, "labels"), part="lang")
