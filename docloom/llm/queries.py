@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, filter_audit, fingerprints, html_extraction, mixing, ngram_join, sharding, suffix_dedup, token_counts, toxicity
+from docloom.llm import bpe, exact_dedup, filter_audit, fingerprints, html_extraction, mixing, ngram_join, sharding, spelling, suffix_dedup, token_counts, toxicity
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -163,3 +163,40 @@ _LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = filter_audit.measure(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
     return filter_audit.audit(measured, filter_audit.text_filters(), table(spark, sf_dir, "labels"), part="lang")
+
+
+@_query(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE bits(i, k, c) AS (
+      SELECT i, 0, i FROM range(256) r(i)
+      UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+    runs AS (
+      SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+      FROM documents),
+    counted AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS bytes FROM runs GROUP BY id, run),
+    summed(id, run, n, bytes, place, c) AS (
+      SELECT id, run, n, bytes, 0, 4294967295 FROM counted
+      UNION ALL
+      SELECT id, run, n, bytes, place + 1, xor(s.c >> 8, b.c) FROM summed s JOIN bits b ON b.k = 8 AND b.i = xor(s.c & 255, ('0x' || bytes[2 * place + 1:2 * place + 2])::BIGINT)
+      WHERE place < length(bytes) // 2),
+    hashed AS (SELECT run, n, xor(c, 4294967295) AS h, (xor(c, 4294967295) % length(run))::INT AS place FROM summed WHERE place = length(bytes) // 2),
+    words AS (
+      SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, place) || substring(run, place + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    holes AS (SELECT word, n, i, substring(word, 1, i - 1) || chr(1) || substring(word, i + 1) AS hole, substring(word, 1, i - 1) || substring(word, i + 1) AS without FROM places),
+    near AS (
+      SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+      UNION SELECT h.word, h.n, w.word, w.n FROM holes h JOIN words w ON h.without = w.word
+      UNION SELECT w.word, w.n, h.word, h.n FROM holes h JOIN words w ON h.without = w.word),
+    best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min(struct_pack(n := -other_n, other := encode(other))) AS b FROM near GROUP BY word),
+    forms AS (SELECT word, decode(b.other) AS form, -b.n AS form_n FROM best WHERE -b.n >= 2 * n),
+    steps(word, root) AS (SELECT word, form FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.root = f.word),
+    roots AS (SELECT s.word, s.root FROM steps s WHERE s.root NOT IN (SELECT word FROM forms))
+    SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+    FROM words w LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), damaged_one_in=97))
