@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, filter_audit, fingerprints, html_extraction, mixing, ngram_join, sharding, spelling, suffix_dedup, token_counts, toxicity
+from docloom.llm import bpe, debruijn, exact_dedup, filter_audit, fingerprints, html_extraction, mixing, ngram_join, sharding, spelling, suffix_dedup, token_counts, toxicity
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -200,3 +200,23 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), damaged_one_in=97))
+
+
+@_query(
+    "op13_debruijn_dedup",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS seq FROM w),
+    f AS (SELECT doc_id, i, (doc_id > min(doc_id) OVER (PARTITION BY seq))::INT AS repeated FROM s),
+    m AS (
+      SELECT p.*, coalesce(max(repeated) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+      FROM p LEFT JOIN f USING (doc_id, i)),
+    k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)
+    """,
+)
+def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = debruijn.remove_repeats(table(spark, sf_dir, "documents"), length=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
