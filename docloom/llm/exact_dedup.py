@@ -17,9 +17,12 @@
 
 The index outlives its batch: ``exact_groups(more, index=folder)`` opens the
 stored directories, splits and rewrites the pages that its records touch, and
-answers them with regard to all batches so far. Pages and directories carry the
-attempt of the task that wrote them, and a directory is put in place last, in
-one step, so a lost executor leaves the index as it was.
+answers them with regard to all batches so far. A task reads the directories of
+committed batches only and writes files of its own, whose names travel with its
+rows; they become the index when all tasks of the batch have succeeded and its
+name is put on the list of committed batches. So a task that is lost, repeated
+or run twice leaves no trace, and a batch that failed can be run again. As an
+index grows it gets more owners, which take their ranges from the old ones.
 
 Cases: null and empty texts are equal to each other; among repeated rows of
 the largest id one row stays (which one is not told apart by id); null ids
@@ -31,7 +34,9 @@ text columns are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import pickle
+import uuid
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
@@ -40,7 +45,7 @@ from pyspark.sql import functions as F
 from docloom.llm import shared, text
 
 RECORDS = "block string, rec int, key long, sha string, n_bytes long, body binary, ids array<long>, max_id long, n long"
-OWNED = "block string, rec int, keep_id long, group_size long, keep_block string, keep_rec int"
+OWNED = "block string, rec int, keep_id long, group_size long, keep_block string, keep_rec int, owner long, directory string"
 
 
 class Entry:
@@ -65,38 +70,84 @@ class Entry:
 
 
 class Pages:
-    """Page files of one owner in a shared folder; each version of a page is a file of its own."""
+    """Files of one owner in a shared folder; each version of a page or directory is a file of its own.
 
-    def __init__(self, folder: str, owner: int, attempt: int):
-        self.fs, self.path = shared.open_fs(folder)
-        self.owner, self.attempt = owner, attempt
+    ``batches`` are the (name, owner bits) of the committed batches, the oldest first.
+    """
+
+    def __init__(self, folder: str, bits: int, owner: int, batches: list[tuple[str, int]]):
+        self.fs, self.root = shared.open_fs(folder)
+        self.bits, self.owner, self.batches = bits, owner, batches
+        self.path = self._path(bits, owner)
+        self.run = uuid.uuid4().hex
+        self.n = 0
+        self.fs.create_dir(self.path)
 
-    def write(self, page: int, held: dict[int, list[Entry]]) -> str:
-        name = f"owner-{self.owner}-page-{page}.{self.attempt}"
-        rows = [(key, [[getattr(e, s) for s in Entry.__slots__] for e in chain]) for key, chain in held.items()]
-        with self.fs.open_output_stream(f"{self.path}/{name}") as out:
+    def _path(self, bits: int, owner: int) -> str:
+        return f"{self.root}/owner-{bits}-{owner}"
+
+    def _put(self, name: str, rows) -> str:
+        with self.fs.open_output_stream(f"{self.root}/{name}") as out:
             out.write(pickle.dumps(rows))
         return name
 
-    def read(self, name: str) -> dict[int, list[Entry]]:
-        with self.fs.open_input_file(f"{self.path}/{name}") as file:
-            rows = pickle.loads(file.read())
-        return {key: [Entry(**dict(zip(Entry.__slots__, e, strict=True))) for e in chain] for key, chain in rows}
-
-    def save(self, state: tuple) -> None:
-        """Put the directory in place, last and in one step."""
-        name = f"{self.path}/owner-{self.owner}-directory"
-        with self.fs.open_output_stream(f"{name}.{self.attempt}") as out:
-            out.write(pickle.dumps(state))
-        self.fs.move(f"{name}.{self.attempt}", name)
-
-    def load(self) -> tuple | None:
-        name = f"{self.path}/owner-{self.owner}-directory"
-        if not self.fs.get_file_info(name).is_file:
-            return None
-        with self.fs.open_input_file(name) as file:
+    def _get(self, name: str):
+        with self.fs.open_input_file(f"{self.root}/{name}") as file:
             return pickle.loads(file.read())
 
+    def write(self, held: dict[int, list[Entry]]) -> str:
+        self.n += 1
+        return self._put(f"owner-{self.bits}-{self.owner}/page-{self.run}-{self.n}", [(key, [[getattr(e, s) for s in Entry.__slots__] for e in chain]) for key, chain in held.items()])
+
+    def read(self, name: str) -> dict[int, list[Entry]]:
+        return {key: [Entry(**dict(zip(Entry.__slots__, e, strict=True))) for e in chain] for key, chain in self._get(name)}
+
+    def save(self, state: tuple) -> str:
+        """Name of a directory file, which counts once it is published and its batch committed."""
+        return self._put(f"owner-{self.bits}-{self.owner}/directory-{self.run}", state)
+
+    def load(self) -> tuple[int, tuple] | None:
+        """(owner bits, directory) of the latest committed batch that wrote this range, perhaps as part of a wider one."""
+        for bits in range(self.bits, -1, -1):
+            path = self._path(bits, self.owner >> self.bits - bits)
+            for name, _ in reversed([b for b in self.batches if b[1] == bits]):
+                if self.fs.get_file_info(f"{path}/{name}").is_file:
+                    with self.fs.open_input_file(f"{path}/{name}") as file:
+                        return bits, self._get(file.read().decode())
+        return None
+
+
+def _publish(folder: str, bits: int, batch: str):
+    """Worker: point the owners of a batch to their directories; the same files whoever writes them."""
+
+    def run(batches):
+        fs, root = shared.open_fs(folder)
+        for rows in batches:
+            for owner, directory in zip(rows["owner"].to_pylist(), rows["directory"].to_pylist(), strict=True):
+                with fs.open_output_stream(f"{root}/owner-{bits}-{owner}/{batch}") as out:
+                    out.write(directory.encode())
+            yield rows
+
+    return run
+
+
+def _committed(index: str) -> dict:
+    """Batches of an index, the oldest first as (name, owner bits), and the bytes that they held."""
+    fs, path = shared.open_fs(index)
+    if not fs.get_file_info(f"{path}/committed").is_file:
+        return {"batches": [], "n_bytes": 0}
+    with fs.open_input_file(f"{path}/committed") as file:
+        return json.loads(file.read())
+
+
+def _commit(index: str, state: dict) -> None:
+    """Put the list of batches in place in one step."""
+    fs, path = shared.open_fs(index)
+    name = f"{path}/committed.{uuid.uuid4().hex}"
+    with fs.open_output_stream(name) as out:
+        out.write(json.dumps(state).encode())
+    fs.move(name, f"{path}/committed")
+
 
 class ExtendibleHash:
     """Directory over the leading bits of ``width``-bit keys, and buckets of at most ``capacity`` keys.
@@ -106,10 +157,19 @@ class ExtendibleHash:
 
     def __init__(self, width: int, pages: Pages, capacity: int = 64, most_held: int = 32):
         self.width, self.pages, self.capacity, self.most_held = width, pages, capacity, most_held
-        stored = pages.load()
-        self.depth, self.directory, self.depths, self.files, self.n = stored or (0, [0], [0], [None], 0)
+        self.depth, self.directory, self.depths, self.files, self.n = 0, [0], [0], [None], 0
         self.held: OrderedDict[int, dict[int, list[Entry]]] = OrderedDict()
         self.changed: set[int] = set()
+        stored = pages.load()
+        if stored is not None and stored[0] == pages.bits:
+            self.depth, self.directory, self.depths, self.files, self.n = stored[1]
+        elif stored is not None:  # the range was part of a wider owner's
+            low, self.n = pages.owner & (1 << pages.bits - stored[0]) - 1, stored[1][4]
+            for name in stored[1][3]:
+                for key, chain in pages.read(name).items() if name else ():
+                    if key >> width == low:
+                        key &= (1 << width) - 1
+                        self._room(key)[key] = chain
 
     def _bucket(self, key: int) -> int:
         return self.directory[key >> self.width - self.depth]
@@ -125,22 +185,26 @@ class ExtendibleHash:
     def _put_away(self, bucket: int) -> None:
         held = self.held.pop(bucket)
         if bucket in self.changed:
-            self.files[bucket] = self.pages.write(bucket, held)
+            self.files[bucket] = self.pages.write(held)
             self.changed.discard(bucket)
 
     def chain(self, key: int) -> list[Entry]:
         """Entries under a key, in order of insertion."""
         return self._open(self._bucket(key)).get(key, [])
 
-    def add(self, key: int, size: int, body: bytes, max_id: int | None, block: str, rec: int, n: int) -> Entry:
-        """The entry of a text; it is made, or the rows join it."""
+    def _room(self, key: int) -> dict[int, list[Entry]]:
+        """The bucket of a key, with room for it."""
         while True:
             bucket = self._bucket(key)
             held = self._open(bucket)
             if key in held or len(held) < self.capacity or self.depths[bucket] == self.width:
-                break
+                self.changed.add(bucket)
+                return held
             self._split(bucket)
-        self.changed.add(bucket)
+
+    def add(self, key: int, size: int, body: bytes, max_id: int | None, block: str, rec: int, n: int) -> Entry:
+        """The entry of a text; it is made, or the rows join it."""
+        held = self._room(key)
         entry = next((e for e in held.get(key, ()) if e.equals(size, body)), None)
         if entry is not None:
             entry.joins(max_id, block, rec, n)
@@ -168,10 +232,10 @@ class ExtendibleHash:
         half = 1 << self.depth - depth - 1
         self.directory[first + half : first + 2 * half] = [other] * half
 
-    def save(self) -> None:
+    def save(self) -> str:
         for bucket in list(self.held):
             self._put_away(bucket)
-        self.pages.save((self.depth, self.directory, self.depths, self.files, self.n))
+        return self.pages.save((self.depth, self.directory, self.depths, self.files, self.n))
 
 
 def _records(block_bytes: int, id_name: str, text_name: str, batch: str):
@@ -202,31 +266,29 @@ def _records(block_bytes: int, id_name: str, text_name: str, batch: str):
     return run
 
 
-def _own(folder: str, capacity: int, owner_bits: int):
+def _own(folder: str, capacity: int, owner_bits: int, committed: list[tuple[str, int]]):
     """Worker: put the records of a key range into its index, then answer each from the stored pages."""
     schema = text.arrow_schema(OWNED)
     width = 64 - owner_bits
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        context = TaskContext.get()
         index, where = None, []
         for batch in batches:
             for block, rec, key, size, body, max_id, n in zip(*(batch.column(c).to_pylist() for c in ("block", "rec", "key", "n_bytes", "body", "max_id", "n")), strict=True):
                 if index is None:
-                    index = ExtendibleHash(width, Pages(folder, (key & (1 << 64) - 1) >> width, context.taskAttemptId()), capacity)
+                    index = ExtendibleHash(width, Pages(folder, owner_bits, (key & (1 << 64) - 1) >> width, committed), capacity)
                 key &= (1 << width) - 1  # the range's common leading bits tell nothing
                 where.append((block, rec, key, index.add(key, size, body, max_id, block, rec, n).number))
         if index is None:
             return
-        index.save()
+        directory = index.save()
         for start in range(0, len(where), 5000):
             rows = []
             for block, rec, key, number in where[start : start + 5000]:
                 e = next(e for e in index.chain(key) if e.number == number)
-                rows.append((block, rec, e.max_id, e.n, e.block, e.rec))
+                rows.append((block, rec, e.max_id, e.n, e.block, e.rec, index.pages.owner, directory))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     return run
@@ -248,15 +310,21 @@ def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text"
     total = records.agg(F.sum("n_bytes")).first()[0] or 0
     wanted = shared.parts_for(total, owner_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     where = shared.make(spark, index or f"{folder}/index")
-    bits = _owner_bits(where, max(1, (wanted - 1).bit_length()))
+    state = _committed(where)
+    wanted = max(wanted, shared.parts_for(state["n_bytes"] + total, owner_bytes, 1))
+    bits = max([1, (wanted - 1).bit_length(), *(b for _, b in state["batches"])])
     owner = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int")  # a range of keys each
     lean = shared.written(records.select("block", "rec", "sha", "ids"), f"{folder}/members")
     dealt = records.select("block", "rec", "key", "n_bytes", "body", "max_id", "n").repartitionById(1 << bits, owner).sortWithinPartitions("key")
-    owned = shared.written(dealt.mapInArrow(shared.tidy(_own(where, capacity, bits)), OWNED), f"{folder}/owned")
+    owned = shared.written(dealt.mapInArrow(shared.tidy(_own(where, capacity, bits, state["batches"])), OWNED), f"{folder}/owned")
     shared.remove(spark, f"{folder}/records")  # the texts are not needed any more
     if index is None:
         shared.remove(spark, where)
-    joined = lean.join(owned.hint("merge"), ["block", "rec"])
+    else:
+        name = uuid.uuid4().hex
+        owned.select("owner", "directory").distinct().mapInArrow(_publish(where, bits, name), "owner long, directory string").write.format("noop").mode("overwrite").save()
+        _commit(where, {"batches": [*state["batches"], (name, bits)], "n_bytes": state["n_bytes"] + total})
+    joined = lean.join(owned.drop("owner", "directory").hint("merge"), ["block", "rec"])
     first = F.array_position("ids", F.col("keep_id"))
     rows = joined.select(
         "sha", "keep_id", "group_size", F.posexplode("ids").alias("__at", id_name),
@@ -264,13 +332,3 @@ def exact_groups(df: DataFrame, id_name: str = "doc_id", text_name: str = "text"
     )
     return rows.select(id_name, "keep_id", F.col("group_size"), (F.col("__at") == F.col("__keep")).alias("kept"), F.col("sha").alias("text_sha256"))
 
-
-def _owner_bits(index: str, wanted: int) -> int:
-    """Bits of a key that tell its owner: an index keeps those it was made with."""
-    fs, path = shared.open_fs(index)
-    if fs.get_file_info(f"{path}/owners").is_file:
-        with fs.open_input_file(f"{path}/owners") as file:
-            return int(file.read())
-    with fs.open_output_stream(f"{path}/owners") as out:
-        out.write(str(wanted).encode())
-    return wanted

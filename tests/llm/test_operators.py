@@ -74,26 +74,30 @@ def test_index_doubles_splits_and_chains(tmp_path):
     rng = random.Random(2)
     keys = [rng.getrandbits(63) for _ in range(3000)]
     body = lambda i: exact_dedup_zstd(str(i).encode())
-    pages = exact_dedup.Pages(f"file://{tmp_path}", 0, 1)
+    pages = exact_dedup.Pages(f"file://{tmp_path}", 1, 0, [])
     index = exact_dedup.ExtendibleHash(63, pages, capacity=4, most_held=3)
     for i, key in enumerate(keys):
         index.add(key, len(str(i)), body(i), i, "b", i, 1)
     index.add(keys[7], 1, body(5), 9999, "c", 0, 1)  # the same key for another text
     index.add(keys[7], 1, body(7), 8888, "d", 0, 5)  # the same text again
-    index.save()
-    again = exact_dedup.ExtendibleHash(63, exact_dedup.Pages(f"file://{tmp_path}", 0, 2), capacity=4, most_held=3)
+    published(tmp_path, 1, {0: index.save()}, "first")
+    assert exact_dedup.Pages(f"file://{tmp_path}", 1, 0, []).load() is None  # no committed batch, no index
+    again = exact_dedup.ExtendibleHash(63, exact_dedup.Pages(f"file://{tmp_path}", 1, 0, [("first", 1)]), capacity=4, most_held=3)
     assert again.depth >= 9 and len(again.directory) == 1 << again.depth and again.n == 3001
     assert all(len(again._open(b)) <= 4 for b in range(len(again.files)))
     assert len(again.held) == 3
     assert all(again.chain(key)[0].rec == i for i, key in enumerate(keys) if i != 7)
     assert [(e.max_id, e.n, e.block) for e in again.chain(keys[7])] == [(8888, 6, "d"), (9999, 1, "c")]
     assert again.chain(keys[8])[0].max_id == 8 and again.add(123, 1, body(1), None, "e", 0, 1).number == 3001
+    parts = [exact_dedup.ExtendibleHash(61, exact_dedup.Pages(f"file://{tmp_path}", 3, owner, [("first", 1)]), capacity=4, most_held=3) for owner in range(4)]
+    for i, key in enumerate(keys):  # more owners take the range of one
+        assert [e.rec for e in parts[key >> 61].chain(key & (1 << 61) - 1)][0] == (i if i != 7 else 0 if again.chain(key)[0].block == "d" else i)
 
 
 def test_equal_keys_of_different_texts_stay_apart(spark, tmp_path):
     rows = [("b", 0, 5, 1, exact_dedup_zstd(b"x"), 1, 1), ("b", 1, 5, 1, exact_dedup_zstd(b"y"), 2, 1), ("c", 0, 5, 1, exact_dedup_zstd(b"x"), 3, 1)]
     df = spark.createDataFrame(rows, "block string, rec int, key long, n_bytes long, body binary, max_id long, n long").coalesce(1)
-    got = df.mapInArrow(exact_dedup._own(f"file://{tmp_path}", 64, 1), exact_dedup.OWNED).collect()
+    got = df.mapInArrow(exact_dedup._own(f"file://{tmp_path}", 64, 1, []), exact_dedup.OWNED).collect()
     assert pairs((r.block, r.rec, r.keep_id, r.group_size) for r in got) == [("b", 0, 3, 2), ("b", 1, 2, 1), ("c", 0, 3, 2)]
     assert [p.name for p in tmp_path.iterdir()]
 
@@ -116,6 +120,52 @@ def test_a_second_batch_is_answered_from_the_stored_index(spark, tmp_path):
             assert (r.keep_id, r.group_size, r.kept) == (max(ids), len(ids), r.doc_id == max(ids))
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_repeated_tasks_and_more_owners(spark, tmp_path, monkeypatch, times):
+    """Owner tasks that ran before and whose rows were lost, in every batch; each batch has more owners than the one before; a batch that fails is run again."""
+    own = exact_dedup._own
+
+    def repeated(*args):
+        once = own(*args)
+
+        def run(batches):
+            batches = list(batches)
+            for _ in range(times - 1):
+                list(once(iter(batches)))  # all files are written, no row is seen
+            yield from once(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(exact_dedup, "_own", repeated)
+    rng = random.Random(8)
+    texts = [sentence(rng, 4) for _ in range(300)]
+    rows = [(i, rng.choice(texts)) for i in range(900)]
+    seen: dict[str, list[int]] = {}
+    index = f"file://{tmp_path}/index"
+    for name, some, owner_bytes in (("a", rows[:200], 48 << 20), ("b", rows[200:500], 1000), ("c", rows[500:], 300)):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        groups = lambda: exact_dedup.exact_groups(df, block_bytes=3000, owner_bytes=owner_bytes, capacity=4, index=index, batch=name)  # noqa: B023, E731
+        if name == "b":
+            with monkeypatch.context() as broken:
+                broken.setattr(exact_dedup, "_commit", lambda *a: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    groups()
+        got = groups().collect()
+        for i, t in some:
+            seen.setdefault(t, []).append(i)
+        of = dict(some)
+        assert len(got) == len(some)
+        assert all((r.keep_id, r.group_size, r.kept) == (max(seen[of[r.doc_id]]), len(seen[of[r.doc_id]]), r.doc_id == max(seen[of[r.doc_id]])) for r in got)
+    state = exact_dedup._committed(index)
+    assert len(state["batches"]) == 3 and state["batches"][0][1] < state["batches"][1][1] < state["batches"][2][1]
+
+
+def published(folder, bits, directories, batch):
+    import pyarrow as pa
+
+    list(exact_dedup._publish(f"file://{folder}", bits, batch)([pa.RecordBatch.from_pydict({"owner": list(directories), "directory": list(directories.values())})]))
+
+
 def exact_dedup_zstd(raw):
     import pyarrow as pa
 
