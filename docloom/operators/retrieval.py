@@ -90,19 +90,6 @@ def stored_cells(spark, path: str) -> tuple[DataFrame, list]:
     return spark.read.parquet(f"{path}/vectors"), centres
 
 
-def knn_probe(index: DataFrame, centres: list, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """Approximate kNN over the nearest cells of each query only; a partitioned index is pruned to them."""
-    spark = index.sparkSession
-    centre_rows = spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "id long, vector array<double>")
-    near = knn(centre_rows, queries, probes, "l2").select("query_id", F.col("id").alias("cell"))
-    wanted = index.join(F.broadcast(near), "cell").join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))), "query_id")  # queries x probes rows
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    distance = 1 - dot(F.col("vector"), F.col("q")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("q"), F.col("q")))
-    scored = wanted.select("query_id", "id", distance.alias("distance"))
-    rank = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
-
-
 def postings(docs: DataFrame, text: str = "text", id_name: str = "doc_id", stop: Sequence[str] = STOP_WORDS, field: str | None = None, weight: float = 1.0) -> DataFrame:
     """(id, term, tf, field, weight); the counts combine before the shuffle."""
     split = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text"))).select("id", F.split(F.lower("text"), TERM_GAP).alias("words"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import STOP_WORDS, classify_query, terms
 from docloom.operators import retrieval as r
+from docloom.operators import vectors as v
 from docloom.plans.registry import query
 from docloom.sources.tables import table
 
@@ -38,39 +39,57 @@ def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def _knn_sql(distance: str, k: int, where: str = "TRUE", one: bool = False) -> str:
-    qs = f"{ASKED_SQL}, q AS (SELECT query_id, embedding::DOUBLE[] AS v FROM asked JOIN embeddings USING (vec_id){' WHERE query_id = 1' if one else ''})"
-    return f"""WITH {qs}, d AS (SELECT q.query_id, e.vec_id AS id, {distance} AS distance FROM embeddings e, q WHERE {where})
+def _knn_sql(distance: str, k: int, where: str = "TRUE") -> str:
+    return f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+    d AS (SELECT q.query_id, e.vec_id AS id, {distance} AS distance FROM embeddings e, q WHERE {where})
     SELECT query_id, id, round(distance, 6) + 0.0 AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id)::INTEGER AS rank FROM d
     QUALIFY rank <= {k}"""
 
 
-@query("knn_cosine", _knn_sql(_COS, 50, one=True))
+def every_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of the vector searches: every row whose id is divisible by 50."""
+    return corpus_vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+@query("knn_cosine", _knn_sql(_COS, 50))
 def knn_cosine(spark, sf_dir):
-    return r.knn(corpus_vectors(spark, sf_dir), query_vectors(spark, sf_dir).where("query_id = 1"), 50)
+    return v.nearest(corpus_vectors(spark, sf_dir), every_fiftieth(spark, sf_dir), 50)
 
 
 @query("knn_cosine_multi", _knn_sql(_COS, 30))
 def knn_cosine_multi(spark, sf_dir):
-    return r.knn(corpus_vectors(spark, sf_dir), query_vectors(spark, sf_dir), 30)
+    return v.nearest(corpus_vectors(spark, sf_dir), every_fiftieth(spark, sf_dir), 30)
 
 
 @query("knn_filtered", _knn_sql(_COS, 10, "e.label IN (0, 2)"))
 def knn_filtered(spark, sf_dir):
-    return r.knn(corpus_vectors(spark, sf_dir).where(F.col("label").isin(0, 2)), query_vectors(spark, sf_dir), 10)
+    return v.nearest(corpus_vectors(spark, sf_dir).where(F.col("label").isin(0, 2)), every_fiftieth(spark, sf_dir), 10)
 
 
 @query("knn_l2", _knn_sql(_L2, 10))
 def knn_l2(spark, sf_dir):
-    return r.knn(corpus_vectors(spark, sf_dir), query_vectors(spark, sf_dir), 10, metric="l2")
+    return v.nearest(corpus_vectors(spark, sf_dir), every_fiftieth(spark, sf_dir), 10, metric="l2")
 
 
 @query("knn_ivf")
 def knn_ivf(spark, sf_dir):
-    """Every row whose id is divisible by 50, against the index of all rows; the probes hold the recall of this query set above 0.9."""
+    """An inverted file whose cells grow as the root of the table; the share of cells probed holds the recall above 0.9 on vectors without clusters."""
     vectors = corpus_vectors(spark, sf_dir).select("id", "vector")
-    index, centres = r.cells(vectors, 16)
-    return r.knn_probe(index, centres, vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 10, probes=11)
+    index, centres = r.cells(vectors, v.cells_for(vectors.count()))
+    return v.probe(index, centres, every_fiftieth(spark, sf_dir), 10, probes=max(1, round(len(centres) * 0.7)))
+
+
+@query("knn_hnsw")
+def knn_hnsw(spark, sf_dir):
+    """The ten nearest from graphs of neighbours; the recall is measured in the tests."""
+    return v.graph_nearest(v.graph_index(corpus_vectors(spark, sf_dir)), every_fiftieth(spark, sf_dir), 10)
+
+
+@query("knn_hnsw_filtered")
+def knn_hnsw_filtered(spark, sf_dir):
+    """The same under a filter on the index's own column: the walk widens until enough rows pass."""
+    index = v.graph_index(corpus_vectors(spark, sf_dir), keep=["label"])
+    return v.graph_nearest(index, every_fiftieth(spark, sf_dir), 10, passes=F.col("label").isin(0, 2))
 
 
 @query("fts_postings", f"WITH {TERMS_SQL} SELECT id, term, count(*) AS tf FROM terms WHERE term NOT IN ({_STOP}) GROUP BY id, term")

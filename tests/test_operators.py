@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as ft
 from docloom.operators import ingest, paragraphs, rerank, retrieval, triage
+from docloom.operators import vectors as vectors_
 from docloom.plans import search, texts
 from docloom.sources import formats
 from docloom.streaming import events
@@ -110,7 +111,7 @@ def test_inverted_file_recall(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     index, centres = retrieval.cells(vectors, 8)
-    near = {(r.query_id, r.id) for r in retrieval.knn_probe(index, centres, asked, 10, 5).collect()}
+    near = {(r.query_id, r.id) for r in vectors_.probe(index, centres, asked, 10, 5).collect()}
     true = {(r.query_id, r.id) for r in retrieval.knn(vectors, asked, 10).collect()}
     assert len(near & true) / len(true) >= 0.9
 
@@ -284,6 +285,6 @@ def test_stored_cells_are_searched_as_fresh_ones(spark, sf_dir, tmp_path):
     asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     index, centres = retrieval.cells(vectors, 8)
     retrieval.store_cells(index, centres, str(tmp_path / "cells"))
-    again = retrieval.knn_probe(*retrieval.stored_cells(spark, str(tmp_path / "cells")), asked, 10, 5)
+    again = vectors_.probe(*retrieval.stored_cells(spark, str(tmp_path / "cells")), asked, 10, 5)
     key = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
-    assert key(again) == key(retrieval.knn_probe(index, centres, asked, 10, 5))
+    assert key(again) == key(vectors_.probe(index, centres, asked, 10, 5))
