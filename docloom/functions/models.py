@@ -55,6 +55,9 @@ def register_table_functions(spark: SparkSession) -> None:
 
     They take one text a call; for whole tables use the operators, which work on batches.
     """
+    import re
+
+    from docloom.functions.text import NOTICE, PAGE_MARK, PARAGRAPH_GAP
     from docloom.operators import paragraphs, triage
 
     @F.udtf(returnType=paragraphs.SPANS, useArrow=False)
@@ -65,8 +68,6 @@ def register_table_functions(spark: SparkSession) -> None:
     @F.udtf(returnType="number int, body string", useArrow=False)
     class Sections:
         def eval(self, page):
-            import re
-
             for i, part in enumerate(re.split(r"<(?:p|h1|li)>", page or "")[1:], 1):
                 body = " ".join(re.sub(r"<[^>]*>", " ", part).split())
                 if len(body) >= 20:
@@ -75,7 +76,11 @@ def register_table_functions(spark: SparkSession) -> None:
     @F.udtf(returnType="chunk int, first_token int, last_token int, chars int", useArrow=False)
     class Chunks:
         def eval(self, text, most: int):
-            for chunk, part in enumerate(triage.plan_text(text or "", most)):
+            pieces = [x for part in re.split(PAGE_MARK, text or "") for x in ([part] if re.fullmatch(PAGE_MARK, part) else re.split(PARAGRAPH_GAP, part)) if x]
+            hindi = [sum(c.isalpha() and "ऀ" <= c <= "ॿ" for c in x) for x in pieces]
+            wanted = [n >= max(10, 0.3 * sum(map(str.isalpha, x))) and not re.match(NOTICE, x) for n, x in zip(hindi, pieces, strict=True)]
+            kinds = [1 if w else 2 if not x.strip() else 0 for w, x in zip(wanted, pieces, strict=True)]
+            for chunk, part in enumerate(triage.cut_runs(kinds, list(map(len, pieces)), most)):
                 yield chunk, *part
 
     spark.udtf.register("segment_paragraphs", Segments)

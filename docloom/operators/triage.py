@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import CASE_MARKS, is_template, mark_count, squeeze
+from docloom.functions.text import CASE_MARKS, NOTICE, is_template, letters, mark_count, script_letters, squeeze, tokens
 
 
 def dedupe_content(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
@@ -70,47 +70,56 @@ def allocate_attempts(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return df.withColumn(out, (upto <= total) | first)
 
 
-def plan_text(text: str, most: int, least_letters: int = 10, least_share: float = 0.05) -> list[tuple[int, int, int]]:
-    """(first token, last token, characters) of the chunks of one text; its tokens are paragraphs and the gaps between them."""
-    import re
+def cut_runs(kinds: Sequence[int], sizes: Sequence[int], most: int) -> list[tuple[int, int, int]]:
+    """(first, last, size) of chunks of wanted pieces (kind 1), at most ``most`` in size unless one piece is larger.
 
+    Pieces of kind 2 (blank) may lie inside a chunk, any other ends it. All cuts of a run come from its running
+    sizes: each chunk ends where the size before it plus ``most`` is passed.
+    """
+    import numpy as np
+
+    kinds, sizes = np.asarray(kinds, np.int64), np.asarray(sizes, np.int64)
+    at = np.flatnonzero(kinds == 1)
+    run = np.cumsum((kinds != 1) & (kinds != 2))[at]
+    upto = np.cumsum(sizes[at])
     out = []
-    tokens = [p for p in re.split(r"(\n\s*\n)", text) if p]
-    flags = []
-    for p in tokens:
-        n = len(re.findall(r"[^\W\d_]", p))
-        other = n - len(re.findall(r"[A-Za-z]", p))
-        flags.append(other >= least_letters and n > 0 and other / n >= least_share)
-    i = 0
-    while i < len(tokens):
-        if not flags[i]:
-            i += 1
-            continue
-        j = last = i
-        size = 0
-        while j < len(tokens) and (flags[j] or not tokens[j].strip()):
-            if flags[j]:
-                if size and size + len(tokens[j]) > most:
-                    break
-                size, last = size + len(tokens[j]), j
-            j += 1
-        out.append((i, last, size))
-        i = last + 1
+    for low, high in zip(np.searchsorted(run, np.unique(run)), np.searchsorted(run, np.unique(run), side="right"), strict=True):
+        begin = int(low)
+        while begin < high:
+            before = int(upto[begin] - sizes[at[begin]])
+            end = max(begin + 1, min(int(np.searchsorted(upto, before + most, side="right")), int(high)))
+            out.append((int(at[begin]), int(at[end - 1]), int(upto[end - 1]) - before))
+            begin = end
     return out
 
 
-def _plan(key: str, text: str, most: int, least_letters: int, least_share: float):
+def piece_kind(piece: Column, least_letters: int = 10, least_share: float = 0.3, script: str = "hi") -> Column:
+    """1 for a piece to translate (enough letters of the script, no notice in brackets), 2 for a blank one, else 0 (page marks among them)."""
+    foreign = (script_letters(piece, script) >= least_letters) & (script_letters(piece, script) >= letters(piece) * least_share)
+    return F.when(F.rlike(piece, F.lit(r"^\s*$")), 2).when(~F.rlike(piece, F.lit(NOTICE)) & foreign, 1).otherwise(0)
+
+
+def _plan(most: int):
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for rows in batches:
-            out = [(k, chunk, *part) for k, t in zip(rows[key], rows[text], strict=True) for chunk, part in enumerate(plan_text(t or "", most, least_letters, least_share))]
-            yield pd.DataFrame(out, columns=[key, "chunk", "first_token", "last_token", "chars"])
+            parts = [cut_runs(k or (), n or (), most) for k, n in zip(rows["kinds"].to_pylist(), rows["sizes"].to_pylist(), strict=True)]
+            of = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            flat = [(chunk, *c) for p in parts for chunk, c in enumerate(p)]
+            made = [pa.array([c[i] for c in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([rows["key"].take(of), *made], ["key", "chunk", "first_token", "last_token", "chars"])
 
     return run
 
 
-def plan_chunks(df: DataFrame, key: str, text: str, most: int = 6000, least_letters: int = 10, least_share: float = 0.05) -> DataFrame:
-    """Runs of paragraphs to translate, at most ``most`` characters each, no paragraph cut: (key, chunk, first_token, last_token, chars)."""
+def plan_chunks(df: DataFrame, key: str, text: str, most: int = 6000, least_letters: int = 10, least_share: float = 0.3, script: str = "hi") -> DataFrame:
+    """Runs of paragraphs to translate, at most ``most`` characters each, no paragraph cut: (key, chunk, first_token, last_token, chars).
+
+    Tokens are those of ``functions.text.tokens``: page marks, notices in brackets and other paragraphs end a chunk, gaps between its
+    paragraphs lie inside. Only kinds and lengths of the tokens go to the workers.
+    """
+    held = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("pieces"))
+    lean = held.select("key", F.transform("pieces", lambda x: piece_kind(x, least_letters, least_share, script)).alias("kinds"), F.transform("pieces", lambda x: F.char_length(x)).alias("sizes"))
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(_plan(key, text, most, least_letters, least_share), f"`{key}` {kind}, chunk int, first_token int, last_token int, chars long")
+    return lean.mapInArrow(_plan(most), f"key {kind}, chunk int, first_token int, last_token int, chars long").withColumnRenamed("key", key)

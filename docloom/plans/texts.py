@@ -198,8 +198,8 @@ def locate_tiered(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     parts = chunks(docs).withColumn("kind", (F.col("doc_id") + F.col("chunk_index")) % 3)
     noisy = F.when(F.col("kind") == 0, F.col("chunk_text")).when(F.col("kind") == 1, F.regexp_replace("chunk_text", "[,.] ", "  ")).otherwise(F.concat(F.lit("scan: "), F.reverse("chunk_text")))
-    rows = parts.join(docs, "doc_id").select("doc_id", "chunk_index", "text", noisy.alias("chunk"), (F.col("chunk_index") * 1750).alias("low"), ((F.col("chunk_index") + 1) * 1750).alias("high"))
-    return paragraphs.locate(rows, "text", "chunk", "low", "high", ["doc_id", "chunk_index"])
+    rows = parts.select("doc_id", "chunk_index", noisy.alias("chunk"), (F.col("chunk_index") * 1750).alias("low"), ((F.col("chunk_index") + 1) * 1750).alias("high"))
+    return paragraphs.locate(docs, rows, "doc_id", "text", "chunk", "low", "high", ["chunk_index"])
 
 
 @query(
@@ -318,11 +318,6 @@ def clip_head_tail(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ft.clip_head_tail(F.col("text"), 450, 150).alias("clipped"))
 
 
-@query("plan_chunks")
-def plan_chunks(spark, sf_dir):
-    return triage.plan_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 2000)
-
-
 _PAGED_SQL = "CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '--- Page 2 ---' || chr(10) || 'धारा तीन सौ दो के अंतर्गत यह आदेश' || chr(10) || '  ' || chr(10) || chr(10) || '[note]' ELSE replace(text, '. ', '.' || chr(10) || chr(10)) END"
 _HINDI = "धारा तीन सौ दो के अंतर्गत यह आदेश"
 
@@ -346,6 +341,31 @@ def lossless_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("k").cast("long").alias("n_tokens"), F.size(marks).cast("long").alias("n_marks"), F.size(wanted).cast("long").alias("n_to_translate"), (F.array_join("k", "") == F.col("t")).alias("lossless"))
 
 
+#: Letters that stand for Latin ones, so that the tables hold passages in another script.
+_ROMAN, _NAGARI = "abcdefghijklmnopqrstuvwxyz", "अबचदएफगहइजकलमनओपकरसतउववछयज"
+_TRANSLATED_SQL = f"CASE WHEN lang = 'en' THEN {_PAGED_SQL} ELSE translate({_PAGED_SQL}, '{_ROMAN}', '{_NAGARI}') END"
+
+
+@query(
+    "plan_chunks",
+    rf"""WITH RECURSIVE p AS (SELECT doc_id, {_TRANSLATED_SQL} AS t FROM documents),
+    k AS (SELECT doc_id, unnest(k) AS x, unnest(range(len(k))) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(t, '(\n--- Page \d+ ---\n)', chr(57344) || '\1' || chr(57344), 'g'), '(\n[ \t]*\n\s*)', chr(57344) || '\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS k FROM p)),
+    h AS (SELECT doc_id, i, length(x) AS n, CASE WHEN regexp_matches(x, '^\s*$') THEN 2 WHEN NOT regexp_matches(x, '(?s)^\s*\[.*\]\s*$')
+        AND length(regexp_replace(regexp_replace(x, '[^\p{{L}}]', '', 'g'), '[^\x{{0900}}-\x{{097F}}]', '', 'g')) >= greatest(10, 0.3 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g'))) THEN 1 ELSE 0 END AS kind FROM k),
+    r AS (SELECT *, sum((kind = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+    o AS (SELECT doc_id, run, i, n, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS place FROM r WHERE kind = 1),
+    s AS (SELECT doc_id, run, place, i, n, i AS first_token, n AS size FROM o WHERE place = 1
+      UNION ALL SELECT o.doc_id, o.run, o.place, o.i, o.n, CASE WHEN s.size + o.n > 2000 THEN o.i ELSE s.first_token END, CASE WHEN s.size + o.n > 2000 THEN o.n ELSE s.size + o.n END
+      FROM s JOIN o ON o.doc_id = s.doc_id AND o.run = s.run AND o.place = s.place + 1)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first_token) - 1)::INTEGER AS chunk, first_token::INTEGER AS first_token, max(i)::INTEGER AS last_token, max(size)::BIGINT AS chars
+    FROM s GROUP BY doc_id, first_token""",
+)
+def plan_chunks(spark, sf_dir):
+    """Passages to translate; the texts that are not English are spelled in Devanagari, and pages have marks and notices."""
+    spelled = F.when(F.col("lang") == "en", _paged()).otherwise(F.translate(_paged(), _ROMAN, _NAGARI))
+    return triage.plan_chunks(table(spark, sf_dir, "documents").select("doc_id", spelled.alias("t")), "doc_id", "t", 2000)
+
+
 # ---- fields ---------------------------------------------------------------------------------------------------------------------
 
 _FOLD_SQL = "regexp_replace(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '', 'g')"

@@ -190,15 +190,31 @@ def test_oversized_texts_are_segmented_window_by_window():
 def test_chunks_are_located_by_three_tiers(spark):
     rng = random.Random(9)
     flat = " ".join(f"word{rng.randrange(1000)}, and" for _ in range(400))
-    exact, middle = flat[300:800], flat[1000:1500]
-    noisy = middle.replace(", ", " ,,  ").upper()
-    assert paragraphs.locate_text(flat, exact, None) == (300, 800, "exact")
-    start, end, tier = paragraphs.locate_text(flat, noisy, (0, 5))
+    noisy = flat[1000:1500].replace(", ", " ,,  ").upper()
+    away = "not in the text at all, however long it may become in the end, as it has other words"
+    held = spark.createDataFrame([(1, flat), (2, ""), (3, "abc"), (4, None), (5, "xİyß " + flat)], "id int, t string")
+    parts = [(1, "a", flat[300:800], 0, 9), (1, "b", None, 0, 9), (1, "c", noisy, 0, 5), (1, "d", away, 40, 10**9), (1, "e", away, -5, -9), (2, "f", "x", None, None), (3, "g", "x" * 9, None, None), (4, "h", "x", 1, 2), (5, "i", noisy, 0, 5), (3, "j", "b", None, None)]
+    rows = paragraphs.locate(held, spark.createDataFrame(parts, "id int, name string, c string, a int, b int"), "id", "t", "c", "a", "b", ["name"])
+    got = {r.name: (r.start, r.end, r.tier) for r in rows.collect()}
+    start, end, tier = got.pop("c")
     assert tier == "canonical" and abs(start - 1000) <= 2 and abs(end - 1500) <= 4
-    assert paragraphs.locate_text(flat, "not in the text at all, however long it may become in the end, as it has other words", (40, 10**9)) == (40, len(flat), "arithmetic")
-    assert paragraphs.locate_text("", "x", None)[2] == "empty" and paragraphs.locate_text("abc", "x", None) == (0, 1, "degenerate")
-    rows = spark.createDataFrame([(1, flat, exact, 0, 9), (2, flat, None, 0, 9)], "id int, t string, c string, a int, b int")
-    assert [(r.id, r.start, r.tier) for r in paragraphs.locate(rows, "t", "c", "a", "b", ["id"]).orderBy("id").collect()] == [(1, 300, "exact"), (2, 0, "empty")]
+    assert got.pop("i") == (start + 5, end + 5, "canonical")
+    assert got == {"a": (300, 800, "exact"), "b": (0, 0, "empty"), "d": (40, len(flat), "arithmetic"), "e": (0, 0, "arithmetic"), "f": (0, 0, "empty"), "g": (0, 3, "degenerate"), "h": (0, 0, "empty"), "j": (1, 2, "exact")}
+
+
+def test_canonical_form_keeps_one_space_a_gap():
+    index = paragraphs.Canonical("  The  CAFÉ, no. 5İx!")
+    assert index.text == "the café no 5 x " and [int(index.places[i]) for i in (0, 3, 4)] == [2, 5, 7]
+    assert paragraphs.Canonical("").text == "" and paragraphs.Canonical("...").text == ""
+
+
+def test_gaps_are_filled_in_order():
+    flat = "1. A b 3. c 2. d 3. e 4.5 f 4. g 6. h 5.   6. I j 9. k 7. l 8. m 12. N"
+    spine = [(1, 0), (6, flat.index("6. I")), (12, flat.index("12."))]
+    got = paragraphs.fill_gaps(flat, spine)
+    assert [n for n, _ in got] == [1, 2, 3, 4, 6, 7, 8, 12]  # 3 counts after 2; 4.5 is no marker; nothing stands between 5 and the next marker; 9 comes after 8 only
+    assert all(flat[at:].startswith(f"{n}. ") for n, at in got)
+    assert paragraphs.fill_gaps(flat, []) == [] and paragraphs.fill_gaps(flat, spine[:1]) == spine[:1]
 
 
 def test_located_chunks_of_the_query(spark, sf_dir):
@@ -244,15 +260,40 @@ def test_cover_density_is_its_definition(spark):
     assert got == pytest.approx(want)
 
 
+def slow_cuts(kinds, sizes, most):
+    """One piece after the other."""
+    out, held = [], []
+    for i, kind in enumerate([*kinds, 0]):
+        if held and (kind == 0 or kind == 1 and sum(sizes[j] for j in held) + sizes[i] > most):
+            out.append((held[0], held[-1], sum(sizes[j] for j in held)))
+            held = []
+        if kind == 1:
+            held.append(i)
+    return out
+
+
+def test_cuts_are_those_of_one_piece_after_the_other():
+    rng = random.Random(6)
+    for _ in range(300):
+        kinds = [rng.choice((0, 1, 1, 1, 2)) for _ in range(rng.randrange(40))]
+        sizes = [rng.randrange(1, 30) for _ in kinds]
+        assert triage.cut_runs(kinds, sizes, 50) == slow_cuts(kinds, sizes, 50)
+
+
 def test_chunk_plans_cover_what_is_to_be_translated(spark):
     hindi = "धारा तीन सौ दो के अंतर्गत यह आदेश"
-    body = "\n\n".join(["plain english words here", hindi, hindi, "more english", hindi * 9, hindi])
-    rows = triage.plan_chunks(spark.createDataFrame([(1, body), (2, "no such part"), (3, None)], "id int, t string"), "id", "t", most=80).collect()
-    assert {r.id for r in rows} == {1} and [r.chunk for r in rows] == list(range(len(rows)))
-    parts = [p for p in __import__("re").split(r"(\n\s*\n)", body)]
-    held = "".join("".join(parts[r.first_token : r.last_token + 1]) for r in rows)
-    assert held.count(hindi) == 12 and "english" not in held
-    assert all(r.chars <= 80 or r.first_token == r.last_token for r in rows)
+    body = "\n\n".join(["plain english words here", hindi, hindi, "more english", hindi * 9, hindi, f"[{hindi}]", hindi]) + f"\n--- Page 2 ---\n{hindi}\n \n\t{hindi}"
+    latin = "\n\n".join(["é" * 40, "Überprüfung übermäßig größer", hindi[:9], hindi + " english" * 20])
+    df = spark.createDataFrame([(1, body), (2, latin), (3, None), (None, hindi), (5, "")], "id int, t string")
+    rows = triage.plan_chunks(df, "id", "t", most=80).collect()
+    assert {r.id for r in rows} == {1, None}
+    mine = sorted((r for r in rows if r.id == 1), key=lambda r: r.chunk)
+    assert [r.chunk for r in mine] == list(range(len(mine)))
+    parts = df.where("id = 1").select(ft.tokens(F.col("t"))).first()[0]
+    assert "".join(parts) == body
+    held = ["".join(parts[r.first_token : r.last_token + 1]) for r in mine]
+    assert [h.count(hindi) for h in held] == [2, 9, 1, 1, 2] and not any("english" in h or "Page" in h or "[" in h for h in held)
+    assert all(r.chars <= 80 or r.first_token == r.last_token for r in mine)
 
 
 def test_fidelity_counts_matching_words(spark):
