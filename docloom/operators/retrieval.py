@@ -192,16 +192,6 @@ def with_fallback(matched: DataFrame, few: int, k: int) -> DataFrame:
     return top.withColumn("n_all", n_all).where(F.col("whole") | (F.col("n_all") < few)).drop("n_all")
 
 
-def phrase_bonus(docs: DataFrame, queries: DataFrame, bonus: float, text: str = "text", id_name: str = "doc_id") -> DataFrame:
-    """(query_id, id, bonus) of the texts that hold all terms of a query in a row; the phrases of the queries at hand are literals."""
-    plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), TERM_GAP, " ")), F.lit(" "))
-    held = [(r["query_id"], r["p"]) for r in queries.select("query_id", plain(F.col("q")).alias("p")).collect() if r["p"].strip()]
-    rows = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text"))).select("id", plain(F.col("text")).alias("body"))
-    hits = F.array_compact(F.array(*[F.when(F.contains("body", F.lit(p)), F.lit(q)) for q, p in held])) if held else F.array().cast("array<bigint>")
-    found = rows.select("id", hits.alias("hits")).where(F.size("hits") > 0)
-    return found.select(F.explode("hits").alias("query_id"), "id", F.lit(float(bonus)).alias("bonus"))
-
-
 def ranked(df: DataFrame, by: Sequence[Column], k: int, group: Sequence[str] = ("query_id",), name: str = "rank") -> DataFrame:
     """First k rows of each group, numbered from 1."""
     w = Window.partitionBy(*group).orderBy(*by)
@@ -225,46 +215,6 @@ def chunks(docs: DataFrame, size: int = 1750, text: str = "text", id_name: str =
     return rows.select("doc_id", "chunk_index", F.substring(F.col("__t"), F.col("chunk_index") * size + 1, F.lit(size)).alias("chunk_text"))
 
 
-def _covers(query_terms_of: dict, stop: frozenset):
-    """Worker: cover-density scores from term positions."""
-
-    def run(batches):
-        import re
-
-        import pyarrow as pa
-
-        word = re.compile(r"[^\W_]+")
-        for batch in batches:
-            out = []
-            for doc, body in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                places: dict[str, list[int]] = {}
-                for i, w in enumerate(m.group() for m in word.finditer((body or "").lower())):
-                    places.setdefault(w, []).append(i)
-                for q, wanted in query_terms_of.items():
-                    if wanted and all(t in places for t in wanted):
-                        events = sorted((i, t) for t in wanted for i in places[t])
-                        last: dict[str, int] = {}
-                        score, cut = 0.0, -1
-                        for i, t in events:
-                            last[t] = i
-                            if len(last) == len(wanted) and (low := min(last.values())) > cut:
-                                score += 1.0 / (i - low + 1)  # a minimal cover: none that ends earlier starts as late
-                                cut = low
-                        out.append((q, doc, score))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
-
-    return run
-
-
-def cover_density(docs: DataFrame, wanted: DataFrame, text: str = "text", id_name: str = "doc_id") -> DataFrame:
-    """(query_id, id, score): sum of 1 / length over the minimal covers of all query terms."""
-    by: dict[int, list[str]] = {}
-    for r in wanted.collect():
-        by.setdefault(r["query_id"], []).append(r["term"])
-    lean = dealt(docs.select(F.col(id_name).alias("id"), F.col(text).alias("text")))
-    return lean.mapInArrow(_covers(by, frozenset()), "query_id long, id long, score double")
-
-
 def headline(text: Column, wanted: Column | Sequence[str], fragments: int = 2, most_words: int = 30) -> Column:
     """Up to two fragments of at most thirty words around the first hits, hits in <b> tags; ``wanted`` may be an array column."""
     words = F.split(F.trim(text), r"\s+")

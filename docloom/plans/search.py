@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import STOP_WORDS, classify_query, terms
+from docloom.operators import inverted
 from docloom.operators import retrieval as r
 from docloom.operators import vectors as v
 from docloom.plans.registry import query
@@ -157,9 +158,20 @@ def bm25_rank(spark, sf_dir):
     return _top(r.bm25(r.corpus_stats(docs), hits, wanted))
 
 
-@query("cover_density_rank")
+_COVERS_SQL = """, e AS (SELECT w.query_id, p.id, p.term, p.i FROM places p JOIN wanted w USING (term)),
+full_ AS (SELECT query_id, id FROM e JOIN sizes USING (query_id) GROUP BY query_id, id, n_wanted HAVING count(DISTINCT term) = n_wanted),
+l AS (SELECT e.query_id, e.id, e.i, w.term, max(o.i) AS last FROM e JOIN full_ USING (query_id, id) JOIN wanted w ON w.query_id = e.query_id JOIN e o ON o.query_id = e.query_id AND o.id = e.id AND o.term = w.term AND o.i <= e.i GROUP BY ALL),
+s AS (SELECT query_id, id, i, min(last) AS low FROM l JOIN sizes USING (query_id) GROUP BY query_id, id, i, n_wanted HAVING count(*) = n_wanted),
+c AS (SELECT query_id, id, low, min(i) AS i FROM s GROUP BY ALL),
+covers AS (SELECT query_id, id, sum(1.0::DOUBLE / (i - low + 1)) AS score FROM c GROUP BY ALL) """
+_PLACES_SQL = rf""", words AS MATERIALIZED (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT * FROM (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS i FROM words) WHERE term IN (SELECT term FROM wanted))"""
+
+
+@query("cover_density_rank", LEXICAL_SQL + _PLACES_SQL + _COVERS_SQL + _RANKED.format("covers"))
 def cover_density_rank(spark, sf_dir):
-    return _top(r.cover_density(table(spark, sf_dir, "documents"), r.query_terms(asked(spark))))
+    wanted = r.query_terms(asked(spark))
+    return _top(inverted.cover_density(inverted.places(table(spark, sf_dir, "documents"), {"text": "text"}, wanted=wanted), wanted))
 
 
 #: Added to the lexical score of a text that holds the whole query as a phrase.
@@ -171,8 +183,48 @@ t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+
 @query("phrase_match", f"{_PHRASE_SQL.replace('WITH p', f'WITH {ASKED_SQL}, p')} SELECT query_id, doc_id, {PHRASE_BONUS}::DOUBLE AS bonus FROM t JOIN p ON contains(body, phrase)")
 def phrase_match(spark, sf_dir):
     """Texts that hold a query's terms next to each other, in order: they gain a fixed bonus."""
-    phrases = asked(spark).select("query_id", "q").unionByName(spark.createDataFrame([(6, "of the"), (7, "that the")], "query_id long, q string"))
-    return r.phrase_bonus(table(spark, sf_dir, "documents"), phrases, PHRASE_BONUS).withColumnRenamed("id", "doc_id")
+    phrases = inverted.phrase_terms(asked(spark).select("query_id", "q").unionByName(spark.createDataFrame([(6, "of the"), (7, "that the")], "query_id long, q string")))
+    rows = inverted.places(table(spark, sf_dir, "documents"), {"text": "text"}, wanted=phrases)
+    return inverted.phrase_counts(rows, phrases).select("query_id", F.col("id").alias("doc_id"), F.lit(PHRASE_BONUS).alias("bonus"))
+
+
+@query(
+    "lexical_phrase_rank",
+    LEXICAL_SQL
+    + _PHRASE_SQL.replace("WITH p", ", p").replace(" UNION ALL VALUES (6::BIGINT, 'of the'), (7::BIGINT, 'that the')", "")
+    + f""", b AS (SELECT query_id, doc_id AS id, {PHRASE_BONUS}::DOUBLE AS bonus FROM t JOIN p ON contains(body, phrase)),
+    both_ AS (SELECT query_id, id, score + coalesce(bonus, 0) AS score FROM matched LEFT JOIN b USING (query_id, id)) """
+    + _RANKED.format("both_"),
+)
+def lexical_phrase_rank(spark, sf_dir):
+    """The lexical score with the phrase bonus added, from one scan of the texts; the rows may as well come from a stored index."""
+    phrases, wanted = inverted.phrase_terms(asked(spark)), r.query_terms(asked(spark))
+    rows = inverted.places(table(spark, sf_dir, "documents"), {"text": "text"}, wanted=phrases)
+    bonus = inverted.phrase_counts(rows, phrases).select("query_id", "id", F.lit(PHRASE_BONUS).alias("bonus"))
+    scored = inverted.weighted_scores(rows, wanted, {"text": 1.0}).join(bonus, ["query_id", "id"], "left")
+    return _top(scored.withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))))
+
+
+#: Weights of the fields of a part in a search: its name counts more than its kind.
+FIELD_WEIGHTS = {"p_name": 1.0, "p_type": 0.4}
+
+
+@query(
+    "weighted_rank",
+    rf"""WITH asked AS (SELECT n_nationkey::BIGINT AS query_id, q FROM nation JOIN (SELECT p_partkey % 25 AS k, min(p_name || ' ' || p_type) AS q FROM part GROUP BY 1) ON k = n_nationkey),
+    {WANTED_SQL},
+    t AS (SELECT p_partkey AS id, 1.0::DOUBLE AS weight, unnest(string_split_regex(lower(p_name), '[^\p{{L}}\p{{N}}]+')) AS term FROM part UNION ALL SELECT p_partkey, 0.4::DOUBLE, unnest(string_split_regex(lower(p_type), '[^\p{{L}}\p{{N}}]+')) FROM part),
+    c AS (SELECT id, weight, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL),
+    s AS (SELECT query_id, id, sum(weight * (1 + ln(tf))) AS score FROM c JOIN wanted USING (term) GROUP BY ALL) """
+    + _RANKED.format("s"),
+)
+def weighted_rank(spark, sf_dir):
+    """Parts for a part of each of 25 kinds as the query, by their name and type, the name counting more."""
+    part = table(spark, sf_dir, "part")
+    asked_for = part.groupBy((F.col("p_partkey") % 25).alias("query_id")).agg(F.min(F.concat_ws(" ", "p_name", "p_type")).alias("q"))
+    wanted = r.query_terms(asked_for)
+    rows = inverted.places(part, {c: c for c in FIELD_WEIGHTS}, "p_partkey", wanted)
+    return _top(inverted.weighted_scores(rows, wanted, FIELD_WEIGHTS))
 
 
 @query("headline")

@@ -243,23 +243,6 @@ def test_texts_are_tokenised_once_below_the_explode(spark, sf_dir):
     assert plan.count("split(") == 1 and "split(" not in plan[: plan.index("Generate")]
 
 
-def test_cover_density_is_its_definition(spark):
-    rng = random.Random(12)
-    rows = [(i, " ".join(rng.choice("a b c d e".split()) for _ in range(rng.randrange(1, 14)))) for i in range(80)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "c"), (3, "e")], "query_id long, term string")
-    got = {(r.query_id, r.id): r.score for r in retrieval.cover_density(df, wanted).collect()}
-    want = {}
-    for q, terms in ((1, "ab"), (2, "c"), (3, "ace")):
-        for i, t in rows:
-            w = t.split()
-            spans = [(x, y) for x in range(len(w)) for y in range(x, len(w)) if set(terms) <= set(w[x : y + 1])]
-            least = [s for s in spans if not any(o != s and o[0] >= s[0] and o[1] <= s[1] for o in spans)]
-            if least:
-                want[q, i] = sum(1 / (y - x + 1) for x, y in least)
-    assert got == pytest.approx(want)
-
-
 def slow_cuts(kinds, sizes, most):
     """One piece after the other."""
     out, held = [], []
