@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import STOP_WORDS, classify_query, terms
-from docloom.operators import inverted
+from docloom.operators import inverted, trigrams
 from docloom.operators import retrieval as r
 from docloom.operators import vectors as v
 from docloom.plans.registry import query
@@ -288,6 +288,19 @@ def party_fallback(spark, sf_dir):
     return rows.select("o_orderkey", "c_name", "n_hit").orderBy(F.desc("n_hit"), "o_orderkey").limit(20)
 
 
+@query(
+    "trigram_match",
+    """WITH q AS (SELECT p_partkey AS query_id, lower(substring(p_name, 3, 1 + (p_partkey // 50 % 9)::INT)) AS pattern FROM part WHERE p_partkey % 50 = 0)
+    SELECT query_id, p_partkey AS id FROM part JOIN q ON contains(lower(p_name), pattern) WHERE pattern <> ''""",
+)
+def trigram_match(spark, sf_dir):
+    """Parts whose name holds a piece of every fiftieth part's name, of one to nine signs, found by the piece's rarest trigrams."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    size = F.lit(1) + F.floor(F.col("id") / 50).cast("int") % 9
+    patterns = names.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.substring("name", F.lit(3), size).alias("pattern"))
+    return trigrams.match(trigrams.postings(names), names, patterns)
+
+
 _VECTOR_LEG = f"""qv AS (SELECT query_id, embedding::DOUBLE[] AS v FROM asked JOIN embeddings USING (vec_id)),
 vd AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS distance FROM embeddings e, qv q),
 vleg AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM vd QUALIFY rank <= 50)"""
