@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import STOP_WORDS, classify_query, terms
-from docloom.operators import inverted, trigrams
+from docloom.operators import configured, inverted, trigrams
 from docloom.operators import retrieval as r
 from docloom.operators import vectors as v
 from docloom.plans.registry import query
@@ -301,6 +301,34 @@ def trigram_match(spark, sf_dir):
     return trigrams.match(trigrams.postings(names), names, patterns)
 
 
+def _benchmark_queries(spark, sf_dir):
+    """(query_id, q): the first two to six words of every benchmark item, each with a configuration; the words of two letters in every tenth item are its abbreviations."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("words"))
+    asked_for = items.select("query_id", F.array_join(F.slice("words", F.lit(1), (2 + F.col("query_id") % 5).cast("int")), " ").alias("q"))
+    short = items.where("query_id % 10 = 0").select(F.explode("words").alias("word")).where("char_length(word) = 2")
+    return configured.with_configuration(asked_for, short)
+
+
+@query(
+    "query_configuration",
+    r"""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+    q AS (SELECT item_id AS query_id, array_to_string(w[1:(2 + item_id % 5)::INT], ' ') AS q FROM w),
+    a AS (SELECT DISTINCT upper(x) AS word FROM (SELECT unnest(w) AS x FROM w WHERE item_id % 10 = 0) WHERE length(x) = 2)
+    SELECT query_id, q, CASE WHEN len(string_split_regex(trim(upper(q)), '\s+')) <= 3 OR EXISTS (SELECT 1 FROM a WHERE list_contains(string_split_regex(trim(upper(q)), '\s+'), a.word)) THEN 'simple' ELSE 'english' END AS config FROM q""",
+)
+def query_configuration(spark, sf_dir):
+    return _benchmark_queries(spark, sf_dir).select("query_id", "q", "config")
+
+
+@query("configured_search")
+def configured_search(spark, sf_dir):
+    """First ten texts of every benchmark query, in its own configuration: as it stands, or by stems without stop words."""
+    docs, asked_for = table(spark, sf_dir, "documents"), _benchmark_queries(spark, sf_dir)
+    forms = configured.wanted_forms(asked_for, configured.vocabulary(docs))
+    rows = r.term_hits(docs, forms)
+    return _top(configured.matches(rows, forms), 10).join(F.broadcast(asked_for.select("query_id", "config")), "query_id")  # a row a query
+
+
 _VECTOR_LEG = f"""qv AS (SELECT query_id, embedding::DOUBLE[] AS v FROM asked JOIN embeddings USING (vec_id)),
 vd AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS distance FROM embeddings e, qv q),
 vleg AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM vd QUALIFY rank <= 50)"""
