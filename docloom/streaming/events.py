@@ -39,22 +39,26 @@ def computed_requests(requests: DataFrame, keys: list[str], ts: str, seconds: in
     """Requests that a cache of this time to live would have to compute: each restarts the clock of its key.
 
     Which ones they are depends on the one before, so rows go through in order of
-    time, with one remembered instant; no task holds the rows of a key.
+    time, with one remembered instant; no task holds the rows of a key in memory.
+    Keys are compared by a digest that Spark makes, so nulls equal each other and
+    numbers of any size stay whole; requests without a time are dropped. ``streaming.stateful.cache_misses`` is
+    the form for streams.
     """
-    lean = requests.select(*keys, ts).repartition(*keys).sortWithinPartitions(*keys, ts)
+    digest = F.sha2(F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"}), 256)
+    lean = requests.where(F.col(ts).isNotNull()).select(*keys, ts, digest.alias("__key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
+    dealt = lean.repartition("__key").sortWithinPartitions("__key", "__us")
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        held, until = None, None
-        span = pd.Timedelta(seconds=seconds)
+        held, until = None, 0
         for rows in batches:
             stay = []
-            for key, at in zip(rows[keys].itertuples(index=False, name=None), rows[ts], strict=True):
+            for key, at in zip(rows["__key"].to_pylist(), rows["__us"].to_pylist(), strict=True):
                 fresh = key != held or at >= until
                 if fresh:
-                    held, until = key, at + span
+                    held, until = key, at + seconds * 1_000_000
                 stay.append(fresh)
-            yield rows[stay]
+            yield rows.filter(pa.array(stay, pa.bool_()))
 
-    return lean.mapInPandas(run, lean.schema)
+    return dealt.mapInArrow(run, dealt.schema).drop("__key", "__us")
