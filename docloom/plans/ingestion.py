@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import ingest
+from docloom.operators import ingest, sections
 from docloom.plans.registry import query
 from docloom.sources.tables import table
 
@@ -42,6 +42,29 @@ def html_sections(spark, sf_dir, shortest: int = 20, most: int = 999, longest: i
     return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("page_id", "key", F.substring("body", 1, longest).alias("body"))
 
 
+@query(
+    "nested_sections",
+    r"""WITH t AS (SELECT conv_id, turn // 2 AS k, turn % 2 AS inner_, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS body, string_split(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ') AS w FROM conversations),
+    o AS (SELECT a.conv_id, a.k, a.body, a.w, b.body AS inner_body, b.w AS inner_w FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.k = a.k AND b.inner_ = 1 WHERE a.inner_ = 0),
+    s AS (SELECT conv_id, (k + 1)::VARCHAR AS number, regexp_replace(array_to_string(w[1:3], ' '), '[ .—\-–]+$', '') AS title,
+        CASE WHEN inner_body IS NULL THEN body ELSE body || ' ' || (k + 1) || '-A. ' || array_to_string(inner_w[1:3], ' ') || ' — (1) ' || inner_body || ' end' END AS text FROM o
+      UNION ALL SELECT conv_id, (k + 1) || '-A', regexp_replace(array_to_string(inner_w[1:3], ' '), '[ .—\-–]+$', ''), inner_body || ' end' FROM o WHERE inner_body IS NOT NULL)
+    SELECT conv_id, number, title, text[:20000] AS text FROM s WHERE length(text) >= 20""",
+)
+def nested_sections(spark, sf_dir):
+    """Sections of one page a conversation: a section for every second turn, and inside it one for the turn that follows, with paragraphs of the same tag around the text."""
+    flat = F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", flat.alias("body"), F.floor(F.col("turn") / 2).cast("int").alias("k"))
+    start = lambda c: F.array_join(F.slice(F.split(c, " "), F.lit(1), F.lit(3)), " ")
+    number = F.concat((F.col("k") + 1).cast("string"), F.when(F.col("turn") % 2 == 1, "-A").otherwise(""))
+    opened = F.concat(F.lit('<section class="akn-section" id="section_'), number, F.lit('"><h3>'), number, F.lit(". "), start(F.col("body")), F.when(F.col("turn") % 2 == 1, " — (1) ").otherwise(""), F.lit('</h3> <section class="akn-subsection"><p>'), "body", F.lit("</p></section>"))
+    parts = turns.select("conv_id", "turn", F.concat(opened, F.when(F.col("turn") % 2 == 1, " end</section></section>").otherwise(" ")).alias("part"), "k")
+    pairs = parts.groupBy("conv_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "").alias("part"), F.max("turn").alias("last"))
+    whole = pairs.withColumn("part", F.concat("part", F.when(F.col("last") % 2 == 0, "</section>").otherwise("")))
+    pages = whole.groupBy("conv_id").agg(F.concat(F.lit("</section><html>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "<hr>"), F.lit("</html>")).alias("html"))
+    return sections.numbered_sections(pages, "conv_id", "html", strip_tags)
+
+
 @query(
     "majority_vote",
     """WITH v AS (SELECT regexp_extract(url, '://([^/]+)/', 1) AS host, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang FROM pages), c AS (SELECT host, lang, count(*) AS votes FROM v GROUP BY ALL)
