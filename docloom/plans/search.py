@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import STOP_WORDS, classify_query, terms
-from docloom.operators import configured, inverted, trigrams
+from docloom.functions.text import STOP_WORDS, TERM_GAP, classify_query, terms
+from docloom.operators import configured, dictionaries, inverted, trigrams
 from docloom.operators import retrieval as r
 from docloom.operators import vectors as v
 from docloom.plans.registry import query
@@ -593,3 +593,72 @@ def verify_citations(spark, sf_dir):
     sections = cited(SECTION_CITATION).select("doc_id", "citation", F.lower(F.regexp_extract("citation", r"(\d+[A-Z]?)", 1)).alias("key"), F.regexp_extract("citation", r"(IPC|CrPC|CPC)\b", 1).alias("act"))
     sections = sections.join(pieces.withColumn("hit", F.lit(True)), ["key", "act"], "left").select("doc_id", "citation", F.lit("section").alias("kind"), "hit")
     return cases.unionByName(sections).select("doc_id", "citation", "kind", F.when(F.col("hit"), "verified").otherwise("not_found").alias("status"))
+
+
+# ---- dictionaries that are tables ----------------------------------------------------------------------------------------------
+
+_NAMED_SQL = "SELECT doc_id, text || ' See Section ' || (doc_id % 70) || 'A of the ' || a.n_name || ' Act, 1999 and Article ' || (doc_id % 400) || '. Also sections 12(3), ' || lower(b.n_name) || ' code; section 5 of nothing.' AS body FROM documents JOIN nation a ON a.n_nationkey = doc_id % 25 JOIN nation b ON b.n_nationkey = (doc_id + 7) % 25"
+
+
+@query(
+    "provision_references",
+    rf"""WITH d AS ({_NAMED_SQL}),
+    a AS (SELECT lower(n_name) || ' act' AS alias, 'A' || n_nationkey AS code FROM nation UNION ALL SELECT lower(n_name) || ' code', 'C' || n_nationkey FROM nation UNION ALL SELECT lower(n_name), 'N' || n_nationkey FROM nation),
+    x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '{dictionaries.SECTION_REFERENCE}', 1)) AS section, lower(unnest(regexp_extract_all(body, '{dictionaries.SECTION_REFERENCE}', 2))) AS tail FROM d),
+    m AS (SELECT doc_id, section, tail, code FROM x JOIN a ON regexp_matches(tail, '(^|[^a-z])' || regexp_escape(alias) || '($|[^a-z])') QUALIFY row_number() OVER (PARTITION BY doc_id, section, tail ORDER BY length(alias) DESC, alias) = 1)
+    SELECT DISTINCT doc_id, section, code FROM m UNION SELECT doc_id, unnest(regexp_extract_all(body, '{dictionaries.ARTICLE_REFERENCE}', 1)), 'COI' FROM d""",
+)
+def provision_references(spark, sf_dir):
+    """Sections and articles that each draft names, by a table of the acts' aliases."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 25).alias("k1"), ((F.col("doc_id") + 7) % 25).alias("k2"))
+    one, two = (F.broadcast(nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(n))) for k, n in (("k1", "act"), ("k2", "code")))  # 25 rows
+    body = F.concat("text", F.lit(" See Section "), F.col("doc_id") % 70, F.lit("A of the "), "act", F.lit(" Act, 1999 and Article "), F.col("doc_id") % 400, F.lit(". Also sections 12(3), "), F.lower("code"), F.lit(" code; section 5 of nothing."))
+    drafts = docs.join(one, "k1").join(two, "k2").select("doc_id", body.alias("body"))
+    alias = lambda end, mark: F.struct(F.concat(F.lower("n_name"), F.lit(end)).alias("alias"), F.concat(F.lit(mark), F.col("n_nationkey").cast("string")).alias("code"))
+    aliases = nation.select(F.explode(F.array(alias(" act", "A"), alias(" code", "C"), alias("", "N"))).alias("x")).select("x.*")
+    return dictionaries.references(drafts, "doc_id", "body", aliases)
+
+
+@query(
+    "expand_from_table",
+    """WITH b AS (SELECT item_id AS place, string_split(text, ' ')[1] AS short, array_to_string(string_split(text, ' ')[2:3], ' ') AS full_ FROM benchmark),
+    q AS (SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS q FROM documents),
+    a AS (SELECT query_id, string_agg(' ' || full_, '' ORDER BY place) AS added FROM q JOIN b ON contains(lower(q), lower(short)) AND NOT contains(lower(q), lower(full_)) WHERE short <> '' GROUP BY query_id)
+    SELECT query_id, q || coalesce(added, '') AS expanded FROM q LEFT JOIN a USING (query_id)""",
+)
+def expand_from_table(spark, sf_dir):
+    """The first words of every text as a query, expanded by a table of short and full forms."""
+    words = F.split("text", " ")
+    forms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), words[0].alias("short"), F.array_join(F.slice(words, F.lit(2), F.lit(2)), " ").alias("full"))
+    asked_for = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, F.lit(1), F.lit(12)), " ").alias("q"))
+    return dictionaries.expanded(asked_for, forms)
+
+
+@query(
+    "first_rule_from_table",
+    r"""WITH w AS (SELECT item_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w FROM benchmark),
+    r AS (SELECT DISTINCT item_id AS rule, item_id % 7 AS priority, 'every' AS part, unnest(w[1:2]) AS keyword FROM w UNION SELECT item_id, item_id % 7, 'some', unnest(w[3:5]) FROM w UNION SELECT item_id, item_id % 7, 'subject', unnest(w[6:9]) FROM w),
+    k AS (SELECT * FROM r WHERE keyword <> ''),
+    t AS (SELECT doc_id, list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS tokens FROM documents),
+    h AS (SELECT doc_id, rule, priority, part, count(*) AS met FROM t JOIN k ON list_contains(tokens, keyword) GROUP BY ALL),
+    need AS (SELECT rule, part, count(*) AS n FROM k GROUP BY ALL),
+    ok AS (SELECT doc_id, rule, priority, count(*) AS parts FROM h JOIN need USING (rule, part) WHERE part <> 'every' OR met = n GROUP BY ALL),
+    best AS (SELECT doc_id, rule FROM ok JOIN (SELECT rule, count(*) AS parts FROM need GROUP BY rule) USING (rule, parts) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY priority, rule) = 1)
+    SELECT doc_id, rule FROM documents LEFT JOIN best USING (doc_id)""",
+)
+def first_rule_from_table(spark, sf_dir):
+    """The first rule, by priority, whose keywords a text holds; every benchmark item gives a rule of words that must all, or some, occur."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), (F.col("item_id") % 7).alias("priority"), F.split(F.lower("text"), TERM_GAP).alias("w"))
+    part = lambda name, at, n: F.transform(F.slice("w", F.lit(at), F.lit(n)), lambda x: F.struct(F.lit(name).alias("part"), x.alias("keyword")))
+    rules = items.select("rule", "priority", F.explode(F.concat(part("every", 1, 2), part("some", 3, 3), part("subject", 6, 4))).alias("x")).select("rule", "priority", "x.*")
+    return dictionaries.first_rules(table(spark, sf_dir, "documents"), "doc_id", "text", rules)
+
+
+@query("dictionary_mentions")
+def dictionary_mentions(spark, sf_dir):
+    """Places of the word pairs and triples of all conversations in every text, the leftmost and longest first."""
+    words = table(spark, sf_dir, "conversations").select(F.split(F.lower("text"), TERM_GAP).alias("w"))
+    runs = words.select(F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1)))).alias("i"), "w").select(F.explode(F.array(*[F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ") for n in (2, 3)])).alias("phrase"))
+    entries = runs.where("phrase like '% %'").distinct().select(F.xxhash64("phrase").alias("id"), "phrase")
+    return dictionaries.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", entries)
