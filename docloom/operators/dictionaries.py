@@ -29,7 +29,7 @@ def _low(text: str) -> str:
 
 
 def _search(phrases: list[tuple], edges: str | None, covers: bool):
-    """Worker: (key, id, start, stop) of phrases in texts; with ``covers`` only those that the leftmost-longest rule leaves."""
+    """Worker: (key, entry, start, stop) of phrases in texts; with ``covers`` only those that the leftmost-longest rule leaves."""
 
     def run(batches):
         import ahocorasick
@@ -62,14 +62,14 @@ def _search(phrases: list[tuple], edges: str | None, covers: bool):
                             at.append(i)
                             found.append((entry, start, -stop))
             columns = [pa.array([f[j] for f in found], pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([rows["key"].take(pa.array(at, pa.int64())), *columns], ["key", "id", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([rows["key"].take(pa.array(at, pa.int64())), *columns], ["key", "entry", "start", "stop"])
 
     return run
 
 
 def _passes(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None, covers: bool, most: int) -> DataFrame:
     lean = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([lean.schema["key"], *(T.StructField(c, T.LongType()) for c in ("id", "start", "stop"))])
+    schema = T.StructType([lean.schema["key"], *(T.StructField(c, T.LongType()) for c in ("entry", "start", "stop"))])
     given = dictionary.where(F.char_length("phrase") > 0).select(F.col("id").cast("long").alias("id"), "phrase")
     n = -(-given.count() // most) or 1
     out = None
@@ -81,16 +81,16 @@ def _passes(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges:
 
 
 def found_in(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None = "words", most: int = PHRASES) -> DataFrame:
-    """(key, id, n, first): how often each phrase of the dictionary (id, phrase) stands in a text, and where first; overlapping ones all count.
+    """(key, entry, n, first): how often each phrase of the dictionary (id, phrase) stands in a text, and where first; overlapping ones all count.
 
     ``edges``: no letter or digit may touch it ("words"), no letter of a-z ("letters"), or anything may (None).
     """
     hits = _passes(texts, key, text, dictionary, edges, False, most)
-    return hits.groupBy(F.col("key").alias(key), "id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+    return hits.groupBy(F.col("key").alias(key), "entry").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
 
 
 def mentions(texts: DataFrame, key: str, text: str, dictionary: DataFrame, most: int = PHRASES) -> DataFrame:
-    """(key, start, stop, id): whole-word phrases that do not overlap, the leftmost first and of those the longest. Keys must be unique."""
+    """(key, start, stop, entry): whole-word phrases that do not overlap, the leftmost first and of those the longest. Keys must be unique."""
     hits = _passes(texts, key, text, dictionary, "words", True, most)
     if dictionary.where(F.char_length("phrase") > 0).count() > most:  # each pass knows a part of the phrases only
         kind = hits.schema
@@ -98,7 +98,7 @@ def mentions(texts: DataFrame, key: str, text: str, dictionary: DataFrame, most:
         def cover(rows):
             import pyarrow as pa
 
-            table = rows.sort_by([("start", "ascending"), ("stop", "descending"), ("id", "ascending")])
+            table = rows.sort_by([("start", "ascending"), ("stop", "descending"), ("entry", "ascending")])
             reach, keep = 0, []
             for start, stop in zip(table["start"].to_pylist(), table["stop"].to_pylist(), strict=True):
                 keep.append(start >= reach)
@@ -106,7 +106,7 @@ def mentions(texts: DataFrame, key: str, text: str, dictionary: DataFrame, most:
             return table.filter(pa.array(keep, pa.bool_()))
 
         hits = hits.groupBy("key").applyInArrow(cover, kind)
-    return hits.select(F.col("key").alias(key), "start", "stop", "id")
+    return hits.select(F.col("key").alias(key), "start", "stop", "entry")
 
 
 def expanded(queries: DataFrame, abbreviations: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def expanded(queries: DataFrame, abbreviations: DataFrame) -> DataFrame:
     rows = abbreviations.select(F.col("place").cast("long").alias("place"), "short", "full")
     phrases = rows.select((F.col("place") * 2).alias("id"), F.col("short").alias("phrase")).unionByName(rows.select((F.col("place") * 2 + 1).alias("id"), F.col("full").alias("phrase")))
     hits = found_in(queries, "query_id", "q", phrases, edges=None)
-    found = hits.groupBy("query_id", F.floor(F.col("id") / 2).alias("place")).agg(F.max(F.col("id") % 2).alias("has_full")).where("has_full = 0")
+    found = hits.groupBy("query_id", F.floor(F.col("entry") / 2).alias("place")).agg(F.max(F.col("entry") % 2).alias("has_full")).where("has_full = 0")
     added = found.join(rows, "place").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "full"))).alias("added"))
     joined = F.array_join(F.transform("added", lambda x: F.concat(F.lit(" "), x["full"])), "")
     return queries.join(added, "query_id", "left").select("query_id", F.concat("q", F.coalesce(joined, F.lit(""))).alias("expanded"))
@@ -135,8 +135,8 @@ def references(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> Dat
     tails = F.regexp_extract_all("text", F.lit(SECTION_REFERENCE), 2)
     lists = parts.select("key", numbers.alias("section"), F.transform(tails, lambda t: F.lower(t)).alias("tail"))
     each = lists.select("key", F.explode(F.arrays_zip("section", "tail")).alias("x")).select("key", "x.section", "x.tail").where("tail <> ''").distinct()
-    numbered = aliases.select(F.lower("alias").alias("alias"), "code").dropDuplicates(["alias"]).withColumn("id", F.xxhash64("alias"))
-    hits = found_in(each.select("tail").distinct(), "tail", "tail", numbered.select("id", F.col("alias").alias("phrase")), edges="letters").join(numbered, "id")
+    numbered = aliases.select(F.lower("alias").alias("alias"), "code").dropDuplicates(["alias"]).withColumn("entry", F.xxhash64("alias"))
+    hits = found_in(each.select("tail").distinct(), "tail", "tail", numbered.select(F.col("entry").alias("id"), F.col("alias").alias("phrase")), edges="letters").join(numbered, "entry")
     best = hits.groupBy("tail").agg(F.min_by("code", F.struct(-F.char_length("alias"), F.col("alias"))).alias("code"))
     sections = each.join(best, "tail").select(F.col("key").alias(key), "section", "code")
     articles = parts.select(F.col("key").alias(key), F.explode(F.regexp_extract_all("text", F.lit(ARTICLE_REFERENCE), 1)).alias("section")).withColumn("code", F.lit(CONSTITUTION))
@@ -150,8 +150,8 @@ def first_rules(texts: DataFrame, key: str, text: str, rules: DataFrame) -> Data
     keywords are whole words. Rules without keywords never fit. Of equal priorities the smaller rule counts.
     """
     words = rules.where(F.char_length("keyword") > 0).select("rule", "priority", "part", F.lower("keyword").alias("keyword")).distinct()
-    numbered = words.select("keyword").distinct().withColumn("id", F.xxhash64("keyword"))
-    hits = found_in(texts, key, text, numbered.select("id", F.col("keyword").alias("phrase"))).join(numbered, "id").select(key, "keyword")
+    numbered = words.select("keyword").distinct().withColumn("entry", F.xxhash64("keyword"))
+    hits = found_in(texts, key, text, numbered.select(F.col("entry").alias("id"), F.col("keyword").alias("phrase"))).join(numbered, "entry").select(key, "keyword")
     needed = words.groupBy("rule", "priority").agg(F.count_if(F.col("part") == "every").alias("n_every"), F.count_distinct(F.when(F.col("part") != "every", F.col("part"))).alias("n_parts"))
     met = hits.join(words, "keyword").groupBy(key, "rule").agg(F.count_if(F.col("part") == "every").alias("every_met"), F.count_distinct(F.when(F.col("part") != "every", F.col("part"))).alias("parts_met"))
     fits = met.join(needed, "rule").where((F.col("every_met") == F.col("n_every")) & (F.col("parts_met") == F.col("n_parts")))

@@ -35,7 +35,7 @@ def phrases(spark):
 @pytest.mark.parametrize("most", [200_000, 3])
 @pytest.mark.parametrize("edges", ["words", "letters", None])
 def test_found_in(texts, phrases, most, edges):
-    got = {(r.doc_id, r.id): (r.n, r["first"]) for r in dictionaries.found_in(texts, "doc_id", "body", phrases, edges, most).collect()}
+    got = {(r.doc_id, r.entry): (r.n, r["first"]) for r in dictionaries.found_in(texts, "doc_id", "body", phrases, edges, most).collect()}
     want = {(k, i): (len(spots), spots[0]) for k, t in TEXTS if t for i, p in PHRASES if p and (spots := plain(t, p, edges))}
     assert got == want and len(want) > 10
     assert dictionaries.found_in(texts, "doc_id", "body", phrases.where("1 = 0")).collect() == []
@@ -44,7 +44,7 @@ def test_found_in(texts, phrases, most, edges):
 
 @pytest.mark.parametrize("most", [200_000, 3])
 def test_mentions_are_leftmost_and_longest(texts, phrases, most):
-    got = sorted((r.doc_id, r.start, r.stop, r.id) for r in dictionaries.mentions(texts, "doc_id", "body", phrases, most).collect())
+    got = sorted((r.doc_id, r.start, r.stop, r.entry) for r in dictionaries.mentions(texts, "doc_id", "body", phrases, most).collect())
     want = []
     for k, t in TEXTS:
         spots = sorted((i, -(i + len(p)), e) for e, p in PHRASES if p and t for i in plain(t, p))
@@ -63,7 +63,7 @@ def test_a_large_dictionary(spark, sf_dir):
     pairs = sorted({" ".join(w[i : i + 2]) for _, t in docs for w in [t.split()] for i in range(0, len(w) - 1, 7) if all(x.isalpha() for x in w[i : i + 2])})
     entries = list(enumerate(pairs + [f"no such{rng.randrange(10**9)} {i}" for i in range(100_000)]))
     dictionary = spark.createDataFrame(entries, "id long, phrase string").repartition(4)
-    got = {(r.doc_id, r.id): r.n for r in dictionaries.found_in(spark.createDataFrame(docs, "doc_id long, t string"), "doc_id", "t", dictionary, most=40_000).collect()}
+    got = {(r.doc_id, r.entry): r.n for r in dictionaries.found_in(spark.createDataFrame(docs, "doc_id long, t string"), "doc_id", "t", dictionary, most=40_000).collect()}
     number = {}
     for i, p in entries[: len(pairs)]:
         number.setdefault(p.lower(), []).append(i)
