@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import CASE_MARKS, NOTICE, is_template, letters, mark_count, script_letters, squeeze, tokens
+from docloom.operators.retrieval import dealt
 
 
 def dedupe_content(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
@@ -17,11 +18,20 @@ def dedupe_content(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("__h", key).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__h", "__n")
 
 
-def tier(text: Column, label: Column, primary: Sequence[str], supporting: Sequence[str]) -> Column:
-    """primary, supporting or excluded: blank forms out, then hints in the label, then marks in the text."""
+def tier(template: Column, marks: Column, label: Column, primary: Sequence[str], supporting: Sequence[str]) -> Column:
+    """primary, supporting or excluded: blank forms out, then hints in the label, then the number of marks in the text.
+
+    ``template`` and ``marks`` are columns of a projection below (``facts``), so a text is searched once whatever the branches.
+    """
     low = F.lower(label)
     any_of = lambda hints: F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(low, h))
-    return F.when(is_template(text), "excluded").when(any_of(supporting), "supporting").when(any_of(primary), "primary").when(mark_count(text, CASE_MARKS) >= 2, "primary").otherwise("excluded")
+    return F.when(template, "excluded").when(any_of(supporting), "supporting").when(any_of(primary), "primary").when(marks >= 2, "primary").otherwise("excluded")
+
+
+def facts(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``marks`` and ``template`` of a text, which is dropped; what comes after cannot search it again."""
+    told = F.transform(F.array(F.col(text)), lambda t: F.struct(mark_count(t, CASE_MARKS).alias("marks"), is_template(t).alias("template")))[0]
+    return dealt(df).withColumn("__facts", told).drop(text).withColumns({"marks": F.col("__facts.marks"), "template": F.col("__facts.template")}).drop("__facts")
 
 
 def promote(df: DataFrame, group: Sequence[str], tier_name: str, marks: str, order: str) -> DataFrame:

@@ -188,10 +188,15 @@ def specific_else_generic(spark, sf_dir):
     return r.join(held, "p_brand").where(F.when(F.col("has"), F.col("tribunal") == 7).otherwise(F.col("tribunal").isNull())).select("p_partkey", "p_brand")
 
 
-@query("case_name_detect", "SELECT q, regexp_matches(q, '(?i)(^|[^A-Za-z0-9_])v\\.?s?\\.?($|[^A-Za-z0-9_])') AS is_case FROM (VALUES ('A v. B'), ('A vs B'), ('A v B'), ('plain concept'), ('vs'), ('version two')) t(q)")
+_CASE_NAMES_SQL = "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_clerk || ' v. ' || o_orderstatus WHEN 1 THEN o_clerk || ' VS ' || o_orderstatus WHEN 2 THEN o_clerk || ' v B' WHEN 3 THEN o_orderpriority WHEN 4 THEN 'vs' ELSE 'version ' || o_clerk END AS q FROM (SELECT *, 'Clerk ' || o_custkey AS o_clerk FROM orders)"
+
+
+@query("case_name_detect", f"SELECT o_orderkey, q, regexp_matches(q, '(?i)(^|[^A-Za-z0-9_])v\\.?s?\\.?($|[^A-Za-z0-9_])') AS is_case FROM ({_CASE_NAMES_SQL})")
 def case_name_detect(spark, sf_dir):
-    rows = spark.createDataFrame([(q,) for q in ("A v. B", "A vs B", "A v B", "plain concept", "vs", "version two")], "q string")
-    return rows.select("q", F.rlike("q", F.lit(r"(?i)(^|[^A-Za-z0-9_])v\.?s?\.?($|[^A-Za-z0-9_])")).alias("is_case"))
+    who, k = F.concat(F.lit("Clerk "), F.col("o_custkey").cast("string")), F.col("o_orderkey") % 6
+    q = F.when(k == 0, F.concat(who, F.lit(" v. "), "o_orderstatus")).when(k == 1, F.concat(who, F.lit(" VS "), "o_orderstatus")).when(k == 2, F.concat(who, F.lit(" v B"))).when(k == 3, F.col("o_orderpriority")).when(k == 4, "vs").otherwise(F.concat(F.lit("version "), who))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", q.alias("q"))
+    return rows.select("o_orderkey", "q", F.rlike("q", F.lit(r"(?i)(^|[^A-Za-z0-9_])v\.?s?\.?($|[^A-Za-z0-9_])")).alias("is_case"))
 
 
 @query("fts_config", "SELECT item_id, CASE WHEN list_has_any(string_split_regex(upper(trim(text)), '\\s+'), ['OF', 'IPC', 'GST']) OR len(string_split_regex(upper(trim(text)), '\\s+')) <= 3 THEN 'simple' ELSE 'english' END AS config FROM benchmark")
@@ -302,20 +307,25 @@ def ranked_fetch(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(ranked), "doc_id").select("rank", "doc_id", "lang").orderBy("rank")
 
 
+#: Characters taken of a neighbour, and of the whole (fixed values).
+NEIGHBOUR_CHARS, EXPANDED_CHARS = 300, 1200
+
+
 @query(
     "neighbour_expand",
-    """WITH t AS (SELECT conv_id, turn, text, lag(text) OVER w AS p, lead(text) OVER w AS n, lag(turn) OVER w AS pt, lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, coalesce(CASE WHEN pt = turn - 1 THEN right(p, 300) || ' ' END, '') || text[:1200] || coalesce(CASE WHEN nt = turn + 1 THEN ' ' || n[:300] END, '') AS expanded FROM t""",
+    f"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER w AS p, lead(text) OVER w AS n, lag(turn) OVER w AS pt, lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, (coalesce(CASE WHEN pt = turn - 1 THEN p[:{NEIGHBOUR_CHARS}] || ' ' END, '') || text || coalesce(CASE WHEN nt = turn + 1 THEN ' ' || n[:{NEIGHBOUR_CHARS}] END, ''))[:{EXPANDED_CHARS}] AS expanded FROM t""",
 )
 def neighbour_expand(spark, sf_dir):
-    """Each winner with the end of its left and the start of its right neighbour."""
+    """Each winner between the starts of its two neighbours, the whole cut to a length."""
     w = Window.partitionBy("conv_id").orderBy("turn")
+    start = F.substring("text", 1, NEIGHBOUR_CHARS)
     rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.substring("text", 1, 1200).alias("t"), F.lag(F.expr("right(text, 300)")).over(w).alias("p"), F.lead(F.substring("text", 1, 300)).over(w).alias("n"), F.lag("turn").over(w).alias("pt"), F.lead("turn").over(w).alias("nt")
+        "conv_id", "turn", F.substring("text", 1, EXPANDED_CHARS).alias("t"), F.lag(start).over(w).alias("p"), F.lead(start).over(w).alias("n"), F.lag("turn").over(w).alias("pt"), F.lead("turn").over(w).alias("nt")
     )
     left = F.coalesce(F.when(F.col("pt") == F.col("turn") - 1, F.concat("p", F.lit(" "))), F.lit(""))
     right = F.coalesce(F.when(F.col("nt") == F.col("turn") + 1, F.concat(F.lit(" "), "n")), F.lit(""))
-    return rows.select("conv_id", "turn", F.concat(left, "t", right).alias("expanded"))
+    return rows.select("conv_id", "turn", F.substring(F.concat(left, "t", right), 1, EXPANDED_CHARS).alias("expanded"))
 
 
 @query(
@@ -559,11 +569,19 @@ def priority_sort(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").orderBy(F.desc("o_orderpriority"), "o_orderkey").limit(100)
 
 
-@query("text_roman_order", "SELECT ch, rule, row_number() OVER (ORDER BY ch, rule NULLS LAST)::INTEGER AS pos FROM (VALUES ('V', 1), ('IX', 2), ('I', NULL), ('I', 3), ('X', 1)) t(ch, rule)")
+_ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
+
+
+@query(
+    "text_roman_order",
+    f"""WITH r AS (SELECT p_brand, p_partkey, {list(_ROMAN)}[1 + p_size % 10] AS ch, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 END AS rule FROM part)
+    SELECT p_brand, p_partkey, ch, rule, row_number() OVER (PARTITION BY p_brand ORDER BY ch, rule NULLS LAST, p_partkey)::INTEGER AS pos FROM r""",
+)
 def text_roman_order(spark, sf_dir):
-    """Chapters sort as text ('IX' before 'V'); missing rule numbers come last."""
-    rows = spark.createDataFrame([("V", 1), ("IX", 2), ("I", None), ("I", 3), ("X", 1)], "ch string, rule int")
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("ch", F.asc_nulls_last("rule"))))
+    """Chapters of each code sort as text ('IX' before 'V'); missing rule numbers come last."""
+    chapter = F.element_at(F.array(*[F.lit(x) for x in _ROMAN]), (F.col("p_size") % 10 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", chapter.alias("ch"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 7).alias("rule"))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("p_brand").orderBy("ch", F.asc_nulls_last("rule"), "p_partkey")))
 
 
 @query(

@@ -241,19 +241,20 @@ ABBREVIATIONS = (("lic", "license"), ("cop", "copyright"), ("sec", "section"))
 
 @query(
     "expand_query",
-    f"""WITH {ASKED_SQL} SELECT query_id, q
-      || CASE WHEN contains(lower(q), 'lic') AND NOT contains(lower(q), 'license') THEN ' license' ELSE '' END
+    """WITH s AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:6], ' ') || CASE doc_id % 4 WHEN 0 THEN ' LIC' WHEN 1 THEN ' cop section' WHEN 2 THEN ' sec lic license' ELSE '' END AS q FROM documents)
+    SELECT doc_id, q || CASE WHEN contains(lower(q), 'lic') AND NOT contains(lower(q), 'license') THEN ' license' ELSE '' END
       || CASE WHEN contains(lower(q), 'cop') AND NOT contains(lower(q), 'copyright') THEN ' copyright' ELSE '' END
-      || CASE WHEN contains(lower(q), 'sec') AND NOT contains(lower(q), 'section') THEN ' section' ELSE '' END AS expanded
-    FROM (SELECT * FROM asked UNION ALL SELECT 6, 'LIC text of sec', 1)""",
+      || CASE WHEN contains(lower(q), 'sec') AND NOT contains(lower(q), 'section') THEN ' section' ELSE '' END AS expanded FROM s""",
 )
 def expand_query(spark, sf_dir):
-    rows = asked(spark).unionByName(spark.createDataFrame([(6, "LIC text of sec", 1)], "query_id long, q string, vec_id long"))
+    """Full forms follow the short ones in the first words of every text; ``expand_from_table`` takes the forms from a table."""
+    end = F.element_at(F.array(*[F.lit(x) for x in (" LIC", " cop section", " sec lic license", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.array_join(F.slice(F.split("text", " "), F.lit(1), F.lit(6)), " "), end).alias("q"))
     out = F.col("q")
     for short, full in ABBREVIATIONS:
         missing = F.contains(F.lower("q"), F.lit(short)) & ~F.contains(F.lower("q"), F.lit(full))
         out = F.concat(out, F.when(missing, f" {full}").otherwise(""))
-    return rows.select("query_id", out.alias("expanded"))
+    return rows.select("doc_id", out.alias("expanded"))
 
 
 @query(
@@ -362,13 +363,24 @@ _KIND_SQL = r"""CASE WHEN regexp_matches(q, '(?i)\d{4}\s+SCC\s+\d+|\d{4}\s+AIR\s
  WHEN contains(q, ' v. ') OR contains(lower(q), ' vs ') OR contains(lower(q), ' versus ') THEN 'party_name' ELSE 'concept' END"""
 
 
-_MORE_QUERIES = ((6, "2019 SCC 1"), (7, "plain words"), (8, "1950 air sc 27"), (9, "Section 9"), (10, "section 302A ipc"), (11, "A v B"), (12, "x versus y"), (13, "Article 21"))
+#: What stands before and after the first words of a text to make searches of every kind.
+_ASKED_AS = (("", ""), ("2019 SCC 1 ", ""), ("plain ", ""), ("", " 1950 air sc 27"), ("Section 9 ", ""), ("on section 302A of ", ""), ("A v B ", ""), ("x versus ", ""), ("", " VS y"), ("", " v. State"), ("Article 21 ", ""))
+_SEARCH_SQL = (
+    f"SELECT doc_id, CASE doc_id % {len(_ASKED_AS)} " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(_ASKED_AS)) + " END || array_to_string(string_split(text, ' ')[1:4], ' ') || "
+    + f"CASE doc_id % {len(_ASKED_AS)} " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(_ASKED_AS)) + " END AS q FROM documents"
+)
+
+
+def searches(spark, sf_dir):
+    """(doc_id, q): a search for every text, made of its first words."""
+    kind = (F.col("doc_id") % len(_ASKED_AS) + 1).cast("int")
+    around = [F.element_at(F.array(*[F.lit(x[i]) for x in _ASKED_AS]), kind) for i in (0, 1)]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(around[0], F.array_join(F.slice(F.split("text", " "), F.lit(1), F.lit(4)), " "), around[1]).alias("q"))
 
 
-@query("classify_query", f"WITH {ASKED_SQL} SELECT query_id, q, {_KIND_SQL} AS kind FROM (SELECT query_id, q FROM asked UNION ALL VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in _MORE_QUERIES) + ")")
+@query("classify_query", f"SELECT doc_id, q, {_KIND_SQL} AS kind FROM ({_SEARCH_SQL})")
 def classify(spark, sf_dir):
-    more = spark.createDataFrame(list(_MORE_QUERIES), "query_id long, q string")
-    return asked(spark).select("query_id", "q").unionByName(more).select("query_id", "q", classify_query(F.col("q")).alias("kind"))
+    return searches(spark, sf_dir).select("doc_id", "q", classify_query(F.col("q")).alias("kind"))
 
 
 @query(
@@ -480,20 +492,22 @@ _BODIES = (
 
 @query(
     "extract_refs",
-    rf"""WITH t(body) AS (VALUES {", ".join(f"('{b}')" for b in _BODIES)}), m AS (SELECT body, unnest(regexp_extract_all(body, '{SECTION_REF}')) AS ref FROM t),
-    p AS (SELECT body, ref, regexp_extract(ref, '{SECTION_REF}', 1) AS section, lower(regexp_extract(ref, '{SECTION_REF}', 2)) AS tail FROM m),
+    rf"""WITH t AS (SELECT doc_id, left(text, 400) || '. ' || CASE doc_id % {len(_BODIES)} {" ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(_BODIES))} END || '. ' || text AS body FROM documents),
+    m AS (SELECT doc_id, unnest(regexp_extract_all(body, '{SECTION_REF}')) AS ref FROM t),
+    p AS (SELECT doc_id, ref, regexp_extract(ref, '{SECTION_REF}', 1) AS section, lower(regexp_extract(ref, '{SECTION_REF}', 2)) AS tail FROM m),
     a(alias, code) AS (VALUES {", ".join(f"('{x}', '{c}')" for x, c in ALIASES)})
-    SELECT DISTINCT body, section, first(code ORDER BY length(alias) DESC, alias) AS code FROM p JOIN a ON regexp_matches(tail, '(^|[^a-z])' || alias || '($|[^a-z])') GROUP BY body, section, ref, tail
-    UNION SELECT DISTINCT body, unnest(regexp_extract_all(body, '{ARTICLE_REF}', 1)), '{ARTICLES_OF}' FROM t""",
+    SELECT DISTINCT doc_id, section, first(code ORDER BY length(alias) DESC, alias) AS code FROM p JOIN a ON regexp_matches(tail, '(^|[^a-z])' || alias || '($|[^a-z])') GROUP BY doc_id, section, ref, tail
+    UNION SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '{ARTICLE_REF}', 1)), '{ARTICLES_OF}' FROM t""",
 )
 def extract_refs(spark, sf_dir):
-    """(number, code) of the provisions that a text names: a section with the longest whole-word alias in what follows it, and articles."""
-    rows = spark.createDataFrame([(b,) for b in _BODIES], "body string")
-    named = rows.select("body", F.explode(F.regexp_extract_all("body", F.lit(SECTION_REF), 0)).alias("ref"))
-    named = named.select("body", F.regexp_extract("ref", SECTION_REF, 1).alias("section"), F.lower(F.regexp_extract("ref", SECTION_REF, 2)).alias("tail"))
+    """(number, code) of the provisions that a text names: a section with the longest whole-word alias in what follows it, and articles. Aliases are literals here, a table in ``provision_references``."""
+    named = F.element_at(F.array(*[F.lit(b) for b in _BODIES]), (F.col("doc_id") % len(_BODIES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 400), F.lit(". "), named, F.lit(". "), "text").alias("body"))
+    refs = rows.select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(SECTION_REF), 0)).alias("ref"))
+    refs = refs.select("doc_id", F.regexp_extract("ref", SECTION_REF, 1).alias("section"), F.lower(F.regexp_extract("ref", SECTION_REF, 2)).alias("tail"))
     code = F.coalesce(*[F.when(F.rlike("tail", F.lit(f"(^|[^a-z]){a}($|[^a-z])")), c) for a, c in sorted(ALIASES, key=lambda x: (-len(x[0]), x[0]))])
-    articles = rows.select("body", F.explode(F.regexp_extract_all("body", F.lit(ARTICLE_REF), 1)).alias("section"), F.lit(ARTICLES_OF).alias("code"))
-    return named.select("body", "section", code.alias("code")).where("code is not null").unionByName(articles).distinct()
+    articles = rows.select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(ARTICLE_REF), 1)).alias("section"), F.lit(ARTICLES_OF).alias("code"))
+    return refs.select("doc_id", "section", code.alias("code")).where("code is not null").unionByName(articles).distinct()
 
 
 @query(

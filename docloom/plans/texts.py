@@ -15,18 +15,23 @@ from docloom.sources.tables import table
 
 # ---- dates -----------------------------------------------------------------------------------------------------------------
 
-#: (raw, expected for as_of 2025-01-01): cases of the strict reader.
-DATE_CASES = (
-    ("2023-04-03", "2023-04-03"), ("03-04-2023", "2023-04-03"), ("03/04/2023", "2023-04-03"), ("3.4.2023", "2023-04-03"), ("3rd April 2023", "2023-04-03"), ("3 Apr 2023", "2023-04-03"), ("03-April-2023", "2023-04-03"),
-    ("April 3, 2023", "2023-04-03"), ("Apr 3 2023", "2023-04-03"), ("  3  April   2023. ", "2023-04-03"), ("2023", None), ("12/31/1899", None), ("31/12/1899", None), ("01/01/2099", None), ("not a date", None), ("31/02/2020", None), ("", None), (None, None),
+#: Ways to write the day of an order, as patterns of DuckDB and of Spark, and whether they can be read; the last four cannot.
+_WRITTEN = (
+    ("%Y-%m-%d", "yyyy-MM-dd"), ("%d-%m-%Y", "dd-MM-yyyy"), ("%d/%m/%Y", "dd/MM/yyyy"), ("%-d.%-m.%Y", "d.M.yyyy"), ("%-dth %B %Y", "d'th' MMMM yyyy"), ("%-d %b %Y", "d MMM yyyy"), ("%-d-%B-%Y", "d-MMMM-yyyy"),
+    ("%B %-d, %Y", "MMMM d, yyyy"), ("%b %-d %Y", "MMM d yyyy"), ("  %-d  %B   %Y. ", "'  'd'  'MMMM'   'yyyy'. '"), ("%Y", "yyyy"), ("31/02/%Y", "'31/02/'yyyy"), ("%m/31/1899", "MM'/31/1899'"), ("no date in %Y", "'no date in 'yyyy"),
 )
-_DATES_SQL = ", ".join(f"({'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)})" for a, b in DATE_CASES)
+_DATES_SQL = " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{sql}')" for i, (sql, _) in enumerate(_WRITTEN))
 
 
-@query("normalize_date_cases", f"SELECT raw, iso FROM (VALUES {_DATES_SQL}) t(raw, iso)")
+@query(
+    "normalize_date_cases",
+    f"SELECT o_orderkey, CASE o_orderkey % {len(_WRITTEN) + 1} {_DATES_SQL} END AS raw, CASE WHEN o_orderkey % {len(_WRITTEN) + 1} < {len(_WRITTEN) - 4} THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
+)
 def normalize_date_cases(spark, sf_dir):
-    rows = spark.createDataFrame(list(DATE_CASES), "raw string, expected string")
-    return rows.select("raw", dates.normalize_date(F.col("raw"), F.lit("2025-01-01").cast("date")).alias("iso"))
+    """Days written in every accepted form, and in forms that give null; one order in fifteen has none."""
+    raw = F.coalesce(*[F.when(F.col("o_orderkey") % (len(_WRITTEN) + 1) == i, F.date_format("o_orderdate", form)) for i, (_, form) in enumerate(_WRITTEN)])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    return rows.select("o_orderkey", "raw", dates.normalize_date(F.col("raw"), F.lit("2025-01-01").cast("date")).alias("iso"))
 
 
 _RAW_SQL = "CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%d %B %Y') WHEN 2 THEN strftime(o_orderdate, '%b %d, %Y') WHEN 3 THEN strftime(o_orderdate, '%Y') WHEN 4 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE 'around ' || strftime(o_orderdate, '%Y') END"
@@ -63,12 +68,20 @@ def clean_events(spark, sf_dir, most: int = 15):
     return once.withColumn("n", F.row_number().over(at)).where(F.col("n") <= most).select("o_custkey", "day", "event")
 
 
-@query("line_spacing", "SELECT raw, v::DOUBLE AS spacing FROM (VALUES ('double', 2.0), ('single', 1.0), ('1 1/2', 1.5), ('1.15', 1.15), ('one and a half', 1.5), ('wide', NULL)) t(raw, v)")
+@query(
+    "line_spacing",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' Double' WHEN 1 THEN 'single' WHEN 2 THEN (p_size % 3) || ' 1/' || (p_size % 4) WHEN 3 THEN '1.' || p_size WHEN 4 THEN 'one and a half' ELSE p_type END AS raw,
+      CASE p_partkey % 6 WHEN 0 THEN 2.0 WHEN 1 THEN 1.0 WHEN 2 THEN CASE WHEN p_size % 4 > 0 THEN p_size % 3 + 1.0::DOUBLE / (p_size % 4) END WHEN 3 THEN ('1.' || p_size)::DOUBLE WHEN 4 THEN 1.5 END::DOUBLE AS spacing FROM part""",
+)
 def line_spacing(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("double", "single", "1 1/2", "1.15", "one and a half", "wide")], "raw string")
+    """Spacings as words, numbers and mixed fractions; others, and fractions of nothing, are null."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size")
+    raw = F.when(k == 0, " Double").when(k == 1, "single").when(k == 2, F.concat((size % 3).cast("string"), F.lit(" 1/"), (size % 4).cast("string"))).when(k == 3, F.concat(F.lit("1."), size.cast("string"))).when(k == 4, "one and a half").otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
     t = F.lower(F.trim("raw"))
-    whole = F.regexp_extract(t, r"^(\d+)\s+(\d+)/(\d+)$", 1).try_cast("double") + F.regexp_extract(t, r"^(\d+)\s+(\d+)/(\d+)$", 2).try_cast("double") / F.nullif(F.regexp_extract(t, r"^(\d+)\s+(\d+)/(\d+)$", 3).try_cast("double"), F.lit(0.0))
-    return rows.select("raw", F.when(t == "double", 2.0).when(t == "single", 1.0).when(t == "one and a half", 1.5).otherwise(F.coalesce(whole, t.try_cast("double"))).alias("spacing"))
+    piece = lambda i: F.regexp_extract(t, r"^(\d+)\s+(\d+)/(\d+)$", i).try_cast("double")
+    whole = piece(1) + piece(2) / F.nullif(piece(3), F.lit(0.0))
+    return rows.select("p_partkey", "raw", F.when(t == "double", 2.0).when(t == "single", 1.0).when(t == "one and a half", 1.5).otherwise(F.coalesce(whole, t.try_cast("double"))).alias("spacing"))
 
 
 # ---- cleaning and paragraphs -------------------------------------------------------------------------------------------------
@@ -263,10 +276,10 @@ def template_detect(spark, sf_dir):
 def doc_tier(spark, sf_dir):
     """Tier of each document of a matter (here: of a source); without a primary one, the best supporting one is promoted."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat_ws(" ", "lang", "source").alias("label"), _forms().alias("t"))
-    marks, low = ft.mark_count(F.col("t")), F.lower("label")
-    given = triage.tier(F.col("t"), F.col("label"), ["src1"], ["src3", "fr "])
-    some = (given == "primary") & F.contains(low, F.lit("src2")) | (given == "excluded") & ~ft.is_template(F.col("t")) & (marks >= 1)  # here such texts support
-    tiers = rows.select("doc_id", "source", marks.alias("marks"), F.when(some, "supporting").otherwise(given).alias("tier"))
+    rows = triage.facts(rows, "t")
+    given = triage.tier(F.col("template"), F.col("marks"), F.col("label"), ["src1"], ["src3", "fr "])
+    some = (given == "primary") & F.contains(F.lower("label"), F.lit("src2")) | (given == "excluded") & ~F.col("template") & (F.col("marks") >= 1)  # here such texts support
+    tiers = rows.select("doc_id", "source", "marks", F.when(some, "supporting").otherwise(given).alias("tier"))
     return triage.promote(tiers, ["source"], "tier", "marks", "doc_id").select("doc_id", "marks", "tier")
 
 
@@ -451,10 +464,11 @@ def script_profile(spark, sf_dir):
     return rows.select("doc_id", "n_hi", "n_letters", ratio.alias("ratio"), ft.script_label(F.col("n_letters"), F.col("n_hi"), "hi").alias("label"))
 
 
-@query("digits_translit", "SELECT raw, ascii FROM (VALUES ('धारा ३०२', 'धारा 302'), ('०१२३४५६७८९', '0123456789'), ('plain 7', 'plain 7')) t(raw, ascii)")
+@query("digits_translit", "SELECT c_custkey, c_name || ' धारा ' || c_custkey AS ascii FROM customer")
 def digits_translit(spark, sf_dir):
-    rows = spark.createDataFrame([("धारा ३०२",), ("०१२३४५६७८९",), ("plain 7",)], "raw string")
-    return rows.select("raw", ft.devanagari_digits(F.col("raw")).alias("ascii"))
+    """Devanagari digits to ASCII ones, beside letters and digits that stay."""
+    raw = F.concat("c_name", F.lit(" धारा "), F.translate(F.col("c_custkey").cast("string"), "0123456789", "०१२३४५६७८९"))
+    return table(spark, sf_dir, "customer").select("c_custkey", ft.devanagari_digits(raw).alias("ascii"))
 
 
 _ANSWER_SQL = "CASE doc_id % 5 WHEN 0 THEN 'Here is the English translation of it:' || chr(10) || chr(10) || text WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```' WHEN 2 THEN left(text, 5) WHEN 3 THEN chr(10) || ' ' ELSE text || chr(10) END"
@@ -525,17 +539,29 @@ def key_inference(spark, sf_dir):
 
 
 #: (display name, seat): bracketed alias, last part that is no court word, slash of two cities.
-SEATS = (("High Court of X (Lucknow Bench)", "Lucknow"), ("District Court - Agra", "Agra"), ("Tribunal - New Delhi - Principal Bench", "New Delhi"), ("Court - Mumbai/Nagpur", "Mumbai"), ("Supreme Court", None))
-
-
-@query("seat_extract", "SELECT display, seat FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in SEATS) + ") t(display, seat)")
+@query(
+    "seat_extract",
+    """WITH s AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    d AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'High Court of X (' || n || ' Bench)' WHEN 1 THEN 'District Court - ' || n WHEN 2 THEN 'Tribunal - ' || n || ' - Principal Bench' WHEN 3 THEN 'Court - ' || n || '/Nagpur' ELSE 'Supreme Court' END AS display, n
+      FROM (SELECT s_suppkey, upper(n_name[1]) || lower(replace(n_name[2:], '_', ' ')) AS n FROM s))
+    SELECT s_suppkey, display, CASE WHEN s_suppkey % 5 < 4 AND (s_suppkey % 5 > 0 OR regexp_full_match(n, '[A-Z][A-Za-z ]+')) THEN n END AS seat FROM d""",
+)
 def seat_extract(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in SEATS], "display string")
+    """The seat in a court's name: before 'Bench' in brackets, else the last part that names no court, up to a stroke."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.replace(F.expr("substring(n_name, 2)"), F.lit("_"), F.lit(" "))))
+    held = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", n.alias("n"))  # 25 rows
+    k = F.col("s_suppkey") % 5
+    display = (
+        F.when(k == 0, F.concat(F.lit("High Court of X ("), "n", F.lit(" Bench)"))).when(k == 1, F.concat(F.lit("District Court - "), "n"))
+        .when(k == 2, F.concat(F.lit("Tribunal - "), "n", F.lit(" - Principal Bench"))).when(k == 3, F.concat(F.lit("Court - "), "n", F.lit("/Nagpur"))).otherwise("Supreme Court")
+    )
+    rows = held.select("s_suppkey", display.alias("display"))
     court = r"(?i)court|tribunal|bench|commission"
     bracket = F.nullif(F.regexp_extract("display", r"\(([A-Z][A-Za-z ]+?) Bench\)", 1), F.lit(""))
     parts = F.filter(F.reverse(F.split("display", " - ")), lambda x: ~F.rlike(x, F.lit(court)))
     last = F.trim(F.split_part(F.try_element_at(parts, F.lit(1)), F.lit("/"), F.lit(1)))
-    return rows.select("display", F.coalesce(bracket, last).alias("seat"))
+    return rows.select("s_suppkey", "display", F.coalesce(bracket, last).alias("seat"))
 
 
 @query("section_list", "SELECT o_orderkey, array_to_string(list_filter(['title', CASE WHEN o_totalprice > 100000 THEN 'index' END, 'facts', CASE WHEN o_orderstatus = 'F' THEN 'prayer' END, 'verification'], lambda x: x IS NOT NULL), '>') AS sections FROM orders")

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import dates
 from docloom.functions import text as ft
 from docloom.operators import ingest, paragraphs, rerank, retrieval, triage
 from docloom.operators import vectors as vectors_
@@ -312,3 +313,25 @@ def test_stored_cells_are_searched_as_fresh_ones(spark, sf_dir, tmp_path):
     again = vectors_.probe(*retrieval.stored_cells(spark, str(tmp_path / "cells")), asked, 10, 5)
     key = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
     assert key(again) == key(vectors_.probe(index, centres, asked, 10, 5))
+
+
+#: (raw, expected for as_of 2025-01-01): cases of the strict reader.
+DATE_CASES = (
+    ("2023-04-03", "2023-04-03"), ("03-04-2023", "2023-04-03"), ("03/04/2023", "2023-04-03"), ("3.4.2023", "2023-04-03"), ("3rd April 2023", "2023-04-03"), ("3 Apr 2023", "2023-04-03"), ("03-April-2023", "2023-04-03"),
+    ("April 3, 2023", "2023-04-03"), ("Apr 3 2023", "2023-04-03"), ("  3  April   2023. ", "2023-04-03"), ("2023", None), ("12/31/1899", None), ("31/12/1899", None), ("01/01/2099", None), ("not a date", None), ("31/02/2020", None), ("", None), (None, None),
+)
+
+
+def test_strict_dates(spark):
+    rows = spark.createDataFrame(list(DATE_CASES), "raw string, expected string")
+    assert all(r.iso == r.expected for r in rows.withColumn("iso", dates.normalize_date(F.col("raw"), F.lit("2025-01-01").cast("date"))).collect())
+
+
+def test_kinds_of_searches(spark):
+    cases = {"2019 SCC 1": "citation", "plain words": "concept", "1950 air sc 27": "citation", "Section 9": "concept", "section 302A ipc": "section_ref", "A v B": "concept", "A v. B": "party_name", "x versus y": "party_name", "Article 21": "concept"}
+    rows = spark.createDataFrame([(q,) for q in cases], "q string")
+    assert {r.q: r.kind for r in rows.withColumn("kind", ft.classify_query(F.col("q"))).collect()} == cases
+
+
+def test_digits_of_another_script(spark):
+    assert [value(spark, ft.devanagari_digits, x) for x in ("धारा ३०२", "०१२३४५६७८९", "plain 7")] == ["धारा 302", "0123456789", "plain 7"]
