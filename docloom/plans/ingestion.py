@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import ingest, sections
 from docloom.plans.registry import query
+from docloom.sources import office
 from docloom.sources.tables import table
 
 _STRIP_SQL = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g'))"
@@ -65,6 +66,20 @@ def nested_sections(spark, sf_dir):
     return sections.numbered_sections(pages, "conv_id", "html", strip_tags)
 
 
+@query(
+    "docx_texts",
+    r"""SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'Unsupported file type for OCR.' WHEN 5 THEN '' ELSE regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9)) <> ''), chr(10)), '^\s+|\s+$', '', 'g') END AS text,
+      CASE doc_id % 7 WHEN 6 THEN 'unsupported' WHEN 5 THEN 'broken' ELSE 'read' END AS status FROM documents""",
+)
+def docx_texts(spark, sf_dir):
+    """Every text written as a DOCX file and read again; a seventh of the files is cut off, a seventh has another suffix."""
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 6, ".odt").otherwise(".DOCX"))
+    files = office.write_docx(table(spark, sf_dir, "documents").select(name.alias("name"), "text"), "name", "text")
+    cut = F.col("path").rlike("DOCX$") & (F.regexp_extract("path", r"^(\d+)", 1).cast("long") % 7 == 5)
+    files = files.withColumn("content", F.when(cut, F.substring("content", 1, 40)).otherwise(F.col("content")))
+    return office.read_texts(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text", "status")
+
+
 @query(
     "majority_vote",
     """WITH v AS (SELECT regexp_extract(url, '://([^/]+)/', 1) AS host, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang FROM pages), c AS (SELECT host, lang, count(*) AS votes FROM v GROUP BY ALL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.functions import dates
+from docloom.functions import dates, folding
 from docloom.functions import text as ft
 from docloom.operators import matching, paragraphs, triage
 from docloom.operators.retrieval import chunks
@@ -389,6 +389,17 @@ def norm_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ft.fold(F.col("text")).alias("folded"))
 
 
+#: Signs that decompose, and what they are in the comparison form.
+_DECOMPOSED = (("ﬁ", "fi"), ("Ⅻ", "xii"), ("ａ", "a"), ("①", "1"), ("ǆ", "dz"), ("ọ̈", "o"), ("Å", "a"), ("ß", ""), ("中", ""))
+
+
+@query("norm_match_all", f"SELECT doc_id, CASE doc_id % {len(_DECOMPOSED)} " + " ".join(f"WHEN {i} THEN '{plain}'" for i, (_, plain) in enumerate(_DECOMPOSED)) + " END || " + _FOLD_SQL.format("text") + " AS folded FROM documents")
+def norm_match_all(spark, sf_dir):
+    """The comparison form over all of Unicode: ligatures, numerals, wide letters and marks, before texts with accents."""
+    sign = F.element_at(F.array(*[F.lit(s) for s, _ in _DECOMPOSED]), (F.col("doc_id") % len(_DECOMPOSED) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", folding.fold(F.concat(sign, F.lit(" "), "text")).alias("folded"))
+
+
 @query(
     "grounded",
     f"""WITH c AS (SELECT item_id, {_FOLD_SQL.format("string_split_regex(text, '[,(]')[1]")} AS core, {_FOLD_SQL.format('text')} AS whole FROM benchmark),
