@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import classify_query, clean_page_text
-from docloom.operators import paragraphs, rerank
+from docloom.operators import dictionaries, paragraphs, rerank
 from docloom.operators import retrieval as r
 
 #: (vector, lexical) fusion weights by kind of query (fixed values).
@@ -66,12 +66,12 @@ class Corpus:
             ranks = ranks.unionByName(leg)
         parts = ranks.join(F.broadcast(kinds), "query_id").select("query_id", "id", (F.when(F.col("leg") == 0, F.col("w0")).otherwise(F.col("w1")) / (60 + F.col("rank"))).alias("part"))  # one row a query
         if self.title:
-            named = docs.select(F.col(self.id).alias("id"), F.lower(self.title).alias("t")).join(F.broadcast(kinds.select("query_id", F.lower("q").alias("lq"))), F.contains("t", F.col("lq")))
-            parts = parts.unionByName(named.select("query_id", "id", F.lit(5.0).alias("part")))
+            named = dictionaries.found_in(docs, self.id, self.title, queries.select(F.col("query_id").alias("id"), F.col("q").alias("phrase")), edges=None)
+            parts = parts.unionByName(named.select(F.col("entry").alias("query_id"), F.col(self.id).alias("id"), F.lit(5.0).alias("part")))
         fused = parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
-        total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-        at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        rows = fused.withColumn("total", total).withColumn("rank", at).where((F.col("rank") > (page - 1) * limit) & (F.col("rank") <= page * limit))
+        totals = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+        first = r.ranked(fused, [F.desc("score"), F.asc("id")], page * limit)  # each task keeps a page's end, so no task sees all matches of a query
+        rows = first.where(F.col("rank") > (page - 1) * limit).join(F.broadcast(totals), "query_id")
         rows = rows.withColumn("relevance", F.round(F.col("score") * 10, 2)).withColumn("total_pages", F.ceil(F.col("total") / limit))
         return docs.join(F.broadcast(rows), F.col(self.id) == F.col("id")).drop("id") if self.id != "id" else docs.join(F.broadcast(rows), "id")  # one page a query
 
@@ -93,17 +93,22 @@ class Corpus:
         flat = self.filtered(filters).select(self.id, clean_page_text(F.col(self.text)).alias("flat"))
         return paragraphs.segment(flat, "flat", self.id)
 
-    def suggest(self, queries: DataFrame, group: str = "query_id", keep: int = 8, exact: DataFrame | None = None, score: Column | None = None) -> DataFrame:
-        """Citations for a group of queries: consensus over the queries, exact matches first, drop-off with at least five left.
+    def suggest(self, queries: DataFrame, group: str | None = None, keep: int = 8, exact: DataFrame | None = None, score: Column | None = None, year: str | None = None) -> DataFrame:
+        """Citations for groups of queries: consensus over a group's queries, exact matches first, one row of a title and year, drop-off with at least five left.
 
-        ``score`` may be a column of an outside model over the found rows; else fused ranks count.
+        ``group`` is a column of the queries; without it they are one group. ``exact`` (id, and the group if there are
+        any) names rows that stay. ``score`` may be a column of an outside model over the found rows; else fused ranks count.
         """
-        found = self.search(queries, limit=30)
-        best = found.groupBy(F.col(self.id).alias("id")).agg(F.sum("score").alias("score"))
+        groups = queries.select("query_id", (F.col(group) if group else F.lit(0)).alias("__group"))
+        asked = queries.drop(group) if group and group != "query_id" else queries
+        found = self.search(asked, limit=30).join(F.broadcast(groups), "query_id").withColumnRenamed("score", "__part")  # a row a query
+        title, when = (F.col(c).cast("string") if c else F.lit("") for c in (self.title, year))
+        best = found.groupBy("__group", F.col(self.id).alias("id")).agg(F.sum("__part").alias("score"), F.first(title).alias("title"), F.first(when).alias("year"))
         if score is not None:
-            best = best.join(self.documents, best["id"] == self.documents[self.id]).select("id", score.alias("score"))
-        named = exact.select("id").distinct().withColumn("exact", F.lit(True)) if exact is not None else best.select("id", F.lit(False).alias("exact")).where("1 = 0")
-        rows = best.join(named, "id", "full").select(F.lit(0).alias(group), "id", (F.coalesce("score", F.lit(0.0)) + F.when(F.col("exact"), 0.5).otherwise(0.0)).alias("score"), F.coalesce("exact", F.lit(False)).alias("exact"))
-        rows = rows.withColumn("title", F.lit(""))
-        kept = rerank.dropoff_min_results(rows, [group], "score", "exact", ["title"], "id")
-        return rerank.exact_first(kept, [group], "score", "exact", "id").where(F.col("rank") <= keep).select("id", "score", "exact", "rank")
+            best = best.drop("score").join(self.documents, best["id"] == self.documents[self.id]).select("__group", best["id"], "title", "year", score.alias("score"))
+        named = best.select("__group", "id").where("1 = 0") if exact is None else exact.select((F.col(group) if group else F.lit(0)).alias("__group"), "id").distinct()
+        rows = best.join(named.withColumn("__exact", F.lit(True)), ["__group", "id"], "full")
+        rows = rows.select("__group", "id", (F.coalesce("score", F.lit(0.0)) + F.when(F.col("__exact"), 0.5).otherwise(0.0)).alias("score"), F.coalesce("__exact", F.lit(False)).alias("exact"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("year", F.lit("")).alias("year"))
+        kept = rerank.dropoff_min_results(rows, ["__group"], "score", "exact", ["title", "year"], "id")
+        best_first = rerank.exact_first(kept, ["__group"], "score", "exact", "id").where(F.col("rank") <= keep)
+        return best_first.select(*([F.col("__group").alias(group)] if group else []), "id", "score", "exact", "rank")

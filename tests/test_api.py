@@ -52,6 +52,26 @@ def test_browse_get_and_suggest(spark, corpus):
     assert corpus.paragraphs().columns[0] == "doc_id"
 
 
+def test_suggestions_by_group(spark):
+    """Groups stay apart, a title and year stand once, titles that hold a query lead."""
+    rows = [(1, "alpha law", "alpha beta gamma", 2001), (2, "Alpha Law ", "alpha alpha beta", 2001), (3, "alpha law", "alpha", 2002), (4, "", "beta"), (5, None, "gamma beta"), (6, "beta", "delta beta"), (7, "other", "delta"), (8, "gamma", "nothing")]
+    docs = spark.createDataFrame([(*r, *([None] * (4 - len(r)))) for r in rows], "doc_id long, name string, text string, y int")
+    held = Corpus(docs, title="name")
+    asked = spark.createDataFrame([(1, "alpha", "a"), (2, "alpha beta", "a"), (3, "delta", "b"), (4, "nothing here", None)], "query_id long, q string, g string")
+    exact = spark.createDataFrame([(8, "b"), (8, "b")], "id long, g string")
+    got = {}
+    for r in held.suggest(asked, group="g", exact=exact, year="y").orderBy("g", "rank").collect():
+        got.setdefault(r.g, []).append((r.id, r.exact))
+    assert got.keys() == {"a", "b", None} and got["b"][0] == (8, True) and {i for i, _ in got["b"]} == {6, 7, 8} and [i for i, _ in got[None]] == [8]
+    ids = [i for i, _ in got["a"]]
+    assert len({1, 2} & set(ids)) == 1 and 3 in ids and len(ids) == len(set(ids))
+    one = [r.id for r in held.suggest(asked.drop("g"), year="y").collect()]
+    assert len(one) == len(set(one)) and {3, 6, 7} <= set(one)
+    found = held.search(asked.drop("g"), limit=2)
+    totals = {r["query_id"]: r["total"] for r in found.collect()}
+    assert totals == {1: 3, 2: 6, 3: 2, 4: 1}
+
+
 def test_models_and_table_functions(spark):
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     encode = models.embedder(lambda texts: [[len(t)] for t in texts])
