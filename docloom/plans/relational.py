@@ -334,7 +334,8 @@ def neighbour_expand(spark, sf_dir):
 )
 def range_window_fetch(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-2, 2)
-    rows = table(spark, sf_dir, "conversations").withColumn("near", F.collect_list(F.struct("turn", "text")).over(w)).where("turn = 3")
+    near_target = table(spark, sf_dir, "conversations").where("turn between 1 and 5")  # what no target's window holds is not shuffled
+    rows = near_target.withColumn("near", F.collect_list(F.struct("turn", "text")).over(w)).where("turn = 3")
     return rows.select("conv_id", F.col("turn").alias("target"), F.array_join(F.transform(F.array_sort("near"), lambda x: x["text"]), "\n").alias("joined"))
 
 

@@ -512,7 +512,7 @@ def extract_refs(spark, sf_dir):
 
 @query(
     "exact_boost",
-    f"""{_LEGS_SQL}, {_fused()}, exact AS (SELECT query_id, item AS id FROM (VALUES (1::BIGINT, 5::BIGINT), (1, 9), (2, 5), (3, 2)) e(query_id, item)),
+    f"""{_LEGS_SQL}, {_fused()}, exact AS (SELECT DISTINCT query_id, doc_id AS id FROM (SELECT query_id, unnest(regexp_extract_all(q, '[0-9]+')) AS n FROM (SELECT query_id, q || ' and section ' || (vec_id % 50) AS q FROM asked)) JOIN documents ON doc_id = TRY_CAST(n AS BIGINT)),
     allp AS (SELECT query_id, id, score, FALSE AS exact FROM fused UNION ALL SELECT query_id, id, 0.5::DOUBLE, TRUE FROM exact),
     s AS (SELECT query_id, id, round(sum(score), 9) AS score, max(exact) AS exact FROM allp GROUP BY ALL)
     SELECT query_id, id, score, exact, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10""",
@@ -520,7 +520,9 @@ def extract_refs(spark, sf_dir):
 def exact_boost(spark, sf_dir):
     """Rows that a query names exactly gain 0.5, and enter even if no leg found them."""
     vector, lexical = _legs(spark, sf_dir)
-    exact = spark.createDataFrame([(1, 5), (1, 9), (2, 5), (3, 2)], "query_id long, id long").select("query_id", "id", F.lit(0.5).alias("score"), F.lit(True).alias("exact"))
+    named = asked(spark).select("query_id", F.concat("q", F.lit(" and section "), F.col("vec_id") % 50).alias("q"))
+    numbers = named.select("query_id", F.explode(F.regexp_extract_all("q", F.lit(r"(\d+)"), 1)).alias("n")).select("query_id", F.col("n").try_cast("long").alias("id")).distinct()
+    exact = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(F.broadcast(numbers), "id").select("query_id", "id", F.lit(0.5).alias("score"), F.lit(True).alias("exact"))  # the numbers in the queries at hand
     parts = r.rrf([(vector, 1.0), (lexical, 2.0)]).withColumn("exact", F.lit(False)).unionByName(exact)
     fused = parts.groupBy("query_id", "id").agg(F.round(F.sum("score"), 9).alias("score"), F.max("exact").alias("exact"))
     return r.ranked(fused, [F.desc("score"), F.asc("id")], 10)
@@ -553,6 +555,27 @@ def token_overlap_flag(spark, sf_dir):
     return docs.select("doc_id", (F.size(F.array_intersect(F.split(F.substring("text", 1, 800), " "), F.split(tail, " "))) > 20).alias("same"))
 
 
+#: Words that the start of a passage shares with the holding when it is the holding, words of that start, characters of the holding and of the passage (fixed values).
+HOLDING_WORDS, PASSAGE_WORDS, HOLDING_CHARS, PASSAGE_CHARS = 20, 50, 250, 900
+
+
+@query(
+    "holding_prefix",
+    rf"""WITH h AS (SELECT conv_id, text AS holding FROM conversations WHERE turn = 0),
+    c AS (SELECT conv_id, turn, text, holding, list_distinct(list_filter(string_split_regex(lower(holding), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')[1:{PASSAGE_WORDS}]) AS b FROM conversations LEFT JOIN h USING (conv_id))
+    SELECT conv_id, turn, CASE WHEN coalesce(holding, '') <> '' AND len(list_intersect(a, b)) <= {HOLDING_WORDS} THEN 'HOLDING: ' || holding[:{HOLDING_CHARS}] || chr(10) || chr(10) ELSE '' END || text[:{PASSAGE_CHARS}] AS passage FROM c""",
+)
+def holding_prefix(spark, sf_dir):
+    """Passages behind the start of their document's holding (here a conversation's first turn), but for those that begin as the holding does."""
+    turns = table(spark, sf_dir, "conversations")
+    holdings = turns.where("turn = 0").select("conv_id", F.col("text").alias("holding"))
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    shared = F.size(F.array_intersect(words("holding"), F.slice(words("text"), F.lit(1), F.lit(PASSAGE_WORDS))))
+    prefix = F.when((F.coalesce("holding", F.lit("")) != "") & (shared <= HOLDING_WORDS), F.concat(F.lit("HOLDING: "), F.substring("holding", 1, HOLDING_CHARS), F.lit("\n\n"))).otherwise("")
+    passage = F.concat(prefix, F.substring("text", 1, PASSAGE_CHARS))
+    return turns.join(holdings, "conv_id", "left").select("conv_id", "turn", passage.alias("passage"))
+
+
 @query("paragraph_label", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '[Para ' || turn || '-' || (turn + 1) || ']' WHEN turn % 3 = 1 THEN '[Para ' || turn || ']' END AS label FROM conversations")
 def paragraph_label(spark, sf_dir):
     last = F.when(F.col("turn") % 3 == 0, F.col("turn") + 1)
