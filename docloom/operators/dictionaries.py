@@ -4,8 +4,8 @@ One automaton (Aho-Corasick) holds all phrases of a dictionary, so a text is rea
 number of phrases; a phrase counts as a whole word where no letter or digit touches it. Rules and references
 are then joins over the phrases found, never expressions that grow with the dictionary.
 
-Dictionaries of up to ``PHRASES`` phrases go to the workers at once; larger ones in passes by a hash of the phrase, each of which reads the
-texts again, so what a worker holds is bounded.
+A dictionary of up to ``PHRASES`` phrases goes to all workers. A larger one is dealt into parts by a hash of the phrase and meets the
+texts, in blocks, part by part: nothing of it passes through the driver, and a task holds one part and one block.
 
 Cases: case does not count; null and empty texts and phrases find nothing; phrases that repeat under several ids are all found; of phrases that
 overlap, ``mentions`` takes the one that begins first, and of those the longest, of equal phrases the least id;
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Phrases that one pass looks for.
-PHRASES = 200_000
+#: Phrases that one task looks for, and bytes of the texts of a block where the phrases are more.
+PHRASES, BLOCK_BYTES = 200_000, 16 << 20
 
 
 def _low(text: str) -> str:
@@ -62,22 +62,39 @@ def _search(phrases: list[tuple], edges: str | None, covers: bool):
                             at.append(i)
                             found.append((entry, start, -stop))
             columns = [pa.array([f[j] for f in found], pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([rows["key"].take(pa.array(at, pa.int64())), *columns], ["key", "entry", "start", "stop"])
+            keys = rows["key"].combine_chunks() if isinstance(rows, pa.Table) else rows["key"]
+            taken = keys.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken, *columns], ["key", "entry", "start", "stop"])
 
     return run
 
 
-def _passes(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None, covers: bool, most: int) -> DataFrame:
+def _meet(edges: str | None):
+    """Worker: one block of texts and one part of a dictionary."""
+
+    def run(texts, phrases):
+        import pyarrow as pa
+
+        entries = list(zip(phrases["id"].to_pylist(), phrases["phrase"].to_pylist(), strict=True))
+        return pa.Table.from_batches(list(_search(entries, edges, False)(iter([texts]))))
+
+    return run
+
+
+def _hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None, covers: bool, most: int) -> tuple[DataFrame, bool]:
+    """((key, entry, start, stop), whether ``covers`` was heeded)."""
     lean = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([lean.schema["key"], *(T.StructField(c, T.LongType()) for c in ("entry", "start", "stop"))])
     given = dictionary.where(F.char_length("phrase") > 0).select(F.col("id").cast("long").alias("id"), "phrase")
-    n = -(-given.count() // most) or 1
-    out = None
-    for i in range(n):
-        some = [tuple(r) for r in given.where(F.pmod(F.xxhash64(F.lower("phrase")), F.lit(n)) == i).collect()]  # about ``most``
-        part = lean.mapInArrow(_search(some, edges, covers and n == 1), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    some = [tuple(r) for r in given.limit(most + 1).collect()]
+    if len(some) <= most:
+        return lean.mapInArrow(_search(some, edges, covers), schema), covers
+    parts = -(-given.count() // most)
+    blocks = max(1, -(-int(lean.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = lean.where("text is not null").withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    right = given.withColumn("part", F.pmod(F.xxhash64(F.lower("phrase")), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_meet(edges), schema), False
 
 
 def found_in(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None = "words", most: int = PHRASES) -> DataFrame:
@@ -85,14 +102,14 @@ def found_in(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges
 
     ``edges``: no letter or digit may touch it ("words"), no letter of a-z ("letters"), or anything may (None).
     """
-    hits = _passes(texts, key, text, dictionary, edges, False, most)
+    hits, _ = _hits(texts, key, text, dictionary, edges, False, most)
     return hits.groupBy(F.col("key").alias(key), "entry").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
 
 
 def mentions(texts: DataFrame, key: str, text: str, dictionary: DataFrame, most: int = PHRASES) -> DataFrame:
     """(key, start, stop, entry): whole-word phrases that do not overlap, the leftmost first and of those the longest. Keys must be unique."""
-    hits = _passes(texts, key, text, dictionary, "words", True, most)
-    if dictionary.where(F.char_length("phrase") > 0).count() > most:  # each pass knows a part of the phrases only
+    hits, covered = _hits(texts, key, text, dictionary, "words", True, most)
+    if not covered:  # each part knows some of the phrases only
         kind = hits.schema
 
         def cover(rows):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import ingest, sections
+from docloom.operators import hierarchy, ingest, sections
 from docloom.plans.registry import query
 from docloom.sources import office
 from docloom.sources.tables import table
@@ -66,6 +66,38 @@ def nested_sections(spark, sf_dir):
     return sections.numbered_sections(pages, "conv_id", "html", strip_tags)
 
 
+@query(
+    "hierarchy_tables",
+    """WITH s AS (SELECT r_regionkey AS tree, n_nationkey, n_name, s_suppkey, s_name, s_acctbal, dense_rank() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey)::INTEGER AS c, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey, s_suppkey)::INTEGER AS t
+        FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey)
+    SELECT DISTINCT tree, 'category' AS kind, c AS id, 0 AS parent, n_name AS name, 'high' AS mark FROM s
+    UNION ALL SELECT tree, 'case_type', t, c, s_name, CASE WHEN s_acctbal < 0 THEN 'true' ELSE 'false' END FROM s
+    UNION ALL SELECT tree, 'sub_category', 2 * t - 2 + i, t, s_name || CASE i WHEN 1 THEN '-a' ELSE '-b' END, '' FROM s, (VALUES (1), (2)) v(i)
+    UNION ALL SELECT tree, 'requirement', 2 * t - 2 + i, t, CASE i WHEN 1 THEN 'Order of ' || s_name ELSE 'Deed, If Any' END, CASE i WHEN 1 THEN 'required' ELSE 'optional' END FROM s, (VALUES (1), (2)) v(i)""",
+)
+def hierarchy_tables(spark, sf_dir):
+    """Four tables with keys from one JSON tree a region: its nations, their suppliers, and two lists of each supplier."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("tree"))
+    held = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
+    case_type = F.struct(
+        F.col("s_suppkey").alias("at"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("code"), F.when(F.col("s_acctbal") < 0, True).alias("defective"),
+        F.array(F.concat("s_name", F.lit("-a")), F.concat("s_name", F.lit("-b"))).alias("subCategories"), F.array(F.concat(F.lit("Order of "), "s_name"), F.lit("Deed, If Any")).alias("fileWith"),
+    )
+    by_nation = held.groupBy("tree", "n_nationkey", "n_name").agg(F.array_sort(F.collect_list(case_type)).alias("caseTypes"))
+    trees = by_nation.groupBy("tree").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("at"), F.col("n_name").alias("name"), "caseTypes"))).alias("categories"))).alias("json"))
+    made = hierarchy.normalised(trees, "tree", "json")
+    parts = [
+        made["categories"].select("tree", F.lit("category").alias("kind"), F.col("category_id").alias("id"), F.lit(0).alias("parent"), "name", F.col("court_level").alias("mark")),
+        made["case_types"].select("tree", F.lit("case_type").alias("kind"), F.col("case_type_id").alias("id"), F.col("category_id").alias("parent"), "name", F.col("defective").cast("string").alias("mark")),
+        made["sub_categories"].select("tree", F.lit("sub_category").alias("kind"), F.col("sort_order").alias("id"), F.col("case_type_id").alias("parent"), "name", F.lit("").alias("mark")),
+        made["requirements"].select("tree", F.lit("requirement").alias("kind"), F.col("sort_order").alias("id"), F.col("case_type_id").alias("parent"), F.col("document_name").alias("name"), F.col("requirement_type").alias("mark")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query(
     "docx_texts",
     r"""SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'Unsupported file type for OCR.' WHEN 5 THEN '' ELSE regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9)) <> ''), chr(10)), '^\s+|\s+$', '', 'g') END AS text,

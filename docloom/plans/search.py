@@ -694,8 +694,8 @@ def first_rule_from_table(spark, sf_dir):
 
 @query("dictionary_mentions")
 def dictionary_mentions(spark, sf_dir):
-    """Places of the word pairs and triples of all conversations in every text, the leftmost and longest first."""
-    words = table(spark, sf_dir, "conversations").select(terms(F.col("text")).alias("w"))
+    """Places of the word pairs and triples of all benchmark items in every text, the leftmost and longest first."""
+    words = table(spark, sf_dir, "benchmark").select(terms(F.col("text")).alias("w"))
     runs = words.select(F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1)))).alias("i"), "w").select(F.explode(F.array(*[F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ") for n in (2, 3)])).alias("phrase"))
     entries = runs.where("phrase like '% %'").distinct().select(F.xxhash64("phrase").alias("id"), "phrase")
     return dictionaries.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", entries)
