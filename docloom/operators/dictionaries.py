@@ -7,7 +7,7 @@ are then joins over the phrases found, never expressions that grow with the dict
 A dictionary of up to ``PHRASES`` phrases goes to all workers. A larger one is dealt into parts by a hash of the phrase and meets the
 texts, in blocks, part by part: nothing of it passes through the driver, and a task holds one part and one block.
 
-Cases: case does not count; null and empty texts and phrases find nothing; phrases that repeat under several ids are all found; of phrases that
+Cases: case does not count unless asked for (``any_case``); null and empty texts and phrases find nothing; phrases that repeat under several ids are all found; of phrases that
 overlap, ``mentions`` takes the one that begins first, and of those the longest, of equal phrases the least id;
 empty tables give no rows.
 """
@@ -28,17 +28,18 @@ def _low(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _search(phrases: list[tuple], edges: str | None, covers: bool):
+def _search(phrases: list[tuple], edges: str | None, covers: bool, any_case: bool = True):
     """Worker: (key, entry, start, stop) of phrases in texts; with ``covers`` only those that the leftmost-longest rule leaves."""
 
     def run(batches):
         import ahocorasick
         import pyarrow as pa
 
+        form = _low if any_case else str
         touches = {None: lambda c: False, "words": str.isalnum, "letters": lambda c: "a" <= c <= "z"}[edges]
         by_phrase: dict[str, list[int]] = {}
         for entry, phrase in phrases:
-            by_phrase.setdefault(_low(phrase), []).append(entry)
+            by_phrase.setdefault(form(phrase), []).append(entry)
         machine = ahocorasick.Automaton()
         for phrase, entries in by_phrase.items():
             machine.add_word(phrase, (len(phrase), sorted(entries)))
@@ -47,7 +48,7 @@ def _search(phrases: list[tuple], edges: str | None, covers: bool):
         for rows in batches:
             at, found = [], []
             for i, text in enumerate(rows["text"].to_pylist() if len(machine) else ()):
-                low = _low(text or "")
+                low = form(text or "")
                 spans = []
                 for end, (size, entries) in machine.iter(low) if low else ():
                     start, stop = end + 1 - size, end + 1
@@ -69,40 +70,40 @@ def _search(phrases: list[tuple], edges: str | None, covers: bool):
     return run
 
 
-def _meet(edges: str | None):
+def _meet(edges: str | None, any_case: bool):
     """Worker: one block of texts and one part of a dictionary."""
 
     def run(texts, phrases):
         import pyarrow as pa
 
         entries = list(zip(phrases["id"].to_pylist(), phrases["phrase"].to_pylist(), strict=True))
-        return pa.Table.from_batches(list(_search(entries, edges, False)(iter([texts]))))
+        return pa.Table.from_batches(list(_search(entries, edges, False, any_case)(iter([texts]))))
 
     return run
 
 
-def _hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None, covers: bool, most: int) -> tuple[DataFrame, bool]:
+def _hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None, covers: bool, most: int, any_case: bool = True) -> tuple[DataFrame, bool]:
     """((key, entry, start, stop), whether ``covers`` was heeded)."""
     lean = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([lean.schema["key"], *(T.StructField(c, T.LongType()) for c in ("entry", "start", "stop"))])
     given = dictionary.where(F.char_length("phrase") > 0).select(F.col("id").cast("long").alias("id"), "phrase")
     some = [tuple(r) for r in given.limit(most + 1).collect()]
     if len(some) <= most:
-        return lean.mapInArrow(_search(some, edges, covers), schema), covers
+        return lean.mapInArrow(_search(some, edges, covers, any_case), schema), covers
     parts = -(-given.count() // most)
     blocks = max(1, -(-int(lean.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = lean.where("text is not null").withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
     right = given.withColumn("part", F.pmod(F.xxhash64(F.lower("phrase")), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_meet(edges), schema), False
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_meet(edges, any_case), schema), False
 
 
-def found_in(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None = "words", most: int = PHRASES) -> DataFrame:
+def found_in(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: str | None = "words", most: int = PHRASES, any_case: bool = True) -> DataFrame:
     """(key, entry, n, first): how often each phrase of the dictionary (id, phrase) stands in a text, and where first; overlapping ones all count.
 
     ``edges``: no letter or digit may touch it ("words"), no letter of a-z ("letters"), or anything may (None).
     """
-    hits, _ = _hits(texts, key, text, dictionary, edges, False, most)
+    hits, _ = _hits(texts, key, text, dictionary, edges, False, most, any_case)
     return hits.groupBy(F.col("key").alias(key), "entry").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
 
 

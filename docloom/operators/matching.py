@@ -1,64 +1,23 @@
-"""Texts that hold given strings: a string search over all texts, in passes over the strings."""
+"""Texts that hold given strings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Strings that one pass looks for; more are dealt over further passes by their hash.
-NEEDLES_A_PASS = 20_000
-#: Bytes of a string's beginning that are looked up at every place of a text.
-BEGINNING = 6
+from docloom.operators import dictionaries
 
+#: Bytes of the shortest string that is looked for.
+SHORTEST = 6
 
-def _search(needles: list[tuple]):
-    """Worker: (string's id, text's id) of every string in every text. Beginnings are looked up first, then whole strings are compared."""
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def containing(docs: DataFrame, hay: str, needles: DataFrame, needle: str, needle_id: str, doc_id: str = "doc_id", most: int = dictionaries.PHRASES) -> DataFrame:
+    """(needle_id, doc_id) of every text that holds a string of at least six bytes, in its case.
 
-        by_start: dict[bytes, list[tuple]] = {}
-        for key, needle in needles:
-            by_start.setdefault(needle[:BEGINNING], []).append((key, needle))
-        code = lambda raw: int.from_bytes(raw, "big")
-        starts = np.array(sorted(map(code, by_start)), np.uint64)
-        for batch in batches:
-            found_keys, found_docs = [], []
-            for doc, hay in zip(batch.column("doc").to_pylist(), batch.column("hay").cast(pa.binary()).to_pylist(), strict=True):
-                if hay is None or len(hay) < BEGINNING or len(starts) == 0:
-                    continue
-                data = np.frombuffer(hay, np.uint8).astype(np.uint64)
-                n = len(data) - BEGINNING + 1
-                codes = np.zeros(n, np.uint64)
-                for j in range(BEGINNING):
-                    codes = codes << np.uint64(8) | data[j : j + n]
-                at = np.searchsorted(starts, codes)
-                at[at == len(starts)] = 0
-                places = np.flatnonzero(starts[at] == codes)
-                for start in {hay[p : p + BEGINNING] for p in places.tolist()}:
-                    for key, needle in by_start[start]:
-                        if needle in hay:
-                            found_keys.append(key)
-                            found_docs.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(found_keys, pa.int64()), pa.array(found_docs, pa.int64())], ["needle_id", "doc_id"])
-
-    return run
-
-
-def containing(docs: DataFrame, hay: str, needles: DataFrame, needle: str, needle_id: str, doc_id: str = "doc_id") -> DataFrame:
-    """(needle_id, doc_id) of every text that holds a string of at least six bytes.
-
-    The strings are the stated query set. They go to the workers in passes of
-    about NEEDLES_A_PASS, so what a worker holds does not grow with their table;
-    every pass reads the texts once and shuffles nothing.
+    One automaton looks for all strings; where they are more than ``most``, they meet the texts part by part, and nothing of them passes
+    through the driver.
     """
-    given = needles.select(F.col(needle_id).cast("long").alias("k"), F.col(needle).alias("v")).where(F.octet_length("v") >= BEGINNING)
-    passes = -(-given.count() // NEEDLES_A_PASS) or 1
+    given = needles.where(F.octet_length(needle) >= SHORTEST).select(F.col(needle_id).cast("long").alias("id"), F.col(needle).alias("phrase"))
     lean = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(hay).alias("hay"))
-    found = None
-    for i in range(passes):
-        some = [(r["k"], r["v"].encode()) for r in given.where(F.pmod(F.xxhash64("k"), F.lit(passes)) == i).collect()]
-        part = lean.mapInArrow(_search(some), "needle_id long, doc_id long")
-        found = part if found is None else found.unionByName(part)
-    return found.select(F.col("needle_id").alias(needle_id), F.col("doc_id").alias(doc_id))
+    found = dictionaries.found_in(lean, "doc", "hay", given, edges=None, most=most, any_case=False)
+    return found.select(F.col("entry").alias(needle_id), F.col("doc").alias(doc_id))

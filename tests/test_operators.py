@@ -285,7 +285,7 @@ def test_fidelity_counts_matching_words(spark):
     assert [r.fidelity for r in paragraphs.fidelity(df, "s", "r").collect()] == [0.75, 1.0, 0.0, 0.0]
 
 
-def test_strings_found_in_texts_over_several_passes(spark, monkeypatch):
+def test_strings_found_in_texts_in_one_part_or_several(spark):
     from docloom.operators import matching
 
     rng = random.Random(14)
@@ -294,8 +294,9 @@ def test_strings_found_in_texts_over_several_passes(spark, monkeypatch):
     docs, given = spark.createDataFrame(hays, "doc_id long, hay string"), spark.createDataFrame(needles, "item_id long, needle string")
     want = sorted((n, d) for n, x in needles for d, h in hays if h and x in h)
     for some in (20_000, 7):
-        monkeypatch.setattr(matching, "NEEDLES_A_PASS", some)
-        assert sorted((r.item_id, r.doc_id) for r in matching.containing(docs, "hay", given, "needle", "item_id").collect()) == want
+        assert sorted((r.item_id, r.doc_id) for r in matching.containing(docs, "hay", given, "needle", "item_id", most=some).collect()) == want
+    case = spark.createDataFrame([(1, "abABab"), (2, "ababab"), (3, "short")], "item_id long, needle string")
+    assert [(r.item_id, r.doc_id) for r in matching.containing(spark.createDataFrame([(5, "xabABabx")], "doc_id long, hay string"), "hay", case, "needle", "item_id").collect()] == [(1, 5)]
 
 
 def test_answers_and_tokens(spark):
