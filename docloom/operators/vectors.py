@@ -353,7 +353,7 @@ def _walk(k: int, dimensions: int, width: int, passing: bool, spare: int):
     return run
 
 
-def graph_nearest(index: DataFrame, queries: DataFrame, k: int, width: int = 64, passes: Column | None = None, spare: int = 4) -> DataFrame:
+def graph_nearest(index: DataFrame, queries: DataFrame, k: int, width: int = 128, passes: Column | None = None, spare: int = 4) -> DataFrame:
     """Approximate (query_id, id, distance, rank) of the k nearest by cosine, from a graph index.
 
     ``width`` is the number of rows that a walk keeps in view. With ``passes``, a condition on the columns of the index, the walk widens
