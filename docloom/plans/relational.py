@@ -307,25 +307,25 @@ def ranked_fetch(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(ranked), "doc_id").select("rank", "doc_id", "lang").orderBy("rank")
 
 
-#: Characters taken of a neighbour, and of the whole (fixed values).
+#: Characters taken of a neighbour, and of the whole that goes to a prompt (fixed values).
 NEIGHBOUR_CHARS, EXPANDED_CHARS = 300, 1200
 
 
 @query(
     "neighbour_expand",
-    f"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER w AS p, lead(text) OVER w AS n, lag(turn) OVER w AS pt, lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, (coalesce(CASE WHEN pt = turn - 1 THEN p[:{NEIGHBOUR_CHARS}] || ' ' END, '') || text || coalesce(CASE WHEN nt = turn + 1 THEN ' ' || n[:{NEIGHBOUR_CHARS}] END, ''))[:{EXPANDED_CHARS}] AS expanded FROM t""",
+    f"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER w AS p, lead(text) OVER w AS n, lag(turn) OVER w AS pt, lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    e AS (SELECT conv_id, turn, coalesce(CASE WHEN pt = turn - 1 THEN p[:{NEIGHBOUR_CHARS}] || ' ' END, '') AS l, text, coalesce(CASE WHEN nt = turn + 1 THEN ' ' || n[:{NEIGHBOUR_CHARS}] END, '') AS r FROM t)
+    SELECT conv_id, turn, l || text || r AS expanded, CASE WHEN l = '' AND r = '' THEN text ELSE (l || text || r)[:{EXPANDED_CHARS}] END AS prompt FROM e""",
 )
 def neighbour_expand(spark, sf_dir):
-    """Each winner between the starts of its two neighbours, the whole cut to a length."""
+    """Each winner, whole, between the starts of its two neighbours; ``prompt`` is that cut to a length where there is a neighbour."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     start = F.substring("text", 1, NEIGHBOUR_CHARS)
-    rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.substring("text", 1, EXPANDED_CHARS).alias("t"), F.lag(start).over(w).alias("p"), F.lead(start).over(w).alias("n"), F.lag("turn").over(w).alias("pt"), F.lead("turn").over(w).alias("nt")
-    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag(start).over(w).alias("p"), F.lead(start).over(w).alias("n"), F.lag("turn").over(w).alias("pt"), F.lead("turn").over(w).alias("nt"))
     left = F.coalesce(F.when(F.col("pt") == F.col("turn") - 1, F.concat("p", F.lit(" "))), F.lit(""))
     right = F.coalesce(F.when(F.col("nt") == F.col("turn") + 1, F.concat(F.lit(" "), "n")), F.lit(""))
-    return rows.select("conv_id", "turn", F.substring(F.concat(left, "t", right), 1, EXPANDED_CHARS).alias("expanded"))
+    rows = rows.select("conv_id", "turn", (F.concat(left, right) == "").alias("alone"), F.concat(left, "text", right).alias("expanded"))
+    return rows.select("conv_id", "turn", "expanded", F.when(F.col("alone"), F.col("expanded")).otherwise(F.substring("expanded", 1, EXPANDED_CHARS)).alias("prompt"))
 
 
 @query(

@@ -11,7 +11,7 @@ from docloom.functions import dates
 from docloom.functions import text as ft
 from docloom.operators import ingest, paragraphs, rerank, retrieval, triage
 from docloom.operators import vectors as vectors_
-from docloom.plans import search, texts
+from docloom.plans import relational, search, texts
 from docloom.sources import formats
 from docloom.streaming import events
 
@@ -336,3 +336,14 @@ def test_kinds_of_searches(spark):
 
 def test_digits_of_another_script(spark):
     assert [value(spark, ft.devanagari_digits, x) for x in ("धारा ३०२", "०१२३४५६७८९", "plain 7")] == ["धारा 302", "0123456789", "plain 7"]
+
+
+def test_a_winner_is_whole_between_its_neighbours(spark, tmp_path):
+    """Nothing of a turn is cut, nor is the start of the next one; the form for a prompt is cut where there is a neighbour."""
+    texts_ = {(1, 1): "a" * 400, (1, 2): "b" * 1900, (1, 3): "c" * 400, (2, 1): "d" * 1500, (3, 1): None, (3, 2): "e"}
+    spark.createDataFrame([(*at, t) for at, t in texts_.items()], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = {(r.conv_id, r.turn): r for r in relational.neighbour_expand(spark, str(tmp_path)).collect()}
+    middle = "a" * 300 + " " + "b" * 1900 + " " + "c" * 300
+    assert rows[1, 2].expanded == middle and rows[1, 2].prompt == middle[:1200]
+    assert rows[2, 1].expanded == rows[2, 1].prompt == "d" * 1500
+    assert rows[3, 1].expanded is None and rows[3, 2].expanded == "e" and len(rows) == len(texts_)
