@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.batches import BATCH_BYTES, bound_batches, tidy  # noqa: F401
+
 #: Folder where spark.checkpoint.dir is unset; only for a session on one machine.
 FALLBACK = "file:///tmp/checkpoints"
-#: Bytes of one Arrow batch of whole texts; a longer text is a batch of its own.
-BATCH_BYTES = 2 << 20
 
 _scopes: list[list[str]] = []
 
@@ -100,37 +100,6 @@ def map_texts(df: DataFrame, keep: list[str], text_name: str, worker, **added: s
     return lean.mapInArrow(tidy(worker(inner, "text")), schema).toDF(*keep, *added)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches that workers get, unless the session has a smaller bound.
-
-    The setting stays: plans read it when they run, which is after this call. It changes no result.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, None) or 1 << 31) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def tidy(run):
-    """A worker function that gives what it held back to the system at its end, as workers live on."""
-
-    def tidied(batches):
-        try:
-            yield from run(batches)
-        finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim:
-                trim(0)
-
-    return tidied
-
-
 def written(df: DataFrame, uri: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)

@@ -18,8 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions import batches as batches_
+
 #: Phrases that one task looks for, and bytes of the texts of a block where the phrases are more.
 PHRASES, BLOCK_BYTES = 200_000, 16 << 20
+#: Places that a worker holds before it puts them out; one text's may be more.
+HELD = 100_000
 
 
 def _low(text: str) -> str:
@@ -32,6 +36,8 @@ def _search(phrases: list[tuple], edges: str | None, covers: bool, any_case: boo
     """Worker: (key, entry, start, stop) of phrases in texts; with ``covers`` only those that the leftmost-longest rule leaves."""
 
     def run(batches):
+        from array import array
+
         import ahocorasick
         import pyarrow as pa
 
@@ -46,26 +52,34 @@ def _search(phrases: list[tuple], edges: str | None, covers: bool, any_case: boo
         if len(machine):
             machine.make_automaton()
         for rows in batches:
-            at, found = [], []
-            for i, text in enumerate(rows["text"].to_pylist() if len(machine) else ()):
-                low = form(text or "")
-                spans = []
-                for end, (size, entries) in machine.iter(low) if low else ():
-                    start, stop = end + 1 - size, end + 1
-                    if start and touches(low[start - 1]) or stop < len(low) and touches(low[stop]):
-                        continue
-                    spans.append((start, -stop, entries))
-                reach = 0
-                for start, stop, entries in sorted(spans) if covers else spans:
-                    if not covers or start >= reach:
-                        reach = -stop
-                        for entry in entries[:1] if covers else entries:
-                            at.append(i)
-                            found.append((entry, start, -stop))
-            columns = [pa.array([f[j] for f in found], pa.int64()) for j in range(3)]
             keys = rows["key"].combine_chunks() if isinstance(rows, pa.Table) else rows["key"]
-            taken = keys.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken, *columns], ["key", "entry", "start", "stop"])
+
+            def put_out(at, found, keys=keys):
+                taken = keys.take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken, *(pa.array(f, pa.int64()) for f in found)], ["key", "entry", "start", "stop"])
+
+            at, found = array("q"), [array("q") for _ in range(3)]
+            for first, after in batches_.cuts(rows["text"]) if len(machine) else ():
+                for i, text in enumerate(rows["text"].slice(first, after - first).to_pylist(), first):
+                    low = form(text or "")
+                    spans = []
+                    for end, (size, entries) in machine.iter(low) if low else ():
+                        start, stop = end + 1 - size, end + 1
+                        if start and touches(low[start - 1]) or stop < len(low) and touches(low[stop]):
+                            continue
+                        spans.append((start, -stop, entries))
+                    reach = 0
+                    for start, stop, entries in sorted(spans) if covers else spans:
+                        if not covers or start >= reach:
+                            reach = -stop
+                            for entry in entries[:1] if covers else entries:
+                                at.append(i)
+                                for column, number in zip(found, (entry, start, -stop), strict=True):
+                                    column.append(number)
+                    if len(at) >= HELD:
+                        yield put_out(at, found)
+                        at, found = array("q"), [array("q") for _ in range(3)]
+            yield put_out(at, found)
 
     return run
 
@@ -88,8 +102,9 @@ def _hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, edges: s
     schema = T.StructType([lean.schema["key"], *(T.StructField(c, T.LongType()) for c in ("entry", "start", "stop"))])
     given = dictionary.where(F.char_length("phrase") > 0).select(F.col("id").cast("long").alias("id"), "phrase")
     some = [tuple(r) for r in given.limit(most + 1).collect()]
+    batches_.bound_batches(texts.sparkSession)
     if len(some) <= most:
-        return lean.mapInArrow(_search(some, edges, covers, any_case), schema), covers
+        return lean.mapInArrow(batches_.tidy(_search(some, edges, covers, any_case)), schema), covers
     parts = -(-given.count() // most)
     blocks = max(1, -(-int(lean.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,13 @@ def test_mentions_over_the_tables(spark, sf_dir):
     for spans in by_doc.values():
         spans.sort()
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_a_worker_puts_out_what_it_found_in_bounded_batches(monkeypatch):
+    """Texts with very many hits: each batch has at most one text's places more than the bound, and none is lost."""
+    monkeypatch.setattr(dictionaries, "HELD", 1000)
+    texts = ["a b " * 100] * 200 + [None, ""]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    found = list(dictionaries._search([(1, "a"), (2, "b")], "words", False)(iter([rows])))
+    assert max(b.num_rows for b in found) <= 1000 + 200 and sum(b.num_rows for b in found) == 200 * 200
+    assert {(r["key"], r["entry"], r["start"], r["stop"]) for b in found for r in b.to_pylist()} == {(i, 1 + at % 2, 2 * at, 2 * at + 1) for i in range(200) for at in range(200)}
