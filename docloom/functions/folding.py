@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import batches
+
 _REST = re.compile("[^a-z0-9]+")
 
 
@@ -19,13 +21,20 @@ def fold_text(text: str | None) -> str | None:
     return _REST.sub("", plain.lower())
 
 
+def _folded(texts):
+    """Worker: the forms of an Arrow column of texts, some at a time."""
+    import pyarrow as pa
+
+    done = [pa.array([fold_text(t) for t in texts.slice(start, stop - start).to_pylist()], pa.string()) for start, stop in batches.cuts(texts)]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
 def fold(c: Column) -> Column:
-    """Column form of ``fold_text``, an Arrow batch at a time; ``functions.text.fold`` does Latin-1 letters without a worker."""
+    """Column form of ``fold_text``, in bounded Arrow batches; ``functions.text.fold`` does Latin-1 letters without a worker."""
+    batches.bound_batches(SparkSession.active())
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def run(texts):
-        import pandas as pd
-
-        return pd.Series([fold_text(t) for t in texts], index=texts.index, dtype=object)
+        return _folded(texts)
 
     return run(c)

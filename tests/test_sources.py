@@ -8,7 +8,9 @@ import sys
 import unicodedata
 import zipfile
 
-from docloom.functions import folding
+import pyarrow as pa
+
+from docloom.functions import batches, folding
 from docloom.sources import formats, office
 
 
@@ -55,3 +57,14 @@ def test_fold_over_all_code_points(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.f for r in df.select("i", folding.fold(df.t).alias("f")).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_folding_takes_bounded_parts():
+    """The workers' strings come from parts of bounded bytes, not from a whole batch; a long text is a part of its own."""
+    texts = pa.array(["ﬁé" * 1000, None, "", "x" * (3 << 20), "Ａ"] * 300)
+    parts = list(batches.cuts(texts))
+    sizes = [sum(len(t.encode()) for t in texts[a:b].to_pylist() if t) for a, b in parts]
+    assert parts[0][0] == 0 and parts[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert all(n <= batches.BATCH_BYTES or b - a == 1 for n, (a, b) in zip(sizes, parts))
+    assert folding._folded(texts).to_pylist() == [folding.fold_text(t) for t in texts.to_pylist()]
+    assert folding._folded(texts[:0]).to_pylist() == []
