@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Bytes of the vectors of one block and queries of one block.
 BLOCK_BYTES, QUERIES = 8 << 20, 4096
+#: Bytes of the distances that a worker holds at once; one query's may be more.
+HELD_BYTES = 16 << 20
 FOUND = "query_id long, id long, distance double"
 
 
@@ -71,8 +73,15 @@ def _block_product(k: int, dimensions: int, metric: str):
     def run(vectors, queries):
         if not len(vectors) or not len(queries):
             return _answers([], [], [], np.zeros((0, 0)))
-        ids, distance = vectors["id"].to_numpy(), distances(_matrix(vectors["vector"], dimensions), _matrix(queries["vector"], dimensions), metric)
-        return _answers(queries["query_id"].to_numpy(), ids, _top(ids, distance, k), distance)
+        import pyarrow as pa
+
+        ids, query_ids = vectors["id"].to_numpy(), queries["query_id"].to_numpy()
+        x, q = _matrix(vectors["vector"], dimensions), _matrix(queries["vector"], dimensions)
+        step, done = max(1, HELD_BYTES // (8 * len(x))), []
+        for at in range(0, len(q), step):
+            distance = distances(x, q[at : at + step], metric)
+            done.append(_answers(query_ids[at : at + step], ids, _top(ids, distance, k), distance))
+        return pa.concat_tables(done)
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,23 @@ def test_recall_of_every_fiftieth(spark, path):
     assert recall(catalog.QUERIES["knn_ivf"](spark, path), exact) >= 0.9
     filtered = catalog.QUERIES["knn_filtered"](spark, path)
     assert recall(catalog.QUERIES["knn_hnsw_filtered"](spark, path), filtered) >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_block_holds_bounded_distances(monkeypatch, metric):
+    """However many queries meet a block, only some of their distances are held at once; the answers are those of all at once."""
+    rng = np.random.default_rng(5)
+    x, q, held = rng.normal(size=(700, 8)), rng.normal(size=(900, 8)), []
+    table = lambda name, rows: pa.table([pa.array(range(len(rows))), pa.array(rows.tolist())], names=[name, "vector"])
+    distances = v.distances
+
+    def counted(some, queries, metric):
+        held.append(8 * len(some) * len(queries))
+        return distances(some, queries, metric)
+
+    monkeypatch.setattr(v, "distances", counted)
+    monkeypatch.setattr(v, "HELD_BYTES", 1 << 19)
+    found = v._block_product(3, 8, metric)(table("id", x), table("query_id", q))
+    assert max(held) <= 1 << 19 and sum(held) == 8 * 700 * 900
+    order = np.argsort(distances(x, q, metric), axis=0)[:3].T
+    assert found["query_id"].to_pylist() == np.repeat(np.arange(900), 3).tolist() and found["id"].to_pylist() == order.ravel().tolist()
