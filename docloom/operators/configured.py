@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions.stemming import stem_table
 from docloom.functions.text import STOP_WORDS, TERM_GAP, terms
+from docloom.operators.retrieval import term_hits
 
 #: Words up to which a query counts as short (fixed value).
 SHORT = 3
+#: Bytes of the texts whose hits one task scores.
+PART_BYTES = 2 << 20
 
 
 def with_configuration(queries: DataFrame, abbreviations: DataFrame, short: int = SHORT) -> DataFrame:
@@ -54,6 +57,16 @@ def form_counts(queries: DataFrame, stop: Sequence[str] = STOP_WORDS) -> DataFra
     return form.groupBy("query_id").agg(F.count_distinct("form").alias("n_wanted"))
 
 
+def hits(docs: DataFrame, forms: DataFrame, text: str = "text", id_name: str = "doc_id") -> DataFrame:
+    """Rows for ``matches`` from a scan of texts, those of an id in one part.
+
+    A word stands for very many pairs of query and text, so parts grow with the texts, and what a task scores is neither shuffled nor
+    more in larger tables.
+    """
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return term_hits(docs, forms, text, id_name, parts=max(1, -(-n_bytes // PART_BYTES)))
+
+
 def matches(rows: DataFrame, forms: DataFrame) -> DataFrame:
     """(query_id, id, n_hit, score) of index rows (id, term, tf): forms found, and the sum of 1 + ln(tf) over them."""
     met = rows.join(F.broadcast(forms), "term")  # the terms of the queries at hand

@@ -116,8 +116,8 @@ def tokenised(docs: DataFrame, text: str = "text", id_name: str = "doc_id") -> D
     return split.select("id", "words", (F.size("words") - F.size(F.filter("words", lambda x: x == ""))).alias("n_terms"))
 
 
-def term_hits(docs: DataFrame, wanted: DataFrame, text: str = "text", id_name: str = "doc_id") -> DataFrame:
-    """(id, term, tf, n_terms) for wanted terms only.
+def term_hits(docs: DataFrame, wanted: DataFrame, text: str = "text", id_name: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """(id, term, tf, n_terms) for wanted terms only; with ``parts``, the rows of an id stand in one of so many parts.
 
     The distinct wanted terms (those of the queries at hand) filter each
     document's words before they are exploded, so the index of the whole
@@ -127,6 +127,8 @@ def term_hits(docs: DataFrame, wanted: DataFrame, text: str = "text", id_name: s
     held = tokenised(docs, text, id_name).select("id", "n_terms", F.filter("words", lambda x: x.isin(listed)).alias("held"))
     # the outer form, as Spark guards the other with filters that split the text again
     found = held.select("id", "n_terms", F.explode_outer("held").alias("term")).where("term is not null")
+    if parts is not None:
+        found = found.repartition(parts, "id")
     return found.groupBy("id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

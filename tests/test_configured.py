@@ -87,3 +87,18 @@ def test_configured_search_over_the_tables(spark, sf_dir):
     assert found.keys() == want.keys()
     for q, rows in found.items():
         assert [(-s, i) for _, i, s in sorted(rows)] == [pytest.approx(x) for x in sorted(want[q])[:10]]
+
+
+def test_a_text_is_scored_in_one_part(spark, monkeypatch):
+    """Parts grow with the texts, and pairs of query and text are counted where the text's hits are: one shuffle, by id."""
+    monkeypatch.setattr(configured, "PART_BYTES", 500)
+    docs = [(i, " ".join(WORDS[(i * 7 + j * j) % len(WORDS)] for j in range(i % 20))) for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = configured.with_configuration(spark.createDataFrame([(1, "connecting the courts of relation"), (2, "court")], "query_id int, q string"), spark.createDataFrame([], "word string"))
+    forms = spark.createDataFrame(configured.wanted_forms(asked, configured.vocabulary(df)).collect(), "query_id int, term string, form string")
+    rows = configured.hits(df, forms)
+    assert rows.rdd.getNumPartitions() == -(-sum(len(t or "") for _, t in docs) // 500)
+    found = configured.matches(rows, forms)
+    assert {(r.query_id, r.id): round(r.score, 9) for r in found.collect()} == {k: x[2] for k, x in plain(docs, [(1, "connecting the courts of relation"), (2, "court")], set()).items()}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(query_id") == 0
