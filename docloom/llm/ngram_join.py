@@ -391,23 +391,41 @@ def _listed(lists: list[np.ndarray], schema):
 
 
 def _fetch(n: int):
-    """Worker: compressed texts of the wanted nodes of each block."""
+    """Worker: (lead, slice, node, raw, body) for rows (lead, slice, node) of each block, those of a node together; a text is compressed once."""
+    schema = text.arrow_schema(TEXTS)
 
     def run(batches):
         import pyarrow as pa
 
-        for uri, rows in blocks.by_block(batches):
-            _, data, offsets = blocks.read(uri)
-            for at in range(0, len(rows), 500):
-                some = rows[at : at + 500]
-                where = [r["node"] & (1 << PLACE) - 1 for r in some]
-                bodies = [data[int(offsets[i]) : int(offsets[i + 1])].tobytes() for i in where]
-                packed = [pa.compress(b, codec="zstd", asbytes=True) for b in bodies]
-                yield pa.RecordBatch.from_arrays([pa.array([r["node"] for r in some]), pa.array([len(b) for b in bodies], pa.int64()), pa.array(packed, pa.binary())], ["node", "raw", "body"])
+        block, node, held, size = None, None, [], 0
+        for batch in batches:
+            for uri, lead, slice_, at in zip(*(batch[c].to_pylist() for c in ("block", "lead", "slice", "node")), strict=True):
+                if uri != block:
+                    block, (_, data, offsets) = uri, blocks.read(uri)
+                if at != node:
+                    node, i = at, at & (1 << PLACE) - 1
+                    plain = data[int(offsets[i]) : int(offsets[i + 1])].tobytes()
+                    body = pa.compress(plain, codec="zstd", asbytes=True)
+                held.append((lead, slice_, node, len(plain), body))
+                size += len(body)
+                if size >= shared.BATCH_BYTES:
+                    yield _texts(held, schema)
+                    held, size = [], 0
+        if held:
+            yield _texts(held, schema)
 
     return run
 
 
+TEXTS = "lead long, slice long, node long, raw long, body binary"
+
+
+def _texts(rows: list[tuple], schema):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def _verify(n: int, top: int, bottom: int):
     """Worker: rows of a slice stand together, its centre first; links between the centre and the similar ones of the others."""
 
@@ -487,13 +505,11 @@ def _verified(pairs: DataFrame, manifest: DataFrame, tasks: int, folder: str, n:
     sliced = pairs.join(large, "lead", "left").select("lead", place(F.pmod(F.xxhash64("node"), F.col("slices"))).alias("slice"), "node")
     every = F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)
     centres = sizes.join(large, "lead", "left").select("lead", F.explode(every).alias("slice"), F.col("lead").alias("node"))
-    rows = shared.written(sliced.unionByName(centres), f"{folder}/rows")
-    wanted = rows.select("node").distinct().withColumn("number", F.shiftright("node", PLACE)).join(manifest.select("block", "number"), "number").select("block", "node")
-    texts = shared.written(blocks.gathered(wanted, "node", tasks).mapInArrow(shared.tidy(_fetch(n)), "node long, raw long, body binary"), f"{folder}/texts")
-    both = rows.join(texts.hint("merge"), "node").repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("node") != F.col("lead"))
-    links = shared.written(both.select("lead", "node", "raw", "body").mapInArrow(shared.tidy(_verify(n, top, bottom)), "u long, v long"), f"{folder}/links")
-    shared.remove(pairs.sparkSession, f"{folder}/texts")
-    return links
+    # texts go from their blocks to their slices at once, and lie nowhere in between
+    rows = sliced.unionByName(centres).withColumn("number", F.shiftright("node", PLACE)).join(manifest.select("block", "number"), "number").select("block", "lead", "slice", "node")
+    texts = blocks.gathered(rows, "node", tasks).mapInArrow(shared.tidy(_fetch(n)), TEXTS)
+    both = texts.repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("node") != F.col("lead"))
+    return shared.written(both.select("lead", "node", "raw", "body").mapInArrow(shared.tidy(_verify(n, top, bottom)), "u long, v long"), f"{folder}/links")
 
 
 def jaccard_components(df: DataFrame, n: int = 5, top: int = 80, bottom: int = 100, id_name: str = "doc_id", text_name: str = "text", block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, common: int = 64, chunk: int = 1024, stars: int = 2) -> DataFrame:

@@ -8,11 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, components, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, queries, sharding, suffix_dedup, token_counts, toxicity
+from docloom.llm import blocks, bpe, components, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, queries, sharding, suffix_dedup, token_counts, toxicity
 from tests import oracle
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -620,3 +621,15 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 def test_every_operator_has_its_query():
     assert {int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES} == set(range(1, 14))
+
+
+def test_texts_go_from_their_block_to_their_slices(spark, tmp_path):
+    """A worker gives the text of each (lead, slice, node) at once, so texts are neither stored nor shuffled for a join."""
+    bodies = [b"one text", b"", b"x" * 5000]
+    uri = f"file:{tmp_path}/block"
+    (tmp_path / "block").write_bytes(blocks.pack(np.arange(3), np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)])))
+    asked = [(uri, 7, 0, 0), (uri, 8, 1, 0), (uri, 7, 0, 2)]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*asked)], ["block", "lead", "slice", "node"])
+    found = [r for b in ngram_join._fetch(4)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["lead"], r["slice"], r["node"]) for r in found] == [a[1:] for a in asked]
+    assert [pa.decompress(r["body"], r["raw"], codec="zstd", asbytes=True) for r in found] == [bodies[a[3]] for a in asked]
